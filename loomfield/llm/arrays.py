@@ -10,13 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts are worked on in groups of about so many bytes; one longer text is a group of its own.
 GROUP_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]  # A-Z as a-z
 _powers: dict[int, np.ndarray] = {}
 
 #: Bytes that separate words.
@@ -46,7 +48,7 @@ def _power(base: int, n: int) -> np.ndarray:
 
 def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about GROUP_BYTES of text."""
-    sizes = np.asarray(texts.fill_null("").cast(pa.large_string()).buffers()[1] and pa.compute.binary_length(texts.fill_null("")))
+    sizes = np.asarray(pc.binary_length(texts.fill_null("")))
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > GROUP_BYTES:
@@ -68,11 +70,21 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words_of(texts: pa.Array, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word, and for each text where its words begin (n + 1 places)."""
+def hashes_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """A hash of each stretch of bytes."""
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values[raw] * _power(_BASE, len(raw)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
+def words_of(texts: pa.Array, separators: np.ndarray = SPACE, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word, and for each text where its words begin (n + 1 places).
+
+    first: with so many leading bytes, hashes are pairs, of the word and of these.
+    """
     raw, at = bytes_of(texts)
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        return np.zeros((2, 0) if first else 0, np.uint64), np.zeros(len(at), np.int64)
     word = ~separators[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[at] = True
@@ -82,9 +94,9 @@ def words_of(texts: pa.Array, separators: np.ndarray = SPACE) -> tuple[np.ndarra
     after = np.empty_like(word)
     after[-1], after[:-1] = False, word[1:]
     ends = np.flatnonzero(word & (~after | edge[1:]))
-    sums = np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)))
-    h = sums[ends] - np.where(starts > 0, sums[starts - 1], np.uint64(0))
-    h = mix(h * _power(_INVERSE, len(raw))[starts] + (ends - starts).astype(np.uint64))
+    h = hashes_of(raw, starts, ends + 1, _FOLDED)
+    if first:
+        h = np.stack([h, mix(hashes_of(raw, starts, np.minimum(ends + 1, starts + first), _FOLDED))])
     return h, np.searchsorted(starts, at)
 
 

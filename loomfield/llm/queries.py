@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from loomfield.llm import oracle
 from loomfield.llm.common import table
+from loomfield.llm.license_scan import license_scan
 from loomfield.llm.ngram_join import ngram_join
+from loomfield.llm.token_counts import token_counts
+from loomfield.llm.toxicity import crc_third, toxicity, train
+from loomfield.llm.url_filter import url_filter
 
 
 def op1_ngram_join(spark, sf_dir):
@@ -12,5 +16,29 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
+def op2_license_scan(spark, sf_dir):
+    """License phrases and notices of every document."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark, sf_dir):
+    """The verdict on every page's url."""
+    return url_filter(spark, table(spark, sf_dir, "pages"))
+
+
+def op6_token_counts(spark, sf_dir):
+    """Tokens of every document by the byte-level vocabulary of 50,257."""
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = train(spark, docs, table(spark, sf_dir, "labels"), usable=lambda i: crc_third(i) != 1)
+    return toxicity(spark, docs, model)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op4_url_filter, op6_token_counts, op9_toxicity)}
 ORACLE: dict[str, str] = {"op1_ngram_join": oracle.NGRAM_JOIN}
