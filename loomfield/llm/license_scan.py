@@ -54,14 +54,12 @@ def license_scan(
     smallest and largest start), base_labels, labels, score: 1 with a phrase, else the
     largest share of a template that a block holds, 0 below the threshold.
     """
-    plain = F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS, " "))
-    words = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain.alias("plain"))
-    texts = texts.withColumn("words", F.when(F.col("plain") == "", F.array().cast("array<string>")).otherwise(F.split("plain", " ")))
+    words = F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS), "")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
 
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     held = F.array_intersect(words, F.array(*map(F.lit, vocabulary)))
-    counted = {r["w"]: r["count"] for r in docs.select(F.explode(held).alias("w")).groupBy("w").count().collect()}  # a row for each template word
+    counted = {r["w"]: r["count"] for r in docs.select(F.explode_outer(held).alias("w")).where("w is not null").groupBy("w").count().collect()}  # a row for each template word
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
     sets = [(label, sorted({order[w] for w in t.split()})) for label, t in templates]
     prefixes = [t[: len(t) - _need(len(t), percent) + 1] for _, t in sets]
@@ -70,8 +68,8 @@ def license_scan(
     rank = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
     spans = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(block // 2)), lambda s: F.slice("words", s, F.lit(block)))
     blocks = F.transform(spans, lambda b: F.array_sort(F.transform(F.array_intersect(b, F.array(*map(F.lit, vocabulary))), lambda w: F.element_at(rank, w))))
-    some = F.col("plain").rlike(rf"(^| )({'|'.join(starters)})( |$)")
-    texts = texts.withColumn("blocks", F.when(some & (F.col("plain") != ""), blocks).otherwise(F.array().cast("array<array<int>>")))
+    some = F.arrays_overlap("words", F.array(*map(F.lit, starters)))
+    texts = texts.withColumn("blocks", F.when(some & (F.size("words") > 0), blocks).otherwise(F.array().cast("array<array<int>>")))
 
     def share(which: int):
         """The largest share of a template in a block that meets the threshold, else 0."""
@@ -100,7 +98,7 @@ def license_scan(
                 ok &= F.coalesce(F.get("words", i + k) == p, F.lit(False))
             return ok
         found = F.filter(F.sequence(F.lit(0), F.size("words") - 1), here)
-        return F.when(F.concat(F.lit(" "), "plain", F.lit(" ")).contains(f" {phrase} "), found).otherwise(F.array().cast("array<int>"))
+        return F.when(F.array_contains("words", parts[-1]), found).otherwise(F.array().cast("array<int>"))
 
     texts = texts.withColumn("places", F.array(*map(starts, phrases))).withColumn("shares", shares)
     base = F.array_compact(F.array(*[F.when(F.size(F.get("places", F.lit(k))) > 0, F.lit(label)) for k, label in enumerate(phrases.values())]))

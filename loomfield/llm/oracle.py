@@ -20,3 +20,19 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id AS doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, r.c AS component_id
 FROM documents d LEFT JOIN z USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) r ON r.x = d.doc_id
 """
+
+DECONTAMINATION = r"""
+WITH t AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t
+), s AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT kind, id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)
+), z AS (
+  SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id
+)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(z.n) AS n_item, count(*)::DOUBLE / any_value(z.n) AS containment
+FROM s d JOIN s b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 JOIN z ON z.id = b.id
+GROUP BY d.id, b.id HAVING count(*) * 100 >= any_value(z.n) * 80
+"""
