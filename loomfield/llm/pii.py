@@ -128,12 +128,12 @@ def disclosing_terms(spark: SparkSession, found: DataFrame, threshold: float = 0
     return stored(spark, best.select("term", "m.kind", "m.disclosure", "m.n_entities"), "terms")
 
 
-def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, min_entities: int = 20) -> DataFrame:
-    """doc_id, spans (array of kind, start, end; term spans last) and clean, the text with spans generalised.
+def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, min_entities: int = 20, keep: tuple = ()) -> DataFrame:
+    """doc_id, the columns named by keep, spans (array of kind, start, end; term spans last) and clean, the text with spans generalised.
 
     Spans of a kind become its name in brackets; terms are removed. Also n_base: the spans by pattern.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(text_col, F.lit("")).alias("text"))
     texts = with_entities(texts)
     terms = disclosing_terms(spark, texts, threshold, min_entities)
     n = terms.count()
@@ -160,4 +160,4 @@ def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
 
     clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.aggregate(order, start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))))
-    return texts.select("doc_id", "spans", "n_base", clean.alias("clean"))
+    return texts.select("doc_id", *keep, "spans", "n_base", clean.alias("clean"))

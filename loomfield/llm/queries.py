@@ -8,6 +8,7 @@ from loomfield.llm import oracle
 from loomfield.llm.common import table
 from loomfield.llm.decontaminate import contained
 from loomfield.llm.fingerprints import fingerprints
+from loomfield.llm.html_extract import main_text
 from loomfield.llm.license_scan import license_scan
 from loomfield.llm.mixing import mix
 from loomfield.llm.ngram_join import ngram_join
@@ -74,5 +75,17 @@ def op9_toxicity(spark, sf_dir):
     return toxicity(spark, docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_pii, op4_url_filter, op5_mixing, op6_token_counts, op7_decontamination, op8_fingerprints, op9_toxicity)}
+def op10_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    return main_text(spark, table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline.py over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_pii, op4_url_filter, op5_mixing, op6_token_counts, op7_decontamination, op8_fingerprints, op9_toxicity, op10_html_extraction, pipeline)}
 ORACLE: dict[str, str] = {"op1_ngram_join": oracle.NGRAM_JOIN, "op7_decontamination": oracle.DECONTAMINATION}
