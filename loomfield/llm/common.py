@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With it the shuffle files of a query go when it ends, not when the driver collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,7 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(spark)}/loomfield-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

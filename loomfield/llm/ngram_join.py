@@ -110,15 +110,48 @@ def _room(percent: int, x: str = "x", y: str = "y"):
     return first & (c(f"{y}.n") * 100 >= c(f"{x}.n") * percent) & (most >= overlap)
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(spark, texts.join(wanted, "id", "left_semi").mapInArrow(_sets(percent, width, True), SET_SCHEMA).select("id", "tokens").dropDuplicates(["id"]), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     return both.where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
 
 
+def _apart(spark: SparkSession, pairs: DataFrame, groups_: DataFrame | None) -> DataFrame:
+    """The pairs that no links connect so far."""
+    if groups_ is None:
+        return pairs
+    ga, gb = groups_.select(F.col("v").alias("a"), F.col("l").alias("ga")), groups_.select(F.col("v").alias("b"), F.col("l").alias("gb"))
+    rest = pairs.join(ga, "a", "left").join(gb, "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).drop("ga", "gb")
+    return stored(spark, rest, "apart")
+
+
+def _linked(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, groups_: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links enough for the components of all pairs (a, b, k), and the components.
+
+    The likeliest partner of each document (most tokens k in common) is verified first,
+    twice; what these links connect needs no further look, and all else is verified.
+    """
+    tried = None
+    for step in range(3):
+        pairs = _apart(spark, pairs, groups_)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        now = pairs.select("a", "b")
+        if step < 2:
+            now = stored(spark, pairs.groupBy("a").agg(F.max(F.struct("k", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b")), "tried")
+            tried = now if tried is None else tried.union(now)
+        if pairs.isEmpty():
+            break
+        found = stored(spark, _verified(now, sets, percent), "verified")
+        links = found if links is None else stored(spark, links.union(found), "links")
+        groups_ = components(spark, links)
+    if links is None:
+        links = pairs.select("a", "b")
+        groups_ = components(spark, links)
+    return links, groups_
+
+
 def ngram_join(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, few: int = 16, hot_limit: int = 1 << 20
 ) -> DataFrame:
@@ -155,9 +188,10 @@ def ngram_join(
     fits = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.id") != F.col("y.id"))
     fits &= F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
     around = warm.alias("x").join(lead.alias("y"), (F.col("x.t") == F.col("y.t")) & fits).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
-    first = stored(spark, direct.union(around).distinct(), "pairs")
-    links = stored(spark, _verified(spark, first, texts, percent, width), "verified")
-    groups_ = components(spark, links)
+    first = stored(spark, direct.union(around).groupBy("a", "b").agg(F.count("*").alias("k")), "pairs")
+    wanted = first.select(F.col("a").alias("id")).union(first.select("b")).union(warm.select("id")).distinct()
+    whole = stored(spark, texts.join(wanted, "id", "left_semi").mapInArrow(_sets(percent, width, True), SET_SCHEMA).select("id", "tokens").dropDuplicates(["id"]), "sets")
+    links, groups_ = _linked(spark, first, whole, percent, None, None)
 
     # The matrix of hot tokens and groups: only groups that share one are opened.
     rows = stored(spark, warm.join(groups_.withColumnRenamed("v", "id"), "id", "left").withColumn("g", F.coalesce("l", "id")).drop("l", "rare"), "grouped")
@@ -171,12 +205,12 @@ def ngram_join(
     more = (
         open_.join(y.select("t", F.col("g").alias("gy"), F.struct("id", "n", "pos").alias("y")), ["t", "gy"])
         .join(rows.select("t", F.col("g").alias("gx"), F.struct("id", "n", "pos").alias("x")), ["t", "gx"])
-        .where(_room(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        .where(_room(percent)).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))
     )
-    more = stored(spark, more.join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "more")
+    oriented = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = stored(spark, more.join(oriented, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        links = stored(spark, links.union(_verified(spark, more, texts, percent, width)), "links")
-        groups_ = components(spark, links)
+        links, groups_ = _linked(spark, more, whole, percent, links, groups_)
 
     # A component's smallest document is its smallest class: a class is named by its smallest member.
     found = members.join(groups_.withColumnRenamed("v", "cls"), "cls", "left")
