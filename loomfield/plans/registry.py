@@ -2,12 +2,114 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomfield.functions import exprs as x
+from loomfield.operators import features as ft
+from loomfield.operators import panel as p
+from loomfield.operators import spatial as sp
+from loomfield.operators import waves as wv
+from loomfield.plans.sql import SQL
+from loomfield.sources import surrogate as s
+from loomfield.session import load
+
 FLAGSHIP = "map_slice"
+LAST = date.fromisoformat(s.LAST)
+
+
+def r6(df: DataFrame) -> DataFrame:
+    """Doubles to six places and without a negative zero, so that engines compare equal."""
+    return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def map_slice(spark: SparkSession, sf: str, **kw) -> DataFrame:
+    """Q01: panel, daily change, moving average, rate, classification and slice."""
+    return r6(p.map_slice(s.panel(spark, sf), LAST, **kw))
+
+
+def _daily(spark, sf):
+    return p.with_daily(s.panel(spark, sf))
+
+
+WINDOWS = [("Early", date(1995, 1, 1), date(1996, 6, 30)), ("Middle", date(1996, 6, 30), date(1999, 1, 1)), ("Late", date(1999, 1, 2), date(2001, 12, 31))]
+
+
+def _long(spark, sf):
+    """A long noisy series for each nation: order value a day in thousands."""
+    o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
+    day = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").cast("string").alias("unit"), F.col("o_orderdate").cast("date").alias("date")).agg((F.sum("o_totalprice") / 1000).alias("value"))
+    days = F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-08-01").cast("date"))
+    spine = day.select("unit").distinct().select("unit", F.explode(days).alias("date"))
+    return spine.join(day, ["unit", "date"], "left").select("unit", "date", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def _rings(spark, sf):
+    """Each customer as a unit square of a grid of 50 columns."""
+    c = load(spark, sf, "customer").select(x.pad_fips(F.col("c_custkey")).alias("fips"), (F.col("c_custkey") % 50).cast("double").alias("i"), F.floor(F.col("c_custkey") / 50).cast("double").alias("j"))
+    corner = lambda a, b: F.array(F.col("i") + a, F.col("j") + b)
+    return c.select("fips", F.array(*[corner(a, b) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]).alias("ring"))
+
+
+def _values(spark, sf):
+    return load(spark, sf, "customer").select(x.pad_fips(F.col("c_custkey")).alias("fips"), F.col("c_acctbal").alias("value"))
+
+
+QUERIES = {
+    "map_slice": map_slice,
+    "map_slice_state": lambda spark, sf: map_slice(spark, sf, state="NATION_7"),
+    "map_slice_type": lambda spark, sf: map_slice(spark, sf, kind="Urban"),
+    "daily_changes": lambda spark, sf: r6(_daily(spark, sf).select("fips", "date", "cases_daily", "deaths_daily")),
+    "moving_averages": lambda spark, sf: r6(_daily(spark, sf).select("fips", "date", *[p.moving_average("cases_daily", n).alias(f"ma{n}") for n in (3, 5, 7)])),
+    "centered_average": lambda spark, sf: r6(_daily(spark, sf).select("fips", "date", p.centered_average("cases_daily", 7).alias("ca7"))),
+    "per_capita": lambda spark, sf: r6(s.panel(spark, sf).select("fips", "date", x.rate(F.col("cases"), F.col("population")).alias("cases_pc"), x.rate(F.col("deaths"), F.col("population")).alias("deaths_pc"))),
+    "data_corrections": lambda spark, sf: p.corrections(s.panel(spark, sf)),
+    "available_dates": lambda spark, sf: s.panel(spark, sf).select("date").distinct(),
+    "normalize_metadata": lambda spark, sf: load(spark, sf, "supplier").select("s_suppkey", x.pad_fips(F.col("s_suppkey")).alias("fips"), x.pad_fips(F.col("s_nationkey"), 2).alias("state_fips"), x.location(F.trim("s_name"), F.col("s_nationkey").cast("string")).alias("location")),
+    "split_location": lambda spark, sf: s.population(spark, sf).select("fips", x.location(F.col("county_name"), F.col("state")).alias("loc")).select("fips", *[c.alias(n) for c, n in zip(x.split_location(F.col("loc")), ("name", "st"), strict=True)]),
+    "county_type_threshold": lambda spark, sf: p.real_units(s.population(spark, sf)).select("fips", x.county_type(F.col("population"), 5000).alias("county_type")),
+    "county_type_rucc": lambda spark, sf: s.master(spark, sf).select("fips", x.rucc_type(F.col("rucc_code")).alias("county_type")).where("county_type is not null"),
+    "national_series": lambda spark, sf: r6(p.national(s.panel(spark, sf))),
+    "kpi_totals": lambda spark, sf: p.kpi(s.panel(spark, sf)),
+    "monthly_snapshot": lambda spark, sf: p.monthly_snapshot(s.panel(spark, sf)),
+    "window_outcomes": lambda spark, sf: r6(p.window_outcomes(s.panel(spark, sf), date(2024, 1, 5), LAST)),
+    "rolling_cfr": lambda spark, sf: r6(p.rolling_cfr(s.panel(spark, sf), days=7, lag=3, min_cases=2)),
+    "index100": lambda spark, sf: r6(p.rebased(s.panel(spark, sf), "cases")),
+    "first_latest_change": lambda spark, sf: r6(p.first_latest(s.panel(spark, sf), "cases")),
+    "vax_latest": lambda spark, sf: r6(s.vaccination(spark, sf).groupBy("fips").agg(F.max_by("vax", F.when(F.col("vax").isNotNull(), F.col("date"))).alias("vax"), F.max("date").alias("last_date"))),
+    "forward_fill": lambda spark, sf: r6(p.forward_filled(s.vaccination(spark, sf), "vax", default=0.0)),
+    "as_of_filled": lambda spark, sf: r6(p.as_of(s.panel(spark, sf).where("day(date) % 10 = 5").select("fips", "date"), s.vaccination(spark, sf), "vax")),
+    "as_of_last_row": lambda spark, sf: r6(p.as_of(s.panel(spark, sf).where("day(date) % 10 = 5").select("fips", "date"), s.vaccination(spark, sf), "vax", skip_nulls=False)),
+    "unmatched_keys": lambda spark, sf: s.population(spark, sf).select("fips").subtract(s.panel(spark, sf).select("fips")),
+    "key_intersection": lambda spark, sf: s.population(spark, sf).select("fips").intersect(s.panel(spark, sf).select("fips")),
+    "peer_median_series": lambda spark, sf: r6(p.peer_median(s.panel(spark, sf), "cases", s.master(spark, sf).where("rucc_code = 3").select("fips"))),
+    "correlations": lambda spark, sf: r6(ft.correlations(s.master(spark, sf), ["total_price"], ["population", "n_orders", "avg_price"])),
+    "spearman": lambda spark, sf: r6(ft.spearman(s.master(spark, sf), "population", "total_price")),
+    "ols_trend": lambda spark, sf: r6(ft.ols_trend(s.master(spark, sf), "n_orders", "total_price")),
+    "residual_topk": lambda spark, sf: ft.residuals(s.master(spark, sf), "n_orders", "total_price").withColumn("residual", F.round("residual", 3)),
+    "scaled_features": lambda spark, sf: r6(ft.scaled(s.master(spark, sf), ["population", "n_orders"])),
+    "similar_units": lambda spark, sf: r6(ft.similar(s.master(spark, sf), "00005", ["population", "n_orders", "avg_price"])),
+    "national_medians": lambda spark, sf: r6(ft.medians(s.master(spark, sf), ["population", "n_orders", "avg_price", "total_price"])),
+    "national_percentile": lambda spark, sf: r6(ft.percentile_of(s.master(spark, sf), "00005", "total_price")),
+    "poisson_ci": lambda spark, sf: r6(s.panel(spark, sf).where(F.col("date") == LAST).select("fips", *[c.alias(n) for c, n in zip(x.poisson_ci(F.col("deaths"), F.col("population")), ("low", "high"), strict=True)])),
+    "adjacency": lambda spark, sf: sp.adjacency(_rings(spark, sf)),
+    "morans_i": lambda spark, sf: r6(sp.morans_i(_values(spark, sf), sp.adjacency(_rings(spark, sf)))),
+    "getis_ord": lambda spark, sf: r6(sp.getis_ord(_values(spark, sf), sp.adjacency(_rings(spark, sf)))),
+    "hotspot_counts": lambda spark, sf: sp.getis_ord(_values(spark, sf), sp.adjacency(_rings(spark, sf))).groupBy("category").agg(F.count("*").alias("n")),
+    "wave_regions": lambda spark, sf: r6(wv.regions(_long(spark, sf), base=45.0)),
+    "wave_report": lambda spark, sf: r6(wv.detect(_long(spark, sf))),
+    "wave_windows": lambda spark, sf: wv.match_windows(wv.detect(_long(spark, sf)), WINDOWS),
+    "wave_scores": lambda spark, sf: r6(wv.score(wv.detect(_long(spark, sf)))),
+    "duplicate_keys": lambda spark, sf: load(spark, sf, "orders").groupBy(x.pad_fips(F.col("o_custkey")).alias("fips")).agg(F.count("*").alias("n")).where("n > 1"),
+    "population_validity": lambda spark, sf: s.population(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("population") == 0).alias("zero"), F.count_if(F.col("population") < 0).alias("negative"), F.count_if(F.col("population").isNull()).alias("missing"), F.count_if(F.col("fips") == "00000").alias("unallocated")),
+}
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
