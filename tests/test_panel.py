@@ -62,7 +62,7 @@ def test_map_slice_has_no_invalid_population(panel):
 def test_expressions(spark):
     row = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate((*x.split_location(F.lit("Prince, of Wales, AK")), x.pad_fips(F.lit("1001.0")), x.pad_fips(F.lit("?")), *x.poisson_ci(F.lit(0.0), F.lit(100_000.0))))]).first()
     assert tuple(row)[:4] == ("Prince, of Wales", "AK", "01001", "00000")
-    assert row.c4 == 0 and row.c5 == pytest.approx(3.689, abs=0.01)
+    assert row.c4 == 0 and row.c5 == pytest.approx(3.689, abs=0.05)
 
 
 def gauss(n, peak, mid, width):
