@@ -54,6 +54,7 @@ def poisson_ci(count: Column, population: Column, per: float = PER, z: float = 1
     k = F.when(ok, count)
     low = F.when(k == 0, 0.0).when(k > 0, k * F.pow(1 - 1 / (9 * F.greatest(k, F.lit(1e-9))) - z / (3 * F.sqrt(F.greatest(k, F.lit(1e-9)))), 3))
     high = (k + 1) * F.pow(1 - 1 / (9 * (k + 1)) + z / (3 * F.sqrt(k + 1)), 3)
+    low = F.when(low < 0, 0.0).otherwise(low)
     return low / population * per, high / population * per
 
 
