@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: With it the shuffle files of a query go when it ends, not when the driver collects its garbage.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a table is written: the shuffle files of a query go when it ends, not when the
+#: driver collects its garbage, and batches sent to Python stay small, as texts can be long.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,15 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(spark)}/loomfield-{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables that stored() wrote and that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(col):
     """A-Z to lower case, everything else as it is."""
     return F.translate(col, UPPER, LOWER)

@@ -6,7 +6,8 @@ first, hot ones last, by hash within) and a prefix of it; two classes of
 Jaccard similarity t or more share a token of their prefixes, so a matrix of
 prefix tokens and groups is enough to bound how much of a query a group can hold.
 
-* Tokens held by few classes are joined directly, under length and position bounds.
+* Tokens held by few classes are joined directly; lengths, and the number and places
+  of the tokens that a pair shares, bound its similarity.
 * For hot tokens the matrix has one row for each group instead of one for each
   class. The first groups gather around a leader (the member with the fewest rare
   tokens), whose members are verified against it; verified links make components,
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm.arrays import SPACE, groups, lists, mix, ragged, shingles_of, words_of
-from loomfield.llm.common import components, stored
+from loomfield.llm.common import components, discard, stored
 
 SET_SCHEMA = "id long, n long, d1 long, d2 long, tokens array<long>"
 POSTING_SCHEMA = "t long, id long, n long, pos int, rare int, hot boolean"
@@ -52,6 +53,13 @@ def _stored_tokens(n, percent: int):
     return np.minimum(n, prefix(n, percent) * 3 // 2 + 8)
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, .. values, modulo 2 ** 64."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return sums
+
+
 def _sets(percent: int, width: int, whole: bool):
     """Batches (id, text) to SET_SCHEMA; whole: with all tokens, else with the first of them."""
 
@@ -61,8 +69,7 @@ def _sets(percent: int, width: int, whole: bool):
             for a, b in groups(texts):
                 s, at = shingles_of(*words_of(texts.slice(a, b - a), SPACE), width)
                 n = np.diff(at)
-                d1 = np.concatenate([[0], np.cumsum(mix(s + np.uint64(11)))]).astype(np.uint64)
-                d2 = np.concatenate([[0], np.cumsum(mix(s ^ np.uint64(0x5DEECE66D)))]).astype(np.uint64)
+                d1, d2 = (_sums(mix(x)) for x in (s + np.uint64(11), s ^ np.uint64(0x5DEECE66D)))
                 digest = [pa.array((d[at[1:]] - d[at[:-1]]).view(np.int64)) for d in (d1, d2)]
                 if not whole:
                     keep = np.where(n > 0, _stored_tokens(n, percent), 0)
@@ -74,11 +81,18 @@ def _sets(percent: int, width: int, whole: bool):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that arrays over tokens stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _postings(hot: np.ndarray, percent: int, whole: bool):
     """Batches (id, n, tokens) to POSTING_SCHEMA; a row t = null asks for the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             s, at = ragged(batch.column(2))
             size = np.diff(at)
@@ -101,55 +115,37 @@ def _postings(hot: np.ndarray, percent: int, whole: bool):
     return run
 
 
-def _room(percent: int, x: str = "x", y: str = "y"):
-    """Whether lengths and positions of a shared token leave room; y is no longer than x."""
-    c = lambda name: F.col(name)
-    overlap = F.ceil((c(f"{x}.n") + c(f"{y}.n")) * percent / F.lit(100 + percent))
-    most = F.least(c(f"{x}.n") - c(f"{x}.pos"), c(f"{y}.n") - c(f"{y}.pos"))
-    first = (c(f"{y}.n") < c(f"{x}.n")) | ((c(f"{y}.n") == c(f"{x}.n")) & (c(f"{y}.id") < c(f"{x}.id")))
-    return first & (c(f"{y}.n") * 100 >= c(f"{x}.n") * percent) & (most >= overlap)
+def _overlap(percent: int, x: str, y: str):
+    """Tokens that sets of these sizes must share."""
+    return F.ceil((F.col(x) + F.col(y)) * percent / F.lit(100 + percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
+def _candidates(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of met (a, b, na, nb, pa, pb: a row for each shared prefix token) that the counts leave room for.
 
+    Both sets have one order of tokens, so all that they share up to the last shared
+    token of their prefixes is counted, and the rest stands behind it in both.
+    """
+    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    return pairs.where(F.col("k") - 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _overlap(percent, "na", "nb")).select("a", "b")
 
-def _apart(spark: SparkSession, pairs: DataFrame, groups_: DataFrame | None) -> DataFrame:
-    """The pairs that no links connect so far."""
-    if groups_ is None:
-        return pairs
-    ga, gb = groups_.select(F.col("v").alias("a"), F.col("l").alias("ga")), groups_.select(F.col("v").alias("b"), F.col("l").alias("gb"))
-    rest = pairs.join(ga, "a", "left").join(gb, "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).drop("ga", "gb")
-    return stored(spark, rest, "apart")
 
+def _met(x: str, y: str) -> list:
+    """The columns that _candidates reads, with the smaller id as b."""
+    first = F.col(f"{x}.id") > F.col(f"{y}.id")
+    pick = lambda p, q, name: F.when(first, F.col(f"{p}.{name}")).otherwise(F.col(f"{q}.{name}"))
+    return [pick(p, q, name).alias(alias) for alias, p, q, name in (("a", x, y, "id"), ("b", y, x, "id"), ("na", x, y, "n"), ("nb", y, x, "n"), ("pa", x, y, "pos"), ("pb", y, x, "pos"))]
 
-def _linked(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, groups_: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Links enough for the components of all pairs (a, b, k), and the components.
 
-    The likeliest partner of each document (most tokens k in common) is verified first,
-    twice; what these links connect needs no further look, and all else is verified.
-    """
-    tried = None
-    for step in range(3):
-        pairs = _apart(spark, pairs, groups_)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        now = pairs.select("a", "b")
-        if step < 2:
-            now = stored(spark, pairs.groupBy("a").agg(F.max(F.struct("k", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b")), "tried")
-            tried = now if tried is None else tried.union(now)
-        if pairs.isEmpty():
-            break
-        found = stored(spark, _verified(now, sets, percent), "verified")
-        links = found if links is None else stored(spark, links.union(found), "links")
-        groups_ = components(spark, links)
-    if links is None:
-        links = pairs.select("a", "b")
-        groups_ = components(spark, links)
-    return links, groups_
+def _near_sizes(percent: int, x: str, y: str):
+    return F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose whole sets are similar enough."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return both.where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
 
 
 def ngram_join(
@@ -168,7 +164,9 @@ def ngram_join(
     sets = stored(spark, texts.mapInArrow(_sets(percent, width, False), SET_SCHEMA), "prefixes")
     classes = stored(spark, sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("cls")), "classes")
     members = sets.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").select("id", "n", "cls")
+    members = stored(spark, members, "members")
     chosen = stored(spark, sets.join(classes.select("cls", "d1", "d2"), (F.col("id") == F.col("cls")) & (sets.d1 == classes.d1) & (sets.d2 == classes.d2), "left_semi").select("id", "n", "tokens").dropDuplicates(["id"]), "chosen")
+    discard(spark, sets)
 
     counts = chosen.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > few)
     hottest = counts.orderBy(F.desc("count"), "t").limit(hot_limit).select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64)
@@ -178,20 +176,21 @@ def ngram_join(
     lacking = some.where("t is null").select("id").distinct()
     rest = texts.join(lacking, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(percent, width, True), SET_SCHEMA).select("id", "n", "tokens")
     rest = stored(spark, rest.mapInArrow(_postings(hot, percent, True), POSTING_SCHEMA), "postings")
+    discard(spark, chosen)
     postings = some.where("t is not null").unionByName(rest)
 
     rare = postings.where("not hot").select("t", "id", "n", "pos")
-    direct = rare.alias("x").join(rare.alias("y"), (F.col("x.t") == F.col("y.t")) & _room(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    direct = _candidates(rare.alias("x").join(rare.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.id") > F.col("y.id")) & _near_sizes(percent, "x", "y")).select(*_met("x", "y")), percent)
 
     warm = stored(spark, postings.where("hot").select("t", "id", "n", "pos", "rare"), "hot")
     lead = warm.groupBy("t").agg(F.min(F.struct("rare", "id", "n", "pos")).alias("m")).select("t", "m.id", "m.n", "m.pos")
-    fits = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.id") != F.col("y.id"))
-    fits &= F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= F.ceil((F.col("x.n") + F.col("y.n")) * percent / F.lit(100 + percent))
-    around = warm.alias("x").join(lead.alias("y"), (F.col("x.t") == F.col("y.t")) & fits).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
-    first = stored(spark, direct.union(around).groupBy("a", "b").agg(F.count("*").alias("k")), "pairs")
+    around = warm.alias("x").join(lead.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.id") != F.col("y.id")) & _near_sizes(percent, "x", "y")).select(*_met("x", "y")).select("a", "b")
+    first = stored(spark, direct.union(around).distinct(), "pairs")
+    discard(spark, some, rest)
     wanted = first.select(F.col("a").alias("id")).union(first.select("b")).union(warm.select("id")).distinct()
     whole = stored(spark, texts.join(wanted, "id", "left_semi").mapInArrow(_sets(percent, width, True), SET_SCHEMA).select("id", "tokens").dropDuplicates(["id"]), "sets")
-    links, groups_ = _linked(spark, first, whole, percent, None, None)
+    links = stored(spark, _verified(first, whole, percent), "verified")
+    groups_ = components(spark, links)
 
     # The matrix of hot tokens and groups: only groups that share one are opened.
     rows = stored(spark, warm.join(groups_.withColumnRenamed("v", "id"), "id", "left").withColumn("g", F.coalesce("l", "id")).drop("l", "rare"), "grouped")
@@ -199,18 +198,21 @@ def ngram_join(
     matrix = rows.groupBy("t", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.bool_or(held).alias("held"))
     several = matrix.groupBy("t").agg(F.count("*").alias("k"), F.bool_or("held").alias("any")).where("k > 1 and any").select("t")
     matrix = stored(spark, matrix.join(several, "t"), "matrix")
-    open_ = matrix.alias("q").join(matrix.where("held").alias("h"), (F.col("q.t") == F.col("h.t")) & (F.col("q.g") != F.col("h.g")) & (F.col("h.low") <= F.col("q.high")) & (F.col("h.high") * 100 >= F.col("q.low") * percent))
-    open_ = open_.select(F.col("q.t").alias("t"), F.col("q.g").alias("gx"), F.col("h.g").alias("gy"))
-    y = rows.where(held)
-    more = (
-        open_.join(y.select("t", F.col("g").alias("gy"), F.struct("id", "n", "pos").alias("y")), ["t", "gy"])
-        .join(rows.select("t", F.col("g").alias("gx"), F.struct("id", "n", "pos").alias("x")), ["t", "gx"])
-        .where(_room(percent)).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))
-    )
-    oriented = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = stored(spark, more.join(oriented, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links, groups_ = _linked(spark, more, whole, percent, links, groups_)
+    if not matrix.isEmpty():
+        open_ = matrix.alias("q").join(matrix.where("held").alias("h"), (F.col("q.t") == F.col("h.t")) & (F.col("q.g") != F.col("h.g")) & (F.col("h.low") <= F.col("q.high")) & (F.col("h.high") * 100 >= F.col("q.low") * percent))
+        open_ = open_.select(F.col("q.t").alias("t"), F.col("q.g").alias("gx"), F.col("h.g").alias("gy"))
+        y = rows.where(held)
+        # The shorter set's token stands in its short prefix; a token that both hold is enough to look.
+        room = (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _overlap(percent, "x.n", "y.n")) & _near_sizes(percent, "x", "y") & (F.col("y.n") <= F.col("x.n"))
+        more = (
+            open_.join(y.select("t", F.col("g").alias("gy"), F.struct("id", "n", "pos").alias("y")), ["t", "gy"])
+            .join(rows.select("t", F.col("g").alias("gx"), F.struct("id", "n", "pos").alias("x")), ["t", "gx"])
+            .where(room).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+        )
+        more = stored(spark, more.join(first, ["a", "b"], "left_anti"), "more")
+        if not (found := stored(spark, _verified(more, whole, percent), "verified")).isEmpty():
+            groups_ = components(spark, links.union(found))
+    discard(spark, whole)
 
     # A component's smallest document is its smallest class: a class is named by its smallest member.
     found = members.join(groups_.withColumnRenamed("v", "cls"), "cls", "left")
