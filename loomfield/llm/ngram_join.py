@@ -148,13 +148,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
 
 
+def _hottest(sets: DataFrame, few: int, limit: int) -> np.ndarray:
+    """Tokens that more than few sets hold, the most frequent first up to a limit, in ascending order."""
+    counts = sets.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > few)
+    return np.sort(counts.orderBy(F.desc("count"), "t").limit(limit).select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64))
+
+
 def ngram_join(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, few: int = 16, hot_limit: int = 1 << 20
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, few: int = 4, hot_limit: int = 1 << 20
 ) -> DataFrame:
     """Each document with its set size, the class of equal sets and the component of links.
 
     Two documents link when 100 * intersection >= percent * union of their shingle
-    sets of width words. few: classes up to which a token counts as rare. hot_limit
+    sets of width words. few: classes up to which a token counts as rare;
+    such tokens give few pairs each, whatever the size of the input. hot_limit
     bounds the hottest tokens that are sent to the executors (8 bytes each); it
     only orders tokens, and any order gives the same links.
 
@@ -168,13 +175,19 @@ def ngram_join(
     chosen = stored(spark, sets.join(classes.select("cls", "d1", "d2"), (F.col("id") == F.col("cls")) & (sets.d1 == classes.d1) & (sets.d2 == classes.d2), "left_semi").select("id", "n", "tokens").dropDuplicates(["id"]), "chosen")
     discard(spark, sets)
 
-    counts = chosen.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > few)
-    hottest = counts.orderBy(F.desc("count"), "t").limit(hot_limit).select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64)
-    hot = np.sort(hottest)
+    hot = _hottest(chosen, few, hot_limit)
+
+    # Sets without enough rare tokens among their first are read whole; what is frequent among these is hot, too.
+    def whole_sets(ids: DataFrame) -> DataFrame:
+        own = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return stored(spark, own.mapInArrow(_sets(percent, width, True), SET_SCHEMA).select("id", "n", "tokens"), "whole")
+
+    crowded = whole_sets(stored(spark, chosen.mapInArrow(_postings(hot, percent, False), POSTING_SCHEMA).where("t is null").select("id"), "crowded"))
+    hot = np.union1d(hot, _hottest(crowded, few, hot_limit))
+    discard(spark, crowded)
 
     some = stored(spark, chosen.mapInArrow(_postings(hot, percent, False), POSTING_SCHEMA), "postings")
-    lacking = some.where("t is null").select("id").distinct()
-    rest = texts.join(lacking, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(percent, width, True), SET_SCHEMA).select("id", "n", "tokens")
+    rest = whole_sets(some.where("t is null").select("id"))
     rest = stored(spark, rest.mapInArrow(_postings(hot, percent, True), POSTING_SCHEMA), "postings")
     discard(spark, chosen)
     postings = some.where("t is not null").unionByName(rest)
