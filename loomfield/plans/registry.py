@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.functions import exprs as x
+from loomfield.operators import audit as au
 from loomfield.operators import features as ft
+from loomfield.operators import lags as lg
+from loomfield.operators import models as md
 from loomfield.operators import panel as p
 from loomfield.operators import spatial as sp
 from loomfield.operators import waves as wv
 from loomfield.plans.sql import SQL
 from loomfield.sources import surrogate as s
 from loomfield.session import load
+from loomfield.streaming.panel import daily_totals
 
 FLAGSHIP = "map_slice"
 LAST = date.fromisoformat(s.LAST)
@@ -57,6 +61,15 @@ def _values(spark, sf):
     return load(spark, sf, "customer").select(x.pad_fips(F.col("c_custkey")).alias("fips"), F.col("c_acctbal").alias("value"))
 
 
+def _matches(spark, sf):
+    """Peaks of order value by nation against those of the following month's."""
+    first = lg.peaks(_long(spark, sf), 20.0, 14)
+    return lg.matches(first, first.withColumn("peak_date", F.date_add("peak_date", 12)), 90)
+
+
+FACTORS = ["population", "n_orders", "avg_price"]
+
+
 QUERIES = {
     "map_slice": map_slice,
     "map_slice_state": lambda spark, sf: map_slice(spark, sf, state="NATION_7"),
@@ -102,6 +115,20 @@ QUERIES = {
     "wave_report": lambda spark, sf: r6(wv.detect(_long(spark, sf))),
     "wave_windows": lambda spark, sf: wv.match_windows(wv.detect(_long(spark, sf)), WINDOWS),
     "wave_scores": lambda spark, sf: r6(wv.score(wv.detect(_long(spark, sf)))),
+    "lag_peaks": lambda spark, sf: r6(lg.peaks(_long(spark, sf), 20.0, 14)),
+    "lag_matches": lambda spark, sf: r6(lg.severity(_matches(spark, sf))),
+    "lag_summary": lambda spark, sf: r6(lg.summary(_matches(spark, sf))),
+    "ols_table": lambda spark, sf: r6(md.ols_table(s.master(spark, sf), "total_price", FACTORS)),
+    "vif": lambda spark, sf: r6(md.vif(s.master(spark, sf), FACTORS)),
+    "forest_importance": lambda spark, sf: md.forest_importance(s.master(spark, sf), "total_price", FACTORS, trees=20),
+    "archetypes": lambda spark, sf: md.archetypes(s.master(spark, sf), FACTORS),
+    "resilience": lambda spark, sf: r6(md.resilience(s.master(spark, sf), "total_price", FACTORS)),
+    "low_percentile": lambda spark, sf: r6(md.low_percentile(_long(spark, sf))),
+    "imputed": lambda spark, sf: r6(md.imputed(s.master(spark, sf), ["n_orders", "avg_price"]).select("fips", "n_orders", "avg_price")),
+    "full_audit": lambda spark, sf: au.full_audit(s.panel(spark, sf), s.population(spark, sf)),
+    "master_table": lambda spark, sf: r6(au.master_table(s.panel(spark, sf), s.master(spark, sf))),
+    "join_diagnostics": lambda spark, sf: r6(au.join_diagnostics(au.master_table(s.panel(spark, sf), s.master(spark, sf)), "n_orders")),
+    "stream_daily_totals": lambda spark, sf: r6(daily_totals(load(spark, sf, "events"))),
     "duplicate_keys": lambda spark, sf: load(spark, sf, "orders").groupBy(x.pad_fips(F.col("o_custkey")).alias("fips")).agg(F.count("*").alias("n")).where("n > 1"),
     "population_validity": lambda spark, sf: s.population(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("population") == 0).alias("zero"), F.count_if(F.col("population") < 0).alias("negative"), F.count_if(F.col("population").isNull()).alias("missing"), F.count_if(F.col("fips") == "00000").alias("unallocated")),
 }
