@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,6 +70,7 @@ def matches(cases: DataFrame, deaths: DataFrame, max_lag: int = 90) -> DataFrame
                     break
         return pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHES.split(", ")])
 
+    deaths = deaths.select(*[F.col(c).alias(c) for c in deaths.columns])  # both may come from one table
     return cases.groupBy("unit").cogroup(deaths.groupBy("unit")).applyInPandas(walk, MATCHES)
 
 

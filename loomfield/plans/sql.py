@@ -88,6 +88,10 @@ _BODIES = {
     "national_medians": "SELECT " + ", ".join(f"round(median({c}), 6) AS {c}" for c in ("population", "n_orders", "avg_price", "total_price")) + " FROM master",
     "national_percentile": "SELECT count(*) AS n, round((count(*) FILTER (total_price < v) + count(*) FILTER (total_price <= v) + CASE WHEN count(*) FILTER (total_price <= v) > count(*) FILTER (total_price < v) THEN 1 ELSE 0 END) * 50 / count(*), 6) AS percentile FROM master, (SELECT total_price AS v FROM master WHERE fips = '00005') WHERE total_price IS NOT NULL",
     "poisson_ci": "SELECT fips, CASE WHEN population > 0 THEN round(CASE WHEN deaths = 0 THEN 0 ELSE deaths * pow(1 - 1 / (9 * deaths) - 1.959964 / (3 * sqrt(deaths)), 3) END / population * 100000, 6) END AS low, CASE WHEN population > 0 THEN round((deaths + 1) * pow(1 - 1 / (9 * (deaths + 1)) + 1.959964 / (3 * sqrt(deaths + 1)), 3) / population * 100000, 6) END AS high FROM panel WHERE date = DATE '2024-01-30'",
+    "stream_daily_totals": "SELECT ts::DATE AS date, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",
+    "imputed": "SELECT fips, round(coalesce(n_orders, mn), 6) AS n_orders, round(coalesce(avg_price, ma), 6) AS avg_price FROM master, (SELECT median(n_orders) AS mn, median(avg_price) AS ma FROM master)",
+    "low_percentile": "SELECT unit, date, round(quantile_cont(value, 0.1) OVER (PARTITION BY unit ORDER BY date ROWS BETWEEN 21 PRECEDING AND 21 FOLLOWING), 6) AS low FROM series",
+    "join_diagnostics": "SELECT count(*) AS units, count(n_orders) AS matched, count(*) - count(n_orders) AS unmatched, round(count(n_orders) / count(*), 6) AS match_rate FROM (SELECT DISTINCT fips FROM panel WHERE fips <> '00000') LEFT JOIN master USING (fips)",
     "duplicate_keys": "SELECT lpad(o_custkey::VARCHAR, 5, '0') AS fips, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1",
     "population_validity": "SELECT count(*) AS total, count(*) FILTER (population = 0) AS zero, count(*) FILTER (population < 0) AS negative, count(*) FILTER (population IS NULL) AS missing, count(*) FILTER (fips = '00000') AS unallocated FROM population",
 }
