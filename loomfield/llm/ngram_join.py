@@ -11,8 +11,9 @@ prefix tokens and groups is enough to bound how much of a query a group can hold
 * For hot tokens the matrix has one row for each group instead of one for each
   class. The first groups gather around a leader (the member with the fewest rare
   tokens), whose members are verified against it; verified links make components,
-  and these are the groups then. A query class opens a group only where a token
-  of both, their lengths and their positions leave room for t.
+  and these are the groups then. The matrix holds the union of a group's tokens; how
+  much of it a query class shares, and their lengths, bound the similarity to every
+  member, and a group is opened only where the bound leaves room for t.
 * Pairs inside one component need no further look: they are connected already.
 
 Every candidate is verified on the whole sets. No candidate is capped, and no step
@@ -154,6 +155,57 @@ def _hottest(sets: DataFrame, few: int, limit: int) -> np.ndarray:
     return np.sort(counts.orderBy(F.desc("count"), "t").limit(limit).select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64))
 
 
+def _leaves_room(percent: int, low: str, high: str, other_low: str, other_high: str):
+    """Whether k shared prefix tokens leave room for a pair of sizes in these ranges.
+
+    Up to the end of one of the two prefixes all shared tokens are counted; behind it
+    that set has its size less its prefix.
+    """
+    least = lambda x, y: F.greatest(F.col(x), F.ceil(F.col(y) * percent / F.lit(100)))
+    most = lambda x, y: F.least(F.col(x), F.floor(F.col(y) * 100 / F.lit(percent)))
+    behind = F.ceil(F.greatest(most(high, other_high), most(other_high, high)) * percent / F.lit(100)) - 1
+    need = F.ceil((least(low, other_low) + least(other_low, low)) * percent / F.lit(100 + percent))
+    return F.col("k") + behind >= need
+
+
+def _opened(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups that rows (t, id, n, pos, g) of hot prefix tokens leave room for.
+
+    A pair that shares a rare prefix token is not looked for here: the direct way has
+    it. Others share hot tokens only, so counts of these bound them: first for two
+    groups by their unions, then for each class of the smaller one against the union
+    of the larger one, and at last for the members of the groups that are opened.
+    """
+    held = F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)) + 1
+    matrix = rows.groupBy("t", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.bool_or(held).alias("held"))
+    several = matrix.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
+    matrix = stored(spark, matrix.join(several, "t", "left_semi"), "matrix")
+
+    sizes = (F.col("q.low") * percent <= F.col("h.high") * 100) & (F.col("h.low") * percent <= F.col("q.high") * 100)
+    met = matrix.alias("q").join(matrix.alias("h"), (F.col("q.t") == F.col("h.t")) & (F.col("q.g") < F.col("h.g")) & sizes)
+    met = met.groupBy(F.col("q.g").alias("gx"), F.col("h.g").alias("gy")).agg(
+        F.count("*").alias("k"), F.bool_or(F.col("q.held") | F.col("h.held")).alias("held"), *(f(f"{x}.{c}").alias(f"{x}_{c}") for x in "qh" for f, c in ((F.min, "low"), (F.max, "high")))
+    )
+    met = met.where(F.col("held") & _leaves_room(percent, "q_low", "q_high", "h_low", "h_high")).select("gx", "gy")
+
+    # A class: its hot prefix tokens (one document's), in place of a row for each.
+    classes = stored(spark, rows.groupBy("id", "n", "g").agg(F.collect_list("t").alias("hot")), "hot_sets")
+    many = classes.groupBy("g").agg(F.count("*").alias("m"))
+    met = met.join(many.select(F.col("g").alias("gx"), F.col("m").alias("mx")), "gx").join(many.select(F.col("g").alias("gy"), F.col("m").alias("my")), "gy")
+    swap = F.col("mx") > F.col("my")
+    met = met.select(F.when(swap, F.col("gy")).otherwise(F.col("gx")).alias("g"), F.when(swap, F.col("gx")).otherwise(F.col("gy")).alias("big"))
+    query = met.join(rows.select("g", "t", "id", "n"), "g").join(matrix.select(F.col("g").alias("big"), "t", "low", "high"), ["big", "t"])
+    query = query.groupBy("id", "n", "big").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).where(_leaves_room(percent, "n", "n", "low", "high")).select("id", "big")
+
+    x = query.join(classes.drop("g"), "id").select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("hot").alias("hx"), "big")
+    y = classes.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("hot").alias("hy"), F.col("g").alias("big"))
+    k = F.size(F.array_intersect("hx", "hy"))
+    near = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    room = k + F.ceil(F.greatest("nx", "ny") * percent / F.lit(100)) - 1 >= _overlap(percent, "nx", "ny")
+    pairs = x.join(y, "big").where(near & (k > 0) & room)
+    return stored(spark, pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), "opened")
+
+
 def ngram_join(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, few: int = 4, hot_limit: int = 1 << 20
 ) -> DataFrame:
@@ -205,23 +257,9 @@ def ngram_join(
     links = stored(spark, _verified(first, whole, percent), "verified")
     groups_ = components(spark, links)
 
-    # The matrix of hot tokens and groups: only groups that share one are opened.
+    # The matrix of hot tokens and groups: each group's union of prefix tokens. Only groups that leave room are opened.
     rows = stored(spark, warm.join(groups_.withColumnRenamed("v", "id"), "id", "left").withColumn("g", F.coalesce("l", "id")).drop("l", "rare"), "grouped")
-    held = F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)) + 1
-    matrix = rows.groupBy("t", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.bool_or(held).alias("held"))
-    several = matrix.groupBy("t").agg(F.count("*").alias("k"), F.bool_or("held").alias("any")).where("k > 1 and any").select("t")
-    matrix = stored(spark, matrix.join(several, "t"), "matrix")
-    if not matrix.isEmpty():
-        open_ = matrix.alias("q").join(matrix.where("held").alias("h"), (F.col("q.t") == F.col("h.t")) & (F.col("q.g") != F.col("h.g")) & (F.col("h.low") <= F.col("q.high")) & (F.col("h.high") * 100 >= F.col("q.low") * percent))
-        open_ = open_.select(F.col("q.t").alias("t"), F.col("q.g").alias("gx"), F.col("h.g").alias("gy"))
-        y = rows.where(held)
-        # The shorter set's token stands in its short prefix; a token that both hold is enough to look.
-        room = (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _overlap(percent, "x.n", "y.n")) & _near_sizes(percent, "x", "y") & (F.col("y.n") <= F.col("x.n"))
-        more = (
-            open_.join(y.select("t", F.col("g").alias("gy"), F.struct("id", "n", "pos").alias("y")), ["t", "gy"])
-            .join(rows.select("t", F.col("g").alias("gx"), F.struct("id", "n", "pos").alias("x")), ["t", "gx"])
-            .where(room).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-        )
+    if not (more := _opened(spark, rows, percent)).isEmpty():
         more = stored(spark, more.join(first, ["a", "b"], "left_anti"), "more")
         if not (found := stored(spark, _verified(more, whole, percent), "verified")).isEmpty():
             groups_ = components(spark, links.union(found))
