@@ -2,7 +2,7 @@
 
 Texts are sets of word shingles. Equal sets form one class, and only classes are
 compared. Every class has an order of its tokens (those that few classes hold
-first, hot ones last, by hash within) and a prefix of it; two classes of
+first, by hash, hot ones last, by count) and a prefix of it; two classes of
 Jaccard similarity t or more share a token of their prefixes, so a matrix of
 prefix tokens and groups is enough to bound how much of a query a group can hold.
 
@@ -89,8 +89,9 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(i, rows)
 
 
-def _postings(hot: np.ndarray, percent: int, whole: bool):
-    """Batches (id, n, tokens) to POSTING_SCHEMA; a row t = null asks for the whole set."""
+def _postings(hot: tuple[np.ndarray, np.ndarray], percent: int, whole: bool):
+    """Batches (id, n, tokens) to POSTING_SCHEMA; a row t = null asks for the whole set. hot: tokens and their counts."""
+    hot, counts = hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -98,8 +99,9 @@ def _postings(hot: np.ndarray, percent: int, whole: bool):
             s, at = ragged(batch.column(2))
             size = np.diff(at)
             row = np.repeat(np.arange(len(ids)), size)
-            is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
-            order = np.lexsort((s, is_hot, row))
+            at_hot = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
+            is_hot = hot[at_hot] == s if len(hot) else np.zeros(len(s), bool)
+            order = np.lexsort((s, np.where(is_hot, counts[at_hot], 0) if len(hot) else is_hot, row))
             s, is_hot = s[order], is_hot[order]
             pos = np.arange(len(s)) - at[row]
             rare = np.bincount(row[~is_hot], minlength=len(ids))
@@ -149,10 +151,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
 
 
-def _hottest(sets: DataFrame, few: int, limit: int) -> np.ndarray:
-    """Tokens that more than few sets hold, the most frequent first up to a limit, in ascending order."""
+def _hottest(sets: DataFrame, few: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that more than few sets hold, the most frequent first up to a limit, in ascending order, and their counts."""
     counts = sets.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > few)
-    return np.sort(counts.orderBy(F.desc("count"), "t").limit(limit).select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64))
+    found = counts.orderBy(F.desc("count"), "t").limit(limit).toPandas()
+    return _merged(found["t"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64))
+
+
+def _merged(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens in ascending order, each with its largest count."""
+    order = np.lexsort((-counts, tokens))
+    tokens, first = np.unique(tokens[order], return_index=True)
+    return tokens, np.minimum(counts[order][first], np.iinfo(np.int32).max).astype(np.int32)
 
 
 def _leaves_room(percent: int, low: str, high: str, other_low: str, other_high: str):
@@ -172,21 +182,19 @@ def _opened(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different groups that rows (t, id, n, pos, g) of hot prefix tokens leave room for.
 
     A pair that shares a rare prefix token is not looked for here: the direct way has
-    it. Others share hot tokens only, so counts of these bound them: first for two
-    groups by their unions, then for each class of the smaller one against the union
-    of the larger one, and at last for the members of the groups that are opened.
+    it. Others share hot tokens only, so counts of these bound them: where two groups
+    meet, for each class of the smaller one against the union of the larger one, and
+    then for the members of the groups that are opened.
     """
     held = F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)) + 1
     matrix = rows.groupBy("t", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.bool_or(held).alias("held"))
     several = matrix.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
     matrix = stored(spark, matrix.join(several, "t", "left_semi"), "matrix")
 
-    sizes = (F.col("q.low") * percent <= F.col("h.high") * 100) & (F.col("h.low") * percent <= F.col("q.high") * 100)
-    met = matrix.alias("q").join(matrix.alias("h"), (F.col("q.t") == F.col("h.t")) & (F.col("q.g") < F.col("h.g")) & sizes)
-    met = met.groupBy(F.col("q.g").alias("gx"), F.col("h.g").alias("gy")).agg(
-        F.count("*").alias("k"), F.bool_or(F.col("q.held") | F.col("h.held")).alias("held"), *(f(f"{x}.{c}").alias(f"{x}_{c}") for x in "qh" for f, c in ((F.min, "low"), (F.max, "high")))
-    )
-    met = met.where(F.col("held") & _leaves_room(percent, "q_low", "q_high", "h_low", "h_high")).select("gx", "gy")
+    # The first token that two sets share stands in the short prefix of the smaller one.
+    sizes = (F.col("h.low") <= F.col("q.high")) & (F.col("h.high") * 100 >= F.col("q.low") * percent)
+    met = matrix.alias("q").join(matrix.where("held").alias("h"), (F.col("q.t") == F.col("h.t")) & (F.col("q.g") != F.col("h.g")) & sizes)
+    met = stored(spark, met.select(F.least("q.g", "h.g").alias("gx"), F.greatest("q.g", "h.g").alias("gy")).distinct(), "met")
 
     # A class: its hot prefix tokens (one document's), in place of a row for each.
     classes = stored(spark, rows.groupBy("id", "n", "g").agg(F.collect_list("t").alias("hot")), "hot_sets")
@@ -214,7 +222,7 @@ def ngram_join(
     Two documents link when 100 * intersection >= percent * union of their shingle
     sets of width words. few: classes up to which a token counts as rare;
     such tokens give few pairs each, whatever the size of the input. hot_limit
-    bounds the hottest tokens that are sent to the executors (8 bytes each); it
+    bounds the hottest tokens of each count that are sent to the executors (12 bytes each); it
     only orders tokens, and any order gives the same links.
 
     Returns doc_id, n_shingles, class_id, component_id.
@@ -235,7 +243,7 @@ def ngram_join(
         return stored(spark, own.mapInArrow(_sets(percent, width, True), SET_SCHEMA).select("id", "n", "tokens"), "whole")
 
     crowded = whole_sets(stored(spark, chosen.mapInArrow(_postings(hot, percent, False), POSTING_SCHEMA).where("t is null").select("id"), "crowded"))
-    hot = np.union1d(hot, _hottest(crowded, few, hot_limit))
+    hot = _merged(*(np.concatenate(x) for x in zip(hot, _hottest(crowded, few, hot_limit), strict=True)))
     discard(spark, crowded)
 
     some = stored(spark, chosen.mapInArrow(_postings(hot, percent, False), POSTING_SCHEMA), "postings")
