@@ -16,15 +16,14 @@ from loomfield.llm.mixing import mix
 from loomfield.llm.ngram_join import ngram_join
 from loomfield.llm.pii import sanitise
 from loomfield.llm.queries import TARGETS
-from loomfield.llm.toxicity import toxicity, train
+from loomfield.llm.toxicity import classify
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject; it learns from all labels."""
-    model = train(spark, docs, table(spark, sf_dir, "labels"))
-    rejected = toxicity(spark, docs, model).where("predicted = 1").select("doc_id")
+    rejected = classify(spark, docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id")
     return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -14,7 +14,7 @@ from loomfield.llm.mixing import mix
 from loomfield.llm.ngram_join import ngram_join
 from loomfield.llm.pii import PATTERNS, sanitise
 from loomfield.llm.token_counts import token_counts
-from loomfield.llm.toxicity import crc_third, toxicity, train
+from loomfield.llm.toxicity import classify, crc_third
 from loomfield.llm.url_filter import url_filter
 
 
@@ -70,9 +70,7 @@ def op8_fingerprints(spark, sf_dir):
 
 def op9_toxicity(spark, sf_dir):
     """Toxicity of every document, learned from the labelled rows that are not held out."""
-    docs = table(spark, sf_dir, "documents")
-    model = train(spark, docs, table(spark, sf_dir, "labels"), usable=lambda i: crc_third(i) != 1)
-    return toxicity(spark, docs, model)
+    return classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=lambda i: crc_third(i) != 1)
 
 
 def op10_html_extraction(spark, sf_dir):

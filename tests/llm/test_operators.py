@@ -147,6 +147,20 @@ def test_toxicity(spark):
     assert all(r.score == 0 for r in toxicity.toxicity(spark, df, None).collect())
 
 
+@pytest.mark.parametrize("limit", [120, 4000])
+def test_toxicity_thresholds_count_all_labelled_rows(spark, limit):
+    rows = [(i, ("el perro en la casa " if i % 6 == 0 else "the dog in the house ") * 3 + ("vile" if i % 30 == 0 else f"word{i % 50}"), int(i % 30 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    usable = lambda i: i % 10 != 9
+    model, counts, others = toxicity.train(spark, df, df.select("doc_id", "toxic"), usable=usable, limit=limit)
+    counts = counts + toxicity.label_counts(toxicity._logits(spark, df, model, "doc_id", "text"), others)
+    es = list(toxicity.COMMON).index("es")
+    want = [r for r in rows if r[0] % 10 != 9]
+    assert counts.sum() == len(want) and counts[es, :, 1].sum() == 20 and counts[es].sum() == sum(r[0] % 6 == 0 for r in want)
+    got = toxicity.classify(spark, df, df.select("doc_id", "toxic"), usable=usable, limit=limit).collect()
+    assert len(got) == 600 and np.mean([r.predicted == rows[r.doc_id][2] for r in got]) > 0.97
+
+
 def test_mixing(spark):
     rows = [(i, ("the hat that was thin " if i % 4 else "ñandú año señor niño ") * 5, "en" if i % 4 else "es") for i in range(200)] + [(900, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
