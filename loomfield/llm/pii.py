@@ -1,14 +1,17 @@
 """Personal data: patterns, and terms that disclose them by corpus co-occurrence.
 
 Four kinds are found by pattern in the whole text. Beside them, words that stand near
-such entities are weighed by information: the disclosure of a kind by a term is the
-pointwise mutual information of both, as a share of the kind's own information
-content, log(p(kind | term) / p(kind)) / -log p(kind). It is 1 where a term never
-occurs without an entity near. Terms that reach the threshold, near enough different
-entities (so that copies of one text add nothing), are removed wherever they stand.
-
-Probabilities are over the places of words of the whole corpus; near means within a
-few words. Only DataFrame functions are used.
+such entities are weighed by information: the disclosure of an entity, or of a kind,
+by a term is the pointwise mutual information of both, as a share of the information
+content of what is disclosed, log(p(entity | term) / p(entity)) / -log p(entity). It is
+1 where a term never occurs without the entity, or one of the kind, near. Terms that
+reach the threshold are removed wherever they stand outside entities, if two texts or
+more show it and chance would not: over all terms, less than CHANCE of them would stand
+near in so many texts if places were dealt at random. MANY texts always suffice, as odds
+say little where most words stand near a kind.
+
+Probabilities are over the places of words of all distinct texts, so that copies add
+nothing; near means within a few words. Only DataFrame functions are used.
 
 Null is taken as an empty text, which has no spans. Positions are code points, ends
 exclusive. Repeated rows each give a row; extra columns are ignored.
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import ascii_lower, stored
+from loomfield.llm.common import stored
 
 _NAME = "A-Za-z0-9._%+-"
 #: Patterns by kind, in the order of results. They match as the plain patterns
@@ -35,10 +38,16 @@ PATTERNS = {
 #: Characters without which a kind can't be there.
 SIGNS = {"email": "@", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words.
+_GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Letters that have one small letter: texts keep their positions in lower case.
+_CAPITALS = "".join(c for c in map(chr, range(0x10000)) if len(c.lower()) == 1 and c != c.lower())
 #: Terms up to so many are part of the plan; more are joined by a shuffle.
 SENT = 1000
 NEAR = 3
+#: Terms that chance may make of all.
+CHANCE = 0.01
+MANY = 20
 
 
 def _luhn(digits: Column) -> Column:
@@ -88,68 +97,83 @@ def with_entities(df: DataFrame) -> DataFrame:
     return df.withColumn("spans", F.concat(*kinds)).drop(*[f"_{kind}" for kind in PATTERNS])
 
 
-def _terms(text: Column) -> Column:
-    """Words outside the patterns in lower case; reads spans."""
-    rest = text
+def _low(text: Column) -> Column:
+    return F.translate(text, _CAPITALS, _CAPITALS.lower())
+
+
+def _words(text: Column) -> Column:
+    """Words outside the patterns in lower case."""
     for p in PATTERNS.values():
-        rest = F.regexp_replace(rest, p.replace(r"|\G", ""), " ")
-    rest = F.when(F.size("spans") > 0, rest).otherwise(text)
-    return F.split(F.lower(rest), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
+        text = F.regexp_replace(text, p.replace(r"|\G", ""), " ")
+    return F.filter(F.split(_low(text), _GAP), lambda w: F.length(w) >= 3)
+
+
+def _terms(text: Column) -> Column:
+    """_words() of a whole text; reads spans."""
+    return F.when(F.size("spans") > 0, _words(text)).otherwise(F.filter(F.split(_low(text), _GAP), lambda w: F.length(w) >= 3))
 
 
-def disclosing_terms(spark: SparkSession, found: DataFrame, threshold: float = 0.9, min_entities: int = 20) -> DataFrame:
-    """Terms with the kind that they disclose; found has text and spans.
+def disclosing_terms(spark: SparkSession, texts: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Terms with what they disclose; texts has text.
 
-    Returns term, kind, disclosure, n_entities: each term once, with the kind it discloses most.
+    Returns term, kind, disclosure, n_texts: each term once, with what it discloses most.
     """
-    # Outer: a filter on spans would be pushed below the columns that they are made of.
-    near = found.select("text", F.explode_outer("spans").alias("s")).where("s is not null")
-    before = F.expr(f"slice(reverse(filter(split(lower(substring(text, greatest(s.start - 79, 1), least(s.start, 80))), '[\\\\x00-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+'), w -> length(w) >= 3)), 1, {NEAR})")
-    after = F.expr(f"slice(filter(split(lower(substring(text, s.end + 1, 80)), '[\\\\x00-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+'), w -> length(w) >= 3), 1, {NEAR})")
-    near = stored(spark, near.select(F.col("s.kind").alias("kind"), F.xxhash64("s.value").alias("e"), F.concat(before, after).alias("words")), "near")
-    pairs = near.select("kind", "e", F.explode("words").alias("term"))
-    per = pairs.groupBy("term", "kind", "e").agg(F.count("*").alias("n")).groupBy("term", "kind").agg(F.count("*").alias("n_entities"), F.sum("n").alias("n_near")).where(F.col("n_entities") >= min_entities)
-    per = stored(spark, per, "per")
-    empty = spark.createDataFrame([], "term string, kind string, disclosure double, n_entities long")
-    if per.isEmpty():
-        return empty
-    words = found.select(F.explode_outer(_terms(F.col("text"))).alias("term")).where("length(term) >= 3")
-    if per.count() <= SENT:  # all other words fall into one group, null, that only counts
-        few = sorted({r["term"] for r in per.select("term").collect()})
-        words = words.select(F.when(F.col("term").isin(few), F.col("term")).alias("term"))
-    places = words.groupBy("term").agg(F.count("*").alias("n"))
-    places = stored(spark, places, "places")
-    total = places.agg(F.sum("n")).first()[0]
-    share = {r["kind"]: r["n"] / total for r in pairs.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # one row for each kind
-    p = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")]
-    given = F.least(F.col("n_near") / F.col("n"), F.lit(1.0))
-    weighed = per.join(places, "term").withColumn("p", p).withColumn("disclosure", F.log(given / F.col("p")) / -F.log("p")).where(F.col("disclosure") >= threshold)
-    best = weighed.groupBy("term").agg(F.max(F.struct("disclosure", "n_entities", "kind")).alias("m"))
-    return stored(spark, best.select("term", "m.kind", "m.disclosure", "m.n_entities"), "terms")
-
-
-def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, min_entities: int = 20, keep: tuple = ()) -> DataFrame:
+    found = stored(spark, with_entities(texts.select("text").distinct()), "distinct")
+    near = found.select("text", F.explode("spans").alias("s"))
+    # Up to 80 characters at each side, without a word that is cut there.
+    before = F.substring("text", F.greatest(F.col("s.start") - 79, F.lit(1)), F.least(F.col("s.start"), F.lit(80)))
+    before = F.when(F.col("s.start") > 80, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
+    after = F.substring("text", F.col("s.end") + 1, F.lit(80))
+    after = F.when(F.length("text") > F.col("s.end") + 80, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
+    words = F.concat(F.slice(F.reverse(_words(before)), 1, NEAR), F.slice(_words(after), 1, NEAR))
+    near = near.select(F.col("s.kind").alias("kind"), F.xxhash64(F.lower("s.value")).alias("e"), F.xxhash64("text").alias("h"), words.alias("words"))
+    near = stored(spark, near.select("kind", "e", "h", F.explode("words").alias("term")).groupBy("term", "kind", "e", "h").agg(F.count("*").alias("n")), "near")
+    if near.isEmpty():
+        return spark.createDataFrame([], "term string, kind string, disclosure double, n_texts long")
+    places = stored(spark, found.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_all")), "places")
+    total, terms = places.agg(F.sum("n_all"), F.count("*")).first()
+    share = lambda n: F.least(n / F.lit(float(total or 1)), F.lit(1.0))
+
+    kinds = near.groupBy("kind").agg(share(F.sum("n")).alias("p_kind"))
+    entities = near.groupBy("kind", "e").agg(share(F.sum("n")).alias("p"))
+    by_entity = near.groupBy("term", "kind", "e").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_near")).where("n_texts >= 2").join(entities, ["kind", "e"]).join(F.broadcast(kinds), "kind")
+    by_kind = near.groupBy("term", "kind", "h").agg(F.sum("n").alias("n")).groupBy("term", "kind").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_near")).where("n_texts >= 2").join(F.broadcast(kinds), "kind").withColumn("p", F.col("p_kind"))
+    # The first text says which entity is meant, so that it only has the odds of the kind.
+    both = by_entity.select("term", "kind", "n_texts", "n_near", "p", "p_kind").unionByName(by_kind.select("term", "kind", "n_texts", "n_near", "p", "p_kind"))
+    weighed = both.where("p < 1").join(places, "term").withColumn("given", F.least(F.col("n_near") / F.col("n_all"), F.lit(1.0)))
+    weighed = weighed.withColumn("disclosure", F.log(F.col("given") / F.col("p")) / -F.log("p"))
+    odds = (F.col("n_texts") - 1) * -F.log("p") - F.log("p_kind")
+    weighed = weighed.where((F.col("disclosure") >= threshold) & ((odds >= F.log(F.lit(terms / CHANCE))) | (F.col("n_texts") >= MANY)))
+    best = weighed.groupBy("term").agg(F.max(F.struct("disclosure", "n_texts", "kind")).alias("m"))
+    return stored(spark, best.select("term", "m.kind", "m.disclosure", "m.n_texts"), "terms")
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, keep: tuple = ()) -> DataFrame:
     """doc_id, the columns named by keep, spans (array of kind, start, end; term spans last) and clean, the text with spans generalised.
 
     Spans of a kind become its name in brackets; terms are removed. Also n_base: the spans by pattern.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(text_col, F.lit("")).alias("text"))
+    terms = disclosing_terms(spark, texts, threshold)
     texts = with_entities(texts)
-    terms = disclosing_terms(spark, texts, threshold, min_entities)
     n = terms.count()
     edge = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
-    low = ascii_lower(F.col("text"))  # keeps positions
     if n == 0:
         texts = texts.withColumn("_terms", F.array().cast(NO_SPANS))
     else:
+        own = F.array_distinct(_terms(F.col("text")))
         if n <= SENT:
-            listed = F.lit("|".join(sorted(r["term"] for r in terms.collect())))  # SENT at most
+            few = F.array(*[F.lit(r["term"]) for r in terms.orderBy("term").collect()])  # SENT at most
+            listed = F.array_join(F.array_sort(F.array_intersect(own, few)), "|")
+            texts = texts.withColumn("_listed", F.when(listed != "", listed))
         else:
-            words = texts.select("doc_id", F.explode_outer(F.array_distinct(_terms(F.col("text")))).alias("term"))
-            own = words.join(terms.select("term"), "term").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("_listed"))
-            texts, listed = texts.join(own, "doc_id", "left"), F.col("_listed")
-        whole = F.concat(F.lit(f"(?<!{edge})(?:"), listed, F.lit(f")(?!{edge})"))
-        texts = _with_spans(texts, "_terms", low, whole, "term", listed.isNotNull())
+            texts = texts.withColumn("_text", F.xxhash64("text"))
+            held = texts.select("_text", F.explode(own).alias("term")).join(terms.select("term"), "term").groupBy("_text").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("_listed"))
+            texts = texts.join(held, "_text", "left")
+        whole = F.concat(F.lit(f"(?<!{edge})(?:"), F.col("_listed"), F.lit(f")(?!{edge})"))
+        texts = _with_spans(texts, "_terms", _low(F.col("text")), whole, "term", F.col("_listed").isNotNull())
+        apart = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+        texts = texts.withColumn("_terms", F.filter("_terms", apart))
     texts = texts.withColumn("n_base", F.size("spans")).withColumn("spans", F.concat("spans", "_terms"))
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

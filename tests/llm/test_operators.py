@@ -87,6 +87,16 @@ def test_pii_disclosing_term(spark):
     assert "term" in {s.kind for s in r.spans} and "helpline" not in r.clean and "thanks" in r.clean
 
 
+def test_pii_term_that_discloses_one_entity(spark):
+    rows = [(i, f"see Özgür Klarfeld o.k@mail.example.com today {x}") for i, x in enumerate(["first words", "second one", "third thing"])]
+    rows += [(10, "Later Özgür and KLARFELD went on"), (11, "the unheard beside q.r@mail.example.com today")] + [(100 + i, f"see some other words for today number n{i} mail example com") for i in range(400)]
+    got = {r.doc_id: r for r in pii.sanitise(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].clean == "see   [EMAIL] today first words" and got[10].clean == "Later  and  went on"
+    assert [s.kind for s in got[11].spans] == ["email"] and got[100].spans == []
+    copies = spark.createDataFrame([(i, "see Özgür o.k@mail.example.com today") for i in range(3)] + rows[5:], "doc_id long, text string")
+    assert pii.sanitise(spark, copies).where("exists(spans, s -> s.kind = 'term')").isEmpty()
+
+
 def test_url_filter(spark):
     urls = ["https://a.example.com/en/1", "http://EXAMPLE.com/en/71?x", "https://b.net/de/", "ftp://x.example.net/de/8#a", None, "nothing", "http://com.evil/en/", "http://q.org/es/?", "http://a.org/fr/1"]
     got = {r.page_id: r for r in url_filter.url_filter(spark, spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
