@@ -4,8 +4,11 @@ A naive Bayes classifier over letter frequencies, fitted on the labelled table,
 each document a posterior over domains. Projected gradient descent then finds a
 nonnegative rate for each document, so that the expected tokens of each domain (rate
 x tokens x posterior) match target shares of the whole. A document's rate depends on
-its posterior and on the gradients so far, so a round is one aggregation to a number
-for each domain and no state is kept beside the list of gradients.
+its posterior and on the steps so far, so a round is one aggregation to a few numbers
+for each domain and no state is kept beside the list of steps. Gradients are scaled by
+the inverse Gram matrix of the documents that are not at zero, so that rare domains
+beside a large one get there in few rounds; where that does not help, a plain step does.
+Rounds end when the targets are met, or with a warning when no step comes nearer.
 
 Only DataFrame functions are used. Null and empty texts have no tokens: they get the
 prior's posterior, and add nothing. Rows that repeat a document each count. Extra
@@ -15,7 +18,9 @@ columns are ignored. With no labelled rows every posterior is even.
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +68,7 @@ def _rate(steps: list[list[float]]) -> Column:
     return F.aggregate(history, F.lit(1.0), move)
 
 
-def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", rounds: int = 40, tolerance: float = 1e-3) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", rounds: int = 200, tolerance: float = 1e-3) -> DataFrame:
     """doc_id, n_tokens, posterior of each target domain (p_<domain>), rate and expected (rate x tokens).
 
     labels names the documents whose domain_col may be learned from. targets are shares
@@ -86,10 +91,25 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
         # The step is the inverse of the largest row sum of the Gram matrix, an upper bound of its norm.
         gram = rows.agg(*[F.sum(F.get("p", F.lit(i)) * part[j]).alias(f"g{i}_{j}") for i in range(len(domains)) for j in range(len(domains))]).first()
         size = max(sum(gram[f"g{i}_{j}"] for j in range(len(domains))) for i in range(len(domains)))
+        k, before, scaled = len(domains), math.inf, False
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
         for _ in range(rounds):
-            now = rows.select(_rate(steps).alias("r"), *[x.alias(f"t{i}") for i, x in enumerate(part)]).agg(*[F.sum(F.col("r") * F.col(f"t{i}")).alias(f"t{i}") for i in range(len(domains))]).first()
-            off = [now[f"t{i}"] - goal[i] for i in range(len(domains))]
-            if max(map(abs, off)) <= tolerance:
+            own = rows.select("p", _rate(steps).alias("r"), *[x.alias(f"t{i}") for i, x in enumerate(part)])
+            now = own.agg(*[F.sum(F.col("r") * F.col(f"t{i}")).alias(f"t{i}") for i in range(k)], *[F.sum(F.when(F.col("r") > 0, F.get("p", F.lit(i)) * F.col(f"t{j}")).otherwise(0.0)).alias(f"g{i}_{j}") for i, j in pairs]).first()
+            off = np.array([now[f"t{i}"] - goal[i] for i in range(k)])
+            error = float(off @ off)
+            if abs(off).max() <= tolerance:
                 break
-            steps.append([x / size for x in off])
+            if error > before * (1 - 1e-6):
+                if not scaled:
+                    break
+                steps[-1], scaled = plain, False  # no nearer: the plain step instead
+                continue
+            gram = np.zeros((k, k))
+            for i, j in pairs:
+                gram[i, j] = gram[j, i] = now[f"g{i}_{j}"]
+            before, scaled, plain = error, True, (off / size).tolist()
+            steps.append(np.linalg.lstsq(gram, off, rcond=1e-9)[0].tolist())
+        if abs(off).max() > tolerance:
+            warnings.warn(f"mixing: shares miss their targets by {dict(zip(domains, off.round(4).tolist(), strict=True))}", stacklevel=2)
     return rows.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], _rate(steps).alias("rate")).withColumn("expected", F.col("rate") * F.col("n_tokens"))

@@ -180,6 +180,18 @@ def test_mixing(spark):
     assert mixing.mix(spark, df.limit(0), df.select("doc_id"), {"en": 1.0}).isEmpty()
 
 
+def test_mixing_meets_targets_of_rare_domains(spark):
+    texts = {"en": "the hat that was thin ", "de": "über größe zwölf wozu zz ", "fr": "çà où être là ", "es": "ñandú año señor niño "}
+    rows = [(i, texts[d] * 5, d) for i, d in enumerate(["en"] * 300 + ["de"] * 44 + ["fr"] * 44 + ["es"] * 12)]
+    goal = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = mixing.mix(spark, df, df.select("doc_id"), goal)
+    r = out.agg(F.sum("n_tokens").alias("n"), F.min("rate").alias("low"), *[F.sum(F.col("expected") * F.col(f"p_{d}")).alias(d) for d in goal]).first()
+    assert all(r[d] / r.n == pytest.approx(g, abs=1e-3) for d, g in goal.items()) and r.low >= 0
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.mix(spark, df.where("lang <> 'es'"), df.select("doc_id"), goal)
+
+
 def test_html(spark):
     page = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a>Home</a></nav><div class="ad">Buy</div><article><h1>Head</h1><p><b>A&amp;B<br>c<p>d <i>e</i>f</p><div class="comments">me too</div></article><form><input value="x>y">Go</form><footer>&copy; me</footer></body></html>'
     assert html_extract.extract(page, frozenset()) == "Head A&B c d ef"
