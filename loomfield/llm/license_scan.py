@@ -2,7 +2,8 @@
 
 A text is cut into blocks of words that overlap by half, so that every notice of up
 to half a block stands whole in one. A block holds a template when it has at least
-the threshold's share of the template's distinct words. Words of all templates are
+the threshold's share of the template's distinct words and, where the template has the
+key phrase of its label, that phrase too. Words of all templates are
 ordered by the number of texts that hold them, over the whole table, rarest first;
 a block and a template that meet the threshold then share a word of short prefixes,
 and lengths and positions in that order rule out most of the rest. What passes is
@@ -37,6 +38,9 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
+#: What tells a label's short notices from others, by label, and words that may not follow it.
+KEYS = {"apache": "apache license", "cc-by-nc": "cc by nc", "cc-by-sa": "cc by sa", "gpl": "general public license", "mit": "mit license", "mpl": "mozilla public license"}
+OTHER = ("nd", "sa")
 BLOCK = 80
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -71,6 +75,24 @@ def license_scan(
     some = F.arrays_overlap("words", F.array(*map(F.lit, starters)))
     texts = texts.withColumn("blocks", F.when(some & (F.size("words") > 0), blocks).otherwise(F.array().cast("array<array<int>>")))
 
+    def starts(phrase: str):
+        parts = phrase.split()
+        def here(i):
+            ok = F.lit(True)
+            for k, p in enumerate(parts):
+                ok &= F.coalesce(F.get("words", i + k) == p, F.lit(False))
+            return ok
+        found = F.filter(F.sequence(F.lit(0), F.size("words") - 1), here)
+        return F.when(F.array_contains("words", parts[-1]), found).otherwise(F.array().cast("array<int>"))
+
+    keys = [KEYS[label] if f" {KEYS.get(label, '-')} " in f" {t} " else None for label, t in templates]
+    distinct = sorted({k for k in keys if k})
+
+    def alone(key: str):
+        """Starts of a key phrase that no word of OTHER follows."""
+        after = lambda p: F.coalesce(F.get("words", p + len(key.split())), F.lit(""))
+        return F.filter(starts(key), lambda p: ~after(p).isin(*OTHER))
+
     def share(which: int):
         """The largest share of a template in a block that meets the threshold, else 0."""
         t, head = sets[which][1], prefixes[which]
@@ -83,24 +105,20 @@ def license_scan(
             room = F.least(F.lit(len(t)) - i, F.size(b) - j) + 1
             return (F.size(b) >= need) & (F.size(shared) > 0) & (room >= need)
 
-        kept = F.filter("blocks", meets)
+        def keyed(i):
+            if (key := keys[which]) is None:
+                return F.lit(True)
+            first, last = i * (block // 2), i * (block // 2) + block - len(key.split())
+            return F.exists(F.get("keys", F.lit(distinct.index(key))), lambda p: p.between(first, last))
+
+        kept = F.filter("blocks", lambda b, i: meets(b) & keyed(i))
         sizes = F.transform(kept, lambda b: F.size(F.array_intersect(b, F.array(*map(F.lit, t)))))
         best = F.coalesce(F.array_max(sizes), F.lit(0))
         return F.when(best >= need, best / F.lit(len(t))).otherwise(F.lit(0.0))
 
     shares = F.when(F.size("blocks") > 0, F.array(*[share(i) for i in range(len(sets))])).otherwise(F.array(*[F.lit(0.0)] * len(sets)))
 
-    def starts(phrase: str):
-        parts = phrase.split()
-        def here(i):
-            ok = F.lit(True)
-            for k, p in enumerate(parts):
-                ok &= F.coalesce(F.get("words", i + k) == p, F.lit(False))
-            return ok
-        found = F.filter(F.sequence(F.lit(0), F.size("words") - 1), here)
-        return F.when(F.array_contains("words", parts[-1]), found).otherwise(F.array().cast("array<int>"))
-
-    texts = texts.withColumn("places", F.array(*map(starts, phrases))).withColumn("shares", shares)
+    texts = texts.withColumn("places", F.array(*map(starts, phrases))).withColumn("keys", F.array(*map(alone, distinct)).cast("array<array<int>>")).withColumn("shares", shares)
     base = F.array_compact(F.array(*[F.when(F.size(F.get("places", F.lit(k))) > 0, F.lit(label)) for k, label in enumerate(phrases.values())]))
     more = F.array_compact(F.array(*[F.when(F.get("shares", F.lit(k)) > 0, F.lit(label)) for k, (label, _) in enumerate(sets)]))
     every = F.flatten("places")

@@ -63,6 +63,16 @@ def test_license_notice_inside_a_long_text(spark):
     assert notice and row.labels == "mit" and row.n_base == 0 and row.score == 1.0
 
 
+def test_license_words_that_tell_labels_apart(spark):
+    want = {
+        "Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Licensed under CC BY 4.0": "", "Licensed under CC BY-NC-SA 4.0": "",
+        "Er kam mit ihr. Released under the Apache License": "apache", "This is released under the MIT License": "mit", "Licensed under the Apache License, Version 2.0": "apache",
+        "cc by nc " + "word " * 200 + "licensed under cc by sa 4 0": "cc-by-sa", "word " * 75 + "licensed under cc by nc 4 0": "cc-by-nc", "under mit terms the license was released": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.license_scan(rows).collect()} == dict(enumerate(want.values()))
+
+
 def test_pii_patterns(spark, docs, none):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     for r in pii.sanitise(spark, docs).collect():
