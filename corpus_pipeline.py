@@ -21,23 +21,34 @@ from loomfield.llm.toxicity import classify
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with key, by which a stage decides: rows of one id and text share it, null or not, no others do."""
+    return docs.withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject; it learns from all labels."""
-    rejected = classify(spark, docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    judged = classify(spark, keyed(docs), table(spark, sf_dir, "labels"), key_col="key")
+    rejected = judged.where("predicted = 1").select("key").distinct()
+    return keyed(docs).join(rejected, "key", "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that links connect."""
-    groups = ngram_join(spark, docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group that links connect, of the smallest id (null last)."""
+    rows = keyed(docs)
+    groups = ngram_join(spark, rows.select("key", "text"), id_col="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = rows.select("key", "doc_id").distinct().join(groups, "key")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "key")
+    kept = ids.groupBy("component_id").agg(F.min(order)["key"].alias("key")).select("key")
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contained(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    own = rows.select(F.col("key").alias("doc_id"), "text")
+    found = contained(spark, own, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(found, "key", "left_anti").select(*COLUMNS)
 
 
 def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

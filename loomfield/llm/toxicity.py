@@ -293,8 +293,8 @@ def crc_third(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def _logits(spark: SparkSession, docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """id (as it is), doc_id, held_out, logit and guessed language of every whole text."""
+def _logits(spark: SparkSession, docs: DataFrame, model: Model, id_col: str, text_col: str, key_col: str | None = None) -> DataFrame:
+    """id (as it is), doc_id (or key_col), held_out, logit and guessed language of every whole text."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +305,7 @@ def _logits(spark: SparkSession, docs: DataFrame, model: Model, id_col: str, tex
                 words = words_of(part.column(3), NOT_WORD, FIRST)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(m.logits(*words).astype(np.float64)), pa.array(m.language(*words).astype(np.int32))], [*part.schema.names[:3], "logit", "language"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(crc_third(F.col(id_col)) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    out = docs.select(F.col(id_col).alias("id"), F.col(key_col or id_col).cast("long").alias("doc_id"), F.coalesce(crc_third(F.col(id_col)) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return out.mapInArrow(run, f"id {out.schema['id'].dataType.simpleString()}, doc_id long, held_out boolean, logit double, language int")
 
 
@@ -322,10 +322,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, model: Model | None, id_col:
     return _judged(_logits(spark, docs, model, id_col, text_col), model.shift)
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable=None, limit: int = TRAIN_ROWS) -> DataFrame:
-    """toxicity() by a model of the labelled documents, with thresholds from all that usable lets pass."""
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable=None, limit: int = TRAIN_ROWS, key_col: str | None = None) -> DataFrame:
+    """toxicity() by a model of the labelled documents, with thresholds from all that usable lets pass.
+
+    With key_col, a column of longs, rows have it as key instead of doc_id.
+    """
     model, counts, others = train(spark, docs, labels, id_col, text_col, label_col, usable, limit)
+    name, key_col = "doc_id" if key_col is None else key_col, key_col or id_col
     if model is None:
-        return toxicity(spark, docs, None, id_col, text_col)
-    scored = stored(spark, _logits(spark, docs, model, id_col, text_col), "logits")
-    return _judged(scored, shifts(counts + label_counts(scored, others)))
+        return toxicity(spark, docs, None, key_col, text_col).withColumnRenamed("doc_id", name)
+    scored = stored(spark, _logits(spark, docs, model, id_col, text_col, key_col), "logits")
+    return _judged(scored, shifts(counts + label_counts(scored, others))).withColumnRenamed("doc_id", name)

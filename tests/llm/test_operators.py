@@ -209,3 +209,20 @@ def test_html(spark):
     rows = [(i, "http://h.org/x", page.replace("Head", f"Head{i}")) for i in range(10)] + [(10, None, None)]
     got = {r.page_id: r.text for r in html_extract.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[10] == "" and got[3].startswith("Head3")
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"{k}{i}" for i in range(20))
+    rows = [(None, words("a")), (None, words("b")), (3, words("c")), (3, words("d")), (5, words("e")), (4, words("e")), (4, words("e")), (None, words("e")), (6, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert {(r.doc_id, r.text) for r in out} == {rows[i] for i in (0, 1, 2, 3, 5, 8)} and len(out) == 6
+
+    def judge(spark, docs, labels, key_col="doc_id"):
+        return docs.select(key_col, F.coalesce(F.col("text").rlike("^(b0|d0)"), F.lit(False)).cast("int").alias("predicted"))
+
+    monkeypatch.setattr(corpus_pipeline, "classify", judge)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_toxic(spark, df, "").collect()} == {rows[i] for i in (0, 2, 4, 5, 7, 8)}
