@@ -4,27 +4,42 @@ A page is a sequence of tokens, tags and stretches of text, each told apart by t
 tags that it stands in. Across the pages of one host every token has an occurrence
 vector, its count in each page; it is kept as a sum of hashes of (page, count), so
 that vectors are equal where the sums are and Spark adds them up before a shuffle.
-Tokens of one host with one vector form an equivalence class. A class is valid where
-it is large and frequent enough; nested by their support, valid classes make the
-host's template, and what is left of a page are the slots.
-
-Slots count as main text inside the page's article (or main) element where it has
-one, else everywhere, without those whose elements are for navigation, headers,
-footers, asides, notices, adverts, forms, scripts, styles or comments of readers.
-Text that is part of the template is left out, unless nothing would remain.
-
-Null and empty pages have an empty text. Unclosed tags and stray ends are borne.
-Pages without a host form a host of their own. Repeated rows each give a row; extra
-columns are ignored.
+Tokens of one host with one vector, in MIN_SHARE of its pages or more, form an
+equivalence class. A class is valid where its tokens have one order on all pages, no
+class of more support is interleaved with it, and it is nested in the same slot of the
+same class everywhere. Support is also counted by contents (a page's longest text), so
+that near copies of one article do not make its passages a template.
+
+The nested valid classes are the host's template, and what stands behind each token of
+a class up to the next one is a slot. Slots are judged over all pages of the host: those
+whose text stands in the article (or main) element for the most part are main; where a
+host has none, all are, but those whose text is links for the most part (menus that
+change from page to page). Text of the template outside articles is left out, unless
+nothing would remain. So are elements for navigation, headers, footers, asides, notices,
+adverts, forms, scripts, styles or comments of readers. Pages of hosts without a
+template are judged by their own elements.
+
+A host's classes are bounded by the mean number of tokens of its pages: each stands in
+MIN_SHARE of them. A host whose longest text is the same notice on all pages counts as
+copies, and its texts stay.
+
+Null and empty pages have an empty text, an empty table gives an empty result. Unclosed
+tags and stray ends are borne, pages of any length are read whole. Pages without a host
+form a host of their own. Repeated rows each give a row; extra columns, of whatever
+name, are ignored. Of classes of equal support the one of the smaller hash counts as
+the larger one.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +63,13 @@ MARKS = frozenset(
 )
 MAIN = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Hosts up to so many have their templates sent to the executors; more are joined by a shuffle.
-SENT = 20_000
+#: Class tokens up to so many are sent to the executors, with their hosts; more are joined by a shuffle.
+SENT = 200_000
+#: Pages, and contents, that a template takes at least, and the share of a host's that a class takes.
+MIN_PAGES, MIN_SHARE = 8, 0.8
 
 
+@lru_cache(1 << 16)
 def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
@@ -93,59 +111,162 @@ def _text(chunk: str) -> str:
     return " ".join(html.unescape(chunk).split())
 
 
+def _key(path: str, token: str, is_text: bool, inside: bool) -> int | None:
+    """What tells a token apart; text of articles and white space are no tokens of a template."""
+    if not is_text:
+        return _hash(f"{path}\n{token}")
+    if inside or token.isspace():
+        return None
+    return (_hash if len(token) < 100 else _hash.__wrapped__)(f"{path}\n{_text(token)}")
+
+
 def tokens_of(page: str) -> Counter:
-    """How often each token, told apart by its path, is in a page."""
-    return Counter(_hash(f"{path}\n{_text(token) if is_text else token}") for path, token, is_text, _, _ in walk(page) if not is_text or not token.isspace())
+    """How often each token is in a page."""
+    found = Counter(_key(path, token, is_text, inside) for path, token, is_text, inside, _ in walk(page))
+    found.pop(None, None)
+    return found
+
+
+def shape_of(page: str, classes: dict[int, int], rank: dict[int, int]) -> tuple[int, list, dict]:
+    """What a page says of its host's classes (token to class; rank: the larger the support, the lower).
 
+    Returns the hash of its longest text, rows (class, order of its tokens, the slot that it
+    is nested in, whether a class before it is interleaved) and by slot [characters in
+    articles, in links, all].
+    """
+    longest, slots, slot = "", defaultdict(lambda: [0, 0, 0]), (0, 0)
+    at: dict[int, list[int]] = defaultdict(list)
+    order: dict[int, list[int]] = defaultdict(list)
+    times: Counter = Counter()
+    for i, (path, token, is_text, inside, off) in enumerate(walk(page)):
+        if is_text and not off and len(token) > len(longest):
+            longest = token
+        key = _key(path, token, is_text, inside)
+        if (c := classes.get(key)) is not None:
+            at[c].append(i)
+            order[c].append(key)
+            times[key] += 1
+            slot = (key, times[key])
+        elif is_text and not off and (n := len(token.strip())):
+            sums = slots[slot]
+            sums[0] += n * inside
+            sums[1] += n * ("/a/" in f"{path}/")
+            sums[2] += n
+    parent, bad = {}, set()
+    for a, b in combinations(sorted(at, key=rank.__getitem__), 2):
+        i, j = bisect_left(at[a], at[b][0]), bisect_left(at[a], at[b][-1])
+        if i != j and bisect_left(at[b], at[a][0]) != bisect_left(at[b], at[a][-1]):
+            bad.add(b)
+        elif i == j and 0 < i < len(at[a]):
+            parent[b] = max(parent.get(b, (-1, 0, 0)), (at[a][i - 1], a, i))
+    rows = [(c, _hash.__wrapped__(str(keys)), _hash(str(parent.get(c, (0, 0, 0))[1:])), c in bad) for c, keys in order.items()]
+    return _hash.__wrapped__(_text(longest)), rows, slots
+
+
+class Template:
+    """The tokens of a host's classes, those of valid ones, and its slots: whether they are main."""
+
+    def __init__(self, tokens=(), slots=()):
+        self.tokens = {x["t"]: x["valid"] for x in tokens or ()}
+        self.slots = {(x["t"], x["k"]): x["main"] for x in slots or ()}
 
-def extract(page: str, template: frozenset[int]) -> str:
+
+def extract(page: str, template: Template | None = None) -> str:
     """The main text of a page."""
-    found: list[tuple[str, bool, bool]] = []  # text or block end, inside an article, template
-    has_article = False
+    found: list[tuple[str, bool, bool | None, bool]] = []  # text or block end, inside an article, slot is main, template
+    has_article, slot, times = False, (0, 0), Counter()
+    tokens, slots = (template.tokens, template.slots) if template else ({}, {})
     for path, token, is_text, inside, off in walk(page):
         has_article |= inside
+        key = _key(path, token, is_text, inside) if tokens else None
+        if key in tokens:
+            times[key] += 1
+            slot = (key, times[key])
         if is_text:
             if not off:
-                found.append((token, inside, bool(template) and _hash(f"{path}\n{_text(token)}") in template))
+                found.append((token, inside, slots.get(slot), tokens.get(key, False)))
         elif (name := NAME.match(token)) and name.group(1) not in INLINE:
-            found.append(("\n", inside, False))
-    for keep in (lambda x: (x[1] or not has_article) and not x[2], lambda x: x[1] or not has_article):
-        parts = [x[0] if keep(x) else "" for x in found]
-        if text := _text("".join(parts)):
+            found.append(("\n", inside, True, False))
+    alone = lambda x: x[1] or not has_article
+    for keep in (lambda x: (alone(x) if x[2] is None else x[2]) and not x[3], alone):
+        if text := _text("".join(x[0] if keep(x) or x[0] == "\n" else "" for x in found)):
             return text
     return ""
 
 
-def templates(spark: SparkSession, pages: DataFrame, min_pages: int = 8, min_share: float = 0.8, min_size: int = 2) -> DataFrame:
-    """host and template (hashes of its tokens) of hosts of min_pages pages or more; pages has host, page_id and html.
-
-    A class is valid from min_size tokens that stand in min_share of the host's pages.
-    """
+def _classes(pages: DataFrame, min_pages: int, min_share: float, min_size: int) -> DataFrame:
+    """host, its number of pages, and classes: tokens and support of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 200):
                 part = batch.slice(k, 200)
                 each = [tokens_of(x or "") for x in part.column(2).to_pylist()]
-                row = [i for i, c in enumerate(each) for _ in c]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), part.column(1).take(pa.array(row, pa.int64())), pa.array([t for c in each for t in c], pa.int64()), pa.array([n for c in each for n in c.values()], pa.int64())], ["host", "page_id", "t", "n"]
-                )
+                row = pa.array([i for i, c in enumerate(each) for _ in c], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array([t for c in each for t in c], pa.int64()), pa.array([n for c in each for n in c.values()], pa.int64())], ["host", "page_id", "t", "n"])
 
     counted = pages.select("host", "page_id", "html").mapInArrow(run, "host string, page_id long, t long, n long")
     vectors = counted.groupBy("host", "t").agg(F.count("*").alias("support"), F.sum(F.shiftright(F.xxhash64("page_id", "n"), 24)).alias("v1"), F.sum(F.shiftright(F.xxhash64("n", "page_id"), 24)).alias("v2"))
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    frequent = stored(spark, vectors.join(sizes, "host").where(F.col("support") >= F.col("pages") * min_share), "vectors")
-    valid = frequent.groupBy("host", "v1", "v2", "support").agg(F.collect_set("t").alias("ts")).where(F.size("ts") >= min_size)
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("ts")).alias("template"))
+    frequent = vectors.where(F.col("support") >= min_pages * min_share).join(sizes, "host").where(F.col("support") >= F.col("pages") * min_share)
+    classes = frequent.groupBy("host", "v1", "v2", "support").agg(F.collect_set("t").alias("ts")).where(F.size("ts") >= min_size)
+    return classes.groupBy("host").agg(F.collect_list(F.struct("ts", "support")).alias("classes"))
+
+
+def _with_hosts(pages: DataFrame, hosts: DataFrame, tokens, kind: str) -> DataFrame:
+    """pages with what is known of their hosts, sent to the executors where it is small enough."""
+    n = hosts.agg(F.sum(tokens + 10)).first()[0] or 0
+    return pages.join(F.broadcast(hosts) if n <= SENT else hosts, "host", kind)
+
+
+def templates(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_size: int = 2) -> DataFrame:
+    """host, tokens (t, valid) and slots (t, k, main: behind the k-th t of a page) of hosts with valid classes.
+
+    pages has host, page_id and html.
+    """
+    found = stored(spark, _classes(pages, min_pages, min_share, min_size), "classes")
+    judged = _with_hosts(pages.select("host", "html"), found, F.aggregate("classes", F.lit(0), lambda a, x: a + F.size(x["ts"])), "inner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            for k in range(0, len(batch), 200):
+                part, rows = batch.slice(k, 200), []
+                for host, page, classes in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                    if host not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        listed = sorted((-c["support"], min(c["ts"]), c["ts"]) for c in classes.as_py())
+                        known[host] = {t: c for _, c, ts in listed for t in ts}, {c: i for i, (_, c, _) in enumerate(listed)}
+                    content, shape, slots = shape_of(page or "", *known[host])
+                    rows += [(host, content, 0, c, 0, order, parent, int(bad)) for c, order, parent, bad in shape]
+                    rows += [(host, content, 1, t, i, *sums) for (t, i), sums in slots.items()]
+                    rows.append((host, content, 2, 0, 0, 0, 0, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i == 0 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], ["host", "content", "kind", "t", "k", "x", "y", "z"])
+
+    rows = judged.select("host", "html", "classes").mapInArrow(run, "host string, content long, kind long, t long, k long, x long, y long, z long")
+    length = lambda c: F.when(F.col("kind") == 1, F.col(c))
+    sums = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "xyz"] + [F.sum(length(c)).alias(f"sum_{c}") for c in "xyz"]
+    by_content = stored(spark, rows.groupBy("host", "kind", "t", "k", F.when(F.col("kind") != 1, F.col("content")).alias("content")).agg(*sums), "shapes")
+    again = [f(f"{f.__name__}_{c}").alias(f"{f.__name__}_{c}") for f in (F.min, F.max, F.sum) for c in "xyz"]
+    shapes = by_content.groupBy("host", "kind", "t", "k").agg(F.count("*").alias("contents"), *again)
+    many = shapes.where("kind = 2").select("host", F.col("contents").alias("of")).where(F.col("of") >= min_pages)
+    one = (F.col("min_x") == F.col("max_x")) & (F.col("min_y") == F.col("max_y")) & (F.col("max_z") == 0)
+    valid = shapes.where("kind = 0").join(many, "host").where(one & (F.col("contents") >= min_pages) & (F.col("contents") >= F.col("of") * min_share)).select("host", F.col("t").alias("c"))
+    valid = valid.groupBy("host").agg(F.collect_set("c").alias("valid"))
+    within, link = F.col("sum_x") * 2 > F.col("sum_z"), F.col("sum_y") * 2 > F.col("sum_z")
+    slots = shapes.where("kind = 1").groupBy("host").agg(F.collect_list(F.struct("t", "k", within.alias("within"), link.alias("link"))).alias("slots"))
+    has_main = F.exists("slots", lambda x: x["within"])
+    judged = F.transform("slots", lambda x: F.struct(x["t"].alias("t"), x["k"].alias("k"), F.when(has_main, x["within"]).otherwise(~x["link"]).alias("main")))
+    tokens = F.flatten(F.transform("classes", lambda c: F.transform(c["ts"], lambda t: F.struct(t.alias("t"), F.array_contains("valid", F.array_min(c["ts"])).alias("valid")))))
+    return found.join(valid, "host").join(slots, "host").select("host", tokens.alias("tokens"), judged.alias("slots"))
 
 
-def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     host, _ = url_parts("url")
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)
-    found = stored(spark, templates(spark, own), "templates")
-    found = F.broadcast(found) if found.count() <= SENT else found
+    found = stored(spark, templates(spark, own, min_pages), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
@@ -153,10 +274,13 @@ def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", ur
             for k in range(0, len(batch), 200):
                 part = batch.slice(k, 200)
                 texts = []
-                for host, page, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4), strict=True):
+                for host, page, tokens, slots in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4), part.column(5), strict=True):
                     if host not in known:
-                        known = {host: frozenset(template.as_py() or ())} if len(known) > 1000 else known | {host: frozenset(template.as_py() or ())}
+                        if len(known) > 1000:
+                            known.clear()
+                        known[host] = Template(tokens.as_py(), slots.as_py())
                     texts.append(extract(page or "", known[host]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return own.join(found, "host", "left").select("page_id", "url", "host", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    judged = _with_hosts(own, found, F.size("tokens") + F.size("slots"), "left")
+    return judged.select("page_id", "url", "host", "html", "tokens", "slots").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -204,11 +204,46 @@ def test_mixing_meets_targets_of_rare_domains(spark):
 
 def test_html(spark):
     page = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a>Home</a></nav><div class="ad">Buy</div><article><h1>Head</h1><p><b>A&amp;B<br>c<p>d <i>e</i>f</p><div class="comments">me too</div></article><form><input value="x>y">Go</form><footer>&copy; me</footer></body></html>'
-    assert html_extract.extract(page, frozenset()) == "Head A&B c d ef"
-    assert html_extract.extract("", frozenset()) == "" and html_extract.extract("a < b</p></div>", frozenset()) == "a < b"
-    rows = [(i, "http://h.org/x", page.replace("Head", f"Head{i}")) for i in range(10)] + [(10, None, None)]
-    got = {r.page_id: r.text for r in html_extract.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[10] == "" and got[3].startswith("Head3")
+    assert html_extract.extract(page) == "Head A&B c d ef"
+    assert html_extract.extract("") == "" and html_extract.extract("a < b</p></div>") == "a < b"
+    rows = [(i, "http://h.org/x", page.replace("Head", f"Head{i}"), "x") for i in range(10)] + [(10, None, None, "x"), (3, "http://h.org/x", page.replace("Head", "Head3"), "x"), (11, "http://q.org", "<p>" + "long " * 200_000, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, tokens string")
+    got = html_extract.main_text(spark, df).collect()
+    by_id = {r.page_id: r.text for r in got}
+    assert len(got) == 13 and by_id[10] == "" and by_id[3] == "Head3 A&B c d ef" and len(by_id[11]) == 999_999
+    assert html_extract.main_text(spark, df.limit(0)).isEmpty()
+
+
+def test_html_template_decides_without_telling_names(spark):
+    def words(k, n):
+        return " ".join(f"{k}w{j}" for j in range(n))
+
+    rows = [(i, "http://h.org/x", f"<body><div><div>Home</div><div>About us</div></div><div><a href=/{i}>see {i}</a> <a href=/b>also {i}</a></div><div><h2>Title {i}</h2><div>{words(i, 30)}</div></div><div>Copyright</div></body>") for i in range(12)]
+    # Near copies of one article: what they share is no template.
+    rows += [(100 + i, "http://n.org/x", f"<body><div><p>{words('same', 40)}</p><p>changed {i}</p></div></body>") for i in range(12)]
+    # A passage in every article of a host stays.
+    rows += [(200 + i, "http://p.org/x", f"<body><div>Top</div><article><p>{words(i, 40)}</p><p>the passage that repeats</p></article></body>") for i in range(12)]
+    # Tokens in another order on some pages are no class.
+    rows += [(300 + i, "http://o.org/x", f"<body><div><b>One</b><i>Two</i></div><p>{words(i, 20)}</p></body>" if i % 2 else f"<body><div><i>Two</i><b>One</b></div><p>{words(i, 20)}</p></body>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(spark, df).collect()}
+    off = {r.page_id: r.text for r in html_extract.main_text(spark, df, min_pages=1000).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i} {words(i, 30)}" and off[i].startswith("Home About us see") and off[i].endswith("Copyright")
+        assert got[100 + i] == f"{words('same', 40)} changed {i}"
+        assert got[200 + i] == f"{words(i, 40)} the passage that repeats"
+        assert "Two" in got[300 + i]
+
+
+def test_html_nesting():
+    page = "<a1>x</a1><b1>y</b1><a1>x</a1>"
+    key = {html_extract._key(p, t, k, i): t for p, t, k, i, _ in html_extract.walk(page)}
+    outer, inner = (next(h for h, t in key.items() if t == x) for x in ("x", "y"))
+    _, rows, _ = html_extract.shape_of(page, {outer: 1, inner: 2}, {1: 0, 2: 1})
+    by_class = {r[0]: r for r in rows}
+    assert by_class[2][2] == html_extract._hash("(1, 1)") and not by_class[1][3] and not by_class[2][3]
+    _, rows, _ = html_extract.shape_of("<a1>x</a1><b1>y</b1><a1>x</a1><b1>y</b1>", {outer: 1, inner: 2}, {1: 0, 2: 1})
+    assert {r[0]: r[3] for r in rows} == {1: False, 2: True}
 
 
 def test_pipeline_null_and_repeated_ids(spark, tmp_path, monkeypatch):
