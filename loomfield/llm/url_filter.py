@@ -1,14 +1,19 @@
 """URL filters by association rules.
 
-Rules given by host and path decide first. The urls that they decide are the labels:
-FP-growth mines combinations of url tokens that go with a verdict, and rules pruned
-by support, confidence and redundancy decide the other urls. Each mined rule stands
-in an inverted index under its rarest token; a url looks up its tokens and keeps the
-rules that it holds whole.
+Rules given by host and path decide first. The urls that they decide are labelled with
+their verdict, all others with none: these are the background, so that a token is as sure
+as the share of all urls with it that a rule decides. FP-growth mines combinations of
+url tokens that go with a label; rules pruned by count, support, confidence, lift over
+the label's share of all urls, and redundancy decide the urls that no given rule decides.
+Each mined rule stands in an inverted index under its rarest token; a url looks up its
+tokens and keeps the rules that it holds whole. The one of the largest lift decides (then of more
+confidence, support, tokens, then of the larger tokens); where it says none, or there is
+no rule, the default verdict holds.
 
 A null url, or one without ://, has an empty host and path, no tokens and the default
-verdict. Urls without a rule of either kind get the default verdict. Repeated rows
-each give a row; extra columns are ignored.
+verdict. Urls of any length are read whole. Urls of one host and path count once in
+mining; repeated rows each give a row; extra columns, of whatever name, are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,18 +39,18 @@ def url_parts(url):
 
 
 def url_tokens(host, path):
-    """Distinct tokens: each domain suffix, each label of the host, each step of the path with its depth."""
+    """Distinct tokens: the host and its last one and two labels, words of its other labels, steps of the path with their depth."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    words = F.transform(F.flatten(F.transform(labels, lambda x: F.split(x, "-"))), lambda x: F.concat(F.lit("h:"), x))
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), F.size(labels)), ".")
+    suffixes = F.transform(F.array(last(1), last(2), host), lambda x: F.concat(F.lit("d:"), x))
+    own = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))
+    words = F.transform(F.flatten(F.transform(own, lambda x: F.split(x, "-"))), lambda x: F.concat(F.lit("h:"), x))
     steps = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), x))
     return F.when(F.size(labels) > 0, F.array_distinct(F.concat(suffixes, words, steps))).otherwise(F.array().cast("array<string>"))
 
 
-def url_filter(
-    spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, min_support: float = 0.002, min_confidence: float = 0.8, default: str = "allow"
-) -> DataFrame:
-    """page_id, host, path, rule (as host/path, else null) and verdict of every url, with the tokens of the mined rule that decided (mined)."""
+def labelled(spark: SparkSession, pages: DataFrame, id_col: str, url_col: str, rules: tuple) -> tuple[DataFrame, DataFrame]:
+    """Urls (page_id, host, path, rule, given) and their distinct token sets (host, path, tokens, given; none for the background)."""
     host, path = url_parts("url")
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     rule = verdict = F.lit(None).cast("string")
@@ -53,30 +58,58 @@ def url_filter(
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(f"/{p}")
         rule, verdict = F.when(fits, F.lit(f"{h}/{p}")).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(verdict)
     urls = urls.withColumns({"rule": rule, "given": verdict})
-    tokens = stored(spark, urls.groupBy("host", "path").agg(F.first("given").alias("given"), F.count("*").alias("n")).withColumn("tokens", url_tokens(F.col("host"), F.col("path"))).where("size(tokens) > 0"), "tokens")
-    seen = tokens.where("given is not null").select(F.concat("tokens", F.array(F.concat(F.lit("="), "given"))).alias("items"))
-    if seen.isEmpty():
-        return urls.select("page_id", "host", "path", "rule", F.coalesce("given", F.lit(default)).alias("verdict"), F.lit(None).cast("string").alias("mined"))
+    sets = urls.groupBy("host", "path").agg(F.first("given").alias("given")).select("host", "path", url_tokens(F.col("host"), F.col("path")).alias("tokens"), F.coalesce("given", F.lit("none")).alias("given"))
+    return urls, stored(spark, sets.where("size(tokens) > 0"), "tokens")
+
 
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(seen)
-    mined = found.associationRules.where((F.size("consequent") == 1) & F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    mined = mined.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 2, 99).alias("verdict"), "confidence", "support")
-    mined = stored(spark, mined, "rules")
+def mine(spark: SparkSession, sets: DataFrame, min_count: int = 5, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.2) -> DataFrame | None:
+    """The index of rules (anchor, ruled, label, lift, confidence, support) mined from sets (tokens, given); None without labels."""
+    n = sets.count()
+    if sets.where("given <> 'none'").isEmpty():
+        return None
+    items = sets.select(F.concat("tokens", F.array(F.concat(F.lit("="), "given"))).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=max(min_support, min(min_count / n, 1.0)), minConfidence=min_confidence).fit(items)
+    mined = found.associationRules.where((F.size("consequent") == 1) & F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")) & (F.col("lift") >= min_lift))
+    mined = stored(spark, mined.select(F.array_sort("antecedent").alias("ruled"), F.substring(F.element_at("consequent", 1), 2, 99).alias("label"), "lift", "confidence", "support"), "rules")
     # A rule is redundant where a rule of one token less is as sure.
-    shorter = mined.withColumn("out", F.explode("tokens")).select(F.array_remove("tokens", F.col("out")).alias("less"), F.col("tokens").alias("t"), "verdict", "confidence")
-    redundant = shorter.alias("a").join(mined.alias("b"), (F.col("a.less") == F.col("b.tokens")) & (F.col("a.verdict") == F.col("b.verdict")) & (F.col("b.confidence") >= F.col("a.confidence"))).select(F.col("a.t").alias("tokens"), F.col("a.verdict").alias("verdict")).distinct()
-    kept = mined.join(redundant, ["tokens", "verdict"], "left_anti")
-    held = tokens.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    anchors = kept.withColumn("token", F.explode("tokens")).join(held, "token", "left").groupBy("tokens", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("count", "token")).alias("anchor"))
-    index = stored(spark, anchors, "index")
-
-    rest = tokens.where("given is null").select("host", "path", "tokens", F.explode("tokens").alias("anchor"))
-    index = index.withColumnRenamed("tokens", "ruled")
+    shorter = mined.withColumn("out", F.explode("ruled")).select(F.array_remove("ruled", F.col("out")).alias("less"), F.col("ruled").alias("t"), "label", "confidence")
+    as_sure = (F.col("a.less") == F.col("b.ruled")) & (F.col("a.label") == F.col("b.label")) & (F.col("b.confidence") >= F.col("a.confidence"))
+    redundant = shorter.alias("a").join(mined.alias("b"), as_sure).select(F.col("a.t").alias("ruled"), F.col("a.label").alias("label")).distinct()
+    kept = mined.join(redundant, ["ruled", "label"], "left_anti")
+    held = sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    anchors = kept.withColumn("token", F.explode("ruled")).join(held, "token", "left").groupBy("ruled", "label", "lift", "confidence", "support").agg(F.min_by("token", F.struct("count", "token")).alias("anchor"))
+    return stored(spark, anchors, "index")
+
+
+def matched(sets: DataFrame, index: DataFrame) -> DataFrame:
+    """host, path, label and mined (the tokens of the rule) of the sets (host, path, tokens) that hold a rule whole."""
     index = F.broadcast(index) if index.count() <= SENT else index
-    best = (
-        rest.join(index, "anchor").where(F.size(F.array_except("ruled", "tokens")) == 0)
-        .groupBy("host", "path").agg(F.max(F.struct("confidence", "support", F.size("ruled").alias("k"), F.array_join("ruled", " ").alias("mined"), "verdict")).alias("m"))
-        .select("host", "path", "m.mined", "m.verdict")
-    )
-    out = urls.where("given is null").drop("given").join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"), "mined")
+    seen = sets.select("host", "path", "tokens", F.explode("tokens").alias("anchor")).join(index, "anchor").where(F.size(F.array_except("ruled", "tokens")) == 0)
+    best = F.max(F.struct("lift", "confidence", "support", F.size("ruled").alias("k"), F.array_join("ruled", " ").alias("mined"), "label"))
+    return seen.groupBy("host", "path").agg(best.alias("m")).select("host", "path", "m.label", "m.mined")
+
+
+def held_out(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, parts: int = 3, **limits) -> DataFrame:
+    """given, label, n: what rules mined without a part of the urls (by hash) say of that part."""
+    _, sets = labelled(spark, pages, id_col, url_col, rules)
+    part = F.pmod(F.xxhash64("host", "path"), F.lit(parts))
+    index = mine(spark, sets.where(part > 0), **limits)
+    rest = sets.where(part == 0)
+    said = matched(rest, index) if index is not None else rest.select("host", "path", F.lit("none").alias("label"))
+    return rest.join(said, ["host", "path"], "left").groupBy("given", F.coalesce("label", F.lit("none")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def url_filter(
+    spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, default: str = "allow", **limits
+) -> DataFrame:
+    """page_id, host, path, rule (as host/path, else null) and verdict of every url, with the tokens of the mined rule that decided (mined).
+
+    limits: min_count, min_support, min_confidence and min_lift of mined rules.
+    """
+    urls, sets = labelled(spark, pages, id_col, url_col, rules)
+    index = mine(spark, sets, **limits)
+    if index is None:
+        return urls.select("page_id", "host", "path", "rule", F.coalesce("given", F.lit(default)).alias("verdict"), F.lit(None).cast("string").alias("mined"))
+    best = matched(sets.where("given = 'none'"), index)
+    out = urls.where("given is null").join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce(F.nullif("label", F.lit("none")), F.lit(default)).alias("verdict"), "mined")
     return out.unionByName(urls.where("given is not null").select("page_id", "host", "path", "rule", F.col("given").alias("verdict"), F.lit(None).cast("string").alias("mined")))

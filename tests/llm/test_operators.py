@@ -115,6 +115,32 @@ def test_url_filter(spark):
     assert all(r.verdict in ("allow", "block") for r in got.values())
 
 
+def test_url_rules_that_are_mined(spark):
+    rules = (("block", "bad.org", "x/"), ("allow", "good.org", "y/"))
+    urls = [f"http://casino{'-' * (i % 2)}win.bad.org/x/{i}" for i in range(40)] + [f"http://s{i}.good.org/y/news/{i}" for i in range(40)]
+    urls += [f"http://site{i}.net/z/{i}" for i in range(100)] + ["http://casino-win.elsewhere.net/q", "http://other.elsewhere.net/q", "x", None, "http://" + "a" * 9000 + ".net/z/"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, tokens string")
+    got = {r.page_id: r for r in url_filter.url_filter(spark, df, rules=rules).collect()}
+    assert len(got) == len(urls) and all(got[i].verdict == "block" and got[i].rule == "bad.org/x/" for i in range(40))
+    assert (got[180].verdict, got[180].rule, got[180].mined) == ("block", None, "h:win")  # of equal rules the larger tokens
+    assert all(got[i].verdict == "allow" for i in (100, 181, 182, 183, 184))
+    # Brute force: every pair, single or triple of tokens, its confidence, lift and count.
+    _, sets = url_filter.labelled(spark, df, "page_id", "url", rules)
+    rows = [(frozenset(r.tokens), r.given) for r in sets.collect()]
+    counts, share = {}, {v: sum(g == v for _, g in rows) / len(rows) for v in ("allow", "block", "none")}
+    for tokens, g in rows:
+        for k in range(1, len(tokens) + 1):
+            for x in combinations(sorted(tokens), k):
+                counts.setdefault(x, {}).setdefault(g, 0)
+                counts[x][g] += 1
+    good = {(x, v): c[v] / sum(c.values()) for x, c in counts.items() for v in c if c[v] >= 5 and c[v] / sum(c.values()) >= 0.8 and c[v] / sum(c.values()) / share[v] >= 1.2}
+    want = {(x, v) for (x, v), p in good.items() if not any(good.get((y, v), 0) >= p for y in combinations(x, len(x) - 1))}
+    assert {(tuple(r.ruled), r.label) for r in url_filter.mine(spark, sets).collect()} == want
+    told = {(r.given, r.label): r.n for r in url_filter.held_out(spark, df, rules=rules).collect()}
+    assert sum(n for (g, v), n in told.items() if g == v) / sum(told.values()) > 0.9
+    assert url_filter.url_filter(spark, df.limit(0)).isEmpty()
+
+
 def test_token_counts(docs, none):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
