@@ -11,10 +11,13 @@ near in so many texts if places were dealt at random. MANY texts always suffice,
 say little where most words stand near a kind.
 
 Probabilities are over the places of words of all distinct texts, so that copies add
-nothing; near means within a few words. Only DataFrame functions are used.
+nothing; near means within NEAR words of three letters or more and within REACH
+characters, whole words only. Only DataFrame functions are used.
 
 Null is taken as an empty text, which has no spans. Positions are code points, ends
-exclusive. Repeated rows each give a row; extra columns are ignored.
+exclusive. Texts of any length are read whole. Repeated rows each give a row; extra
+columns, of whatever name, are ignored. An empty table gives an empty result. Of a
+term's disclosures the largest counts, then the one of more texts.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ _GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _CAPITALS = "".join(c for c in map(chr, range(0x10000)) if len(c.lower()) == 1 and c != c.lower())
 #: Terms up to so many are part of the plan; more are joined by a shuffle.
 SENT = 1000
-NEAR = 3
+NEAR, REACH = 3, 80
 #: Terms that chance may make of all.
 CHANCE = 0.01
 MANY = 20
@@ -120,11 +123,11 @@ def disclosing_terms(spark: SparkSession, texts: DataFrame, threshold: float = 0
     """
     found = stored(spark, with_entities(texts.select("text").distinct()), "distinct")
     near = found.select("text", F.explode("spans").alias("s"))
-    # Up to 80 characters at each side, without a word that is cut there.
-    before = F.substring("text", F.greatest(F.col("s.start") - 79, F.lit(1)), F.least(F.col("s.start"), F.lit(80)))
-    before = F.when(F.col("s.start") > 80, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
-    after = F.substring("text", F.col("s.end") + 1, F.lit(80))
-    after = F.when(F.length("text") > F.col("s.end") + 80, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
+    # Up to REACH characters at each side, without a word that is cut there.
+    before = F.substring("text", F.greatest(F.col("s.start") - REACH + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(REACH)))
+    before = F.when(F.col("s.start") > REACH, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
+    after = F.substring("text", F.col("s.end") + 1, F.lit(REACH))
+    after = F.when(F.length("text") > F.col("s.end") + REACH, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
     words = F.concat(F.slice(F.reverse(_words(before)), 1, NEAR), F.slice(_words(after), 1, NEAR))
     near = near.select(F.col("s.kind").alias("kind"), F.xxhash64(F.lower("s.value")).alias("e"), F.xxhash64("text").alias("h"), words.alias("words"))
     near = stored(spark, near.select("kind", "e", "h", F.explode("words").alias("term")).groupBy("term", "kind", "e", "h").agg(F.count("*").alias("n")), "near")

@@ -73,6 +73,39 @@ def test_license_words_that_tell_labels_apart(spark):
     assert {r.doc_id: r.labels for r in license_scan.license_scan(rows).collect()} == dict(enumerate(want.values()))
 
 
+def test_license_blocks_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    templates = [(label, t.split()) for label, t in license_scan.TEMPLATES]
+    texts = [None, "", "mit " * 3000]
+    for k in range(120):
+        w = [str(x) for x in rng.choice(["the", "report", "license", "mit", "new", "under", "of"], rng.integers(0, 200))]
+        label, t = templates[k % len(templates)]
+        t = [x for x in t if rng.random() > 0.15] if k % 3 else list(t)
+        at = int(rng.integers(0, len(w) + 1))
+        texts.append(" ".join(w[:at] + t + w[at:]))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, words string")
+    got = {r.doc_id: r for r in license_scan.license_scan(df).collect()}
+    size = license_scan.BLOCK
+    for i, text in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        base = {(p, label) for phrase, label in license_scan.PHRASES.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()}
+        labels, best = {label for _, label in base}, float(bool(base))
+        for start in range(0, len(w), size // 2):
+            block = w[start : start + size]
+            for label, t in templates:
+                share = len(set(block) & set(t)) / len(set(t))
+                key = license_scan.KEYS.get(label, "-").split()
+                if f" {' '.join(key)} " in f" {' '.join(t)} ":
+                    ends = [p + len(key) for p in range(len(block)) if block[p : p + len(key)] == key]
+                    if not any(w[start + e : start + e + 1] not in (["nd"], ["sa"]) for e in ends):
+                        continue
+                if share * 100 >= 80 and len(set(block) & set(t)) * 100 >= 80 * len(set(t)):
+                    labels.add(label)
+                    best = max(best, share)
+        assert (got[i].n_base, got[i].labels) == (len(base), ",".join(sorted(labels))), text
+        assert got[i].score == pytest.approx(best) and got[i].first_word == (min(p for p, _ in base) if base else None)
+
+
 def test_pii_patterns(spark, docs, none):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     for r in pii.sanitise(spark, docs).collect():
@@ -175,6 +208,53 @@ def test_fingerprints(spark, docs, none):
     assert fingerprints.fingerprints(spark, none).isEmpty()
 
 
+def signatures(text):
+    """A text's signature set by walking over its words."""
+    w = [x for x in re.split(fingerprints.SEPARATORS, (text or "").lower()) if x]
+    found = set()
+    for i, x in enumerate(w):
+        content = [y for y in w[i + 1 :] if y not in fingerprints.ANCHORS][:2]
+        if x in fingerprints.ANCHORS and len(content) == 2:
+            found.add((x, *content))
+    return found
+
+
+def jaccard(a, b, same):
+    return len(a & b) / len(a | b) if a or b else float(same)
+
+
+def test_fingerprints_by_brute_force(spark, docs):
+    sets = [signatures(t) for t in TEXTS]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark, docs).collect()}
+    for i, t in enumerate(TEXTS):
+        t, after = t or "", TEXTS[(i + 1) % len(TEXTS)] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert len(got[i].fingerprint) == 16 * len(sets[i]) and len(got[i].edited_fingerprint) == 16 * len(signatures(edited))
+        assert got[i].near_edited == pytest.approx(jaccard(sets[i], signatures(edited), t == edited))
+        assert got[i].near_next == pytest.approx(jaccard(sets[i], sets[(i + 1) % len(sets)], t == after))
+
+
+def test_fingerprint_search_by_brute_force(spark, none):
+    rng = np.random.default_rng(4)
+    words = ["the", "of", "and", *[f"c{i}" for i in range(40)]]
+    base = [list(rng.choice(words, n)) for n in (60, 90, 130, 200)]
+    texts = [None, "", "the"]
+    for k in range(60):
+        w = list(base[k % 4])
+        for at in rng.integers(0, len(w), k // 8):
+            w[at] = str(rng.choice(words))
+        texts.append(" ".join(w))
+    texts += [texts[5], texts[5]]
+    df = fingerprints.prints_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets = {i: signatures(t) for i, t in enumerate(texts)}
+    for least in (0.5, 0.8):
+        want = {(q, i) for q in sets if q % 5 == 0 and sets[q] for i in sets if jaccard(sets[q], sets[i], False) >= least}
+        got = {(r.query_id, r.doc_id): r.likeness for r in fingerprints.search(spark, df, df.where("doc_id % 5 = 0"), least).collect()}
+        assert set(got) == want and all(v == pytest.approx(jaccard(sets[q], sets[i], False)) for (q, i), v in got.items())
+    assert fingerprints.search(spark, fingerprints.prints_of(none), df).isEmpty()
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     words = [f"word{i}" for i in range(300)]
@@ -193,6 +273,21 @@ def test_toxicity(spark):
     assert all(r.score == 0 for r in toxicity.toxicity(spark, df, None).collect())
 
 
+def test_toxicity_forward_pass_by_loops():
+    rng = np.random.default_rng(2)
+    texts = ["", "one", "one two", *[" ".join(rng.choice([f"w{i}" for i in range(30)], rng.integers(1, 40))) for _ in range(40)]]
+    m = toxicity.fit(pa.array(texts), np.array([i % 3 == 0 for i in range(len(texts))], np.float32))
+    words, at = toxicity._words(pa.array(texts))
+    ids = (words % np.uint64(toxicity.BUCKETS)).astype(int)
+    for i, got in enumerate(m.logits(words, at)):
+        mine, pooled = ids[:, at[i] : at[i + 1]], []
+        for width, table in zip(toxicity.WIDTHS, m.tables, strict=True):
+            places = range(mine.shape[1] - width + 1)
+            for f in range(toxicity.FILTERS):
+                pooled.append(max((sum(float(table[row[p + j], j * toxicity.FILTERS + f]) for j in range(width) for row in mine) for p in places), default=0.0))
+        assert got == pytest.approx(m.constant + sum(max(p + b, 0) * o for p, b, o in zip(pooled, m.bias, m.out, strict=True)), abs=1e-3)
+
+
 @pytest.mark.parametrize("limit", [120, 4000])
 def test_toxicity_thresholds_count_all_labelled_rows(spark, limit):
     rows = [(i, ("el perro en la casa " if i % 6 == 0 else "the dog in the house ") * 3 + ("vile" if i % 30 == 0 else f"word{i % 50}"), int(i % 30 == 0)) for i in range(600)]
@@ -216,6 +311,20 @@ def test_mixing(spark):
     assert mixing.mix(spark, df.limit(0), df.select("doc_id"), {"en": 1.0}).isEmpty()
 
 
+def test_mixing_posteriors_by_numpy(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "".join(rng.choice(list("aeinst ñü" if i % 3 else "eehou wzß"), 30)), "es" if i % 3 else "de") for i in range(60)] + [(99, None, "de"), (100, "", None), (100, "ñ" * 50_000, "es")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.doc_id, r.n_tokens, r.p_de) for r in mixing.mix(spark, df, df.where("doc_id < 40").select("doc_id"), {"de": 1.0, "es": 1.0}).collect())
+    shares = np.array([[(t or "").lower().count(c) / max(len(t or ""), 1) for c in mixing.LETTERS] for _, t, _ in rows])
+    known = [[k for k, r in enumerate(rows) if r[0] < 40 and r[2] == d] for d in ("de", "es")]
+    spread = sum(len(k) * shares[k].var(axis=0) for k in known) / 40 + 1e-5
+    logs = np.stack([np.log(len(k) / 40) - ((shares - shares[k].mean(axis=0)) ** 2 / spread / 2).sum(axis=1) for k in known], axis=1)
+    p = 1 / (1 + np.exp(np.clip(logs[:, 1] - logs[:, 0], -50, 50)))
+    want = sorted((r[0], len((r[1] or "").split()), x) for r, x in zip(rows, p, strict=True))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-6)
+
+
 def test_mixing_meets_targets_of_rare_domains(spark):
     texts = {"en": "the hat that was thin ", "de": "über größe zwölf wozu zz ", "fr": "çà où être là ", "es": "ñandú año señor niño "}
     rows = [(i, texts[d] * 5, d) for i, d in enumerate(["en"] * 300 + ["de"] * 44 + ["fr"] * 44 + ["es"] * 12)]
