@@ -37,8 +37,37 @@ def coverage_check(panel: DataFrame, population: DataFrame) -> DataFrame:
     return _rows(both, "coverage", {"both": (F.count_if(F.col("in_panel") & F.col("in_population")), False), "panel_only": (F.count_if(F.col("in_population").isNull()), False), "population_only": (F.count_if(F.col("in_panel").isNull()), False)})
 
 
-def full_audit(panel: DataFrame, population: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [per_capita_check(panel), key_check(panel), coverage_check(panel, population)])
+def _differs(a, b, tolerance: float):
+    """Whether two values differ; both missing is no difference."""
+    return F.when(a.isNull() & b.isNull(), False).when(a.isNull() | b.isNull(), True).otherwise(F.abs(a - b) > tolerance)
+
+
+def rate_check(rates: DataFrame, panel: DataFrame, population: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Given rates (fips, state, date, deaths_pc) against counts over people, for all rows with people."""
+    people = population.select("fips", "state", F.col("population").alias("people"))
+    both = panel.where((F.col("fips") != SENTINEL)).select("fips", "state", "date", "deaths").join(people, ["fips", "state"], "left").join(rates, ["fips", "state", "date"], "left")
+    usable = both.where("people > 0")
+    manual = usable.withColumn("off", _differs(F.col("deaths_pc"), rate(F.col("deaths"), F.col("people")), tolerance))
+    return _rows(manual, "manual_rates", {"rows": (F.count("*"), False), "mismatches": (F.count_if(F.col("off")), True)}).unionByName(_rows(both, "manual_rates", {"without_people": (F.count_if(F.coalesce(F.col("people") <= 0, F.lit(True))), False)}))
+
+
+def tooltip_check(slice_: DataFrame, panel: DataFrame, population: DataFrame, date, tolerance: float = 0.1) -> DataFrame:
+    """A map slice's counts, people and rates against the panel and the population table on its date."""
+    source = panel.where(F.col("date") == F.lit(date)).select("fips", "state", F.col("cases").alias("c"), F.col("deaths").alias("d")).join(population.where("population > 0").select("fips", "state", F.col("population").alias("p")), ["fips", "state"])
+    both = slice_.join(source, ["fips", "state"], "left").withColumns({"cpc": rate(F.col("c"), F.col("p")), "dpc": rate(F.col("d"), F.col("p"))})
+    off = {name: _differs(F.col(name), F.col(x), tolerance) for name, x in (("cases", "c"), ("deaths", "d"), ("population", "p"), ("cases_pc", "cpc"), ("deaths_pc", "dpc"))}
+    found = F.col("p").isNotNull()
+    return _rows(both, "tooltips", {"rows": (F.count("*"), False), "without_source": (F.count_if(~found), False), **{f"{name}_mismatches": (F.count_if(found & d), True) for name, d in off.items()}})
+
+
+def full_audit(panel: DataFrame, population: DataFrame, slice_: DataFrame | None = None, rates: DataFrame | None = None, date=None) -> DataFrame:
+    """All checks in one table; rates and tooltips where these are given."""
+    parts = [per_capita_check(panel), key_check(panel), coverage_check(panel, population)]
+    if rates is not None:
+        parts.append(rate_check(rates, panel, population))
+    if slice_ is not None:
+        parts.append(tooltip_check(slice_, panel, population, date))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def master_table(panel: DataFrame, features: DataFrame, vaccination: DataFrame | None = None) -> DataFrame:

@@ -27,15 +27,28 @@ def correlations(df: DataFrame, outcomes: list[str], factors: list[str], min_n:
     return rows.withColumns({"r2": F.col("r") * F.col("r"), "ci_low": low, "ci_high": high})
 
 
+def average_ranks(counts: DataFrame, c: str, keys: list[str], ranges: int = 200) -> DataFrame:
+    """counts (keys, c, n) with r<c>, the average rank of each value within its keys.
+
+    Values are dealt into ranges by quantiles, so that no task sorts a whole column; a
+    range's ranks start behind the counts of the ranges before it, of which there are few.
+    """
+    counts = counts.select(*keys, c, "n")
+    one = [*keys, "_one"]
+    counts = counts.withColumn("_one", F.lit(1))
+    bounds = counts.groupBy(*one).agg(F.percentile_approx(c, [i / ranges for i in range(1, ranges)], 10_000).alias("_b"))
+    placed = counts.join(F.broadcast(bounds), one).withColumn("_r", F.size(F.filter("_b", lambda b: b <= F.col(c)))).drop("_b")
+    totals = placed.groupBy(*one, "_r").agg(F.sum("n").alias("m"))
+    before = Window.partitionBy(*one).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # over ranges
+    totals = totals.select(*one, "_r", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(*one, "_r").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_in", inside).join(F.broadcast(totals), [*one, "_r"]).select(*keys, c, "n", (F.col("_start") + F.col("_in") + (F.col("n") + 1) / 2).alias(f"r{c}"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; ranks come from counts by value, so one hot value is one row."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-
-    def ranks(c: str) -> DataFrame:
-        counts = both.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return counts.select(c, (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"r{c}"))
-
+    ranks = lambda c: average_ranks(both.groupBy(c).agg(F.count("*").alias("n")), c, []).drop("n")
     return both.join(ranks("x"), "x").join(ranks("y"), "y").agg(F.count("*").alias("n"), safe_corr("rx", "ry").alias("rho"))
 
 
@@ -61,8 +74,10 @@ def scaled(df: DataFrame, cols: list[str]) -> DataFrame:
     return out.select("fips", *[f"{c}_{k}" for c in cols for k in ("norm", "z")])
 
 
-def similar(df: DataFrame, fips: str, cols: list[str], k: int = 10) -> DataFrame:
-    """The k units nearest to one in z-scores (population by log10), complete cases only."""
+def similar(df: DataFrame, fips: str, cols: list[str], k: int = 10, least: int = 0) -> DataFrame:
+    """The k units nearest to one in z-scores (population by log10), complete cases only; empty where the one is incomplete or there are fewer columns than least."""
+    if len(cols) < least:
+        return df.sparkSession.createDataFrame([], "fips string, distance double")
     ready = df.na.drop(subset=cols).withColumns({c: F.log10(F.greatest(F.col(c), F.lit(1.0))) for c in cols if c == "population"})
     z = scaled(ready, cols)
     ref = z.where(F.col("fips") == fips).limit(1).select(*[F.col(f"{c}_z").alias(f"r_{c}") for c in cols])
@@ -71,7 +86,16 @@ def similar(df: DataFrame, fips: str, cols: list[str], k: int = 10) -> DataFrame
 
 
 def medians(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.agg(*[F.median(c).alias(c) for c in cols])
+    """One row: the exact median of each column; the middle places are found among ranks, so that no task holds a column."""
+    each = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])
+    counts = df.select(F.explode(each).alias("x")).select("x.*").where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    whole = counts.groupBy("c").agg(F.sum("n").alias("all"))
+    ranked = average_ranks(counts, "v", ["c"]).join(F.broadcast(whole), "c")
+    holds = lambda k: k.between(F.col("rv") - (F.col("n") - 1) / 2, F.col("rv") + (F.col("n") - 1) / 2)
+    half = lambda k: F.when(holds(k), F.col("v") / 2).otherwise(0.0)
+    value = F.sum(half(F.floor((F.col("all") + 1) / 2)) + half(F.ceil((F.col("all") + 1) / 2)))
+    mids = ranked.groupBy("c").agg(value.alias("v"))
+    return mids.agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(c) for c in cols])
 
 
 def percentile_of(df: DataFrame, fips: str, c: str) -> DataFrame:

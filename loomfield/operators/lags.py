@@ -60,14 +60,14 @@ def matches(cases: DataFrame, deaths: DataFrame, max_lag: int = 90) -> DataFrame
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("peak_date"), right.sort_values("peak_date")
-        rows, taken = [], set()
+        rows, later = [], list(right.itertuples())
         for c in left.itertuples():
-            for i, d in enumerate(right.itertuples()):
-                lag = (d.peak_date - c.peak_date).days
-                if i not in taken and 0 <= lag <= max_lag:
-                    taken.add(i)
-                    rows.append((c.unit, c.peak_date, d.peak_date, lag, c.peak_value, d.peak_value))
-                    break
+            # What lies before this peak lies before all that follow, too.
+            while later and later[0].peak_date < c.peak_date:
+                later.pop(0)
+            if later and (lag := (later[0].peak_date - c.peak_date).days) <= max_lag:
+                d = later.pop(0)
+                rows.append((c.unit, c.peak_date, d.peak_date, lag, c.peak_value, d.peak_value))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHES.split(", ")])
 
     deaths = deaths.select(*[F.col(c).alias(c) for c in deaths.columns])  # both may come from one table
@@ -86,3 +86,18 @@ def summary(found: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.avg("lag_days").alias("mean_lag"), F.percentile("lag_days", 0.5).alias("median_lag"), F.min("lag_days").alias("min_lag"), F.max("lag_days").alias("max_lag"),
         F.avg("severity_ratio").alias("mean_severity"), F.max("case_peak_value").alias("largest_case_peak"), F.max("death_peak_value").alias("largest_death_peak"),
     )
+
+
+def overlay(found: DataFrame, most: int = 8, margin: int = 45) -> DataFrame:
+    """Per unit of at most so many matches the view around them: margin days before the first and after the last peak."""
+    view = severity(found).groupBy("unit").agg(F.count("*").alias("n"), F.date_sub(F.min("case_peak_date"), margin).alias("view_start"), F.date_add(F.max("death_peak_date"), margin).alias("view_end"))
+    return view.withColumn("draw", F.col("n") <= most)
+
+
+def compared(found: DataFrame, a: str, b: str) -> DataFrame:
+    """The lag summary of two units side by side, a row for each metric."""
+    def rows(unit: str, name: str) -> DataFrame:
+        one = summary(found.where(F.col("unit") == unit))
+        return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name)) for c in one.columns])).alias("r")).select("r.*")
+
+    return rows(a, "a").join(rows(b, "b"), "metric", "full")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -11,7 +12,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.operators.features import scaled
+from loomfield.functions.special import p_of_f, p_of_t
+from loomfield.operators.features import medians, scaled
 
 
 def complete(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -20,7 +22,7 @@ def complete(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def imputed(df: DataFrame, cols: list[str]) -> DataFrame:
     """Exact medians in place of what is missing."""
-    mids = df.agg(*[F.median(c).alias(f"_m_{c}") for c in cols])
+    mids = medians(df, cols).select(*[F.col(c).alias(f"_m_{c}") for c in cols])
     return df.crossJoin(F.broadcast(mids)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in cols}).drop(*[f"_m_{c}" for c in cols])
 
 
@@ -43,7 +45,7 @@ def ols_table(df: DataFrame, outcome: str, predictors: list[str]) -> DataFrame:
     """
     spark, p = df.sparkSession, len(predictors) + 1
     rows = complete(df.select(outcome, *predictors), [outcome, *predictors])
-    schema = "term string, beta double, se double, se_hc3 double, t double, ci_low double, ci_high double, r2 double, n long"
+    schema = "term string, beta double, se double, se_hc3 double, t double, p double, p_hc3 double, ci_low double, ci_high double, r2 double, adj_r2 double, f double, p_f double, n long"
     m, n = _products(rows, [*predictors, outcome])
     if n < p + 5:
         return spark.createDataFrame([], schema)
@@ -59,7 +61,16 @@ def ols_table(df: DataFrame, outcome: str, predictors: list[str]) -> DataFrame:
     se = np.sqrt(np.maximum(np.diag(inverse) * left / (n - p), 0))
     spread = yy - total**2 / n
     r2 = float(1 - left / spread) if spread > 0 else None
-    return spark.createDataFrame([(name, float(b), float(s), float(math.sqrt(max(h, 0))), float(b / s) if s > 0 else None, float(b - 1.96 * s), float(b + 1.96 * s), r2, n) for name, b, s, h in zip(["intercept", *predictors], beta, se, np.diag(robust), strict=True)], schema)
+    adjusted = 1 - (1 - r2) * (n - 1) / (n - p) if r2 is not None else None
+    f = r2 / (p - 1) / max((1 - r2) / (n - p), 1e-300) if r2 is not None and p > 1 else None
+    p_f = float(p_of_f(f, p - 1, n - p)) if f is not None else None
+
+    def row(name, b, s, h):
+        h = math.sqrt(max(h, 0))
+        p_of = lambda e: float(p_of_t(float(b / e), n - p)) if e > 0 else None
+        return name, float(b), float(s), float(h), float(b / s) if s > 0 else None, p_of(s), p_of(h), float(b - 1.96 * s), float(b + 1.96 * s), r2, adjusted, f, p_f, n
+
+    return spark.createDataFrame([row(*x) for x in zip(["intercept", *predictors], beta, se, np.diag(robust), strict=True)], schema)
 
 
 def vif(df: DataFrame, predictors: list[str]) -> DataFrame:
@@ -71,23 +82,29 @@ def vif(df: DataFrame, predictors: list[str]) -> DataFrame:
     cov = m[1:, 1:] / n - np.outer(m[0, 1:], m[0, 1:]) / n**2
     s = np.sqrt(np.maximum(np.diag(cov), 1e-300))
     values = np.minimum(np.diag(np.linalg.pinv(cov / np.outer(s, s))), 1e10)
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(predictors, values, strict=True)], "predictor string, vif double")
+    rows = sorted(((c, float(v)) for c, v in zip(predictors, values, strict=True)), key=lambda x: -x[1])
+    return spark.createDataFrame(rows, "predictor string, vif double")
 
 
 def forest_importance(df: DataFrame, outcome: str, predictors: list[str], trees: int = 200, seed: int = 42) -> DataFrame:
-    """Impurity importances of a random forest over imputed predictors."""
+    """Impurity importances of a random forest over imputed predictors; empty for one predictor or fewer than 30 rows."""
+    if len(predictors) < 2 or df.where(F.col(outcome).isNotNull()).count() < 30:
+        return df.sparkSession.createDataFrame([], "predictor string, importance double")
     rows = VectorAssembler(inputCols=predictors, outputCol="_x").transform(imputed(df.where(F.col(outcome).isNotNull()), predictors))
     model = RandomForestRegressor(featuresCol="_x", labelCol=outcome, numTrees=trees, seed=seed).fit(rows)
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(predictors, model.featureImportances.toArray(), strict=True)], "predictor string, importance double")
 
 
 def archetypes(df: DataFrame, cols: list[str], k: int = 4, seeds: int = 10) -> DataFrame:
-    """fips and cluster by k-means over z-scores, the best of several seeds."""
-    rows = scaled(complete(df, cols), cols)
-    rows = VectorAssembler(inputCols=[f"{c}_z" for c in cols], outputCol="_x").transform(rows).select("fips", "_x").persist()
-    models = [KMeans(k=k, seed=s, featuresCol="_x", predictionCol="cluster").fit(rows) for s in range(seeds)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    rows.unpersist()
+    """fips and cluster by k-means over z-scores (population by its logarithm), the best of several seeds; empty for fewer than 10 k rows."""
+    rows = complete(df, cols).withColumns({c: F.log10(F.greatest(F.col(c), F.lit(1.0))) for c in cols if c == "population"})
+    rows = VectorAssembler(inputCols=[f"{c}_z" for c in cols], outputCol="_x").transform(scaled(rows, cols)).select("fips", "_x").persist()
+    try:
+        if rows.count() < 10 * k:
+            return df.sparkSession.createDataFrame([], "fips string, cluster long")
+        best = min((KMeans(k=k, seed=s, featuresCol="_x", predictionCol="cluster").fit(rows) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
+    finally:
+        rows.unpersist()
     return best.transform(rows).select("fips", F.col("cluster").cast("long").alias("cluster"))
 
 
@@ -95,21 +112,48 @@ def cluster_profile(df: DataFrame, clusters: DataFrame, cols: list[str]) -> Data
     return df.join(clusters, "fips").groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in cols])
 
 
-def resilience(df: DataFrame, outcome: str, predictors: list[str], folds: int = 5) -> DataFrame:
-    """Predicted less actual outcome by cross-validated regression; positive is better than expected.
+def _folds(rows: DataFrame, folds: int, head: int = 3) -> DataFrame:
+    """rows with fold: contiguous stretches of equal size in the order of keys, the last takes what is left.
+
+    A key's place is the number of keys whose first head characters come before its own,
+    and its place among those that share them, so that no task sorts all keys.
+    """
+    rows = rows.withColumn("_head", F.substring("fips", 1, head))
+    sizes = rows.groupBy("_head").agg(F.count("*").alias("m"))
+    before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)  # over heads, of which there are few
+    sizes = sizes.select("_head", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_start"), F.sum("m").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_head").orderBy("fips")) - 1
+    fold = F.floor(place / F.greatest(F.floor(F.col("_all") / folds), F.lit(1)))
+    return rows.join(F.broadcast(sizes), "_head").withColumn("fold", F.least(fold, F.lit(folds - 1)).cast("int")).drop("_head", "_start", "_all")
+
+
+def resilience(df: DataFrame, outcome: str, predictors: list[str], folds: int = 5, forest: bool = False, trees: int = 200, seed: int = 42) -> DataFrame:
+    """Predicted less actual outcome by cross-validation; positive is better than expected.
 
-    A unit's fold is a hash of its key, so folds need no order of the whole table; a fold's
-    sums are the whole's less its own, and one pass gives them all.
+    Missing predictors are imputed by medians over all rows. By regression a fold's sums
+    are the whole's less its own, from one aggregation by fold; by forest one is fitted
+    for each fold. Empty for fewer than max(10 * folds, 50) rows.
     """
     spark, p = df.sparkSession, len(predictors) + 1
-    rows = imputed(df.where(F.col(outcome).isNotNull()), predictors).withColumn("fold", F.pmod(F.crc32(F.col("fips").cast("binary")), F.lit(folds)))
-    sums = [_products(rows.where(F.col("fold") == f), [*predictors, outcome])[0] for f in range(folds)]
-    whole = sum(sums)
-    if whole[0, 0] < max(10 * folds, 50):
-        return spark.createDataFrame([], "fips string, predicted double, actual double, resilience double")
-    terms, predicted = [F.lit(1.0), *[F.col(c) for c in predictors]], F.lit(None).cast("double")
+    none = spark.createDataFrame([], "fips string, predicted double, actual double, resilience double")
+    rows = imputed(df.where(F.col(outcome).isNotNull()), predictors)
+    if rows.count() < max(10 * folds, 50) or len(predictors) < 2:
+        return none
+    rows = _folds(rows.select("fips", *predictors, outcome), folds)
+    if forest:
+        ready = VectorAssembler(inputCols=predictors, outputCol="_x").transform(rows)
+        fit = lambda f: RandomForestRegressor(featuresCol="_x", labelCol=outcome, predictionCol="predicted", numTrees=trees, seed=seed).fit(ready.where(F.col("fold") != f))
+        out = reduce(DataFrame.unionByName, [fit(f).transform(ready.where(F.col("fold") == f)) for f in range(folds)])
+        return out.select("fips", "predicted", F.col(outcome).alias("actual")).withColumn("resilience", F.col("predicted") - F.col("actual"))
+    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in (*predictors, outcome)]]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    sums = np.zeros((folds, p + 1, p + 1))
+    for r in rows.groupBy("fold").agg(*[F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect():  # a row for each fold
+        for i, j in pairs:
+            sums[r["fold"], i, j] = sums[r["fold"], j, i] = r[f"s{i}_{j}"] or 0.0
+    predicted = F.lit(None).cast("double")
     for f in range(folds):
-        rest = whole - sums[f]
+        rest = sums.sum(axis=0) - sums[f]
         beta = np.linalg.pinv(rest[:p, :p]) @ rest[:p, p]
         predicted = F.when(F.col("fold") == f, sum(terms[i] * float(beta[i]) for i in range(p))).otherwise(predicted)
     return rows.select("fips", predicted.alias("predicted"), F.col(outcome).alias("actual")).withColumn("resilience", F.col("predicted") - F.col("actual"))

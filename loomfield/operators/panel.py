@@ -37,10 +37,14 @@ def moving_average(c: str, days: int, keys=UNIT) -> Column:
     return F.avg(c).over(_by_unit(keys).rowsBetween(-(days - 1), 0))
 
 
-def centered_average(c: str, days: int, keys=UNIT) -> Column:
-    """Zero-padded, always divided by days; an even window has one more day before."""
+def centered_average(c: str, days: int, keys=UNIT, zero_edges: bool = False) -> Column:
+    """Zero-padded, always divided by days; an even window has one more day before. zero_edges: 0 within days // 2 of the ends."""
     after = (days - 1) // 2
-    return F.sum(c).over(_by_unit(keys).rowsBetween(-(days - 1 - after), after)) / days
+    value = F.sum(c).over(_by_unit(keys).rowsBetween(-(days - 1 - after), after)) / days
+    if not zero_edges:
+        return value
+    place, n = F.row_number().over(_by_unit(keys)), F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return F.when((place > days // 2) & (place <= n - days // 2), value).otherwise(0.0)
 
 
 def corrections(df: DataFrame, c: str = "cases") -> DataFrame:
@@ -50,8 +54,12 @@ def corrections(df: DataFrame, c: str = "cases") -> DataFrame:
 
 
 def map_slice(df: DataFrame, date, window: int = 7, threshold: float = 5_000, state: str | None = None, kind: str | None = None) -> DataFrame:
-    """Smoothed daily cases per 100k of each unit on one date, classified; the date filter comes after the windows."""
-    out = real_units(with_daily(df, ("cases",))).withColumn("ma", moving_average("cases_daily", window))
+    """Smoothed daily cases per 100k of each unit on one date, classified.
+
+    Only the days that the average and its first difference read come to the windows; the panel is dense.
+    """
+    near = df.where(F.col("date").between(F.date_sub(F.lit(date), window), F.lit(date)))
+    out = real_units(with_daily(near, ("cases",))).where(F.col("date") > F.date_sub(F.lit(date), window)).withColumn("ma", moving_average("cases_daily", window))
     out = out.where(F.col("date") == date).withColumns({"value": rate(F.col("ma"), F.col("population")), "cases_pc": rate(F.col("cases"), F.col("population")), "deaths_pc": rate(F.col("deaths"), F.col("population")), "county_type": county_type(F.col("population"), threshold)})
     out = out.where("value is not null").select("fips", "state", "county_name", "population", "cases", "deaths", "value", "cases_pc", "deaths_pc", "county_type")
     if state and state != "United States":
@@ -68,10 +76,11 @@ def national(df: DataFrame) -> DataFrame:
     return out.groupBy("date").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"{c}_total") for c in ("cases", "deaths", "cases_daily", "deaths_daily")], (F.sum("cases") / people * 100_000).alias("cases_per_100k"))
 
 
-def kpi(df: DataFrame) -> DataFrame:
-    """Totals on the latest date."""
+def kpi(df: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Totals on the latest date; with a threshold for each county type."""
     last = df.agg(F.max("date").alias("date"))
-    out = real_units(df.join(F.broadcast(last), "date")).agg(F.sum("cases").alias("cases"), F.sum("deaths").alias("deaths"), F.count_distinct("fips").alias("units"))
+    latest = real_units(df.join(F.broadcast(last), "date"))
+    out = (latest if threshold is None else latest.groupBy(county_type(F.col("population"), threshold).alias("county_type"))).agg(F.sum("cases").alias("cases"), F.sum("deaths").alias("deaths"), F.count_distinct("fips").alias("units"))
     return out.withColumn("cfr", F.round(cfr(F.col("deaths"), F.col("cases")), 2))
 
 
@@ -82,7 +91,11 @@ def monthly_snapshot(df: DataFrame, c: str = "cases") -> DataFrame:
 
 
 def window_outcomes(df: DataFrame, start, end) -> DataFrame:
-    """Counts after start through end, per 100k and case fatality."""
+    """Counts after start through end, per 100k and case fatality. Dates that the panel lacks, or in the wrong order, are errors."""
+    if start >= end:
+        raise ValueError("start must come before end")
+    if (have := df.where(F.col("date").isin(start, end)).agg(F.count_distinct("date")).first()[0]) != 2:
+        raise ValueError(f"the panel has {have} of the two dates")
     at = lambda c, d: F.max(F.when(F.col("date") == d, F.col(c)))
     out = real_units(df).where(F.col("date").isin(start, end)).groupBy("fips", "state", "population").agg(*[F.greatest(at(c, end) - at(c, start), F.lit(0.0)).alias(c) for c in ("cases", "deaths")])
     return out.select("fips", "state", "cases", "deaths", rate(F.col("cases"), F.col("population")).alias("cases_per_100k"), rate(F.col("deaths"), F.col("population")).alias("deaths_per_100k"), cfr(F.col("deaths"), F.col("cases")).alias("case_fatality_rate"))

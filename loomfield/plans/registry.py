@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from loomfield.operators import features as ft
 from loomfield.operators import lags as lg
 from loomfield.operators import models as md
 from loomfield.operators import panel as p
+from loomfield.operators import reports as rp
 from loomfield.operators import spatial as sp
+from loomfield.operators import stats as st
 from loomfield.operators import waves as wv
 from loomfield.plans.sql import SQL
 from loomfield.sources import surrogate as s
@@ -24,9 +27,14 @@ FLAGSHIP = "map_slice"
 LAST = date.fromisoformat(s.LAST)
 
 
-def r6(df: DataFrame) -> DataFrame:
+def r6(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to six places and without a negative zero, so that engines compare equal."""
-    return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def plain(df: DataFrame, *counts: str) -> DataFrame:
+    """Counts that may be null as doubles and dates as text, so that engines compare equal."""
+    return df.select(*[F.col(c).cast("double" if c in counts else "string" if t == "date" else t).alias(c) for c, t in df.dtypes])
 
 
 def map_slice(spark: SparkSession, sf: str, **kw) -> DataFrame:
@@ -41,15 +49,31 @@ def _daily(spark, sf):
 WINDOWS = [("Early", date(1995, 1, 1), date(1996, 6, 30)), ("Middle", date(1996, 6, 30), date(1999, 1, 1)), ("Late", date(1999, 1, 2), date(2001, 12, 31))]
 
 
-def _long(spark, sf):
-    """A long noisy series for each nation: order value a day in thousands."""
-    o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
-    day = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").cast("string").alias("unit"), F.col("o_orderdate").cast("date").alias("date")).agg((F.sum("o_totalprice") / 1000).alias("value"))
+def _dense(day: DataFrame) -> DataFrame:
+    """(unit, date, value) with a row for each day, 0 where there was none."""
     days = F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-08-01").cast("date"))
     spine = day.select("unit").distinct().select("unit", F.explode(days).alias("date"))
     return spine.join(day, ["unit", "date"], "left").select("unit", "date", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def _long(spark, sf):
+    """A long noisy series for each nation: order value a day in thousands."""
+    o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
+    return _dense(o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").cast("string").alias("unit"), F.col("o_orderdate").cast("date").alias("date")).agg((F.sum("o_totalprice") / 1000).alias("value")))
+
+
+def _shipped(spark, sf):
+    """Another one: the price of what the nation's suppliers ship a day in thousands."""
+    i, x = load(spark, sf, "lineitem"), load(spark, sf, "supplier")
+    return _dense(i.join(x, i.l_suppkey == x.s_suppkey).groupBy(F.col("s_nationkey").cast("string").alias("unit"), F.col("l_shipdate").cast("date").alias("date")).agg((F.sum("l_extendedprice") / 1000).alias("value")))
+
+
+def _monthly_peaks(series: DataFrame) -> DataFrame:
+    """The largest day of each month, the first of several, as peaks."""
+    top = F.max(F.struct("value", (-F.unix_date("date")).alias("d"), "date"))
+    return series.groupBy("unit", F.trunc("date", "MM").alias("m")).agg(top.alias("t")).select("unit", F.col("t.date").alias("peak_date"), F.col("t.value").alias("peak_value"), F.lit(0.0).alias("prominence"))
+
+
 def _rings(spark, sf):
     """Each customer as a unit square of a grid of 50 columns."""
     c = load(spark, sf, "customer").select(x.pad_fips(F.col("c_custkey")).alias("fips"), (F.col("c_custkey") % 50).cast("double").alias("i"), F.floor(F.col("c_custkey") / 50).cast("double").alias("j"))
@@ -62,9 +86,42 @@ def _values(spark, sf):
 
 
 def _matches(spark, sf):
-    """Peaks of order value by nation against those of the following month's."""
-    first = lg.peaks(_long(spark, sf), 20.0, 14)
-    return lg.matches(first, first.withColumn("peak_date", F.date_add("peak_date", 12)), 90)
+    """Peaks of order value by nation against those of what its suppliers ship."""
+    return lg.matches(lg.peaks(_long(spark, sf), 20.0, 14), lg.peaks(_shipped(spark, sf), 20.0, 14), 90)
+
+
+def _greedy(spark, sf):
+    return lg.matches(_monthly_peaks(_long(spark, sf)), _monthly_peaks(_shipped(spark, sf)), 20)
+
+
+def _regions(spark, sf):
+    return wv.regions(_long(spark, sf), base=45.0)
+
+
+def _totals(spark, sf):
+    return _long(spark, sf).groupBy("unit").agg(F.sum("value").alias("total"))
+
+
+def _latest_vax(spark, sf):
+    return s.vaccination(spark, sf).groupBy("fips").agg(F.max_by("vax", F.when(F.col("vax").isNotNull(), F.col("date"))).alias("vax"))
+
+
+def _features(spark, sf):
+    """The feature table with the names that derived() reads."""
+    return s.master(spark, sf).select("fips", F.col("population").alias("population_2020"), F.col("n_orders").alias("hospital_beds"), F.col("avg_price").alias("pop_65plus"), F.when(F.col("rucc_code") > 0, F.col("rucc_code").cast("double")).alias("rucc_code"))
+
+
+def _peers(spark, sf):
+    return s.master(spark, sf).where("rucc_code = 3").select("fips")
+
+
+def _audit(spark, sf):
+    panel, people = s.panel(spark, sf), s.population(spark, sf)
+    rates = panel.select("fips", "state", "date", x.rate(F.col("deaths"), F.col("population")).alias("deaths_pc"))
+    return au.full_audit(panel, people, rp.map_metric(panel, LAST), rates, LAST)
+
+
+TWO = ["00005", "00010"]
 
 
 FACTORS = ["population", "n_orders", "avg_price"]
@@ -93,8 +150,8 @@ QUERIES = {
     "first_latest_change": lambda spark, sf: r6(p.first_latest(s.panel(spark, sf), "cases")),
     "vax_latest": lambda spark, sf: r6(s.vaccination(spark, sf).groupBy("fips").agg(F.max_by("vax", F.when(F.col("vax").isNotNull(), F.col("date"))).alias("vax"), F.max("date").alias("last_date"))),
     "forward_fill": lambda spark, sf: r6(p.forward_filled(s.vaccination(spark, sf), "vax", default=0.0)),
-    "as_of_filled": lambda spark, sf: r6(p.as_of(s.panel(spark, sf).where("day(date) % 10 = 5").select("fips", "date"), s.vaccination(spark, sf), "vax")),
-    "as_of_last_row": lambda spark, sf: r6(p.as_of(s.panel(spark, sf).where("day(date) % 10 = 5").select("fips", "date"), s.vaccination(spark, sf), "vax", skip_nulls=False)),
+    "as_of_filled": lambda spark, sf: r6(p.as_of(s.panel(spark, sf).select("fips", "date"), s.vaccination(spark, sf), "vax")),
+    "as_of_last_row": lambda spark, sf: r6(p.as_of(s.panel(spark, sf).select("fips", "date"), s.vaccination(spark, sf), "vax", skip_nulls=False)),
     "unmatched_keys": lambda spark, sf: s.population(spark, sf).select("fips").subtract(s.panel(spark, sf).select("fips")),
     "key_intersection": lambda spark, sf: s.population(spark, sf).select("fips").intersect(s.panel(spark, sf).select("fips")),
     "peer_median_series": lambda spark, sf: r6(p.peer_median(s.panel(spark, sf), "cases", s.master(spark, sf).where("rucc_code = 3").select("fips"))),
@@ -111,7 +168,7 @@ QUERIES = {
     "morans_i": lambda spark, sf: r6(sp.morans_i(_values(spark, sf), sp.adjacency(_rings(spark, sf)))),
     "getis_ord": lambda spark, sf: r6(sp.getis_ord(_values(spark, sf), sp.adjacency(_rings(spark, sf)))),
     "hotspot_counts": lambda spark, sf: sp.getis_ord(_values(spark, sf), sp.adjacency(_rings(spark, sf))).groupBy("category").agg(F.count("*").alias("n")),
-    "wave_regions": lambda spark, sf: r6(wv.regions(_long(spark, sf), base=45.0)),
+    "wave_regions": lambda spark, sf: _regions(spark, sf).select("unit", "start_date", "end_date", "days"),
     "wave_report": lambda spark, sf: r6(wv.detect(_long(spark, sf))),
     "wave_windows": lambda spark, sf: wv.match_windows(wv.detect(_long(spark, sf)), WINDOWS),
     "wave_scores": lambda spark, sf: r6(wv.score(wv.detect(_long(spark, sf)))),
@@ -120,15 +177,74 @@ QUERIES = {
     "lag_summary": lambda spark, sf: r6(lg.summary(_matches(spark, sf))),
     "ols_table": lambda spark, sf: r6(md.ols_table(s.master(spark, sf), "total_price", FACTORS)),
     "vif": lambda spark, sf: r6(md.vif(s.master(spark, sf), FACTORS)),
-    "forest_importance": lambda spark, sf: md.forest_importance(s.master(spark, sf), "total_price", FACTORS, trees=20),
+    "forest_importance": lambda spark, sf: md.forest_importance(s.master(spark, sf), "total_price", FACTORS),
     "archetypes": lambda spark, sf: md.archetypes(s.master(spark, sf), FACTORS),
     "resilience": lambda spark, sf: r6(md.resilience(s.master(spark, sf), "total_price", FACTORS)),
     "low_percentile": lambda spark, sf: r6(md.low_percentile(_long(spark, sf))),
     "imputed": lambda spark, sf: r6(md.imputed(s.master(spark, sf), ["n_orders", "avg_price"]).select("fips", "n_orders", "avg_price")),
-    "full_audit": lambda spark, sf: au.full_audit(s.panel(spark, sf), s.population(spark, sf)),
+    "full_audit": _audit,
     "master_table": lambda spark, sf: r6(au.master_table(s.panel(spark, sf), s.master(spark, sf))),
     "join_diagnostics": lambda spark, sf: r6(au.join_diagnostics(au.master_table(s.panel(spark, sf), s.master(spark, sf)), "n_orders")),
     "stream_daily_totals": lambda spark, sf: r6(daily_totals(load(spark, sf, "events"))),
+    "map_all_metrics": lambda spark, sf: r6(reduce(DataFrame.unionByName, [rp.map_metric(s.panel(spark, sf), LAST, m).select("fips", "value", F.lit(m).alias("metric")) for m in rp.METRICS])),
+    "map_metric": lambda spark, sf: r6(rp.map_metric(s.panel(spark, sf), LAST, "daily_deaths_ma5", 5000)),
+    "map_filtered": lambda spark, sf: r6(rp.filtered(rp.map_metric(s.panel(spark, sf), LAST, "cumulative_cases", 5000), states=["NATION_7", "NATION_3", "NATION_12"], kind="Urban", where=F.col("cases") > 0)),
+    "vaccination_map": lambda spark, sf: r6(rp.vaccination_map(_latest_vax(spark, sf), s.panel(spark, sf), "vax")),
+    "comparison_daily": lambda spark, sf: r6(rp.comparison(s.panel(spark, sf), TWO, "cases", "daily", per_100k=True, ma=3, with_national=True)),
+    "comparison_indexed": lambda spark, sf: r6(rp.comparison(s.panel(spark, sf), TWO, "deaths", "cumulative", index=True)),
+    "outer_on_date": lambda spark, sf: r6(rp.outer_on_date(("cases", p.national(s.panel(spark, sf)).select("date", F.col("cases_total").alias("value"))), ("vax", rp.median_by_date(s.vaccination(spark, sf), "vax").select("date", F.col("median").alias("value"))))),
+    "latest_ratio": lambda spark, sf: r6(rp.first_latest_ratio(p.first_latest(s.panel(spark, sf), "cases"), *TWO)),
+    "kpi_by_type": lambda spark, sf: r6(p.kpi(s.panel(spark, sf), 5000)),
+    "smoothed_edges": lambda spark, sf: r6(_daily(spark, sf).select("fips", "date", p.centered_average("cases_daily", 7, zero_edges=True).alias("s7"))),
+    "unit_series": lambda spark, sf: rp.unit_series(s.panel(spark, sf), "Customer#000000005", "NATION_21", "cases"),
+    "unit_rows": lambda spark, sf: r6(rp.unit_rows(s.vaccination(spark, sf), "5")),
+    "unit_population": lambda spark, sf: rp.unit_population(s.population(spark, sf), "Customer#000000005", "NATION_21"),
+    "overridden": lambda spark, sf: r6(rp.overridden(s.master(spark, sf).select("fips", "population", "n_orders"), s.population(spark, sf).select("fips", (F.col("population") * 2).alias("population")), ["population"])),
+    "external_dataset": lambda spark, sf: r6(rp.with_external(s.population(spark, sf).select("fips", "state", "population"), s.master(spark, sf).select(F.col("fips").alias("code"), "population", "n_orders"), "code")),
+    "neighbours": lambda spark, sf: rp.neighbours(s.master(spark, sf).select("fips", "population"), sp.adjacency(_rings(spark, sf)), "00155"),
+    "neighbour_medians": lambda spark, sf: r6(rp.medians_of(rp.neighbours(s.master(spark, sf), sp.adjacency(_rings(spark, sf)), "00155"), ["population", "n_orders"], 3)),
+    "vax_median_by_date": lambda spark, sf: r6(rp.median_by_date(s.vaccination(spark, sf), "vax")),
+    "colour_scale": lambda spark, sf: r6(rp.colour_scale(s.master(spark, sf), "population"), 4),
+    "unit_against_rest": lambda spark, sf: r6(rp.against_rest(s.master(spark, sf), "00005", FACTORS), 4),
+    "strict_percentile": lambda spark, sf: r6(rp.strict_percentile(s.master(spark, sf), "00005", "total_price")),
+    "ranked": lambda spark, sf: rp.ranked(s.master(spark, sf).where("total_price is not null").select("fips", "total_price"), "total_price", 25).select("fips", "rank"),
+    "sample": lambda spark, sf: rp.sample(s.master(spark, sf).select("fips"), 20),
+    "union_of_dates": lambda spark, sf: rp.union_of_dates(s.panel(spark, sf), s.vaccination(spark, sf)),
+    "first_rows": lambda spark, sf: rp.first_rows(s.population(spark, sf), "state", "fips"),
+    "derived_features": lambda spark, sf: r6(rp.derived(_features(spark, sf))),
+    "rucc_groups": lambda spark, sf: rp.rucc_groups(_features(spark, sf)),
+    "load_diagnostics": lambda spark, sf: r6(rp.diagnostics(s.master(spark, sf), s.panel(spark, sf).select("fips").distinct().unionByName(spark.createDataFrame([("99999",)], "fips string")), ["n_orders", "population"]).drop("unmatched", "repeated")),
+    "repeated_keys": lambda spark, sf: rp.repeated_keys(s.population(spark, sf).select("state", "county_name"), "state").select("state", "n", F.size("names").cast("long").alias("n_names")),
+    "fact_sheet": lambda spark, sf: r6(rp.fact_sheet(s.panel(spark, sf), s.master(spark, sf), "00005", FACTORS), 4),
+    "associations": lambda spark, sf: r6(st.associations(s.master(spark, sf), ["total_price", "n_orders"], FACTORS).drop("pearson_p", "spearman_p"), 3),
+    "factor_ranking": lambda spark, sf: st.factor_ranking(s.master(spark, sf), "total_price", [*FACTORS, "total_price"]).select("factor", "n", "strength", "rank"),
+    "correlation_matrix": lambda spark, sf: r6(st.pivoted(st.associations(s.master(spark, sf), ["total_price", "n_orders"], FACTORS), FACTORS, ["total_price", "n_orders"])),
+    "residual_explorer": lambda spark, sf: r6(st.residual_explorer(s.master(spark, sf), "n_orders", "total_price"), 3),
+    "regression_ready": lambda spark, sf: r6(st.regression_ready(s.master(spark, sf), "total_price", ["n_orders", "avg_price"])),
+    "clustering_ready": lambda spark, sf: r6(st.clustering_ready(s.master(spark, sf).select("fips", F.col("n_orders").alias("order_rate"), F.col("avg_price").alias("pct_price"), "total_price"))),
+    "insights": lambda spark, sf: r6(st.insights(s.master(spark, sf), "00005", _peers(spark, sf), "total_price", {f: f for f in FACTORS}, min_z=0.1), 3),
+    "partial_dependence": lambda spark, sf: st.partial_dependence(s.master(spark, sf), "total_price", FACTORS, top=2),
+    "forest_resilience": lambda spark, sf: md.resilience(s.master(spark, sf), "total_price", FACTORS, forest=True),
+    "resilience_summary": lambda spark, sf: st.resilience_summary(md.resilience(s.master(spark, sf), "total_price", FACTORS)),
+    "cluster_profile": lambda spark, sf: md.cluster_profile(s.master(spark, sf), md.archetypes(s.master(spark, sf), FACTORS), FACTORS),
+    "severity_correlation": lambda spark, sf: r6(st.severity_correlation(s.vaccination(spark, sf).select(F.col("fips").alias("unit"), "vax", F.dayofmonth("date").cast("double").alias("severity")))),
+    "ols_simple": lambda spark, sf: r6(md.ols_table(s.master(spark, sf), "total_price", ["n_orders"]).select("term", "beta", "se", "se_hc3", "t", "ci_low", "ci_high", "r2", "adj_r2", "n"), 3),
+    "greedy_matches": lambda spark, sf: r6(lg.severity(_greedy(spark, sf))),
+    "greedy_summary": lambda spark, sf: r6(lg.summary(_greedy(spark, sf))),
+    "greedy_views": lambda spark, sf: lg.overlay(_greedy(spark, sf)),
+    "greedy_compared": lambda spark, sf: r6(lg.compared(_greedy(spark, sf), "3", "7")),
+    "region_waves": lambda spark, sf: r6(_regions(spark, sf)),
+    "region_scores": lambda spark, sf: wv.score(_regions(spark, sf), _totals(spark, sf)),
+    "region_windows": lambda spark, sf: wv.match_windows(_regions(spark, sf), WINDOWS),
+    "region_metrics": lambda spark, sf: r6(wv.metrics(_regions(spark, sf), _long(spark, sf))),
+    "region_zip": lambda spark, sf: r6(plain(wv.zipped(_regions(spark, sf), wv.regions(_shipped(spark, sf), base=45.0)), "case_duration_days", "death_duration_days")),
+    "region_first_within": lambda spark, sf: plain(wv.first_within(_regions(spark, sf), wv.regions(_shipped(spark, sf), base=45.0)), "death_wave"),
+    "region_by_significance": lambda spark, sf: wv.score(_regions(spark, sf), _totals(spark, sf)).orderBy(F.desc("wave_significance"), "unit", "wave_number").limit(20),
+    "wave_metrics": lambda spark, sf: r6(wv.both_metrics(*[wv.metrics(wv.detect(x), x) for x in (_long(spark, sf), _shipped(spark, sf))])),
+    "wave_audit_log": lambda spark, sf: wv.audit_log(_long(spark, sf)),
+    "prominent_waves": lambda spark, sf: r6(wv.detect(_long(spark, sf), preset=None, prominence=30.0, merge=30)),
+    "smoothing_windows": lambda spark, sf: wv.smoothing_windows(_long(spark, sf)),
+    "wave_presets": lambda spark, sf: reduce(DataFrame.unionByName, [wv.detect(_long(spark, sf), preset=k).groupBy(F.lit(k).alias("preset")).agg(F.count("*").alias("waves")) for k in wv.PRESETS]),
     "duplicate_keys": lambda spark, sf: load(spark, sf, "orders").groupBy(x.pad_fips(F.col("o_custkey")).alias("fips")).agg(F.count("*").alias("n")).where("n > 1"),
     "population_validity": lambda spark, sf: s.population(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("population") == 0).alias("zero"), F.count_if(F.col("population") < 0).alias("negative"), F.count_if(F.col("population").isNull()).alias("missing"), F.count_if(F.col("fips") == "00000").alias("unallocated")),
 }

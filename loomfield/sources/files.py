@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +46,78 @@ def read_panel(spark: SparkSession, cases: str, deaths: str, population: str) ->
 
 def read_fixed_width(spark: SparkSession, path: str, layout: dict[str, tuple[int, int]], encoding: str = "ISO-8859-1") -> DataFrame:
     """Columns by (start from 1, width), trimmed; blank is null."""
-    lines = spark.read.option("encoding", encoding).text(path)
+    # The text reader takes UTF-8 for granted; a CSV of one column does not, and is split among tasks.
+    lines = spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path)
     return lines.select(*[F.nullif(F.trim(F.substring("value", a, n)), F.lit("")).alias(c) for c, (a, n) in layout.items()])
 
 
+def read_layout(spark: SparkSession, path: str) -> DataFrame:
+    """name, start (from 1), width, is_text and description of each variable of a layout file: @start name [$] width. /* description */."""
+    text = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("text"))
+    entry = r"@(\d+)\s+(\w+)\s+(\$?)\s*(\d+)\.\s+/\*(.+?)\*/"
+    part = lambda k: F.regexp_extract("m", entry, k)
+    found = text.select(F.explode(F.regexp_extract_all("text", F.lit(entry), F.lit(0))).alias("m"))
+    return found.select(part(2).alias("name"), part(1).cast("int").alias("start"), part(4).cast("int").alias("width"), (part(3) == "$").alias("is_text"), F.trim(part(5)).alias("description"))
+
+
+def layout_of(layout: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
+    """What read_fixed_width() takes of some variables of a layout."""
+    return {r["name"]: (r["start"], r["width"]) for r in layout.where(F.col("name").isin(names)).collect()}  # one row for each name
+
+
+def read_features(spark: SparkSession, path: str, columns: dict[str, str], key: str, texts: tuple[str, ...] = (), encoding: str = "ISO-8859-1") -> DataFrame:
+    """fips and the mapped columns of a wide CSV, numbers where they are not texts; columns that the file lacks are left out."""
+    raw = read_text_csv(spark, path, encoding)
+    kept = {new: old for old, new in columns.items() if old in raw.columns}
+    return raw.select(pad_fips(F.col(f"`{key}`")).alias("fips"), *[(F.col(f"`{old}`") if new in texts else number(F.col(f"`{old}`"))).alias(new) for new, old in kept.items()])
+
+
+def feature_table(base: DataFrame, *more: DataFrame) -> DataFrame:
+    """base with the columns that it lacks of each further table by fips; a table that is None is left out. One row for each key."""
+    for other in more:
+        if other is not None:
+            new = [c for c in other.columns if c not in base.columns]
+            base = base.join(other.select("fips", *new).dropDuplicates(["fips"]), "fips", "left")
+    return base
+
+
+def read_vaccination(spark: SparkSession, path: str, columns: dict[str, str], date_format: str = "MM/dd/yyyy") -> DataFrame:
+    """fips, date and the mapped percentages of a long CSV; rows without a known date or unit are dropped."""
+    raw = read_text_csv(spark, path)
+    out = raw.select(F.lpad(F.trim("FIPS"), 5, "0").alias("fips"), F.try_to_date("Date", date_format).alias("date"), *[number(F.col(f"`{old}`")).alias(new) for old, new in columns.items() if old in raw.columns])
+    return out.where(F.col("date").isNotNull() & F.col("fips").rlike("^[0-9]{5}$"))
+
+
+def optional(read, *args, **kw) -> DataFrame | None:
+    """What a reader gives, or None for a source that is missing."""
+    try:
+        return read(*args, **kw)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def catalog(spark: SparkSession, entries: dict[str, tuple], df: DataFrame | None = None) -> DataFrame:
+    """column, label, category, units, year, description of variables; of those only that df has, if given."""
+    rows = [(c, *e) for c, e in entries.items() if df is None or c in df.columns]
+    return spark.createDataFrame(rows, "column string, label string, category string, units string, year string, description string")
+
+
+def state_view(rings: DataFrame, states: DataFrame, state: str) -> DataFrame:
+    """One row: the box and the middle of a state's units, for zooming; nothing for an unknown state."""
+    p = rings.join(F.broadcast(states.where(F.col("state") == state).select("fips").distinct()), "fips", "left_semi").select(F.explode("ring").alias("p"))
+    x, y = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    box = p.agg(F.min(x).alias("west"), F.min(y).alias("south"), F.max(x).alias("east"), F.max(y).alias("north")).where("west is not null")
+    return box.withColumns({"lon": (F.col("west") + F.col("east")) / 2, "lat": (F.col("south") + F.col("north")) / 2})
+
+
+def write_csv(df: DataFrame, path: str, order: list[str], places: int | None = None) -> None:
+    """Rows in order as one CSV with a header: a map slice or a comparison, of the size of a report."""
+    rounded = df if places is None else df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    rounded.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """fips and ring (array of points) of each polygon's rings."""
     schema = "features array<struct<id:string,geometry:struct<type:string,coordinates:string>>>"
