@@ -153,7 +153,7 @@ _BODIES = {
     "ranked": "SELECT fips, rank::INTEGER AS rank FROM (SELECT fips, row_number() OVER (ORDER BY total_price DESC, fips) AS rank FROM master WHERE total_price IS NOT NULL) WHERE rank <= 25",
     "union_of_dates": "SELECT date FROM panel UNION SELECT date FROM vax",
     "first_rows": "SELECT state, fips, county_name, population FROM population WHERE (state, fips) IN (SELECT state, min(fips) FROM population GROUP BY state)",
-    "derived_features": "SELECT *, CASE WHEN population_2020 > 0 THEN round(hospital_beds / population_2020 * 100000, 6) END AS hospital_beds_per_100k, CASE WHEN population_2020 > 0 THEN round(pop_65plus / population_2020 * 100, 6) END AS pct_pop_65plus, coalesce(rucc_code BETWEEN 1 AND 3, false) AS is_metro, CASE WHEN rucc_code BETWEEN 1 AND 3 THEN 'Metro' WHEN rucc_code IS NOT NULL THEN 'Nonmetro' END AS rucc_group FROM (SELECT fips, round(population_2020, 6) AS population_2020, round(hospital_beds, 6) AS hospital_beds, round(pop_65plus, 6) AS pop_65plus, rucc_code FROM feat)",
+    "derived_features": "SELECT fips, round(population_2020, 6) AS population_2020, round(hospital_beds, 6) AS hospital_beds, round(pop_65plus, 6) AS pop_65plus, rucc_code, CASE WHEN population_2020 > 0 THEN round(hospital_beds / population_2020 * 100000, 6) END AS hospital_beds_per_100k, CASE WHEN population_2020 > 0 THEN round(pop_65plus / population_2020 * 100, 6) END AS pct_pop_65plus, coalesce(rucc_code BETWEEN 1 AND 3, false) AS is_metro, CASE WHEN rucc_code BETWEEN 1 AND 3 THEN 'Metro' WHEN rucc_code IS NOT NULL THEN 'Nonmetro' END AS rucc_group FROM feat",
     "rucc_groups": "SELECT fips, rucc_code, CASE WHEN rucc_code BETWEEN 1 AND 3 THEN 'Metro' WHEN rucc_code BETWEEN 4 AND 9 THEN 'Nonmetro' END AS rucc_group FROM feat",
     "load_diagnostics": "SELECT (SELECT count(*) FROM master) AS rows, (SELECT round(avg(CASE WHEN n_orders IS NULL THEN 1 ELSE 0 END) * 100, 1) FROM master) AS missing_n_orders, (SELECT round(avg(CASE WHEN population IS NULL THEN 1 ELSE 0 END) * 100, 1) FROM master) AS missing_population, count(*) AS keys, count(m.fips) AS matched, round(count(m.fips) / count(*) * 100, 1) AS match_rate_pct FROM (SELECT DISTINCT fips FROM panel UNION SELECT '99999') k LEFT JOIN master m USING (fips)",
     "repeated_keys": "SELECT state, count(*) AS n, count(DISTINCT county_name) AS n_names FROM population GROUP BY state HAVING count(*) > 1",
