@@ -96,8 +96,8 @@ def search(spark: SparkSession, prints: DataFrame, queries: DataFrame, least: fl
 
 
 def with_next(spark: SparkSession, docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """docs (doc_id, text, s) with next_text and next_s: those of the row that follows by id; the last is followed by the first."""
-    docs = docs.select("doc_id", "text", "s")
+    """docs (doc_id, text) with s, next_text and next_s: its signature set, and those of the row that follows by id; the last is followed by the first."""
+    docs = docs.select("doc_id", "text")
     if ranges is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 8, min(-(-size // RANGE_BYTES), RANGES))
@@ -106,8 +106,9 @@ def with_next(spark: SparkSession, docs: DataFrame, ranges: int | None = None) -
     part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b <= F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)))))
     placed = docs.withColumn("r", part)
     own = Window.partitionBy("r").orderBy("doc_id", "text")
-    inside = placed.withColumn("after", F.lead(F.struct("text", "s")).over(own))
-    firsts = placed.groupBy("r").agg(F.min(F.struct("doc_id", "text", "s")).alias("f")).select("r", F.struct("f.text", "f.s").alias("over"))
+    # Only texts are shuffled; sets are made where a range lies, before the window that needs it there.
+    inside = with_signatures(placed.repartition("r"), "text", "s").withColumn("after", F.lead(F.struct("text", "s")).over(own))
+    firsts = with_signatures(placed.groupBy("r").agg(F.min(F.struct("doc_id", "text")).alias("f")).select("r", "f.text"), "text", "s").select("r", F.struct("text", "s").alias("over"))
     present = sorted(x["r"] for x in placed.select("r").distinct().collect())  # a number for each range
     follows = F.create_map(*[F.lit(x) for a, b in zip(present, present[1:] + present[:1], strict=True) for x in (b, a)]) if present else F.create_map(F.lit(0), F.lit(0))
     firsts = firsts.select(follows[F.col("r")].alias("r"), F.lit(True).alias("last"), "over")
@@ -115,9 +116,13 @@ def with_next(spark: SparkSession, docs: DataFrame, ranges: int | None = None) -
     return found.select("doc_id", "text", "s", F.col("after.text").alias("next_text"), F.col("after.s").alias("next_s"))
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+
 def prints_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and s, the signature set, of every document."""
-    return with_signatures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), "text", "s")
+    return with_signatures(_texts(docs, id_col, text_col), "text", "s")
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +131,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     The edited text has its last half (rounded down) replaced by as much of the start of
     the next document, or all of it.
     """
-    df = with_next(spark, prints_of(docs, id_col, text_col)).withColumn("n_chars", F.length("text"))
+    df = with_next(spark, _texts(docs, id_col, text_col)).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next_text", F.lit(1), half)))
     df = with_signatures(df, "edited", "edited_s")
