@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only where the session names none."""
+    """The folder every executor sees; a temporary one only where the session names none and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loomfield-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -69,6 +72,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         near = labels.join(seen, "v").select("v", F.col("l").alias("before"), F.least("l", "m").alias("l"))
         up = near.select(F.col("v").alias("l"), F.col("l").alias("top"))
         after = stored(spark, near.join(up, "l").select("v", "before", F.least("l", "top").alias("l")), "labels")
+        discard(spark, labels)
         labels = after.select("v", "l")
         if after.where("before <> l").isEmpty():
+            discard(spark, both)
             return labels

@@ -12,8 +12,10 @@ With 16 permutations an item that is contained to 0.8 is missed with probability
 0.2 ** 16 = 7e-12.
 
 Only DataFrame functions are used. Null, empty and blank texts have no shingles and
-match nothing; a text of fewer words than the width is one shingle. Rows that repeat
-a document or an item give one row. Extra columns are ignored.
+match nothing; a text of fewer words than the width is one shingle. Texts of any length
+are read whole. Rows that repeat a document or an item give one row; an id with several
+texts holds what any of them holds. Shingles that tie for a minimum give one query row.
+Extra columns, of whatever name, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

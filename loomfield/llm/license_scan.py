@@ -12,8 +12,10 @@ its index is part of the plan.
 
 Exact phrases are found beside it in the whole text and always count.
 
-Null and empty texts have no words and no labels. Repeated rows each give a row;
-extra columns are ignored.
+Null and empty texts have no words and no labels; texts of any length are cut into
+blocks whole. Words that tie in their counts are ordered by themselves, of blocks that
+tie the score is the same. Repeated rows each give a row; extra columns, of whatever
+name, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

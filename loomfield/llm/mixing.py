@@ -7,12 +7,14 @@ x tokens x posterior) match target shares of the whole. A document's rate depend
 its posterior and on the steps so far, so a round is one aggregation to a few numbers
 for each domain and no state is kept beside the list of steps. Gradients are scaled by
 the inverse Gram matrix of the documents that are not at zero, so that rare domains
-beside a large one get there in few rounds; where that does not help, a plain step does.
+beside a large one get there in few rounds; where that does not help, plain steps do.
 Rounds end when the targets are met, or with a warning when no step comes nearer.
 
 Only DataFrame functions are used. Null and empty texts have no tokens: they get the
-prior's posterior, and add nothing. Rows that repeat a document each count. Extra
-columns are ignored. With no labelled rows every posterior is even.
+prior's posterior, and add nothing. Texts of any length are read whole. Rows that repeat
+a document each count, and have equal rates. Extra columns, of whatever name, are
+ignored. With no labelled rows every posterior is even; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -91,25 +93,39 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
         # The step is the inverse of the largest row sum of the Gram matrix, an upper bound of its norm.
         gram = rows.agg(*[F.sum(F.get("p", F.lit(i)) * part[j]).alias(f"g{i}_{j}") for i in range(len(domains)) for j in range(len(domains))]).first()
         size = max(sum(gram[f"g{i}_{j}"] for j in range(len(domains))) for i in range(len(domains)))
-        k, before, scaled = len(domains), math.inf, False
+        k, before, scaled, pause, wait = len(domains), math.inf, False, 0, 1
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        for _ in range(rounds):
+
+        def state() -> tuple[np.ndarray, np.ndarray]:
+            """How far shares are off after the steps so far, and the Gram matrix of documents that are not at zero."""
             own = rows.select("p", _rate(steps).alias("r"), *[x.alias(f"t{i}") for i, x in enumerate(part)])
             now = own.agg(*[F.sum(F.col("r") * F.col(f"t{i}")).alias(f"t{i}") for i in range(k)], *[F.sum(F.when(F.col("r") > 0, F.get("p", F.lit(i)) * F.col(f"t{j}")).otherwise(0.0)).alias(f"g{i}_{j}") for i, j in pairs]).first()
-            off = np.array([now[f"t{i}"] - goal[i] for i in range(k)])
+            gram = np.zeros((k, k))
+            for i, j in pairs:
+                gram[i, j] = gram[j, i] = now[f"g{i}_{j}"]
+            return np.array([now[f"t{i}"] - goal[i] for i in range(k)]), gram
+
+        best = off = np.full(k, math.inf)
+        for _ in range(rounds):
+            off, gram = state()
             error = float(off @ off)
             if abs(off).max() <= tolerance:
                 break
-            if error > before * (1 - 1e-6):
+            if error > before * (1 - (1e-6 if scaled else 1e-3)):
                 if not scaled:
+                    if error > before:
+                        steps.pop()
+                        off = best
                     break
-                steps[-1], scaled = plain, False  # no nearer: the plain step instead
+                # No nearer: a plain step instead, and each time more of them before the next scaled one.
+                steps[-1], scaled, pause, wait = plain, False, wait, 2 * wait
                 continue
-            gram = np.zeros((k, k))
-            for i, j in pairs:
-                gram[i, j] = gram[j, i] = now[f"g{i}_{j}"]
-            before, scaled, plain = error, True, (off / size).tolist()
-            steps.append(np.linalg.lstsq(gram, off, rcond=1e-9)[0].tolist())
+            before, best, plain = error, off, (off / size).tolist()
+            scaled, pause = pause == 0, max(pause - 1, 0)
+            # Domains that hardly any document may belong to are no direction to go.
+            steps.append(np.linalg.lstsq(gram, off, rcond=1e-3)[0].tolist() if scaled else plain)
+        else:
+            off, _ = state()
         if abs(off).max() > tolerance:
             warnings.warn(f"mixing: shares miss their targets by {dict(zip(domains, off.round(4).tolist(), strict=True))}", stacklevel=2)
     return rows.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], _rate(steps).alias("rate")).withColumn("expected", F.col("rate") * F.col("n_tokens"))

@@ -19,9 +19,11 @@ prefix tokens and groups is enough to bound how much of a query a group can hold
 Every candidate is verified on the whole sets. No candidate is capped, and no step
 compares all pairs of a group of copies: copies cost one row each.
 
-Null, empty and blank texts have an empty set and link with nothing. Repeated ids
-with one text fall into one class. Extra columns of the input are ignored. An
-empty table gives an empty result.
+Null, empty and blank texts have an empty set and link with nothing. Texts of any
+length are read whole. Repeated ids with one text fall into one class; an id with two
+texts must be told apart by its caller. Of leaders that tie the smallest id leads. Extra
+columns of the input, of whatever name, are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ such entities are weighed by information: the disclosure of an entity, or of a k
 by a term is the pointwise mutual information of both, as a share of the information
 content of what is disclosed, log(p(entity | term) / p(entity)) / -log p(entity). It is
 1 where a term never occurs without the entity, or one of the kind, near. Terms that
-reach the threshold are removed wherever they stand outside entities, if two texts or
-more show it and chance would not: over all terms, less than CHANCE of them would stand
+reach the threshold wherever they stand outside entities are removed where they disclose
+an entity, and generalised to the kind's name where they disclose a kind only, if two
+texts or more show it and chance would not: over all terms, less than CHANCE of them would stand
 near in so many texts if places were dealt at random. MANY texts always suffice, as odds
 say little where most words stand near a kind.
 
@@ -119,7 +120,8 @@ def _terms(text: Column) -> Column:
 def disclosing_terms(spark: SparkSession, texts: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Terms with what they disclose; texts has text.
 
-    Returns term, kind, disclosure, n_texts: each term once, with what it discloses most.
+    Returns term, kind, disclosure, n_texts, entity (whether it discloses a single one):
+    each term once, with what it discloses most.
     """
     found = stored(spark, with_entities(texts.select("text").distinct()), "distinct")
     near = found.select("text", F.explode("spans").alias("s"))
@@ -132,7 +134,7 @@ def disclosing_terms(spark: SparkSession, texts: DataFrame, threshold: float = 0
     near = near.select(F.col("s.kind").alias("kind"), F.xxhash64(F.lower("s.value")).alias("e"), F.xxhash64("text").alias("h"), words.alias("words"))
     near = stored(spark, near.select("kind", "e", "h", F.explode("words").alias("term")).groupBy("term", "kind", "e", "h").agg(F.count("*").alias("n")), "near")
     if near.isEmpty():
-        return spark.createDataFrame([], "term string, kind string, disclosure double, n_texts long")
+        return spark.createDataFrame([], "term string, kind string, disclosure double, n_texts long, entity boolean")
     places = stored(spark, found.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_all")), "places")
     total, terms = places.agg(F.sum("n_all"), F.count("*")).first()
     share = lambda n: F.least(n / F.lit(float(total or 1)), F.lit(1.0))
@@ -142,19 +144,21 @@ def disclosing_terms(spark: SparkSession, texts: DataFrame, threshold: float = 0
     by_entity = near.groupBy("term", "kind", "e").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_near")).where("n_texts >= 2").join(entities, ["kind", "e"]).join(F.broadcast(kinds), "kind")
     by_kind = near.groupBy("term", "kind", "h").agg(F.sum("n").alias("n")).groupBy("term", "kind").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_near")).where("n_texts >= 2").join(F.broadcast(kinds), "kind").withColumn("p", F.col("p_kind"))
     # The first text says which entity is meant, so that it only has the odds of the kind.
-    both = by_entity.select("term", "kind", "n_texts", "n_near", "p", "p_kind").unionByName(by_kind.select("term", "kind", "n_texts", "n_near", "p", "p_kind"))
+    parts = [df.select("term", "kind", "n_texts", "n_near", "p", "p_kind", F.lit(entity).alias("entity")) for df, entity in ((by_entity, True), (by_kind, False))]
+    both = parts[0].unionByName(parts[1])
     weighed = both.where("p < 1").join(places, "term").withColumn("given", F.least(F.col("n_near") / F.col("n_all"), F.lit(1.0)))
     weighed = weighed.withColumn("disclosure", F.log(F.col("given") / F.col("p")) / -F.log("p"))
     odds = (F.col("n_texts") - 1) * -F.log("p") - F.log("p_kind")
     weighed = weighed.where((F.col("disclosure") >= threshold) & ((odds >= F.log(F.lit(terms / CHANCE))) | (F.col("n_texts") >= MANY)))
-    best = weighed.groupBy("term").agg(F.max(F.struct("disclosure", "n_texts", "kind")).alias("m"))
-    return stored(spark, best.select("term", "m.kind", "m.disclosure", "m.n_texts"), "terms")
+    best = weighed.groupBy("term").agg(F.max(F.struct("disclosure", "n_texts", "kind")).alias("m"), F.max("entity").alias("entity"))
+    return stored(spark, best.select("term", "m.kind", "m.disclosure", "m.n_texts", "entity"), "terms")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, keep: tuple = ()) -> DataFrame:
     """doc_id, the columns named by keep, spans (array of kind, start, end; term spans last) and clean, the text with spans generalised.
 
-    Spans of a kind become its name in brackets; terms are removed. Also n_base: the spans by pattern.
+    Spans of a kind become its name in brackets, and so do terms that disclose only a kind;
+    terms that disclose an entity are removed. Also n_base: the spans by pattern.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(text_col, F.lit("")).alias("text"))
     terms = disclosing_terms(spark, texts, threshold)
@@ -162,27 +166,30 @@ def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     n = terms.count()
     edge = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
     if n == 0:
-        texts = texts.withColumn("_terms", F.array().cast(NO_SPANS))
+        texts = texts.withColumns({"_terms": F.array().cast(NO_SPANS), "_names": F.create_map().cast("map<string,string>")})
     else:
         own = F.array_distinct(_terms(F.col("text")))
         if n <= SENT:
-            few = F.array(*[F.lit(r["term"]) for r in terms.orderBy("term").collect()])  # SENT at most
+            rows = terms.orderBy("term").collect()  # SENT at most
+            few = F.array(*[F.lit(r["term"]) for r in rows])
+            names = [F.lit(x) for r in rows if not r["entity"] for x in (r["term"], r["kind"])]
             listed = F.array_join(F.array_sort(F.array_intersect(own, few)), "|")
-            texts = texts.withColumn("_listed", F.when(listed != "", listed))
+            texts = texts.withColumns({"_listed": F.when(listed != "", listed), "_names": F.create_map(*names).cast("map<string,string>")})
         else:
             texts = texts.withColumn("_text", F.xxhash64("text"))
-            held = texts.select("_text", F.explode(own).alias("term")).join(terms.select("term"), "term").groupBy("_text").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("_listed"))
+            held = texts.select("_text", F.explode(own).alias("term")).join(terms.select("term", F.when(~F.col("entity"), F.col("kind")).alias("kind")), "term").groupBy("_text")
+            held = held.agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("_listed"), F.map_from_entries(F.collect_set(F.when(F.col("kind").isNotNull(), F.struct("term", "kind")))).alias("_names"))
             texts = texts.join(held, "_text", "left")
         whole = F.concat(F.lit(f"(?<!{edge})(?:"), F.col("_listed"), F.lit(f")(?!{edge})"))
         texts = _with_spans(texts, "_terms", _low(F.col("text")), whole, "term", F.col("_listed").isNotNull())
         apart = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
         texts = texts.withColumn("_terms", F.filter("_terms", apart))
     texts = texts.withColumn("n_base", F.size("spans")).withColumn("spans", F.concat("spans", "_terms"))
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.when(s["kind"] == "term", F.try_element_at("_names", s["value"])).otherwise(s["kind"]).alias("name"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
-        name = F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        name = F.coalesce(F.concat(F.lit("["), F.upper(s["name"]), F.lit("]")), F.lit(""))
         out = F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), name)
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
 

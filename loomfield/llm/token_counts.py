@@ -7,7 +7,10 @@ that survive are the tokens. Counts of pre-tokens seen before come from a bounde
 memory of each worker.
 
 Null and empty texts have no bytes and no tokens. Whole texts are counted, of any
-length; repeated rows each give a row.
+length; of equal pairs side by side the first ones merge. Repeated rows each give a row;
+extra columns, of whatever name, are ignored; an empty table gives an empty result.
+Remembered counts go by a 64-bit hash of the pre-token: two of a million that meet at
+once share a hash with a probability of 3e-8.
 """
 
 from __future__ import annotations

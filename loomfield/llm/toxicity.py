@@ -13,9 +13,11 @@ are shifted so that each language's best threshold falls on one value. A row of
 sample counts by the score of a model that was fitted without its fold, all others by
 the model itself. Labels, ids, sources and language columns are never inputs of a score.
 
-Null and empty texts have no words and get the score of an empty text. Repeated rows
-each give a row; extra columns are ignored; without labelled rows of both classes
-every score is 0.
+Null and empty texts have no words and get the score of an empty text. Texts of any
+length are scored whole; equal texts have equal scores. Repeated rows each give a row,
+repeated or contradicting labels each count; extra columns, of whatever name, are
+ignored. Without labelled rows of both classes every score is 0; an empty table gives an
+empty result. Of filter values and thresholds that tie the first counts.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm.arrays import NOT_WORD, groups, words_of
@@ -37,8 +39,12 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 8
 FIRST = 4
 #: Labelled rows to train on at most.
 TRAIN_ROWS = 4000
+#: Bytes of their texts at most: rows beyond these, in the order of the hash, are not trained on.
+TRAIN_BYTES = 64 << 20
 #: Parts of these; each is scored by a model of the other parts for the thresholds.
 FOLDS = 4
+#: Few rows are passed over until so many steps are made, at most so often.
+LEAST_STEPS, MOST_EPOCHS = 300, 60
 THRESHOLD = 0.7
 #: Thresholds are chosen among steps of 1 / STEPS in the logit, from -LIMIT to LIMIT.
 STEPS, LIMIT = 64, 30
@@ -129,7 +135,8 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _weights(words: np.ndarray, at: np.ndarray, y: np.ndarray, rows: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Model:
-    """A model of the texts at rows, without thresholds."""
+    """A model of the texts at rows, without thresholds: epochs passes, or as many as make LEAST_STEPS steps of few rows."""
+    epochs = max(epochs, min(-(-LEAST_STEPS * batch // max(len(rows), 1)), MOST_EPOCHS))
     rng = np.random.default_rng(seed)
     rows = rows.copy()
     ids = (words % np.uint64(BUCKETS)).astype(np.int64)
@@ -273,7 +280,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     if usable is not None:
         every = every.where(usable(F.col("id")))
     some = every.orderBy(F.xxhash64("id"), "id", "y").limit(limit)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS))).orderBy("id").limit(2 * limit).toArrow()
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS)))
+    # limit ids, of one row each but where ids repeat: so many rows are few enough for one task and the driver.
+    first = Window.orderBy(F.xxhash64("id"), "id", "text", "y").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.orderBy(F.xxhash64("id"), "id", "text", "y").limit(2 * limit).withColumn("_b", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(first)).where(F.col("_b") <= TRAIN_BYTES).drop("_b").orderBy("id", "text").toArrow()
     y = np.asarray(found["y"])
     if not len(y) or y.min() == y.max():
         return None, _counts([], [], [], 0), every

@@ -127,7 +127,7 @@ def test_pii_disclosing_term(spark):
     rows = [(i, f"w{i} x helpline +1 555 555 {1000 + i} thanks w{i}") for i in range(30)] + [(100 + i, "some other thanks words") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     r = pii.sanitise(spark, df).where("doc_id = 3").first()
-    assert "term" in {s.kind for s in r.spans} and "helpline" not in r.clean and "thanks" in r.clean
+    assert "term" in {s.kind for s in r.spans} and r.clean == "w3 x [PHONE] [PHONE] thanks w3"  # it discloses the kind only
 
 
 def test_pii_term_that_discloses_one_entity(spark):
@@ -396,3 +396,59 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "classify", judge)
     monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
     assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_toxic(spark, df, "").collect()} == {rows[i] for i in (0, 2, 4, 5, 7, 8)}
+
+
+def test_clashing_columns_nulls_and_repeats(spark):
+    """Every operator over rows of nulls, repeats, a long text and columns named like its own."""
+    rows = [(None, None, None, None), (None, "the cat of the house and garden", None, None), (1, "the cat of the house and garden", "en", 1), (1, "the cat of the house and garden", "en", 1), (1, "", "es", 0), (2, "the word " * 20_000, "fr", 0), (3, "nasty words", "en", 1)]
+    clash = ["words", "spans", "score", "s", "tokens", "host", "path", "key", "id", "logit", "n", "label", "sh", "p", "fold", "t", "a", "b", "v", "l"]
+    df = spark.createDataFrame([(*r, *["x"] * len(clash)) for r in rows], "doc_id long, text string, lang string, toxic int, " + ", ".join(f"{c} string" for c in clash))
+    labels = df.select("doc_id", "toxic", "text", "score")
+    public = pytest.importorskip("public_tokenizers")
+    n = {
+        "license": license_scan.license_scan(df), "pii": pii.sanitise(spark, df), "mixing": mixing.mix(spark, df, labels, {"en": 1.0, "es": 1.0}), "fingerprints": fingerprints.fingerprints(spark, df),
+        "tokens": token_counts.token_counts(df, public.path("byte_bpe_50k.json")), "toxicity": toxicity.classify(spark, df, labels), "ngrams": ngram_join.ngram_join(spark, df.where("doc_id is not null").dropDuplicates(["doc_id"])),
+        "urls": url_filter.url_filter(spark, df, url_col="text", id_col="doc_id"), "html": html_extract.main_text(spark, df, url_col="host", html_col="text", id_col="doc_id"),
+    }
+    counts = {k: x.count() for k, x in n.items()}
+    assert counts.pop("ngrams") == 3 and set(counts.values()) == {len(rows)}
+    same = n["toxicity"].where("doc_id = 1").collect()
+    assert len(same) == 3 and len({r.score for r in same}) <= 2
+    items = spark.createDataFrame([(7, "cat of the house and garden", "x"), (None, None, "x")], "item_id long, text string, words string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contained(spark, df, items).collect()} == {(1, 7), (None, 7)} - {(None, 7)}
+    none = df.limit(0)
+    assert toxicity.classify(spark, none, labels).isEmpty() and url_filter.url_filter(spark, none, url_col="text", id_col="doc_id").isEmpty()
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(400)], 40)) for _ in range(400)]
+    for k in range(0, 400, 5):
+        texts[k] += " vile nasty vile nasty"
+    item = " ".join(f"q{i}" for i in range(30))
+    texts[1] += " " + item
+    texts[3] = texts[2]  # copies: one stays
+    texts[4] += " call +1 (988) 555-2485"
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t)) for i, t in enumerate(texts)] + [(None, None, None, None, None), (None, "a text without an id", None, None, None), (7, "another text of one id", "en", "s", 22)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = df, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        kept[name] = docs.collect()
+        if name != "mixing":
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+        docs = spark.createDataFrame(kept[name], docs.schema)
+    ids = {name: {r.doc_id for r in x} for name, x in kept.items()}
+    assert ids["toxicity"] == {i for i in range(400) if i % 5} | {None} and len(kept["toxicity"]) == 323
+    assert ids["near_duplicates"] == ids["toxicity"] - {3} and {1} == ids["near_duplicates"] - ids["decontamination"]
+    clean = {r.doc_id: r.text for r in kept["personal_data"] if r.doc_id == 4}
+    assert clean[4].endswith("call [PHONE]") and len(kept["personal_data"]) == len(kept["decontamination"]) == len(kept["mixing"]) == 321
+    assert {"another text of one id", "a text without an id"} <= {r.text for r in kept["personal_data"]}
+    empty = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).isEmpty()
