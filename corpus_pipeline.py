@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as
 Parquet in the shared folder and reads it back as the next one's docs. All but the
 last keep the columns of documents.
+
+In every stage null texts count as empty ones, texts of any length are read whole, extra
+columns are dropped, and empty tables give empty results. Filtering stages decide by a
+key of id and text, so that rows with null or repeated ids are judged one by one.
 """
 
 from __future__ import annotations
@@ -27,14 +31,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject; it learns from all labels."""
+    """Documents that the toxicity classifier does not reject; it learns from all labels. Rows of one text share its fate; repeats stay."""
     judged = classify(spark, keyed(docs), table(spark, sf_dir, "labels"), key_col="key")
     rejected = judged.where("predicted = 1").select("key").distinct()
     return keyed(docs).join(rejected, "key", "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect, of the smallest id (null last)."""
+    """One document of each group that links connect, of the smallest id (null last, ties by key); of repeated rows one. Texts without words stay, one a key."""
     rows = keyed(docs)
     groups = ngram_join(spark, rows.select("key", "text"), id_col="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
     ids = rows.select("key", "doc_id").distinct().join(groups, "key")
@@ -44,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item to 80 %; repeats stay. Items that are null or empty reject nothing."""
     rows = keyed(docs)
     own = rows.select(F.col("key").alias("doc_id"), "text")
     found = contained(spark, own, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
@@ -52,13 +56,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data generalised in their texts."""
+    """All documents, repeats too, with personal data generalised in their texts; a null text becomes an empty one."""
     clean = sanitise(spark, docs, keep=("lang", "source"))
     return clean.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.length("clean").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sampling rate for each document that brings languages to their target shares."""
+    """A sampling rate for each document, repeats too, that brings languages to their target shares; without tokens any rate serves."""
     return mix(spark, docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
