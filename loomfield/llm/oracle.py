@@ -1,5 +1,9 @@
 """SQL for DuckDB that gives the rows of the queries that SQL can express."""
 
+from loomfield.llm.common import LOWER, UPPER
+from loomfield.llm.license_scan import BLOCK, KEYS, OTHER, PHRASES, TEMPLATES
+from loomfield.llm.url_filter import RULES
+
 NGRAM_JOIN = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -36,3 +40,91 @@ SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(z.n) AS
 FROM s d JOIN s b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 JOIN z ON z.id = b.id
 GROUP BY d.id, b.id HAVING count(*) * 100 >= any_value(z.n) * 80
 """
+
+
+def _row(*values: str | None) -> str:
+    return "(" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + ")"
+
+
+def _key(label: str, template: str) -> str | None:
+    """The key phrase of a template that holds it."""
+    return KEYS[label] if f" {KEYS.get(label, '-')} " in f" {template} " else None
+
+
+def license_scan() -> str:
+    """Every block of every text against every template, and every place of every phrase."""
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), phrases AS (
+  SELECT label, string_split(p, ' ') AS p FROM (VALUES {", ".join(_row(label, p) for p, label in PHRASES.items())}) v(label, p)
+), places AS (
+  SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS start FROM d, phrases WHERE list_contains(w, p[-1])
+), templates AS (
+  SELECT label, list_distinct(string_split(t, ' ')) AS t, string_split(k, ' ') AS k FROM (VALUES {", ".join(_row(label, t, _key(label, t)) for label, t in TEMPLATES)}) v(label, t, k)
+), keys AS (
+  SELECT r, k, list_filter(range(len(w)), lambda i: w[i + 1:i + len(k)] = k AND coalesce(w[i + len(k) + 1], '') NOT IN {_row(*OTHER)}) AS found FROM d, (SELECT DISTINCT k FROM templates WHERE k IS NOT NULL) WHERE list_contains(w, k[1])
+), blocks AS MATERIALIZED (
+  SELECT r, i, list_distinct(w[i + 1:i + {BLOCK}]) AS b FROM (SELECT r, w, unnest(range(0, len(w), {BLOCK // 2})) AS i FROM d)
+), shares AS (
+  SELECT b.r, t.label, len(list_intersect(t.t, b.b)) AS n, len(t.t) AS m
+  FROM blocks b CROSS JOIN templates t LEFT JOIN keys k ON k.r = b.r AND k.k = t.k
+  WHERE t.k IS NULL OR len(list_filter(k.found, lambda p: p BETWEEN b.i AND b.i + {BLOCK} - len(t.k))) > 0
+), notices AS (
+  SELECT r, label, n::DOUBLE / m AS share FROM shares WHERE 100 * n >= 80 * m
+), base AS (
+  SELECT r, count(*) AS n, min(start) AS a, max(start) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r
+), every AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION ALL SELECT r, label FROM notices) GROUP BY r
+)
+SELECT d.doc_id AS doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a::BIGINT AS first_word, b.z::BIGINT AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels, CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(s.share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN base b USING (r) LEFT JOIN every e USING (r) LEFT JOIN (SELECT r, max(share) AS share FROM notices GROUP BY r) s USING (r)
+"""
+
+
+def url_filter() -> str:
+    """All combinations of the tokens of each url that are frequent, as rules."""
+    longest = sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')" for _, h, p in longest]
+    rule = " ".join(f"WHEN {f} THEN '{h}/{p}'" for f, (_, h, p) in zip(fits, longest, strict=True))
+    given = " ".join(f"WHEN {f} THEN '{kind}'" for f, (kind, _, _) in zip(fits, longest, strict=True))
+    last = "array_to_string(list_slice(labels, greatest(len(labels) - {} + 1, 1), len(labels)), '.')".format
+    return rf"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), urls AS (
+  SELECT *, CASE {rule} END AS rule, CASE {given} END AS given, list_filter(string_split(host, '.'), lambda x: x <> '') AS labels FROM parts
+), sets AS (
+  SELECT host, path, coalesce(any_value(given), 'none') AS given,
+    list_distinct(list_transform([{last(1)}, {last(2)}, host], lambda x: 'd:' || x)
+      || list_transform(flatten(list_transform(list_slice(labels, 1, greatest(len(labels) - 2, 0)), lambda x: string_split(x, '-'))), lambda x: 'h:' || x)
+      || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x, i: 'p' || (i - 1) || ':' || x)) AS tokens
+  FROM urls WHERE len(labels) > 0 GROUP BY host, path, labels
+), size AS (
+  SELECT count(*)::DOUBLE AS n, ceil(greatest(0.002::DOUBLE, least(5 / count(*)::DOUBLE, 1)) * count(*)) AS least FROM sets
+), frequent AS (
+  SELECT token FROM (SELECT unnest(tokens) AS token FROM sets) GROUP BY token HAVING count(*) >= (SELECT least FROM size)
+), short AS (
+  SELECT host, path, given, list(token ORDER BY token) AS tokens FROM (SELECT host, path, given, unnest(tokens) AS token FROM sets) JOIN frequent USING (token) GROUP BY host, path, given
+), chosen AS (
+  SELECT given, list_filter(tokens, lambda x, i: mask >> (i - 1) & 1 = 1) AS ruled FROM (SELECT given, tokens, unnest(range(1, 1::BIGINT << len(tokens))) AS mask FROM short)
+), counted AS (
+  SELECT ruled, given AS label, count(*)::DOUBLE AS n, (sum(count(*)) OVER (PARTITION BY ruled))::DOUBLE AS n_ruled FROM chosen GROUP BY ruled, given
+), mined AS (
+  SELECT ruled, c.label, c.n / n_ruled AS confidence, c.n / n_ruled / (l.n / s.n) AS lift, c.n / s.n AS support
+  FROM counted c JOIN (SELECT given AS label, count(*)::DOUBLE AS n FROM sets GROUP BY given) l USING (label), size s
+  WHERE c.n >= s.least AND c.n / n_ruled >= 0.8::DOUBLE AND c.n / n_ruled / (l.n / s.n) >= 1.2::DOUBLE
+), kept AS (
+  SELECT * FROM mined a WHERE NOT EXISTS (
+    SELECT 1 FROM mined b WHERE b.label = a.label AND len(b.ruled) = len(a.ruled) - 1 AND list_has_all(a.ruled, b.ruled) AND b.confidence >= a.confidence)
+), best AS (
+  SELECT host, path, label, array_to_string(ruled, ' ') AS mined
+  FROM short JOIN kept ON list_has_all(tokens, ruled) WHERE given = 'none'
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY lift DESC, confidence DESC, support DESC, len(ruled) DESC, array_to_string(ruled, ' ') DESC, label DESC) = 1
+)
+SELECT u.page_id AS page_id, u.host AS host, u.path AS path, u.rule AS rule, coalesce(u.given, nullif(b.label, 'none'), 'allow') AS verdict, b.mined AS mined
+FROM urls u LEFT JOIN best b ON u.given IS NULL AND b.host = u.host AND b.path = u.path
+"""
