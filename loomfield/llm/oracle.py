@@ -2,6 +2,7 @@
 
 from loomfield.llm.common import LOWER, UPPER
 from loomfield.llm.license_scan import BLOCK, KEYS, OTHER, PHRASES, TEMPLATES
+from loomfield.llm.pii import CHANCE, MANY, NEAR, REACH
 from loomfield.llm.url_filter import RULES
 
 NGRAM_JOIN = r"""
@@ -128,3 +129,73 @@ WITH rest AS (
 SELECT u.page_id AS page_id, u.host AS host, u.path AS path, u.rule AS rule, coalesce(u.given, nullif(b.label, 'none'), 'allow') AS verdict, b.mined AS mined
 FROM urls u LEFT JOIN best b ON u.given IS NULL AND b.host = u.host AND b.path = u.path
 """
+
+
+#: Plain patterns of personal data and what their matches must hold, by kind in the order of results.
+_PLAIN = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda x: len(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", "len(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(len(digits)), lambda i: ord(substr(digits, len(digits) - i::INT, 1)) - 48 + i % 2 * (ord(substr(digits, len(digits) - i::INT, 1)) - 48 - CASE WHEN substr(digits, len(digits) - i::INT, 1) > '4' THEN 9 ELSE 0 END))) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "len(digits) BETWEEN 9 AND 15"),
+}
+
+
+def pii() -> str:
+    """Spans by the plain patterns, disclosing terms over all distinct texts, and every place of these outside spans."""
+    letters = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+    black = r"[^\t\n\x0B\f\r ]+"
+    place = lambda text, what: f"regexp_extract_all({text}, '(?s)(.*?)({what})', 1) AS g, regexp_extract_all({text}, '(?s)(.*?)({what})', 2) AS m"
+    start = "sum(len(g)) OVER (PARTITION BY {0} ORDER BY i) + coalesce(sum(len(v)) OVER (PARTITION BY {0} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)".format
+    words = lambda text: f"list_filter(regexp_extract_all(lower(regexp_replace({text}, '{_PLAIN['email'][0]}', ' ', 'g')), '{letters}'), lambda w: len(w) >= 3)"
+    found = " UNION ALL ".join(f"SELECT t, {k} AS o, '{kind}' AS kind, {place('text', what)} FROM texts" for k, (kind, (what, _)) in enumerate(_PLAIN.items()))
+    valid = " ".join(f"WHEN '{kind}' THEN {ok}" for kind, (_, ok) in _PLAIN.items())
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS t, text FROM (SELECT DISTINCT text FROM d)
+), found AS (
+  SELECT t, o, kind, unnest(g) AS g, unnest(m) AS v, unnest(range(len(g))) AS i FROM ({found})
+), spans AS MATERIALIZED (
+  SELECT t, o, kind, v, s, s + len(v) AS e
+  FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits, ({start("t, kind")})::BIGINT AS s FROM found) WHERE CASE kind {valid} END
+), sides AS (
+  SELECT kind, lower(v) AS entity, t, len(text) AS n, s, e, substr(text, greatest(s - {REACH} + 1, 1), least(s, {REACH})) AS b, substr(text, e + 1, {REACH}) AS a FROM spans JOIN texts USING (t)
+), cut AS (
+  SELECT kind, entity, t, {words(f"CASE WHEN s > {REACH} THEN regexp_replace(b, '^{black}', '') ELSE b END")} AS b,
+    {words(rf"CASE WHEN n > e + {REACH} THEN regexp_replace(a, '{black}(\r\n|[\n\r])?$', '\1') ELSE a END")} AS a FROM sides
+), near AS (
+  SELECT term, kind, entity, t, count(*) AS n
+  FROM (SELECT kind, entity, t, unnest(list_slice(b, greatest(len(b) - {NEAR} + 1, 1), len(b)) || list_slice(a, 1, {NEAR})) AS term FROM cut) GROUP BY ALL
+), places AS (
+  SELECT term, count(*) AS n_all FROM (SELECT unnest({words("text")}) AS term FROM texts) GROUP BY term
+), whole AS (
+  SELECT sum(n_all)::DOUBLE AS total, count(*)::DOUBLE AS terms FROM places
+), kinds AS (
+  SELECT kind, least(sum(n) / any_value(total), 1) AS p_kind FROM near, whole GROUP BY kind
+), entities AS (
+  SELECT kind, entity, least(sum(n) / any_value(total), 1) AS p FROM near, whole GROUP BY kind, entity
+), weighed AS (
+  SELECT term, n_texts, n_near, p, p_kind FROM (SELECT term, kind, entity, count(*) AS n_texts, sum(n) AS n_near FROM near GROUP BY term, kind, entity) JOIN entities USING (kind, entity) JOIN kinds USING (kind)
+  UNION ALL
+  SELECT term, n_texts, n_near, p_kind, p_kind FROM (SELECT term, kind, count(DISTINCT t) AS n_texts, sum(n) AS n_near FROM near GROUP BY term, kind) JOIN kinds USING (kind)
+), terms AS MATERIALIZED (
+  SELECT DISTINCT term FROM weighed JOIN places USING (term), whole
+  WHERE n_texts >= 2 AND p < 1 AND ln(least(n_near::DOUBLE / n_all, 1) / p) / -ln(p) >= 0.9
+    AND ((n_texts - 1) * -ln(p) - ln(p_kind) >= ln(terms / {CHANCE}) OR n_texts >= {MANY})
+), runs AS (
+  SELECT t, v, ({start("t")})::BIGINT AS s
+  FROM (SELECT t, unnest(g) AS g, unnest(m) AS v, unnest(range(len(g))) AS i FROM (SELECT t, {place("lower(text)", letters)} FROM texts WHERE list_has_any(regexp_extract_all(lower(text), '{letters}'), (SELECT coalesce(list(term), []) FROM terms))))
+), every AS (
+  SELECT t, o, kind, s, e FROM spans
+  UNION ALL
+  SELECT t, {len(_PLAIN)}, 'term', s, s + len(v) FROM runs r
+  WHERE v IN (SELECT term FROM terms) AND NOT EXISTS (SELECT 1 FROM spans x WHERE x.t = r.t AND x.s < r.s + len(r.v) AND r.s < x.e)
+), listed AS (
+  SELECT t, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _PLAIN)},
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (kind <> 'term') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans
+  FROM every GROUP BY t
+)
+SELECT d.doc_id AS doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in _PLAIN)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d JOIN texts USING (text) LEFT JOIN listed USING (t)
+"""

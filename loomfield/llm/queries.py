@@ -86,4 +86,4 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_pii, op4_url_filter, op5_mixing, op6_token_counts, op7_decontamination, op8_fingerprints, op9_toxicity, op10_html_extraction, pipeline)}
-ORACLE: dict[str, str] = {"op1_ngram_join": oracle.NGRAM_JOIN, "op2_license_scan": oracle.license_scan(), "op4_url_filter": oracle.url_filter(), "op7_decontamination": oracle.DECONTAMINATION}
+ORACLE: dict[str, str] = {"op1_ngram_join": oracle.NGRAM_JOIN, "op2_license_scan": oracle.license_scan(), "op3_pii": oracle.pii(), "op4_url_filter": oracle.url_filter(), "op7_decontamination": oracle.DECONTAMINATION}
