@@ -169,6 +169,8 @@ _BODIES = {
     "ols_simple": "WITH s AS (SELECT count(*) AS n, avg(n_orders) AS xm, regr_sxx(total_price, n_orders) AS sxx, regr_slope(total_price, n_orders) AS b, regr_intercept(total_price, n_orders) AS a, regr_r2(total_price, n_orders) AS r2 FROM master WHERE total_price IS NOT NULL AND n_orders IS NOT NULL), e AS (SELECT s.*, n_orders - xm AS d, total_price - a - b * n_orders AS e, 1.0 / n + (n_orders - xm) * (n_orders - xm) / sxx AS h FROM master, s WHERE total_price IS NOT NULL AND n_orders IS NOT NULL), v AS (SELECT n, xm, sxx, a, b, r2, sum(e * e) / (n - 2) AS s2, sqrt(sum(pow(1.0 / n - xm * d / sxx, 2) * pow(e / (1 - h), 2))) AS h0, sqrt(sum(pow(d / sxx, 2) * pow(e / (1 - h), 2))) AS h1 FROM e GROUP BY n, xm, sxx, a, b, r2), t AS (SELECT 'intercept' AS term, a AS beta, sqrt(s2 * (1.0 / n + xm * xm / sxx)) AS se, h0 AS hc3, r2, n FROM v UNION ALL SELECT 'n_orders', b, sqrt(s2 / sxx), h1, r2, n FROM v) SELECT term, round(beta, 3) AS beta, round(se, 3) AS se, round(hc3, 3) AS se_hc3, round(beta / se, 3) AS t, round(beta - 1.96 * se, 3) AS ci_low, round(beta + 1.96 * se, 3) AS ci_high, round(r2, 3) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 3) AS adj_r2, n FROM t",
     "greedy_matches": "SELECT unit, case_peak_date, death_peak_date, lag_days, round(case_peak_value, 6) AS case_peak_value, round(death_peak_value, 6) AS death_peak_value, round(death_peak_value / nullif(case_peak_value, 0), 6) AS severity_ratio FROM paired",
     "greedy_summary": "SELECT count(*) AS n, round(avg(lag_days), 6) AS mean_lag, median(lag_days) AS median_lag, min(lag_days) AS min_lag, max(lag_days) AS max_lag, round(avg(death_peak_value / nullif(case_peak_value, 0)), 6) AS mean_severity, round(max(case_peak_value), 6) AS largest_case_peak, round(max(death_peak_value), 6) AS largest_death_peak FROM paired",
+    "greedy_compared": " UNION ALL ".join(f"SELECT '{m}' AS metric, round(({x} FILTER (unit = '3'))::DOUBLE, 6) AS a, round(({x} FILTER (unit = '7'))::DOUBLE, 6) AS b FROM paired" for m, x in (("n", "count(*)"), ("mean_lag", "avg(lag_days)"), ("median_lag", "median(lag_days)"), ("min_lag", "min(lag_days)"), ("max_lag", "max(lag_days)"), ("mean_severity", "avg(death_peak_value / nullif(case_peak_value, 0))"), ("largest_case_peak", "max(case_peak_value)"), ("largest_death_peak", "max(death_peak_value)"))),
+    "vif": "WITH r AS (SELECT corr(population, n_orders) AS ab, corr(population, avg_price) AS ac, corr(n_orders, avg_price) AS bc FROM master WHERE population IS NOT NULL AND n_orders IS NOT NULL AND avg_price IS NOT NULL), d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS d FROM r) SELECT 'population' AS predictor, round((1 - bc * bc) / d, 6) AS vif FROM d UNION ALL SELECT 'n_orders', round((1 - ac * ac) / d, 6) FROM d UNION ALL SELECT 'avg_price', round((1 - ab * ab) / d, 6) FROM d",
     "greedy_views": "SELECT unit, count(*) AS n, min(case_peak_date) - 45 AS view_start, max(death_peak_date) + 45 AS view_end, count(*) <= 8 AS draw FROM paired GROUP BY unit",
     "region_waves": "SELECT unit, wave_number, start_date, peak_date, end_date, round(peak_value, 6) AS peak_value, duration_days, round(wave_burden, 6) AS wave_burden, days FROM waves",
     "region_scores": "SELECT unit, wave_number, wave_significance FROM scored",
