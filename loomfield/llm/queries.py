@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from loomfield.llm import oracle
 from loomfield.llm.common import table
 from loomfield.llm.decontaminate import contained
+from loomfield.llm.divergence import divergence
 from loomfield.llm.fingerprints import fingerprints
 from loomfield.llm.html_extract import main_text
 from loomfield.llm.license_scan import license_scan
 from loomfield.llm.mixing import mix
 from loomfield.llm.ngram_join import ngram_join
+from loomfield.llm.packing import pack_documents
 from loomfield.llm.pii import PATTERNS, sanitise
 from loomfield.llm.token_counts import token_counts
 from loomfield.llm.toxicity import classify, crc_third
 from loomfield.llm.url_filter import url_filter
+from loomfield.llm.whitening import whitened
 
 
 #: Target shares of tokens by language.
@@ -78,6 +81,23 @@ def op10_html_extraction(spark, sf_dir):
     return main_text(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_packing(spark, sf_dir):
+    """Pieces of all documents in sequences of 4,096 tokens, by the vocabulary of 49,408."""
+    import public_tokenizers
+
+    return pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    """Distances between the sources of each language and the terms that set each source apart."""
+    return divergence(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    """Whitened components of every embedding."""
+    return whitened(spark, table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py over the documents."""
     import corpus_pipeline
@@ -85,5 +105,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_pii, op4_url_filter, op5_mixing, op6_token_counts, op7_decontamination, op8_fingerprints, op9_toxicity, op10_html_extraction, pipeline)}
-ORACLE: dict[str, str] = {"op1_ngram_join": oracle.NGRAM_JOIN, "op2_license_scan": oracle.license_scan(), "op3_pii": oracle.pii(), "op4_url_filter": oracle.url_filter(), "op7_decontamination": oracle.DECONTAMINATION}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_pii, op4_url_filter, op5_mixing, op6_token_counts, op7_decontamination, op8_fingerprints, op9_toxicity, op10_html_extraction, op11_packing, op12_source_divergence, op13_whitening, pipeline)}
+ORACLE: dict[str, str] = {"op1_ngram_join": oracle.NGRAM_JOIN, "op2_license_scan": oracle.license_scan(), "op3_pii": oracle.pii(), "op4_url_filter": oracle.url_filter(), "op7_decontamination": oracle.DECONTAMINATION, "op12_source_divergence": oracle.DIVERGENCE}
