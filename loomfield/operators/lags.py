@@ -2,76 +2,28 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PEAKS = "unit string, peak_date date, peak_value double, prominence double"
-MATCHES = "unit string, case_peak_date date, death_peak_date date, lag_days long, case_peak_value double, death_peak_value double"
-
-
-def peak_places(x: np.ndarray, prominence: float, distance: int) -> list[tuple[int, float]]:
-    """Places and prominences of peaks: maxima (the middle of a plateau, never an edge), the
-    highest of those nearer than distance, of at least the prominence."""
-    if len(x) < 3 or np.isnan(x).all():
-        return []
-    x = np.nan_to_num(x)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(x) != 0]))
-    last = np.concatenate([first[1:], [len(x)]]) - 1
-    level = x[first]
-    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
-    places = (first[top] + last[top]) // 2
-    keep = np.ones(len(places), bool)
-    for i in np.argsort(x[places], kind="stable")[::-1]:
-        if keep[i]:
-            near = np.abs(places - places[i]) < distance
-            near[i] = False
-            keep[near] = False
-    found = []
-    for p in places[keep]:
-        higher = np.flatnonzero(x > x[p])
-        left, right = higher[higher < p], higher[higher > p]
-        a, b = (left[-1] + 1 if len(left) else 0), (right[0] if len(right) else len(x))
-        rise = float(x[p] - max(x[a : p + 1].min(), x[p:b].min()))
-        if rise >= prominence:
-            found.append((int(p), rise))
-    return found
+from loomfield.functions import arrays as ar
+from loomfield.operators.detection import gathered
 
 
 def peaks(df: DataFrame, prominence: float = 1.0, distance: int = 7) -> DataFrame:
-    """Peaks of each unit's series (unit, date, value); a unit's series is one group of its days."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x, days = pdf["value"].to_numpy(float), pdf["date"].to_numpy()
-        rows = [(pdf["unit"].iloc[0], days[p], float(np.nan_to_num(x[p])), rise) for p, rise in peak_places(x, prominence, distance)]
-        return pd.DataFrame(rows, columns=["unit", "peak_date", "peak_value", "prominence"])
-
-    return df.select("unit", "date", "value").groupBy("unit").applyInPandas(run, PEAKS)
+    """Peaks of each unit's series (unit, date, value): maxima (the middle of a plateau, never an edge) of at
+    least the prominence; of those nearer than distance the highest, of equal ones the last."""
+    found = gathered(df).where("known > 0").select("unit", "d", F.explode(ar.peaks(F.col("x"), float(prominence), distance)).alias("p"))
+    return found.select("unit", ar.at(F.col("d"), F.col("p.place")).alias("peak_date"), F.col("p.value").alias("peak_value"), F.col("p.rise").alias("prominence"))
 
 
 def matches(cases: DataFrame, deaths: DataFrame, max_lag: int = 90) -> DataFrame:
     """Each case peak, in date order, with the nearest later death peak not taken yet, within max_lag days.
 
-    The greedy choice is one walk over both lists of a unit's peaks; units are dealt by key.
+    One shuffle brings both sides of a unit together; the greedy choice is a fold over their days.
     """
-
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("peak_date"), right.sort_values("peak_date")
-        rows, later = [], list(right.itertuples())
-        for c in left.itertuples():
-            # What lies before this peak lies before all that follow, too.
-            while later and later[0].peak_date < c.peak_date:
-                later.pop(0)
-            if later and (lag := (later[0].peak_date - c.peak_date).days) <= max_lag:
-                d = later.pop(0)
-                rows.append((c.unit, c.peak_date, d.peak_date, lag, c.peak_value, d.peak_value))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHES.split(", ")])
-
-    deaths = deaths.select(*[F.col(c).alias(c) for c in deaths.columns])  # both may come from one table
-    return cases.groupBy("unit").cogroup(deaths.groupBy("unit")).applyInPandas(walk, MATCHES)
+    side = lambda df, k: df.select("unit", F.struct(F.col("peak_date").alias("date"), F.lit(k).alias("side"), F.col("peak_value").alias("value")).alias("e"))
+    events = side(cases, 0).unionByName(side(deaths, 1)).groupBy("unit").agg(F.sort_array(F.collect_list("e")).alias("events"))
+    return events.select("unit", F.explode(ar.matched(F.col("events"), max_lag)).alias("m")).select("unit", "m.*")
 
 
 def severity(found: DataFrame) -> DataFrame:

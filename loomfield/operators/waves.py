@@ -1,51 +1,20 @@
-"""Epidemic waves: regions natively, wave bounds by a grouped numpy kernel; scores, windows and metrics natively."""
+"""Epidemic waves: regions, detection, audit log, scores, metrics and windows."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.functions.arrays import at
 from loomfield.functions.exprs import rate
-from loomfield.operators.lags import peak_places
-
-
-@dataclass(frozen=True)
-class Preset:
-    window: int = 42
-    percentile: float = 10
-    smooth: int = 21
-    rel: float = 0.30
-    floor: float = 2.0
-    min_days: int = 14
-    gap: int = 35
-    split: float = 0.60
-    significance: float = 2.5
-    lookback: int = 28
-    height: float = 0.13
-    spread: float = 0.8
-    merge: int = 28
-
-
-#: Fixed values; the last three are those of detection by prominence.
-PRESETS = {
-    "conservative": Preset(56, 10, 28, 0.50, 3.0, 21, 56, 0.75, 3.5, 42, 0.22, 1.5, 45),
-    "standard": Preset(),
-    "sensitive": Preset(28, 15, 14, 0.15, 1.0, 7, 21, 0.45, 1.5, 14, 0.07, 0.4, 14),
-}
+from loomfield.operators import detection as dt
+
+PRESETS = dt.PRESETS
 #: National windows (fixed values).
 NATIONAL = [
     ("Initial surge", "2020-03-01", "2020-06-15"), ("Summer 2020", "2020-06-15", "2020-09-30"), ("Winter 2020-21", "2020-10-01", "2021-03-15"),
     ("Delta", "2021-06-15", "2021-11-15"), ("Omicron BA.1", "2021-11-15", "2022-03-15"), ("BA.2 / BA.5 2022", "2022-03-15", "2022-10-01"),
 ]
-SCHEMA = "unit string, wave_number long, start_date date, peak_date date, end_date date, peak_value double, duration_days long, wave_burden double"
-#: Days in a row under the level that end a wave, and the level as a share of the peak's elevation.
-QUIET, LEVEL = 5, 0.10
-AUDIT = "unit string, peak_date date, smoothed_value double, pct_of_max double, span_days long, removed_by string"
 
 
 def regions(df: DataFrame, base: float, ma: int = 7, gap: int = 35, min_days: int = 14) -> DataFrame:
@@ -71,190 +40,37 @@ def regions(df: DataFrame, base: float, ma: int = 7, gap: int = 35, min_days: in
     return out.select("unit", number.alias("wave_number"), "start_date", F.col("p.date").alias("peak_date"), "end_date", F.col("p.value").alias("peak_value"), F.greatest(F.date_diff("end_date", "start_date"), F.lit(1)).cast("long").alias("duration_days"), "wave_burden", "days")
 
 
-def _centred(x: np.ndarray, window: int) -> np.ndarray:
-    """Zero-padded centred average; an even window has one more day before."""
-    return np.convolve(x, np.ones(window) / window)[(window - 1) // 2 :][: len(x)]
-
-
-def smoothed(x: np.ndarray, window: int) -> np.ndarray:
-    """The centred average, edges zeroed."""
-    s, edge = _centred(x, window), window // 2
-    s[:edge] = s[max(len(s) - edge, 0) :] = 0
-    return s
-
-
-def baseline(s: np.ndarray, p: Preset) -> np.ndarray:
-    """A low percentile over a window cut at the ends, averaged and never negative."""
-    half, n = p.window // 2, len(s)
-    low = np.empty(n)
-    inner = range(half, n - half)
-    if len(inner):
-        low[half : n - half] = np.percentile(sliding_window_view(s, 2 * half + 1), p.percentile, axis=1)
-    for i in (i for i in range(n) if i not in inner):
-        low[i] = np.percentile(s[max(0, i - half) : i + half + 1], p.percentile)
-    return np.maximum(_centred(low, p.smooth), 0)
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-
-
-def _summits(e: np.ndarray, p: Preset) -> list[int]:
-    """Places that nothing nearby exceeds, well above the floor, each the least duration behind the one before."""
-    half = max(p.min_days // 2, 3)
-    middle = e[half : len(e) - half]
-    high = np.flatnonzero((middle >= sliding_window_view(e, 2 * half + 1).max(axis=1)) & (middle > max(0.1 * e.max(), 3 * p.floor))) + half
-    kept = high[:1].tolist()
-    while len(later := high[high >= kept[-1] + p.min_days] if kept else high):
-        kept.append(int(later[0]))
-    return kept
-
-
-def _valley(e: np.ndarray, p: Preset) -> int | None:
-    """The lowest place between two summits, the ends of e, if it is deep and lasts; else none."""
-    lower = min(e[0], e[-1])
-    under = e < (1 - p.split) * lower
-    lowest = int(np.argmin(e))
-    lasts = max((z - a + 1 for a, z in _runs(under)), default=0) >= max(p.min_days, 10)
-    return lowest if under[lowest] and lasts and lower - e[lowest] >= 2 * p.floor else None
-
-
-def _split(s: np.ndarray, b: np.ndarray, start: int, end: int, p: Preset) -> list[tuple[int, int]]:
-    """A region cut behind the valleys between its summits; parts that are too short stay with the part before."""
-    e = (s - b)[start : end + 1]
-    if len(e) <= 2 * p.min_days:
-        return [(start, end)]
-    tops = _summits(e, p)
-    heads = [0]
-    for one, two in zip(tops, tops[1:], strict=False):
-        v = _valley(e[one : two + 1], p)
-        if v is not None and one + v - heads[-1] >= p.min_days:
-            heads.append(one + v + 1)
-    if len(heads) > 1 and len(e) - heads[-1] < p.min_days:
-        heads.pop()
-    return [(start + a, start + z - 1) for a, z in zip(heads, [*heads[1:], len(e)], strict=True)]
-
-
-def _trim(s: np.ndarray, b: np.ndarray, start: int, end: int, peak: int) -> tuple[int, int]:
-    """The part of a region between the quiet stretches nearest to its peak.
-
-    Quiet is QUIET days or more under LEVEL of the way from the region's lowest baseline to its peak.
-    """
-    low = b[start : end + 1].min()
-    quiet = _runs(s[start : end + 1] < low + LEVEL * (s[peak] - low)) if s[peak] > low else []
-    long = [(start + a, start + z) for a, z in quiet if z - a + 1 >= QUIET]
-    return max((z + 1 for _, z in long if z < peak), default=start), min((a - 1 for a, _ in long if a > peak), default=end)
-
-
-def _valid(values: np.ndarray, ma: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The series without gaps and its average; none for a series that is too short or all zero."""
-    x = np.nan_to_num(np.asarray(values, float))
-    if np.isfinite(np.asarray(values, float)).sum() < ma + 2:
-        return None
-    s = smoothed(x, ma)
-    return (x, s) if s.any() else None
-
-
-def candidates(values: np.ndarray, p: Preset = PRESETS["standard"], ma: int = 7) -> list[tuple[int, int, int, float, float, bool]]:
-    """(start, peak, end, peak value, averaged peak, whether it is significant) of each wave that one daily series may have."""
-    if (series := _valid(values, ma)) is None:
-        return []
-    x, s = series
-    b = baseline(s, p)
-    need = b * p.rel + p.floor
-    merged: list[list[int]] = []
-    for a, z in _runs(s > b + need):
-        if merged and a - merged[-1][1] <= p.gap:
-            merged[-1][1] = z
-        else:
-            merged.append([a, z])
-    out, before = [], 0
-    for a, z in [part for r in merged if r[1] - r[0] + 1 >= p.min_days for part in _split(s, b, *r, p)]:
-        onset = max(a - p.lookback, 0)
-        falls = np.flatnonzero(np.diff(s[onset : a + 1]) <= 0)
-        start = max(onset + int(falls[-1]) + 1 if len(falls) else onset, before)
-        before = z + 1
-        peak = start + int(np.argmax(s[start : z + 1]))
-        first, last = _trim(s, b, start, z, peak)
-        out.append((first, peak, last, float(x[peak] if x[peak] > 0 else s[peak]), float(s[peak]), bool(s[peak] - b[peak] >= p.significance * need[peak])))
-    return out
-
-
-def find_waves(values: np.ndarray, p: Preset = PRESETS["standard"], ma: int = 7) -> list[tuple[int, int, int, float]]:
-    """(start, peak, end, peak value) of each wave of one daily series."""
-    return [w[:4] for w in candidates(values, p, ma) if w[5]]
-
-
-def prominent_waves(values: np.ndarray, prominence: float = 1000, merge: int = 0, ma: int = 7) -> list[tuple[int, int, int, float]]:
-    """Waves by prominence: each peak of the average with the nearest days under a tenth of it; peaks at most merge days apart are one."""
-    if (series := _valid(values, ma)) is None:
-        return []
-    raw = np.asarray(values, float)
-    waves: list[tuple[int, int, int, float]] = []
-    for k, _ in peak_places(series[1], prominence, 1):
-        value = float(series[1][k] if np.isnan(raw[k]) else raw[k])
-        under = np.flatnonzero(raw < 0.1 * value)  # never a gap
-        start, end = max(under[under < k], default=k), min(under[under > k], default=k)
-        if waves and merge > 0 and k - waves[-1][1] <= merge:
-            first, top, last, most = waves[-1]
-            waves[-1] = (first, k, int(end), value) if value > most else (first, top, max(last, int(end)), most)
-        else:
-            waves.append((int(start), k, int(end), value))
-    return waves
-
-
-def default_prominence(values: np.ndarray, preset: str = "standard") -> float:
-    x, p = np.asarray(values, float), PRESETS[preset]
-    return float(max(x.max() * p.height, x[x > 0].std() * p.spread if (x > 0).any() else 1.0, 1.0))
-
-
-def best_smoothing(values: np.ndarray, windows: tuple[int, ...] = (3, 5, 7, 14)) -> int:
-    """The widest window so far as each takes 15 % of the variance that the one before left."""
-    x = np.clip(np.nan_to_num(np.asarray(values, float)), 0, None)
-    if (x > 0).sum() < 2 * max(windows):
-        return windows[0]
-    left = [float(np.var(_centred(x, w))) for w in windows]
-    for k in range(1, len(windows)):
-        if left[k - 1] > 0 and (left[k - 1] - left[k]) / left[k - 1] < 0.15:
-            return windows[k - 1]
-    return windows[-1]
-
-
-def detect(df: DataFrame, preset: str | None = "standard", ma: int = 7, prominence: float = 1000, merge: int = 0) -> DataFrame:
-    """Waves of each unit's daily series (unit, date, value): one group is one unit's series. Without a preset by prominence."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable")
-        x, d = pdf["value"].to_numpy(float), pdf["date"].to_numpy()
-        found = find_waves(x, PRESETS[preset], ma) if preset else prominent_waves(x, prominence, merge, ma)
-        rows = [(pdf["unit"].iloc[0], i + 1, d[a], d[k], d[z], v, max(int((pd.Timestamp(d[z]) - pd.Timestamp(d[a])).days), 1), float(np.nansum(x[a : z + 1]))) for i, (a, k, z, v) in enumerate(found)]
-        return pd.DataFrame(rows, columns=["unit", "wave_number", "start_date", "peak_date", "end_date", "peak_value", "duration_days", "wave_burden"])
-
-    return df.select("unit", "date", "value").groupBy("unit").applyInPandas(run, SCHEMA)
+def detect(df: DataFrame, preset: str | None = "standard", ma: int | str = 7, prominence: float | str = 1000, merge: int = 0) -> DataFrame:
+    """Waves of each unit's daily series (unit, date, value). Without a preset by prominence."""
+    if preset is None:
+        return dt.prominent(df, prominence, merge, ma)
+    return dt.waves_of(dt.profiled(df, (preset,), ma)).drop("preset")
 
 
 def audit_log(df: DataFrame, preset: str = "standard", ma: int = 7) -> DataFrame:
     """Every candidate of each unit's series with its averaged peak, its share of the largest and what removed it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable")
-        x, d = pdf["value"].to_numpy(float), pdf["date"].to_numpy()
-        found = candidates(x, PRESETS[preset], ma)
-        top = _valid(x, ma)[1].max() if found else 1.0
-        rows = [(pdf["unit"].iloc[0], d[k], round(v, 2), round(min(v / top, 1.0) * 100, 1), z - a, None if kept else "significance_filter") for a, k, z, _, v, kept in found]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in AUDIT.split(", ")])
-
-    return df.select("unit", "date", "value").groupBy("unit").applyInPandas(run, AUDIT)
+    rows = dt.profiled(df, (preset,), ma).select("unit", "d", F.array_max("s").alias("top"), F.explode("found").alias("w"))
+    share = F.least(F.col("w.averaged") / F.col("top"), F.lit(1.0))
+    return rows.select("unit", at(F.col("d"), F.col("w.peak")).alias("peak_date"), F.round("w.averaged", 2).alias("smoothed_value"), F.round(share * 100, 1).alias("pct_of_max"), (F.col("w.last") - F.col("w.first")).cast("long").alias("span_days"), F.when(~F.col("w.kept"), "significance_filter").alias("removed_by"))
 
 
 def smoothing_windows(df: DataFrame) -> DataFrame:
     """The smoothing window of each unit's daily series (unit, date, value)."""
+    return dt.gathered(df).select("unit", dt.best_window(F.col("x")).cast("long").alias("window"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"unit": pdf["unit"].iloc[:1], "window": best_smoothing(pdf.sort_values("date", kind="stable")["value"].to_numpy(float))})
 
-    return df.select("unit", "date", "value").groupBy("unit").applyInPandas(run, "unit string, window long")
+def preset_counts(df: DataFrame, presets=tuple(dt.PRESETS)) -> DataFrame:
+    """How many waves all series have under each preset."""
+    kept = F.size(F.filter("found", lambda w: w["kept"]))
+    return dt.profiled(df, presets).groupBy(F.col("p.preset").alias("preset")).agg(F.coalesce(F.sum(F.when(F.col("found").isNotNull(), kept)), F.lit(0)).alias("waves"))
+
+
+def significance(by, total) -> Column:
+    """0 to 100 from height, burden, duration and intensity among the waves of the window by."""
+    intensity = F.col("wave_burden") / F.col("duration_days")
+    share = lambda a, b: F.when(b == 0, 1.0).otherwise(F.try_divide(a, b))
+    value = 0.3 * share(F.col("peak_value"), F.max("peak_value").over(by)) + 0.3 * share(F.col("wave_burden"), total) + 0.2 * F.least(F.col("duration_days") / 180, F.lit(1.0)) + 0.2 * share(intensity, F.max(intensity).over(by))
+    return F.bround(100 * value, 1)
 
 
 def score(waves: DataFrame, totals: DataFrame | None = None) -> DataFrame:
@@ -263,11 +79,8 @@ def score(waves: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     totals (unit, total): what the burden is a share of; else the sum over the unit's waves.
     """
     w = Window.partitionBy("unit")
-    out = waves.withColumn("intensity", F.col("wave_burden") / F.col("duration_days"))
-    out = out.withColumn("total", F.sum("wave_burden").over(w)) if totals is None else out.join(totals.select("unit", "total"), "unit")
-    share = lambda a, b: F.when(b == 0, 1.0).otherwise(F.try_divide(a, b))
-    value = 0.3 * share(F.col("peak_value"), F.max("peak_value").over(w)) + 0.3 * share(F.col("wave_burden"), F.col("total")) + 0.2 * F.least(F.col("duration_days") / 180, F.lit(1.0)) + 0.2 * share(F.col("intensity"), F.max("intensity").over(w))
-    return out.select("unit", "wave_number", F.bround(100 * value, 1).alias("wave_significance"))
+    out = waves.withColumn("total", F.sum("wave_burden").over(w)) if totals is None else waves.join(totals.select("unit", "total"), "unit")
+    return out.select("unit", "wave_number", significance(w, F.col("total")).alias("wave_significance"))
 
 
 def metrics(waves: DataFrame, series: DataFrame, people: DataFrame | None = None) -> DataFrame:
@@ -277,20 +90,38 @@ def metrics(waves: DataFrame, series: DataFrame, people: DataFrame | None = None
     """
     totals = series.groupBy("unit").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
     scored = waves.join(score(waves, totals), ["unit", "wave_number"])
-    # The first of the most significant waves: the largest (score, -number).
-    top = F.max(F.struct("wave_significance", (-F.col("wave_number")).alias("k"), "peak_value", "peak_date"))
-    gap = F.try_divide(F.date_diff(F.max("peak_date"), F.min("peak_date")), F.nullif(F.count("*") - 1, F.lit(0)))
-    found = scored.groupBy("unit").agg(F.count("*").alias("waves"), top.alias("top"), F.avg("peak_value").alias("avg_wave_height"), F.avg("duration_days").alias("avg_wave_duration"), gap.alias("avg_interwave_days"))
+    found = scored.groupBy("unit").agg(*_summary())
     out = totals.join(found, "unit", "left").select("unit", F.coalesce("waves", F.lit(0)).alias("waves"), F.coalesce("top.peak_value", F.lit(0.0)).alias("largest_wave"), "avg_wave_height", "avg_wave_duration", "avg_interwave_days", F.col("top.peak_date").alias("peak_wave_date"), F.col("total").alias("total_burden"))
     if people is None:
         return out
     return out.join(people.select("unit", "population"), "unit", "left").withColumn("peak_wave_per_100k", rate(F.col("largest_wave"), F.col("population"))).drop("population")
 
 
-def both_metrics(cases: DataFrame, deaths: DataFrame) -> DataFrame:
-    """metrics() of cases and of deaths side by side, and the lag between their largest waves."""
-    sides = [m.select("unit", *[F.col(c).alias(f"{name}_{c}") for c in m.columns if c != "unit"]) for name, m in (("case", cases), ("death", deaths))]
-    return sides[0].join(sides[1], "unit", "full").withColumn("peak_lag_days", F.date_diff("death_peak_wave_date", "case_peak_wave_date"))
+def _summary() -> list[Column]:
+    """Number, most significant one (the first of several), height, duration and distance of a group of scored waves."""
+    top = F.max(F.when(F.col("wave_number").isNotNull(), F.struct("wave_significance", (-F.col("wave_number")).alias("k"), "peak_value", "peak_date")))
+    gap = F.try_divide(F.date_diff(F.max("peak_date"), F.min("peak_date")), F.nullif(F.count("wave_number") - 1, F.lit(0)))
+    return [F.count("wave_number").alias("waves"), top.alias("top"), F.avg("peak_value").alias("avg_wave_height"), F.avg("duration_days").alias("avg_wave_duration"), gap.alias("avg_interwave_days")]
+
+
+def all_metrics(df: DataFrame, presets=("standard",), ma: int | str = 7, people: DataFrame | None = None) -> DataFrame:
+    """metrics() of each (unit, metric, preset) of (unit, metric, date, value): detection, scores and sums share one shuffle of the series."""
+    keys = ("unit", "metric")
+    rows = dt.waves_of(dt.profiled(df, presets, ma, keys), (*keys, "total"), outer=True)
+    scored = rows.withColumn("wave_significance", significance(Window.partitionBy(*keys, "preset"), F.col("total")))
+    out = scored.groupBy(*keys, "preset").agg(*_summary(), F.first("total").alias("total_burden"))
+    out = out.select(*keys, "preset", "waves", F.coalesce("top.peak_value", F.lit(0.0)).alias("largest_wave"), "avg_wave_height", "avg_wave_duration", "avg_interwave_days", F.col("top.peak_date").alias("peak_wave_date"), "total_burden")
+    if people is None:
+        return out
+    return out.join(people.select("unit", "population"), "unit", "left").withColumn("peak_wave_per_100k", rate(F.col("largest_wave"), F.col("population"))).drop("population")
+
+
+def both_metrics(found: DataFrame) -> DataFrame:
+    """all_metrics() of cases and of deaths under one preset side by side, and the lag between their largest waves."""
+    names = [c for c in found.columns if c not in ("unit", "metric", "preset")]
+    sides = [F.max(F.when(F.col("metric") == m, F.struct(*names))).alias(m) for m in ("case", "death")]
+    out = found.groupBy("unit").agg(*sides).select("unit", *[F.col(f"{m}.{c}").alias(f"{m}_{c}") for m in ("case", "death") for c in names])
+    return out.withColumn("peak_lag_days", F.date_diff("death_peak_wave_date", "case_peak_wave_date"))
 
 
 def zipped(cases: DataFrame, deaths: DataFrame) -> DataFrame:

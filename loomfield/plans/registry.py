@@ -68,6 +68,11 @@ def _shipped(spark, sf):
     return _dense(i.join(x, i.l_suppkey == x.s_suppkey).groupBy(F.col("s_nationkey").cast("string").alias("unit"), F.col("l_shipdate").cast("date").alias("date")).agg((F.sum("l_extendedprice") / 1000).alias("value")))
 
 
+def _both(spark, sf):
+    """Both series by metric."""
+    return _long(spark, sf).withColumn("metric", F.lit("case")).unionByName(_shipped(spark, sf).withColumn("metric", F.lit("death")))
+
+
 def _monthly_peaks(series: DataFrame) -> DataFrame:
     """The largest day of each month, the first of several, as peaks."""
     top = F.max(F.struct("value", (-F.unix_date("date")).alias("d"), "date"))
@@ -240,11 +245,11 @@ QUERIES = {
     "region_zip": lambda spark, sf: r6(plain(wv.zipped(_regions(spark, sf), wv.regions(_shipped(spark, sf), base=45.0)), "case_duration_days", "death_duration_days")),
     "region_first_within": lambda spark, sf: plain(wv.first_within(_regions(spark, sf), wv.regions(_shipped(spark, sf), base=45.0)), "death_wave"),
     "region_by_significance": lambda spark, sf: wv.score(_regions(spark, sf), _totals(spark, sf)).orderBy(F.desc("wave_significance"), "unit", "wave_number").limit(20),
-    "wave_metrics": lambda spark, sf: r6(wv.both_metrics(*[wv.metrics(wv.detect(x), x) for x in (_long(spark, sf), _shipped(spark, sf))])),
+    "wave_metrics": lambda spark, sf: r6(wv.both_metrics(wv.all_metrics(_both(spark, sf)))),
     "wave_audit_log": lambda spark, sf: wv.audit_log(_long(spark, sf)),
     "prominent_waves": lambda spark, sf: r6(wv.detect(_long(spark, sf), preset=None, prominence=30.0, merge=30)),
     "smoothing_windows": lambda spark, sf: wv.smoothing_windows(_long(spark, sf)),
-    "wave_presets": lambda spark, sf: reduce(DataFrame.unionByName, [wv.detect(_long(spark, sf), preset=k).groupBy(F.lit(k).alias("preset")).agg(F.count("*").alias("waves")) for k in wv.PRESETS]),
+    "wave_presets": lambda spark, sf: wv.preset_counts(_long(spark, sf)),
     "duplicate_keys": lambda spark, sf: load(spark, sf, "orders").groupBy(x.pad_fips(F.col("o_custkey")).alias("fips")).agg(F.count("*").alias("n")).where("n > 1"),
     "population_validity": lambda spark, sf: s.population(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("population") == 0).alias("zero"), F.count_if(F.col("population") < 0).alias("negative"), F.count_if(F.col("population").isNull()).alias("missing"), F.count_if(F.col("fips") == "00000").alias("unallocated")),
 }

@@ -11,19 +11,21 @@ from loomfield.operators import lags as lg
 from loomfield.operators import models as md
 from loomfield.sources import files
 from loomfield.streaming.panel import daily_totals
+from tests import plain
 
 D = date(2021, 1, 1)
 
 
 def _peaks(spark, days):
-    return spark.createDataFrame([("u", D + timedelta(d), 10.0, 1.0) for d in days] or [], lg.PEAKS)
+    return spark.createDataFrame([("u", D + timedelta(d), 10.0, 1.0) for d in days] or [], "unit string, peak_date date, peak_value double, prominence double")
 
 
-def test_peak_places():
+def test_peak_places(spark):
     x = np.array([0, 1, 0, 5, 5, 5, 0, 2, 1.8, 3, 0])
-    assert [p for p, _ in lg.peak_places(x, 0.5, 1)] == [1, 4, 7, 9] or [p for p, _ in lg.peak_places(x, 0.5, 1)] == [1, 4, 9]
-    assert [p for p, _ in lg.peak_places(x, 2.5, 3)] == [4, 9]
-    assert lg.peak_places(np.array([1.0, 2.0]), 1, 1) == [] and lg.peak_places(np.full(5, np.nan), 1, 1) == []
+    found = lambda x, *how: [(r.peak_date - plain.D).days for r in lg.peaks(plain.frame(spark, {"u": x}), *how).orderBy("peak_date").collect()]
+    assert found(x, 0.5, 1) == [1, 4, 9]  # the rise from 1.8 to 2 is too small
+    assert found(x, 0.1, 1) == [1, 4, 7, 9] and found(x, 2.5, 3) == [4, 9]
+    assert found(np.array([1.0, 2.0]), 1, 1) == [] and found(np.full(5, np.nan), 1, 1) == []
 
 
 def test_peaks_and_matches(spark):

@@ -10,7 +10,7 @@ from loomfield.functions import exprs as x
 from loomfield.operators import features as ft
 from loomfield.operators import panel as p
 from loomfield.operators import spatial as sp
-from loomfield.operators import waves as wv
+from tests import plain
 
 DAYS = [date(2020, 1, 22) + timedelta(i) for i in range(10)]
 ROWS = {
@@ -69,20 +69,20 @@ def gauss(n, peak, mid, width):
     return peak * np.exp(-0.5 * ((np.arange(n) - mid) / width) ** 2)
 
 
-def test_two_waves():
+def test_two_waves(spark):
     noise = np.random.default_rng(7).normal(0, 1.5, 400)
-    found = wv.find_waves(np.maximum(gauss(400, 80, 100, 15) + gauss(400, 150, 280, 20) + noise, 0))
+    found = plain.native(spark, np.maximum(gauss(400, 80, 100, 15) + gauss(400, 150, 280, 20) + noise, 0))
     assert [abs(k - m) <= 7 for (_, k, _, _), m in zip(found, (100, 280), strict=True)] == [True, True]
 
 
-def test_sharp_surges_and_brief_dip():
+def test_sharp_surges_and_brief_dip(spark):
     two = gauss(500, 300, 150, 15) + gauss(500, 500, 260, 12) + 40
-    assert len(wv.find_waves(two)) == 2
+    assert len(plain.native(spark, two)) == 2
     one = np.maximum(gauss(500, 300, 150, 15), gauss(500, 500, 240, 12))
     one[150:241] = np.maximum(one[150:241], 260)
     one += 40
     one[193:198] = 60
-    assert len(wv.find_waves(one)) == 1
+    assert len(plain.native(spark, one)) == 1
 
 
 def test_path_graph(spark):

@@ -18,6 +18,7 @@ from loomfield.operators import spatial as sp
 from loomfield.operators import stats as st
 from loomfield.operators import waves as wv
 from loomfield.sources import files
+from tests import plain
 from tests.test_panel import DAYS, ROWS, gauss
 
 D = date(2020, 6, 1)
@@ -163,16 +164,16 @@ def series(spark, **units):
     return spark.createDataFrame([(u, D + timedelta(i), float(v)) for u, x in units.items() for i, v in enumerate(x)], "unit string, date date, value double")
 
 
-def test_low_counts_are_not_shredded():
+def test_low_counts_are_not_shredded(spark):
     rng = np.random.default_rng(11)
     noise = rng.poisson(np.maximum(gauss(500, 6, 250, 60), 0.05)).astype(float)
-    assert len(wv.find_waves(noise, ma=5)) <= 2
+    assert len(plain.native(spark, noise, ma=5)) <= 2
 
 
-def test_bounds_follow_the_surge_not_the_lead_in():
+def test_bounds_follow_the_surge_not_the_lead_in(spark):
     x = np.arange(500)
     values = np.where((x >= 30) & (x < 300), 8.0, 0.0) + gauss(500, 400, 330, 18)
-    first, peak, last, _ = max(wv.find_waves(values), key=lambda w: w[3])
+    first, peak, last, _ = max(plain.native(spark, values), key=lambda w: w[3])
     assert abs(peak - 330) <= 7 and first >= 270 and last <= 395
 
 
@@ -200,15 +201,16 @@ def test_scores_are_bounded_and_windows_match(spark):
     assert got == ["Initial surge", "Winter 2020-21", "Delta", "Outside national windows", "Initial surge"]  # a shared day goes to the first
 
 
-def test_prominent_waves_and_smoothing():
+def test_prominent_waves_and_smoothing(spark):
     two = gauss(400, 2000, 100, 15) + gauss(400, 3000, 155, 10)
-    assert len(wv.prominent_waves(two)) == 2 and len(wv.prominent_waves(two, merge=60)) == 1
-    (merged,) = wv.prominent_waves(two, merge=60)
+    assert len(plain.native(spark, two, preset=None)) == 2
+    (merged,) = plain.native(spark, two, preset=None, merge=60)
     assert abs(merged[1] - 155) <= 2 and merged[0] < 100
-    assert wv.prominent_waves(np.zeros(100)) == [] and wv.default_prominence(np.zeros(9)) == 1.0
-    assert wv.best_smoothing(np.ones(10)) == 3 and wv.best_smoothing(gauss(300, 100, 150, 40)) == 3
+    assert plain.native(spark, np.zeros(100), preset=None, prominence="auto") == [] and plain.native(spark, two, preset=None, prominence="auto") == plain.native(spark, two, preset=None, prominence=plain.default_prominence(two))
     rng = np.random.default_rng(1)
-    assert wv.best_smoothing(rng.poisson(20, 300) * rng.choice([0.0, 5.0], 300)) > 3
+    df = plain.frame(spark, {"a": np.ones(10), "b": gauss(300, 100, 150, 40), "c": rng.poisson(20, 300) * rng.choice([0.0, 5.0], 300)})
+    window = {r.unit: r.window for r in wv.smoothing_windows(df).collect()}
+    assert (window["a"], window["b"]) == (3, 3) and window["c"] > 3
 
 
 def test_hot_and_cold_ends(spark):
@@ -250,7 +252,7 @@ def test_layout_and_latin_1(spark, tmp_path):
 
 
 def test_matches_of_two_units(spark):
-    peaks = lambda days: spark.createDataFrame([(u, D + timedelta(d), 10.0, 1.0) for u in "ab" for d in days], lg.PEAKS)
+    peaks = lambda days: spark.createDataFrame([(u, D + timedelta(d), 10.0, 1.0) for u in "ab" for d in days], "unit string, peak_date date, peak_value double, prominence double")
     found = lg.matches(peaks([10, 12, 100]), peaks([5, 20, 110, 300]))
     assert sorted(((r.case_peak_date - D).days, r.lag_days) for r in found.where("unit = 'a'").collect()) == [(10, 10)] + [(100, 10)]
     view = {r.unit: r for r in lg.overlay(found).collect()}
