@@ -18,6 +18,8 @@ whatever name, are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,11 +33,14 @@ from pyspark.sql import functions as F
 
 from loomfield.llm.arrays import SPACE, bytes_of, groups
 from loomfield.llm.common import stored
+from loomfield.llm.token_counts import _byte_letters
 
 #: Documents that one packing task gets, on average.
 GROUP_DOCS = 8192
+#: Batches of more bytes are worked on in parts.
+TEXT_BYTES = 4 << 20
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Texts may be cut between an ASCII letter and an ASCII digit or mark; not at quotes, which begin
 #: contractions, and not at the marks of special tokens.
@@ -43,6 +48,8 @@ SIDE = np.zeros(256, np.int8)
 SIDE[[*range(65, 91), *range(97, 123)]] = 1
 SIDE[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in "'<|>"]] = 2
 SIDE[48:58] = 2
+#: Words of letters that lower-casing and normalising treat byte by byte, up to LONG bytes; the library gets all others.
+PLAIN, LONG = re.compile(rb"(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"), 256
 _loaded: dict[str, WordIds] = {}
 
 
@@ -55,6 +62,15 @@ class WordIds:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        # What ends a word stands for itself.
+        self.first, self.last = (np.array([vocab[c + end] for c in _byte_letters()], np.int64) for end in ("", model["end_of_word_suffix"]))
+        self.size = max(vocab.values()) + 1
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
+        self.ranks = np.argsort(keys, kind="stable")
+        self.keys, self.made = keys[self.ranks], np.array([vocab[a + b] for a, b in merges], np.int64)
         self.forget()
 
     def forget(self) -> None:
@@ -62,11 +78,64 @@ class WordIds:
         self.ids, self.begin = array("I"), array("q", [0])
 
     def learn(self, words: list[bytes]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+        plain = [w for w in words if len(w) <= LONG and PLAIN.fullmatch(w)]
+        if plain:
+            ids, sizes = self.merged([w.lower() for w in plain])
+            self.known.update(zip(plain, range(len(self.begin) - 1, len(self.begin) - 1 + len(plain)), strict=True))
+            self.begin.frombytes((len(self.ids) + np.cumsum(sizes)).astype(np.int64).tobytes())
+            self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        other = [w for w in words if w not in self.known]
+        for word, found in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
             self.known[word] = len(self.begin) - 1
             self.ids.extend(found.ids)
             self.begin.append(len(self.ids))
 
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that lower-case words keep, one word after the other, and how many each keeps.
+
+        In every round each word applies its own pair of lowest rank at all its places.
+        """
+        counts = np.array([len(w) for w in words], np.int64)
+        raw, rows = np.frombuffer(b"".join(words), np.uint8), np.repeat(np.arange(len(words)), counts)
+        symbols = self.first[raw]
+        ends = np.cumsum(counts) - 1
+        symbols[ends] = self.last[raw[ends]]
+        done, never = [], len(self.made)
+        rank = self.ranked(symbols, rows, np.arange(len(symbols)))
+        while len(symbols):
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(symbols))))
+            ready = lowest == never
+            done.append((rows[ready], symbols[ready]))
+            rows, symbols, rank, lowest = rows[~ready], symbols[~ready], rank[~ready], lowest[~ready]
+            # Of neighbouring places of one pair every second one merges.
+            p = np.flatnonzero(rank == lowest)
+            run = np.ones(len(p), bool)
+            run[1:] = p[1:] != p[:-1] + 1
+            p = p[(p - p[np.flatnonzero(run)][np.cumsum(run) - 1]) % 2 == 0] if len(p) else p
+            symbols[p] = self.made[rank[p]]
+            keep = np.ones(len(symbols), bool)
+            keep[p + 1] = False
+            rows, symbols, rank = rows[keep], symbols[keep], rank[keep]
+            # Only pairs with a new symbol have a new rank.
+            new = p - np.arange(len(p))
+            touched = np.zeros(len(symbols), bool)
+            touched[new] = touched[np.maximum(new - 1, 0)] = True
+            new = np.flatnonzero(touched)
+            rank[new] = self.ranked(symbols, rows, new)
+        rows, symbols = (np.concatenate([x[k] for x in done]) for k in (0, 1))
+        return symbols[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(words))
+
+    def ranked(self, symbols: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The rank of the pair that begins at each place; one beyond all at the end of a word."""
+        out = np.full(len(places), len(self.made), np.int64)
+        inner = np.flatnonzero(places < len(symbols) - 1)
+        inner = inner[rows[places[inner]] == rows[places[inner] + 1]]
+        key = symbols[places[inner]] * self.size + symbols[places[inner] + 1]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[inner] = np.where(self.keys[at] == key, self.ranks[at], len(self.made))
+        return out
+
     def of(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id behind it, and where each text's begin (n + 1 places)."""
         raw, at = bytes_of(texts)
@@ -240,7 +309,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end: int, window: int, id_col: s
             _loaded[vocabulary] = WordIds(vocabulary)
         words, key = _loaded[vocabulary], TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b in groups(batch.column(1)):
+            for a, b in groups(batch.column(1)) if batch.nbytes > TEXT_BYTES else [(0, len(batch))]:
                 ids, at = words.of(batch.column(1).slice(a, b - a), end)
                 n, data = np.diff(at), ids.tobytes()
                 sums = [checksums(memoryview(data)[4 * at[i] : 4 * at[i + 1]], int(n[i]), window) for i in range(b - a)]
