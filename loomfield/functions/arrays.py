@@ -1,6 +1,8 @@
 """Column expressions over one series held as an array: averages, runs, peaks and matches as folds.
 
 Places count from 0. Every fold walks one array, so its work is bounded by one unit's days.
+Arrays that a lambda reads are bound by let(): a column that the optimizer replaces by its
+definition would else be computed anew for every element.
 """
 
 from __future__ import annotations
@@ -23,6 +25,11 @@ def lets(body: Callable[..., Column], *values: Column) -> Column:
     return let(values[0], lambda v: lets(lambda *rest: body(v, *rest), *values[1:]))
 
 
+def loose(a: Column) -> Column:
+    """The same array as objects: each slice of a column's binary form would convert the whole of it."""
+    return F.transform(a, lambda v: v)
+
+
 def at(a: Column, i) -> Column:
     """The element at a place; null beyond the ends."""
     return F.get(a, i)
@@ -55,14 +62,14 @@ def where_largest(a: Column) -> Column:
 
 def variance(a: Column) -> Column:
     """Of the whole population."""
-    n = F.size(a)
-    return let(total(a) / n, lambda mean: F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n)
+    around = lambda a, mean: F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(a)
+    return let(a, lambda a: let(total(a) / F.size(a), lambda mean: around(a, mean)))
 
 
 def centred(x: Column, window: Column) -> Column:
     """Zero-padded centred averages; an even window has one more day before."""
     after = F.floor((window - 1) / 2).cast("int")
-    return F.transform(x, lambda _, i: total(part(x, i - window + 1 + after, i + after)) / window)
+    return let(loose(x), lambda x: F.transform(x, lambda _, i: total(part(x, i - window + 1 + after, i + after)) / window))
 
 
 def smoothed(x: Column, window: Column) -> Column:
@@ -74,23 +81,28 @@ def smoothed(x: Column, window: Column) -> Column:
 def quantile(a: Column, percent: Column) -> Column:
     """Of an array without nulls, interpolated between the two nearest elements."""
     def between(ordered: Column) -> Column:
-        place = percent / 100 * (F.size(ordered) - 1)
-        low = F.floor(place).cast("int")
-        return at(ordered, low) + (place - low) * (at(ordered, F.least(low + 1, F.size(ordered) - 1)) - at(ordered, low))
+        def of(place: Column) -> Column:
+            low = F.floor(place).cast("int")
+            return at(ordered, low) + (place - low) * (at(ordered, F.ceil(place).cast("int")) - at(ordered, low))
+
+        return let(percent / 100 * (F.size(ordered) - 1), of)
 
     return let(F.sort_array(a), between)
 
 
 def rolling_quantile(x: Column, half: Column, percent: Column) -> Column:
     """Over half a window on either side, cut at the ends."""
-    return F.transform(x, lambda _, i: quantile(part(x, i - half, i + half), percent))
+    return let(loose(x), lambda x: F.transform(x, lambda _, i: quantile(part(x, i - half, i + half), percent)))
 
 
 def runs(flagged: Column, gap) -> Column:
     """Stretches (a, z) of ascending places of which neighbours are at most gap apart."""
-    first = F.filter(flagged, lambda v, i: (i == 0) | (v - at(flagged, i - 1) > gap))
-    end = F.filter(flagged, lambda v, i: (i == F.size(flagged) - 1) | (at(flagged, i + 1) - v > gap))
-    return F.zip_with(first, end, lambda a, z: F.struct(a.alias("a"), z.alias("z")))
+    def of(flagged: Column) -> Column:
+        first = F.filter(flagged, lambda v, i: (i == 0) | (v - at(flagged, i - 1) > gap))
+        end = F.filter(flagged, lambda v, i: (i == F.size(flagged) - 1) | (at(flagged, i + 1) - v > gap))
+        return F.zip_with(first, end, lambda a, z: F.struct(a.alias("a"), z.alias("z")))
+
+    return let(flagged, of)
 
 
 def longest_run(flagged: Column) -> Column:
@@ -122,7 +134,10 @@ def peaks(x: Column, prominence, distance) -> Column:
     distance the highest stays, of equal ones the last; then the prominence decides.
     """
     prominence, distance = (F.lit(v) if isinstance(v, (int, float)) else v for v in (prominence, distance))
+    return let(loose(x), lambda x: _peaks(x, prominence, distance))
+
 
+def _peaks(x: Column, prominence: Column, distance: Column) -> Column:
     def of(first: Column) -> Column:
         level = lambda r: at(x, at(first, r))
         end = lambda r: F.coalesce(at(first, r + 1), F.size(x)) - 1

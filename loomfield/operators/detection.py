@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions.arrays import at, centred, last, let, lets, longest_run, part, peaks, places, rolling_quantile, runs, smoothed, spaced, total, variance, where_largest
+from loomfield.functions.arrays import at, centred, last, let, lets, longest_run, loose, part, peaks, places, rolling_quantile, runs, smoothed, spaced, total, variance, where_largest
 
 
 @dataclass(frozen=True)
@@ -73,8 +73,9 @@ def best_window(x: Column) -> Column:
 
 
 def _threshold(s: Column, p: Column) -> Column:
-    """The baseline: a rolling low percentile, averaged and never negative."""
-    return let(rolling_quantile(s, F.floor(p["window"] / 2).cast("int"), p["percentile"]), lambda low: F.transform(centred(low, p["smooth"]), lambda v: F.greatest(v, F.lit(0.0))))
+    """The baseline: a rolling low percentile, averaged, never negative, and to nine places, so that which of
+    equally low days is the first does not hang on the order of a sum."""
+    return let(rolling_quantile(s, F.floor(p["window"] / 2).cast("int"), p["percentile"]), lambda low: F.transform(centred(low, p["smooth"]), lambda v: F.round(F.greatest(v, F.lit(0.0)), 9)))
 
 
 def _valley(e: Column, one: Column, two: Column, p: Column) -> Column:
@@ -153,7 +154,7 @@ def profiled(df: DataFrame, presets=("standard",), ma: int | str = 7, keys=("uni
     kinds = [F.struct(F.lit(k).alias("preset"), *[F.lit(v).alias(f) for f, v in vars(PRESETS[k]).items()]) for k in presets]
     out = out.select(*keys, "d", "raw", "x", "known", "total", "ma", smoothed(F.col("x"), F.col("ma")).alias("s"), F.explode(F.array(*kinds)).alias("p"))
     usable = (F.col("known") >= F.col("ma") + 2) & F.exists("s", lambda v: v != 0)
-    return out.withColumn("found", F.when(usable, _candidates(F.col("x"), F.col("s"), F.col("p"))))
+    return out.withColumn("found", F.when(usable, lets(lambda x, s: _candidates(x, s, F.col("p")), F.col("x"), loose(F.col("s")))))
 
 
 def waves_of(profile: DataFrame, keys=("unit",), outer: bool = False) -> DataFrame:
@@ -176,9 +177,8 @@ def prominent(df: DataFrame, prominence: float | str = 1000, merge: int = 0, ma:
     out = gathered(df).withColumn("s", smoothed(F.col("x"), F.lit(ma)))
     least = default_prominence(F.col("x"), PRESETS[preset]) if prominence == "auto" else F.lit(float(prominence))
     out = out.where((F.col("known") >= ma + 2) & F.exists("s", lambda v: v != 0)).withColumn("least", least)
-    raw, s = F.col("raw"), F.col("s")
 
-    def wave(k: Column) -> Column:
+    def wave(k: Column, raw: Column, s: Column) -> Column:
         value = F.coalesce(at(raw, k), at(s, k))
         under = let(value, lambda v: F.filter(F.transform(raw, lambda _, i: i), lambda i: at(raw, i) < 0.1 * v))
         return let(under, lambda u: F.struct(
@@ -192,7 +192,7 @@ def prominent(df: DataFrame, prominence: float | str = 1000, merge: int = 0, ma:
         close = (F.size(acc) > 0) & (w["peak"] - v["peak"] <= merge) & F.lit(merge > 0)
         return F.when(close, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), one)).otherwise(F.array_append(acc, w))
 
-    each = F.transform(peaks(s, F.col("least"), 1), lambda t: wave(t["place"]))
+    each = lets(lambda raw, s: F.transform(peaks(s, F.col("least"), 1), lambda t: wave(t["place"], raw, s)), F.col("raw"), F.col("s"))
     empty = F.array().cast("array<struct<first:int,peak:int,last:int,value:double,kept:boolean>>")
     found = F.aggregate(each, empty, joined)
     return waves_of(out.select("unit", F.struct(F.lit(preset).alias("preset")).alias("p"), "d", "x", found.alias("found"))).drop("preset")

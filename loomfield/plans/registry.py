@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import exprs as x
 from loomfield.operators import audit as au
+from loomfield.operators import detection as dt
 from loomfield.operators import features as ft
 from loomfield.operators import lags as lg
 from loomfield.operators import models as md
@@ -175,6 +176,7 @@ QUERIES = {
     "hotspot_counts": lambda spark, sf: sp.getis_ord(_values(spark, sf), sp.adjacency(_rings(spark, sf))).groupBy("category").agg(F.count("*").alias("n")),
     "wave_regions": lambda spark, sf: _regions(spark, sf).select("unit", "start_date", "end_date", "days"),
     "wave_report": lambda spark, sf: r6(wv.detect(_long(spark, sf))),
+    "wave_report_presets": lambda spark, sf: r6(dt.waves_of(dt.profiled(_long(spark, sf), tuple(dt.PRESETS)))),
     "wave_windows": lambda spark, sf: wv.match_windows(wv.detect(_long(spark, sf)), WINDOWS),
     "wave_scores": lambda spark, sf: r6(wv.score(wv.detect(_long(spark, sf)))),
     "lag_peaks": lambda spark, sf: r6(lg.peaks(_long(spark, sf), 20.0, 14)),

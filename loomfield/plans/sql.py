@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from loomfield.plans import wave_sql
+
 _VIEWS = {
     "population": "SELECT lpad(c_custkey::VARCHAR, 5, '0') AS fips, n_name AS state, c_name AS county_name, c_acctbal AS population FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "spine": "SELECT fips, d::DATE AS date FROM (SELECT DISTINCT lpad(user_id::VARCHAR, 5, '0') AS fips FROM events), generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) t(d)",
@@ -49,6 +51,7 @@ _VIEWS = {
     "feat": "SELECT fips, population AS population_2020, n_orders AS hospital_beds, avg_price AS pop_65plus, CASE WHEN rucc_code > 0 THEN rucc_code::DOUBLE END AS rucc_code FROM master",
     "slice": "SELECT *, avg(cases_daily) OVER (PARTITION BY fips, state ORDER BY date ROWS 6 PRECEDING) AS ma FROM daily WHERE fips <> '00000'",
     "map": "SELECT fips, state, county_name, round(population, 6) AS population, round(cases, 6) AS cases, round(deaths, 6) AS deaths, round(ma / population * 100000, 6) AS value, round(cases / population * 100000, 6) AS cases_pc, round(deaths / population * 100000, 6) AS deaths_pc, CASE WHEN population >= 5000 THEN 'Urban' ELSE 'Rural' END AS county_type FROM slice WHERE date = DATE '2024-01-30' AND population > 0",
+    **wave_sql.VIEWS,
 }
 
 
@@ -61,10 +64,11 @@ def _with(body: str) -> str:
             if v not in need and re.search(rf"\b{v}\b(?!\()", text):
                 need.add(v)
                 todo.append(_VIEWS[v])
-    views = ", ".join(f"{v} AS ({q})" for v, q in _VIEWS.items() if v in need)
+    walks = {v for v in need if v.endswith(("walk", "_top", "_head", "_held")) and re.search(rf"UNION ALL .*\b{v}\b", _VIEWS[v])}
+    views = ", ".join(f"{v} AS {'MATERIALIZED ' * (v in wave_sql.VIEWS and v not in walks)}({q})" for v, q in _VIEWS.items() if v in need)
     if body.startswith("WITH "):  # its own views come after these
         views, body = f"{views}, {body[5:]}", ""
-    return f"WITH {'RECURSIVE ' * ('walk' in need)}{views} {body}" if views else body
+    return f"WITH {'RECURSIVE ' * bool(walks)}{views} {body}" if views else body
 
 
 def _pair(o: str, f: str) -> str:
@@ -189,4 +193,4 @@ _BODIES = {
     "population_validity": "SELECT count(*) AS total, count(*) FILTER (population = 0) AS zero, count(*) FILTER (population < 0) AS negative, count(*) FILTER (population IS NULL) AS missing, count(*) FILTER (fips = '00000') AS unallocated FROM population",
 }
 
-SQL = {name: _with(body) for name, body in _BODIES.items()}
+SQL = {name: _with(body) for name, body in (_BODIES | wave_sql.BODIES).items()}

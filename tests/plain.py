@@ -60,7 +60,7 @@ def baseline(s: np.ndarray, p: Preset) -> np.ndarray:
         low[half : n - half] = np.percentile(sliding_window_view(s, 2 * half + 1), p.percentile, axis=1)
     for i in (i for i in range(n) if i not in inner):
         low[i] = np.percentile(s[max(0, i - half) : i + half + 1], p.percentile)
-    return np.maximum(_centred(low, p.smooth), 0)
+    return np.round(np.maximum(_centred(low, p.smooth), 0), 9)
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
