@@ -2,8 +2,10 @@
 
 Rules given by host and path decide first. The urls that they decide are labelled with
 their verdict, all others with none: these are the background, so that a token is as sure
-as the share of all urls with it that a rule decides. FP-growth mines combinations of
-url tokens that go with a label; rules pruned by count, support, confidence, lift over
+as the share of all urls with it that a rule decides. Tokens that stand in the same urls
+are one item, and any of them stands for it: a rule with two of them is as sure with one,
+so no rule is lost, and urls that share many steps do not multiply combinations. FP-growth
+mines combinations of items that go with a label; rules pruned by count, support, confidence, lift over
 the label's share of all urls, and redundancy decide the urls that no given rule decides.
 Each mined rule stands in an inverted index under its rarest token; a url looks up its
 tokens and keeps the rules that it holds whole. The one of the largest lift decides (then of more
@@ -62,13 +64,31 @@ def labelled(spark: SparkSession, pages: DataFrame, id_col: str, url_col: str, r
     return urls, stored(spark, sets.where("size(tokens) > 0"), "tokens")
 
 
+def merged_items(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Items of tokens that are in the same urls, least or more: item (the largest token), n (urls) and alike (all of its tokens).
+
+    Also given and, as tokens, the items of each url. Urls of a token are told apart by their number and two sums of hashes.
+    """
+    seen = sets.select("host", "path", "given", F.explode("tokens").alias("token"))
+    urls = [F.sum(F.shiftright(F.xxhash64(*c), 24)) for c in (("host", "path"), ("path", "host"))]
+    found = seen.groupBy("token").agg(F.count("*").alias("n"), urls[0].alias("a"), urls[1].alias("b")).where(F.col("n") >= least).groupBy("n", "a", "b").agg(F.max("token").alias("item"), F.collect_set("token").alias("alike"))
+    chosen = found.select("item", F.col("item").alias("token"))
+    chosen = F.broadcast(chosen) if chosen.count() <= SENT else chosen
+    return found.select("item", "n", "alike"), seen.join(chosen, "token", "left").groupBy("host", "path", "given").agg(F.collect_list("item").alias("tokens"))
+
+
 def mine(spark: SparkSession, sets: DataFrame, min_count: int = 5, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.2) -> DataFrame | None:
-    """The index of rules (anchor, ruled, label, lift, confidence, support) mined from sets (tokens, given); None without labels."""
+    """The index of rules (anchor, ruled, alike, label, lift, confidence, support) mined from sets (host, path, tokens, given); None without labels.
+
+    A rule holds where a url has one of the tokens of each of its items; alike lists these, ruled the items.
+    """
     n = sets.count()
     if sets.where("given <> 'none'").isEmpty():
         return None
-    items = sets.select(F.concat("tokens", F.array(F.concat(F.lit("="), "given"))).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=max(min_support, min(min_count / n, 1.0)), minConfidence=min_confidence).fit(items)
+    support = max(min_support, min(min_count / n, 1.0))
+    kinds, items = merged_items(sets, support * n - 0.5)
+    kinds = stored(spark, kinds, "items")
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items.select(F.concat("tokens", F.array(F.concat(F.lit("="), "given"))).alias("items")))
     mined = found.associationRules.where((F.size("consequent") == 1) & F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")) & (F.col("lift") >= min_lift))
     mined = stored(spark, mined.select(F.array_sort("antecedent").alias("ruled"), F.substring(F.element_at("consequent", 1), 2, 99).alias("label"), "lift", "confidence", "support"), "rules")
     # A rule is redundant where a rule of one token less is as sure.
@@ -76,16 +96,18 @@ def mine(spark: SparkSession, sets: DataFrame, min_count: int = 5, min_support:
     as_sure = (F.col("a.less") == F.col("b.ruled")) & (F.col("a.label") == F.col("b.label")) & (F.col("b.confidence") >= F.col("a.confidence"))
     redundant = shorter.alias("a").join(mined.alias("b"), as_sure).select(F.col("a.t").alias("ruled"), F.col("a.label").alias("label")).distinct()
     kept = mined.join(redundant, ["ruled", "label"], "left_anti")
-    held = sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    anchors = kept.withColumn("token", F.explode("ruled")).join(held, "token", "left").groupBy("ruled", "label", "lift", "confidence", "support").agg(F.min_by("token", F.struct("count", "token")).alias("anchor"))
-    return stored(spark, anchors, "index")
+    parts = kept.withColumn("item", F.explode("ruled")).join(kinds, "item").groupBy("ruled", "label", "lift", "confidence", "support")
+    anchors = parts.agg(F.collect_list("alike").alias("alike"), F.min_by("alike", F.struct("n", "item")).alias("anchors"))
+    return stored(spark, anchors.select("*", F.explode("anchors").alias("anchor")).drop("anchors"), "index")
 
 
 def matched(sets: DataFrame, index: DataFrame) -> DataFrame:
     """host, path, label and mined (the tokens of the rule) of the sets (host, path, tokens) that hold a rule whole."""
     index = F.broadcast(index) if index.count() <= SENT else index
-    seen = sets.select("host", "path", "tokens", F.explode("tokens").alias("anchor")).join(index, "anchor").where(F.size(F.array_except("ruled", "tokens")) == 0)
-    best = F.max(F.struct("lift", "confidence", "support", F.size("ruled").alias("k"), F.array_join("ruled", " ").alias("mined"), "label"))
+    seen = sets.select("host", "path", "tokens", F.explode("tokens").alias("anchor")).join(index, "anchor").where(F.forall("alike", lambda x: F.arrays_overlap(x, F.col("tokens"))))
+    # Of the tokens of an item that the url has the largest one tells the rule.
+    own = F.array_join(F.array_sort(F.transform("alike", lambda x: F.array_max(F.array_intersect(x, F.col("tokens"))))), " ")
+    best = F.max(F.struct("lift", "confidence", "support", F.size("ruled").alias("k"), own.alias("mined"), "label"))
     return seen.groupBy("host", "path").agg(best.alias("m")).select("host", "path", "m.label", "m.mined")
 
 
