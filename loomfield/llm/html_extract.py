@@ -48,7 +48,9 @@ from pyspark.sql import functions as F
 from loomfield.llm.common import stored
 from loomfield.llm.url_filter import url_parts
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+#: Elements whose content is no markup, with what ends them (as does the end of the page).
+RAW = {name: re.compile(rf"</{name}\s*>|$", re.I) for name in "script style noscript template textarea title svg iframe".split()}
+RAW_NAME, COMMENT_END, QUOTED = re.compile(rf"<({'|'.join(RAW)})\b", re.I), re.compile(r"-->|$"), re.compile(r"['\">]")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 MARK = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\shidden(?:[\s=>/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -69,55 +71,126 @@ SENT = 200_000
 MIN_PAGES, MIN_SHARE = 8, 0.8
 
 
-@lru_cache(1 << 16)
-def _hash(text: str) -> int:
+#: Longer texts are hashed anew each time, so that the memory of hashes is bounded in bytes, too.
+REMEMBERED = 200
+
+
+def _digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def walk(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
-    """(path, token, is text, inside an article, outside main text) of each token of a page."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, in an article, off
-    path, inside, off = "", False, False
-    for m in TOKEN.finditer(page):
-        token = m.group()
+_short = lru_cache(1 << 16)(_digest)
+
+
+def _hash(text: str) -> int:
+    return (_short if len(text) <= REMEMBERED else _digest)(text)
+
+
+class Scanner:
+    """Cuts a page into comments, tags, raw elements and texts, in time in proportion to its length.
+
+    A tag ends at the first > outside quotes; one that never ends is text. Places that a
+    scan without end has passed outside quotes are not passed again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in "'\">"}
+        self.next, self.since, self.dead = -1, 0, set()
+
+    def mark(self, p: int) -> int:
+        """The first quote or > from p on; the length of the page if there is none."""
+        if not self.since <= p <= self.next:
+            found = QUOTED.search(self.page, p) if p <= max(self.last.values()) else None
+            self.since, self.next = p, found.start() if found else len(self.page)
+        return self.next
+
+    def tag_end(self, p: int) -> int | None:
+        """Where the tag that begins before p ends; none if it never does."""
+        passed = []
+        while p <= self.last[">"] and (q := self.mark(p)) not in self.dead and q < len(self.page):
+            if self.page[q] == ">":
+                return q + 1
+            passed.append(q)
+            if q >= self.last[self.page[q]]:
+                break
+            p = self.page.find(self.page[q], q + 1) + 1
+        self.dead.update(passed)
+        return None
+
+    def tokens(self) -> Iterator[tuple[str, bool]]:
+        """Each token, and whether it is a raw element."""
+        page, p = self.page, 0
+        while p < len(page):
+            end, raw = None, False
+            if page[p] != "<":
+                end = page.find("<", p)
+                end = len(page) if end < 0 else end
+            elif page.startswith("<!--", p):
+                end = COMMENT_END.search(page, p + 4).end()
+            elif (m := RAW_NAME.match(page, p)) and p < self.last[">"]:
+                end, raw = RAW[m.group(1).lower()].search(page, page.find(">", p) + 1).end(), True
+            elif NAME.match(page, p):
+                end = self.tag_end(p + 2)
+            elif page[p + 1 : p + 2] in ("!", "?") and p < self.last[">"]:
+                end = page.find(">", p) + 1
+            end = p + 1 if end is None else end
+            yield page[p:end], raw
+            p = end
+
+
+def walk(page: str) -> Iterator[tuple[tuple[int, bool], str, bool, bool, bool]]:
+    """(path, token, is text, inside an article, outside main text) of each token of a page.
+
+    A path is the hash of the names of open elements, and whether a link is among them.
+    """
+    top = ((0, False), False, False)
+    stack: list[tuple[str, tuple]] = []  # name, what holds inside it: path, in an article, off
+    opened: Counter = Counter()
+    path, inside, off = top
+
+    def close(name: str) -> tuple:
+        while True:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last == name:
+                return stack[-1][1] if stack else top
+
+    for token, raw in Scanner(page).tokens():
         if token[0] != "<" or token == "<":
             yield path, token, True, inside, off
             continue
-        if m.group(1) or token[1] in "!?":
+        if raw or token[1] in "!?":
             yield path, "<hidden>", False, inside, True
             continue
         name = NAME.match(token).group(1).lower()
         if token[1] == "/":
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
-                _, path, inside, off = stack[-1] if stack else ("", "", False, False)
+            if opened[name]:
+                path, inside, off = close(name)
             yield path, f"</{name}>", False, inside, off
             continue
-        if name in CLOSES_P and any(x[0] == "p" for x in stack[-8:]):
-            while stack.pop()[0] != "p":
-                pass
-            _, path, inside, off = stack[-1] if stack else ("", "", False, False)
+        if name in CLOSES_P and opened["p"] and any(x[0] == "p" for x in stack[-8:]):
+            path, inside, off = close("p")
         marks = " ".join(x for found in MARK.findall(token) for x in found if x).lower()
         yield path, f"<{name} {marks}>", False, inside, off
         if name in VOID or token.endswith("/>"):
             continue
         bad = name in ASIDE or (name == "header" and not inside) or (bool(marks) and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", marks)) and name not in ("html", "body", "article", "main")) or bool(HIDDEN.search(token))
-        path, inside, off = f"{path}/{name}", inside or name in MAIN, off or bad
-        stack.append((name, path, inside, off))
+        path, inside, off = (_hash(f"{path[0]}/{name}"), path[1] or name == "a"), inside or name in MAIN, off or bad
+        stack.append((name, (path, inside, off)))
+        opened[name] += 1
 
 
 def _text(chunk: str) -> str:
     return " ".join(html.unescape(chunk).split())
 
 
-def _key(path: str, token: str, is_text: bool, inside: bool) -> int | None:
+def _key(path: tuple[int, bool], token: str, is_text: bool, inside: bool) -> int | None:
     """What tells a token apart; text of articles and white space are no tokens of a template."""
     if not is_text:
-        return _hash(f"{path}\n{token}")
+        return _hash(f"{path[0]}\n{token}")
     if inside or token.isspace():
         return None
-    return (_hash if len(token) < 100 else _hash.__wrapped__)(f"{path}\n{_text(token)}")
+    return _hash(f"{path[0]}\n{_text(token)}")
 
 
 def tokens_of(page: str) -> Counter:
@@ -150,7 +223,7 @@ def shape_of(page: str, classes: dict[int, int], rank: dict[int, int]) -> tuple[
         elif is_text and not off and (n := len(token.strip())):
             sums = slots[slot]
             sums[0] += n * inside
-            sums[1] += n * ("/a/" in f"{path}/")
+            sums[1] += n * path[1]
             sums[2] += n
     parent, bad = {}, set()
     for a, b in combinations(sorted(at, key=rank.__getitem__), 2):
@@ -159,8 +232,8 @@ def shape_of(page: str, classes: dict[int, int], rank: dict[int, int]) -> tuple[
             bad.add(b)
         elif i == j and 0 < i < len(at[a]):
             parent[b] = max(parent.get(b, (-1, 0, 0)), (at[a][i - 1], a, i))
-    rows = [(c, _hash.__wrapped__(str(keys)), _hash(str(parent.get(c, (0, 0, 0))[1:])), c in bad) for c, keys in order.items()]
-    return _hash.__wrapped__(_text(longest)), rows, slots
+    rows = [(c, _digest(str(keys)), _hash(str(parent.get(c, (0, 0, 0))[1:])), c in bad) for c, keys in order.items()]
+    return _digest(_text(longest)), rows, slots
 
 
 class Template:
