@@ -14,7 +14,7 @@ With 16 permutations an item that is contained to 0.8 is missed with probability
 Only DataFrame functions are used. Null, empty and blank texts have no shingles and
 match nothing; a text of fewer words than the width is one shingle. Texts of any length
 are read whole. Rows that repeat a document or an item give one row; an id with several
-texts holds what any of them holds. Shingles that tie for a minimum give one query row.
+texts holds what any of them holds, and so do rows without an id, together. Shingles that tie for a minimum give one query row.
 Extra columns, of whatever name, are ignored; an empty table gives an empty result.
 """
 
@@ -65,7 +65,9 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: st
 
     # Verified on every shingle of the items found, counted where the candidates' documents hold them.
     wanted = found.join(own.select("item_id", F.size("sh").cast("long").alias("n_item"), F.explode("sh").alias("s")), "item_id")
-    held = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", plain_words(F.col("text")).alias("words"))
-    shared = shingles(held, ["doc_id"], width).join(wanted, ["doc_id", "s"]).groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("s").alias("n_shared"))
+    met = found.select(F.col("doc_id").alias("met")).distinct()
+    held = texts.join(met, F.col("doc_id").eqNullSafe(F.col("met")), "left_semi").select(F.col("doc_id").alias("held"), plain_words(F.col("text")).alias("words"))
+    pairs = shingles(held, ["held"], width).withColumnRenamed("s", "own").join(wanted, F.col("held").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("s")))
+    shared = pairs.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("s").alias("n_shared"))
     kept = shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return kept.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
