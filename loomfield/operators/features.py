@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.exprs import fisher_ci, safe_corr
@@ -85,6 +85,39 @@ def similar(df: DataFrame, fips: str, cols: list[str], k: int = 10, least: int =
     return z.where(F.col("fips") != fips).crossJoin(F.broadcast(ref)).select("fips", F.sqrt(square).alias("distance")).orderBy("distance", "fips").limit(k)
 
 
+def quantiles(df: DataFrame, c: str, shares: list[float], keys: list[str]) -> DataFrame:
+    """keys, and as q the exact quantiles of c at shares (interpolated) of each group that has values.
+
+    Values are counted, dealt into ranges of their group, and only the ranges that hold a
+    wanted place are sorted: no task takes a whole group, however large it is.
+    """
+    by = [*keys, "_one"]
+    counts = df.where(F.col(c).isNotNull()).groupBy(*keys, F.lit(1).alias("_one"), F.col(c).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    bounds = counts.groupBy(*by).agg(F.percentile_approx("v", [i / 200 for i in range(1, 200)], 2_000).alias("_b"))
+    placed = counts.join(bounds, by).withColumn("_r", F.size(F.filter("_b", lambda b: b <= F.col("v")))).drop("_b")
+    order = Window.partitionBy(*by).orderBy("_r")  # over the ranges of a group
+    totals = placed.groupBy(*by, "_r").agg(F.sum("n").alias("m"))
+    totals = totals.select(*by, "_r", "m", (F.sum("m").over(order) - F.col("m")).alias("_start"), F.sum("m").over(Window.partitionBy(*by)).alias("_all"))
+    place = lambda q: F.lit(q) * (F.col("_all") - 1)
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(q)), F.ceil(place(q))) for q in shares])))
+    near = lambda a, b: F.filter("_w", lambda k: (k >= a) & (k < b))
+    hit = totals.withColumn("_w", wanted).withColumn("_w", near(F.col("_start"), F.col("_start") + F.col("m"))).where(F.size("_w") > 0)
+    inner = Window.partitionBy(*by, "_r").orderBy("v")
+    rows = placed.join(hit.drop("m"), [*by, "_r"]).withColumn("_at", F.col("_start") + F.sum("n").over(inner) - F.col("n"))
+    rows = rows.select(*keys, "_one", "_all", "v", F.explode(near(F.col("_at"), F.col("_at") + F.col("n"))).alias("_k"))
+    value = lambda k: F.max(F.when(F.col("_k") == k, F.col("v")))
+    low, high = [value(F.floor(place(q))) for q in shares], [value(F.ceil(place(q))) for q in shares]
+    part = [F.max(place(q) - F.floor(place(q))) for q in shares]
+    return rows.groupBy(*by).agg(F.array(*[a + f * (b - a) for a, b, f in zip(low, high, part, strict=True)]).alias("q")).drop("_one")
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> DataFrame:
+    """c (the name of a column), n (its values) and q (see quantiles) of columns of a whole table."""
+    each = F.array(*[F.struct(F.lit(name).alias("c"), value.cast("double").alias("v")) for name, value in columns.items()])
+    rows = df.select(F.explode(each).alias("x")).select("x.*")
+    return quantiles(rows, "v", shares, ["c"]).join(rows.groupBy("c").agg(F.count("v").alias("n")), "c")
+
+
 def medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: the exact median of each column; the middle places are found among ranks, so that no task holds a column."""
     each = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])

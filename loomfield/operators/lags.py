@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import arrays as ar
 from loomfield.operators.detection import gathered
+from loomfield.operators.features import column_quantiles
 
 
 def peaks(df: DataFrame, prominence: float = 1.0, distance: int = 7) -> DataFrame:
@@ -33,11 +34,11 @@ def severity(found: DataFrame) -> DataFrame:
 
 def summary(found: DataFrame) -> DataFrame:
     """Lag statistics over all matches, one row."""
-    s = severity(found)
+    s, middle = severity(found), column_quantiles(found, {"lag_days": F.col("lag_days")}, [0.5]).agg(F.get(F.max("q"), F.lit(0)).alias("median_lag"))
     return s.agg(
-        F.count("*").alias("n"), F.avg("lag_days").alias("mean_lag"), F.percentile("lag_days", 0.5).alias("median_lag"), F.min("lag_days").alias("min_lag"), F.max("lag_days").alias("max_lag"),
+        F.count("*").alias("n"), F.avg("lag_days").alias("mean_lag"), F.min("lag_days").alias("min_lag"), F.max("lag_days").alias("max_lag"),
         F.avg("severity_ratio").alias("mean_severity"), F.max("case_peak_value").alias("largest_case_peak"), F.max("death_peak_value").alias("largest_death_peak"),
-    )
+    ).crossJoin(middle)  # one row beside one row
 
 
 def overlay(found: DataFrame, most: int = 8, margin: int = 45) -> DataFrame:

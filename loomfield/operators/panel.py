@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.exprs import SENTINEL, cfr, county_type, rate
+from loomfield.operators.features import quantiles
 
 UNIT = ("fips", "state")
 
@@ -138,4 +139,5 @@ def as_of(probes: DataFrame, observations: DataFrame, c: str, keys=("fips",), sk
 def peer_median(df: DataFrame, c: str, peers: DataFrame) -> DataFrame:
     """The peers' median for each date; empty for fewer than three."""
     out = real_units(df).join(peers, "fips", "left_semi").where("population > 0").withColumn("v", rate(F.col(c), F.col("population")))
-    return out.groupBy("date").agg(F.median("v").alias("median"), F.count_distinct("fips").alias("n")).where("n >= 3").select("date", "median")
+    enough = out.groupBy("date").agg(F.count_distinct("fips").alias("n")).where("n >= 3").select("date")
+    return enough.join(quantiles(out, "v", [0.5], ["date"]), "date", "left").select("date", F.get("q", F.lit(0)).alias("median"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.exprs import SENTINEL, county_type, rate
+from loomfield.operators.features import column_quantiles, quantiles
 from loomfield.operators.panel import UNIT, moving_average, national, real_units, with_daily
 
 #: Map metrics: base count and what is shown of it (fixed values).
@@ -36,6 +37,24 @@ def map_metric(df: DataFrame, date, metric: str = "daily_cases_ma7", threshold:
     return filtered(out, states=[state] if state and state != "United States" else None, kind=kind)
 
 
+def all_metrics(df: DataFrame, date) -> DataFrame:
+    """fips, value and metric: every map metric of each unit on one date, from one pass over the days that they read."""
+    longest = max(how for _, how in METRICS.values() if isinstance(how, int))
+    days = Window.partitionBy(*UNIT).orderBy("date")
+    near = df.where(F.col("date").between(F.date_sub(F.lit(date), longest), F.lit(date)))
+    near = near.withColumns({f"_{c}": F.coalesce(F.greatest(F.col(c) - F.lag(c).over(days), F.lit(0.0)), F.lit(0.0)) for c in ("cases", "deaths")})
+    near = near.where(F.col("date") > F.date_sub(F.lit(date), longest))
+
+    def value(c: str, how) -> Column:
+        if how == "pc":
+            return rate(F.col(c), F.col("population"))
+        return moving_average(f"_{c}", how) if how else F.col(c)
+
+    shown = real_units(near.withColumns({m: value(*spec) for m, spec in METRICS.items()}).where(F.col("date") == F.lit(date)))
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
+    return shown.select("fips", F.explode(each).alias("x")).select("fips", "x.value", "x.metric").where("value is not null")
+
+
 def filtered(df: DataFrame, states: list[str] | None = None, kind: str | None = None, regions: list | None = None, where: Column | None = None, region_col: str = "region") -> DataFrame:
     """Rows that pass every filter given; a county type that is none of the known ones filters nothing."""
     if states:
@@ -129,23 +148,26 @@ def neighbours(df: DataFrame, edges: DataFrame, fips: str) -> DataFrame:
 
 def medians_of(df: DataFrame, cols: list[str], least: int) -> DataFrame:
     """Medians of some units (peers, neighbours); null for fewer than least values."""
-    return df.agg(*[F.when(F.count(c) >= least, F.median(c)).alias(c) for c in cols])
+    found = column_quantiles(df, {c: F.col(c) for c in cols}, [0.5])
+    return found.agg(*[F.max(F.when((F.col("c") == c) & (F.col("n") >= least), F.get("q", F.lit(0)))).alias(c) for c in cols])
 
 
 def median_by_date(df: DataFrame, c: str) -> DataFrame:
-    return df.groupBy("date").agg(F.median(c).alias("median"))
+    return df.select("date").distinct().join(quantiles(df, c, [0.5], ["date"]), "date", "left").select("date", F.get("q", F.lit(0)).alias("median"))
 
 
 def colour_scale(df: DataFrame, c: str) -> DataFrame:
     """What colour scales need of a column: largest, 99th percentile, log, 98th percentile of the size, inner span."""
-    q = lambda x, p: F.percentile(x, p)
-    return df.agg(F.max(c).alias("max"), q(c, 0.99).alias("p99"), F.log1p(F.greatest(F.max(c), F.lit(0.0))).alias("log_max"), q(F.abs(c), 0.98).alias("p98_abs"), (q(c, 0.99) - q(c, 0.01)).alias("span"))
+    found = column_quantiles(df, {"own": F.col(c), "size": F.abs(c)}, [0.01, 0.98, 0.99])
+    q = lambda kind, k: F.max(F.when(F.col("c") == kind, F.get("q", F.lit(k))))
+    top = df.agg(F.max(c).alias("max"), F.log1p(F.greatest(F.max(c), F.lit(0.0))).alias("log_max"))
+    return top.crossJoin(found.agg(q("own", 2).alias("p99"), q("size", 1).alias("p98_abs"), (q("own", 2) - q("own", 0)).alias("span"))).select("max", "p99", "log_max", "p98_abs", "span")
 
 
 def against_rest(df: DataFrame, fips: str, cols: list[str]) -> DataFrame:
     """One unit's values beside the medians of all: difference in percent of the median's size, above or below; both missing is left out."""
     own = df.where(F.col("fips") == fips).limit(1).select(*[F.col(c).alias(f"u_{c}") for c in cols])
-    one = df.agg(*[F.median(c).alias(c) for c in cols]).crossJoin(own)
+    one = medians_of(df, cols, 1).crossJoin(own)
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"u_{c}").cast("double").alias("unit_value"), F.col(c).cast("double").alias("median")) for c in cols])).alias("r")).select("r.*")
     status = F.when(F.col("unit_value") > F.col("median"), "above").when(F.col("unit_value") < F.col("median"), "below").when(F.col("unit_value") == F.col("median"), "equal")
     diff = F.try_divide(F.col("unit_value") - F.col("median"), F.nullif(F.abs("median"), F.lit(0.0))) * 100

@@ -109,9 +109,18 @@ def clustering_ready(df: DataFrame, features: list[str] | None = None, standardi
 
 #: Factors that insights look at, with what they are called (fixed values).
 INSIGHTS = {
-    "pct_pop_65plus": "population aged 65+", "median_family_income": "median family income", "unemployment_rate": "unemployment rate", "pct_no_hs_diploma": "adults without HS diploma",
-    "pct_college_4yr": "college attainment", "pcp_per_100k": "primary-care physicians", "hospital_beds_per_100k": "hospital beds", "icu_beds_per_100k": "ICU beds",
-    "pop_density_per_sqmi": "population density", "child_poverty_pct": "child poverty", "vax_complete_pct": "vaccination coverage", "mortality_rate_65_74": "pre-pandemic mortality (65-74)",
+    "vax_complete_pct": "vaccination coverage",
+    "pcp_per_100k": "primary care physician density",
+    "hospital_beds_per_100k": "hospital bed capacity",
+    "icu_beds_per_100k": "ICU bed capacity",
+    "median_family_income": "median family income",
+    "unemployment_rate": "unemployment",
+    "child_poverty_pct": "child poverty",
+    "pct_no_hs_diploma": "share of adults without a high school diploma",
+    "pct_college_4yr": "college attainment",
+    "pct_pop_65plus": "share of population 65+",
+    "pop_density_per_sqmi": "population density",
+    "median_age": "median age",
 }
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,7 +192,7 @@ QUERIES = {
     "master_table": lambda spark, sf: r6(au.master_table(s.panel(spark, sf), s.master(spark, sf))),
     "join_diagnostics": lambda spark, sf: r6(au.join_diagnostics(au.master_table(s.panel(spark, sf), s.master(spark, sf)), "n_orders")),
     "stream_daily_totals": lambda spark, sf: r6(daily_totals(load(spark, sf, "events"))),
-    "map_all_metrics": lambda spark, sf: r6(reduce(DataFrame.unionByName, [rp.map_metric(s.panel(spark, sf), LAST, m).select("fips", "value", F.lit(m).alias("metric")) for m in rp.METRICS])),
+    "map_all_metrics": lambda spark, sf: r6(rp.all_metrics(s.panel(spark, sf), LAST)),
     "map_metric": lambda spark, sf: r6(rp.map_metric(s.panel(spark, sf), LAST, "daily_deaths_ma5", 5000)),
     "map_filtered": lambda spark, sf: r6(rp.filtered(rp.map_metric(s.panel(spark, sf), LAST, "cumulative_cases", 5000), states=["NATION_7", "NATION_3", "NATION_12"], kind="Urban", where=F.col("cases") > 0)),
     "vaccination_map": lambda spark, sf: r6(rp.vaccination_map(_latest_vax(spark, sf), s.panel(spark, sf), "vax")),

@@ -54,10 +54,13 @@ def read_fixed_width(spark: SparkSession, path: str, layout: dict[str, tuple[int
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
     """name, start (from 1), width, is_text and description of each variable of a layout file: @start name [$] width. /* description */."""
     text = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("text"))
-    entry = r"@(\d+)\s+(\w+)\s+(\$?)\s*(\d+)\.\s+/\*(.+?)\*/"
-    part = lambda k: F.regexp_extract("m", entry, k)
-    found = text.select(F.explode(F.regexp_extract_all("text", F.lit(entry), F.lit(0))).alias("m"))
-    return found.select(part(2).alias("name"), part(1).cast("int").alias("start"), part(4).cast("int").alias("width"), (part(3) == "$").alias("is_text"), F.trim(part(5)).alias("description"))
+    # An entry is what stands between two @: words up to the comment, of which a $ may touch its neighbours.
+    entry = text.select(F.explode(F.split("text", "@")).alias("e")).select(F.split("e", r"/\*", 2).alias("e")).where(F.size("e") == 2)
+    words = F.split(F.trim(F.regexp_replace(F.get("e", F.lit(0)), r"\$", r" \$ ")), r"\s+")
+    entry = entry.select(words.alias("w"), F.trim(F.get(F.split(F.get("e", F.lit(1)), r"\*/"), F.lit(0))).alias("description"))
+    of = lambda k: F.element_at("w", k)
+    entry = entry.where((F.size("w") >= 3) & of(1).rlike("^[0-9]+$") & of(-1).rlike(r"^[0-9]+\.$"))
+    return entry.select(of(2).alias("name"), of(1).cast("int").alias("start"), F.rtrim(of(-1), F.lit(".")).cast("int").alias("width"), F.array_contains("w", "$").alias("is_text"), "description")
 
 
 def layout_of(layout: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
@@ -82,10 +85,11 @@ def feature_table(base: DataFrame, *more: DataFrame) -> DataFrame:
 
 
 def read_vaccination(spark: SparkSession, path: str, columns: dict[str, str], date_format: str = "MM/dd/yyyy") -> DataFrame:
-    """fips, date and the mapped percentages of a long CSV; rows without a known date or unit are dropped."""
+    """fips, date and the mapped percentages of a long CSV, each within 0 and 100; rows without a known date, or with a key that is not five characters long, are dropped."""
     raw = read_text_csv(spark, path)
-    out = raw.select(F.lpad(F.trim("FIPS"), 5, "0").alias("fips"), F.try_to_date("Date", date_format).alias("date"), *[number(F.col(f"`{old}`")).alias(new) for old, new in columns.items() if old in raw.columns])
-    return out.where(F.col("date").isNotNull() & F.col("fips").rlike("^[0-9]{5}$"))
+    share = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(100.0)))
+    out = raw.select(F.col("FIPS").alias("fips"), F.try_to_date("Date", date_format).alias("date"), *[share(number(F.col(f"`{old}`"))).alias(new) for old, new in columns.items() if old in raw.columns])
+    return out.where(F.col("date").isNotNull() & (F.length("fips") == 5))
 
 
 def optional(read, *args, **kw) -> DataFrame | None:
@@ -112,6 +116,24 @@ def state_view(rings: DataFrame, states: DataFrame, state: str) -> DataFrame:
     return box.withColumns({"lon": (F.col("west") + F.col("east")) / 2, "lat": (F.col("south") + F.col("north")) / 2})
 
 
+#: Latitude, longitude and zoom of each state's map (fixed values).
+STATE_ZOOM = {
+    "AL": (32.8, -86.8, 6), "AK": (64.0, -153.0, 3), "AZ": (33.7, -111.4, 6), "AR": (34.8, -92.4, 6), "CA": (37.0, -119.5, 5), "CO": (39.0, -105.5, 6), "CT": (41.6, -72.7, 8), "DE": (39.0, -75.5, 8),
+    "FL": (27.7, -81.8, 6), "GA": (32.8, -83.6, 6), "HI": (21.1, -156.5, 5), "ID": (44.2, -114.0, 6), "IL": (40.0, -89.0, 6), "IN": (39.8, -86.2, 7), "IA": (42.0, -93.5, 6), "KS": (38.5, -97.5, 6),
+    "KY": (37.7, -84.7, 6), "LA": (31.0, -91.5, 6), "ME": (45.3, -69.0, 7), "MD": (39.1, -76.8, 7), "MA": (42.2, -71.8, 7), "MI": (44.3, -85.4, 6), "MN": (46.0, -93.9, 6), "MS": (32.8, -89.7, 6),
+    "MO": (38.5, -92.3, 6), "MT": (47.0, -110.0, 5), "NE": (41.5, -99.9, 6), "NV": (39.5, -116.9, 6), "NH": (43.5, -71.5, 8), "NJ": (40.0, -74.5, 8), "NM": (34.5, -106.6, 6), "NY": (43.0, -75.5, 6),
+    "NC": (35.5, -79.8, 6), "ND": (47.5, -100.5, 6), "OH": (40.4, -82.9, 6), "OK": (35.5, -97.5, 6), "OR": (44.0, -121.3, 6), "PA": (40.8, -77.8, 6), "RI": (41.7, -71.5, 9), "SC": (34.0, -81.0, 6),
+    "SD": (44.5, -100.0, 6), "TN": (35.5, -86.5, 6), "TX": (31.0, -99.0, 5), "UT": (39.0, -111.5, 6), "VT": (44.0, -72.7, 7), "VA": (37.8, -78.2, 6), "WA": (47.5, -120.5, 6), "WV": (38.5, -81.9, 7),
+    "WI": (44.3, -89.6, 6), "WY": (43.0, -107.5, 6),
+}
+
+
+def state_zoom(df: DataFrame, state: str = "state") -> DataFrame:
+    """df with zoom: the struct (lat, lon, zoom) of each row's state, null for an unknown one."""
+    views = F.create_map(*[x for k, v in STATE_ZOOM.items() for x in (F.lit(k), F.struct(*[F.lit(n).alias(name) for n, name in zip(v, ("lat", "lon", "zoom"), strict=True)]))])
+    return df.withColumn("zoom", F.try_element_at(views, F.col(state)))
+
+
 def write_csv(df: DataFrame, path: str, order: list[str], places: int | None = None) -> None:
     """Rows in order as one CSV with a header: a map slice or a comparison, of the size of a report."""
     rounded = df if places is None else df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

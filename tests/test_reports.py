@@ -241,9 +241,9 @@ def test_layout_and_latin_1(spark, tmp_path):
     (tmp_path / "f.txt").write_bytes("01001 \xe9\xe8 \n\n01003 12x\n".encode("latin-1"))
     spec = files.layout_of(layout, ["f00002", "f1198418"])
     assert sorted(tuple(r) for r in files.read_fixed_width(spark, str(tmp_path / "f.txt"), spec).collect()) == [("01001", "\xe9\xe8"), ("01003", "12x")]
-    (tmp_path / "v.csv").write_text("Date,FIPS,Series_Complete_Pop_Pct\n01/02/2021,1001,5.5\n02/30/2021,1001,7\n01/03/2021,UNK,7\n")
+    (tmp_path / "v.csv").write_text("Date,FIPS,Series_Complete_Pop_Pct\n01/02/2021,01001,5.5\n01/02/2021,1001,5.5\n02/30/2021,01001,7\n01/03/2021,UNK,7\n01/04/2021,01003,101\n01/05/2021,01003,-2\n01/06/2021,01003,?\n")
     got = files.read_vaccination(spark, str(tmp_path / "v.csv"), {"Series_Complete_Pop_Pct": "vax", "absent": "x"}).collect()
-    assert [tuple(r) for r in got] == [("01001", date(2021, 1, 2), 5.5)]
+    assert [tuple(r) for r in got] == [("01001", date(2021, 1, 2), 5.5), ("01003", date(2021, 1, 4), 100.0), ("01003", date(2021, 1, 5), 0.0), ("01003", date(2021, 1, 6), None)]
     assert files.optional(files.read_text_csv, spark, str(tmp_path / "no.csv")) is None
     (tmp_path / "a.csv").write_bytes("key,name,beds\n1001,Do\xf1a,3\n".encode("latin-1"))
     base = files.read_features(spark, str(tmp_path / "a.csv"), {"name": "county", "beds": "hospital_beds", "gone": "x"}, "key", texts=("county",))
@@ -251,6 +251,23 @@ def test_layout_and_latin_1(spark, tmp_path):
     assert [tuple(r) for r in files.feature_table(base, extra, None).collect()] == [("01001", "Do\xf1a", 3.0, 4.0)]
 
 
+def test_state_zoom(spark):
+    got = {r.state: r.zoom for r in files.state_zoom(spark.createDataFrame([("PA",), ("ZZ",), (None,)], "state string")).collect()}
+    assert got["PA"].zoom == 6 and got["ZZ"] is None and got[None] is None
+
+
+def test_quantiles_of_groups(spark):
+    rng = np.random.default_rng(9)
+    groups = {"a": rng.normal(size=700), "b": np.repeat(3.0, 50), "c": np.array([1.0]), "d": rng.integers(0, 4, 300).astype(float), "e": np.array([2.0, 1.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("none", None)], "k string, x double")
+    got = {r.k: r.q for r in ft.quantiles(df, "x", [0.0, 0.1, 0.5, 0.98, 1.0], ["k"]).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert got[k] == pytest.approx(np.quantile(x, [0.0, 0.1, 0.5, 0.98, 1.0]).tolist())
+    one = {r.c: (r.n, r.q) for r in ft.column_quantiles(df, {"x": F.col("x"), "size": F.abs("x")}, [0.5]).collect()}
+    assert one["x"][0] == 1053 and one["size"][1] == pytest.approx([np.median(np.abs(np.concatenate(list(groups.values()))))])
+
+
 def test_matches_of_two_units(spark):
     peaks = lambda days: spark.createDataFrame([(u, D + timedelta(d), 10.0, 1.0) for u in "ab" for d in days], "unit string, peak_date date, peak_value double, prominence double")
     found = lg.matches(peaks([10, 12, 100]), peaks([5, 20, 110, 300]))
