@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions import arrays as ar
+from loomfield.functions.exprs import rate
 from loomfield.operators.detection import gathered
 from loomfield.operators.features import column_quantiles
+from loomfield.operators.panel import moving_average, real_units, with_daily
 
 
 def peaks(df: DataFrame, prominence: float = 1.0, distance: int = 7) -> DataFrame:
@@ -54,3 +56,42 @@ def compared(found: DataFrame, a: str, b: str) -> DataFrame:
         return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name)) for c in one.columns])).alias("r")).select("r.*")
 
     return rows(a, "a").join(rows(b, "b"), "metric", "full")
+
+
+def rates(panel: DataFrame, ma: int = 7) -> DataFrame:
+    """unit, metric (case, death), date and the daily increase per 100k, averaged over the days so far, up to ma.
+
+    Increases are averaged before they are divided by the unit's people, which gives the
+    average rate, and the same one for days of equal sums. Units without people have no rates.
+    """
+    sides = {"case": "cases", "death": "deaths"}
+    daily = real_units(with_daily(panel)).withColumns({m: rate(moving_average(f"{c}_daily", ma), F.col("population")) for m, c in sides.items()})
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in sides])
+    return daily.select(F.col("fips").alias("unit"), "date", "population", F.explode(each).alias("x")).select("unit", "date", "population", "x.*")
+
+
+def pipeline(panel: DataFrame, ma: int = 7, case_prominence: float = 1.0, death_prominence: float = 0.05, distance: int = 14, max_lag: int = 90) -> DataFrame:
+    """A row for each unit of the panel: the peaks of its smoothed case and death rates, how many match and after how many days, or error.
+
+    One shuffle on the unit brings both series together; peaks and matches are folds over them.
+    """
+    days = lambda m: F.sort_array(F.collect_list(F.when(F.col("metric") == m, F.struct("date", "value"))))
+    rows = rates(panel, ma).groupBy("unit").agg(F.max("population").alias("population"), days("case").alias("case"), days("death").alias("death"))
+
+    def found(m: str, prominence: float, side: int):
+        places = ar.peaks(F.transform(m, lambda e: F.coalesce(e["value"], F.lit(0.0))), prominence, distance)
+        return F.transform(F.when(F.col("population") > 0, places), lambda p: F.struct(ar.at(F.col(m), p["place"])["date"].alias("date"), F.lit(side).alias("side"), p["value"].alias("value")))
+
+    rows = rows.select("unit", F.when(~F.coalesce(F.col("population") > 0, F.lit(False)), "no valid population").alias("error"), found("case", case_prominence, 0).alias("cases"), found("death", death_prominence, 1).alias("deaths"))
+    rows = rows.withColumn("pairs", ar.matched(F.sort_array(F.concat("cases", "deaths")), max_lag))
+    n = lambda c: F.when(F.col("error").isNull(), F.size(c).cast("long"))
+    mean = F.try_divide(F.aggregate("pairs", F.lit(0).cast("long"), lambda s, p: s + p["lag_days"]).cast("double"), F.size("pairs"))
+    return rows.select("unit", "error", n("cases").alias("case_peaks"), n("deaths").alias("death_peaks"), n("pairs").alias("matches"), mean.alias("mean_lag"), "pairs")
+
+
+def peak_pairs(panel: DataFrame, vaccination: DataFrame, prominence: float = 1.0, distance: int = 1) -> DataFrame:
+    """unit, vax and severity: each peak of a unit's daily cases (severity its height) with the vaccination of that day."""
+    series = real_units(with_daily(panel)).select(F.col("fips").alias("unit"), "date", F.col("cases_daily").alias("value"))
+    top = peaks(series, prominence, distance)
+    days = vaccination.select(F.col("fips").alias("unit"), F.col("date").alias("peak_date"), "vax")
+    return top.join(days, ["unit", "peak_date"]).select("unit", "vax", F.col("peak_value").alias("severity"))

@@ -19,6 +19,7 @@ from loomfield.functions.exprs import fisher_ci
 from loomfield.functions.special import p_of_t
 from loomfield.operators.features import average_ranks, ols_trend, percentile_of, scaled
 from loomfield.operators.models import imputed
+from loomfield.operators.panel import window_outcomes
 
 
 @F.pandas_udf(DoubleType())
@@ -75,6 +76,12 @@ def factor_ranking(df: DataFrame, outcome: str, factors: list[str], min_n: int =
     return associations(df, [outcome], [f for f in factors if f != outcome], min_n)
 
 
+def factor_explorer(panel: DataFrame, features: DataFrame, start, end, factors: list[str], outcomes=("cases_per_100k", "deaths_per_100k"), where: Column | None = None, min_n: int = 10) -> DataFrame:
+    """associations() of what happened between two dates with features of the same units, for those that where keeps."""
+    window = window_outcomes(panel, start, end)
+    return associations(window.join(features.select("fips", *[c for c in features.columns if c not in window.columns]), "fips"), list(outcomes), factors, min_n, where)
+
+
 def pivoted(rows: DataFrame, factors: list[str], outcomes: list[str]) -> DataFrame:
     """factor and a column of r for each outcome; the matrix of factors against outcomes."""
     return rows.where(F.col("factor").isin(factors)).groupBy("factor").pivot("outcome", outcomes).agg(F.first("pearson_r"))

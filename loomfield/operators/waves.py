@@ -131,10 +131,16 @@ def zipped(cases: DataFrame, deaths: DataFrame) -> DataFrame:
 
 
 def first_within(cases: DataFrame, deaths: DataFrame, days: int = 90) -> DataFrame:
-    """Each wave of cases with the first wave of deaths whose peak is less than so many days away."""
-    other = deaths.select(F.col("unit").alias("u"), F.col("wave_number").alias("death_wave"), F.col("peak_date").alias("death_peak_date"))
-    near = (F.col("unit") == F.col("u")) & (F.abs(F.date_diff("death_peak_date", "peak_date")) < days)
-    return cases.join(other, near, "left").groupBy("unit", "wave_number", "peak_date").agg(F.min(F.struct("death_wave", "death_peak_date")).alias("m")).select("unit", "wave_number", "peak_date", "m.death_wave", "m.death_peak_date")
+    """Each wave of cases with the first wave of deaths whose peak is less than so many days away.
+
+    Peaks meet in bins of so many days, a case's own one and its neighbours, so pairs follow the matches.
+    """
+    bin_ = F.floor(F.unix_date("peak_date") / days).cast("long")
+    other = deaths.select(F.col("unit").alias("u"), bin_.alias("b"), F.col("wave_number").alias("death_wave"), F.col("peak_date").alias("death_peak_date"))
+    own = cases.select("unit", "wave_number", "peak_date", F.explode(F.sequence(bin_ - 1, bin_ + 1)).alias("bin"))
+    near = (F.col("unit") == F.col("u")) & (F.col("bin") == F.col("b")) & (F.abs(F.date_diff("death_peak_date", "peak_date")) < days)
+    first = F.min(F.when(F.col("death_wave").isNotNull(), F.struct("death_wave", "death_peak_date")))
+    return own.join(other, near, "left").groupBy("unit", "wave_number", "peak_date").agg(first.alias("m")).select("unit", "wave_number", "peak_date", "m.death_wave", "m.death_peak_date")
 
 
 def match_windows(waves: DataFrame, windows: list[tuple]) -> DataFrame:

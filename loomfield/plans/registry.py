@@ -222,7 +222,7 @@ QUERIES = {
     "load_diagnostics": lambda spark, sf: r6(rp.diagnostics(s.master(spark, sf), s.panel(spark, sf).select("fips").distinct().unionByName(spark.createDataFrame([("99999",)], "fips string")), ["n_orders", "population"]).drop("unmatched", "repeated")),
     "repeated_keys": lambda spark, sf: rp.repeated_keys(s.population(spark, sf).select("state", "county_name"), "state").select("state", "n", F.size("names").cast("long").alias("n_names")),
     "fact_sheet": lambda spark, sf: r6(rp.fact_sheet(s.panel(spark, sf), s.master(spark, sf), "00005", FACTORS), 4),
-    "associations": lambda spark, sf: r6(st.associations(s.master(spark, sf), ["total_price", "n_orders"], FACTORS).drop("pearson_p", "spearman_p"), 3),
+    "associations": lambda spark, sf: r6(st.associations(s.master(spark, sf), ["total_price", "n_orders"], FACTORS), 3),
     "factor_ranking": lambda spark, sf: st.factor_ranking(s.master(spark, sf), "total_price", [*FACTORS, "total_price"]).select("factor", "n", "strength", "rank"),
     "correlation_matrix": lambda spark, sf: r6(st.pivoted(st.associations(s.master(spark, sf), ["total_price", "n_orders"], FACTORS), FACTORS, ["total_price", "n_orders"])),
     "residual_explorer": lambda spark, sf: r6(st.residual_explorer(s.master(spark, sf), "n_orders", "total_price"), 3),
@@ -233,8 +233,8 @@ QUERIES = {
     "forest_resilience": lambda spark, sf: md.resilience(s.master(spark, sf), "total_price", FACTORS, forest=True),
     "resilience_summary": lambda spark, sf: st.resilience_summary(md.resilience(s.master(spark, sf), "total_price", FACTORS)),
     "cluster_profile": lambda spark, sf: md.cluster_profile(s.master(spark, sf), md.archetypes(s.master(spark, sf), FACTORS), FACTORS),
-    "severity_correlation": lambda spark, sf: r6(st.severity_correlation(s.vaccination(spark, sf).select(F.col("fips").alias("unit"), "vax", F.dayofmonth("date").cast("double").alias("severity")))),
-    "ols_simple": lambda spark, sf: r6(md.ols_table(s.master(spark, sf), "total_price", ["n_orders"]).select("term", "beta", "se", "se_hc3", "t", "ci_low", "ci_high", "r2", "adj_r2", "n"), 3),
+    "severity_correlation": lambda spark, sf: r6(st.severity_correlation(lg.peak_pairs(s.panel(spark, sf), s.vaccination(spark, sf)))),
+    "ols_simple": lambda spark, sf: r6(md.ols_table(s.master(spark, sf), "total_price", ["n_orders"]).select("term", "beta", "se", "se_hc3", "t", "p", "f", "p_f", "ci_low", "ci_high", "r2", "adj_r2", "n"), 3),
     "greedy_matches": lambda spark, sf: r6(lg.severity(_greedy(spark, sf))),
     "greedy_summary": lambda spark, sf: r6(lg.summary(_greedy(spark, sf))),
     "greedy_views": lambda spark, sf: lg.overlay(_greedy(spark, sf)),
@@ -251,6 +251,10 @@ QUERIES = {
     "prominent_waves": lambda spark, sf: r6(wv.detect(_long(spark, sf), preset=None, prominence=30.0, merge=30)),
     "smoothing_windows": lambda spark, sf: wv.smoothing_windows(_long(spark, sf)),
     "wave_presets": lambda spark, sf: wv.preset_counts(_long(spark, sf)),
+    "wave_report_auto": lambda spark, sf: r6(wv.detect(_long(spark, sf), ma="auto")),
+    "lag_pipeline": lambda spark, sf: r6(lg.pipeline(s.panel(spark, sf)).drop("pairs")),
+    "factor_explorer": lambda spark, sf: r6(st.factor_explorer(s.panel(spark, sf), s.master(spark, sf), date(2024, 1, 5), LAST, FACTORS, where=F.col("population") > 1000), 3),
+    "morans_i_test": lambda spark, sf: r6(sp.morans_i(_values(spark, sf), sp.adjacency(_rings(spark, sf)), with_p=True)),
     "duplicate_keys": lambda spark, sf: load(spark, sf, "orders").groupBy(x.pad_fips(F.col("o_custkey")).alias("fips")).agg(F.count("*").alias("n")).where("n > 1"),
     "population_validity": lambda spark, sf: s.population(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("population") == 0).alias("zero"), F.count_if(F.col("population") < 0).alias("negative"), F.count_if(F.col("population").isNull()).alias("missing"), F.count_if(F.col("fips") == "00000").alias("unallocated")),
 }

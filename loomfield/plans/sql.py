@@ -51,6 +51,8 @@ _VIEWS = {
     "feat": "SELECT fips, population AS population_2020, n_orders AS hospital_beds, avg_price AS pop_65plus, CASE WHEN rucc_code > 0 THEN rucc_code::DOUBLE END AS rucc_code FROM master",
     "slice": "SELECT *, avg(cases_daily) OVER (PARTITION BY fips, state ORDER BY date ROWS 6 PRECEDING) AS ma FROM daily WHERE fips <> '00000'",
     "map": "SELECT fips, state, county_name, round(population, 6) AS population, round(cases, 6) AS cases, round(deaths, 6) AS deaths, round(ma / population * 100000, 6) AS value, round(cases / population * 100000, 6) AS cases_pc, round(deaths / population * 100000, 6) AS deaths_pc, CASE WHEN population >= 5000 THEN 'Urban' ELSE 'Rural' END AS county_type FROM slice WHERE date = DATE '2024-01-30' AND population > 0",
+    "windowed": "SELECT fips, population, greatest(max(cases) FILTER (date = DATE '2024-01-30') - max(cases) FILTER (date = DATE '2024-01-05'), 0)::DOUBLE AS cases, greatest(max(deaths) FILTER (date = DATE '2024-01-30') - max(deaths) FILTER (date = DATE '2024-01-05'), 0)::DOUBLE AS deaths FROM panel WHERE fips <> '00000' GROUP BY ALL",
+    "explored": "SELECT fips, m.population, n_orders, avg_price, CASE WHEN w.population > 0 THEN cases / w.population * 100000 END AS cases_per_100k, CASE WHEN w.population > 0 THEN deaths / w.population * 100000 END AS deaths_per_100k FROM windowed w JOIN master m USING (fips) WHERE m.population > 1000",
     **wave_sql.VIEWS,
 }
 
@@ -71,11 +73,33 @@ def _with(body: str) -> str:
     return f"WITH {'RECURSIVE ' * bool(walks)}{views} {body}" if views else body
 
 
-def _pair(o: str, f: str) -> str:
+def _area(height: str, top: str) -> str:
+    """The integral of height, in u, from 0 to top by Simpson's rule."""
+    return f"(SELECT sum(CASE WHEN j = 0 OR j = 2000 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * {height}) FROM (SELECT j, {top} * j / 2000 AS u FROM generate_series(0, 2000) g(j))) * {top} / 6000"
+
+
+def _p_of_t(t: str, df: str) -> str:
+    """Two-sided, of Student's t; beyond 40 it is 0 to all places shown."""
+    top = f"least(abs({t}), 40)"
+    return f"greatest(1 - 2 * {_area(f'exp(-({df} + 1) / 2.0 * ln(1 + u * u / {df}))', top)} * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()), 0)"
+
+
+def _p_of_r(r: str) -> str:
+    return f"CASE WHEN abs({r}) > 1 - 1e-12 THEN 0 ELSE {_p_of_t(f'({r} * sqrt((n - 2) / (1 - {r} * {r})))', '(n - 2)')} END"
+
+
+def _pair(o: str, f: str, table: str = "master") -> str:
     """The statistics of one outcome and factor."""
     rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
     r = "1.0" if o == f else "covar_pop(f, o) / (stddev_pop(f) * stddev_pop(o))"
-    return f"SELECT '{o}' AS outcome, '{f}' AS factor, count(*) AS n, {r} AS r, covar_pop(rf, ro) / (stddev_pop(rf) * stddev_pop(ro)) AS rho, avg(f) AS fm, avg(o) AS om, stddev_samp(f) AS fs, stddev_samp(o) AS os FROM (SELECT {f} AS f, {o} AS o, {rank.format(f)} AS rf, {rank.format(o)} AS ro FROM master WHERE {f} IS NOT NULL AND {o} IS NOT NULL)"
+    return f"SELECT '{o}' AS outcome, '{f}' AS factor, count(*) AS n, {r} AS r, covar_pop(rf, ro) / (stddev_pop(rf) * stddev_pop(ro)) AS rho, avg(f) AS fm, avg(o) AS om, stddev_samp(f) AS fs, stddev_samp(o) AS os FROM (SELECT {f} AS f, {o} AS o, {rank.format(f)} AS rf, {rank.format(o)} AS ro FROM {table} WHERE {f} IS NOT NULL AND {o} IS NOT NULL)"
+
+
+def _associations(outcomes: tuple, table: str) -> str:
+    """All statistics of outcomes and the three factors of a table, ranked within each outcome."""
+    pairs = " UNION ALL ".join(_pair(o, f, table) for o in outcomes for f in ("population", "n_orders", "avg_price"))
+    shown = "SELECT outcome, factor, n, round(r, 3) AS pearson_r, round(rho, 3) AS spearman_r, round({p}, 3) AS pearson_p, round({q}, 3) AS spearman_p, round(r * r, 3) AS r_squared, round(CASE WHEN outcome <> factor THEN tanh(atanh(r) - 1.96 / sqrt(n - 3)) END, 3) AS ci_low, round(CASE WHEN outcome <> factor THEN tanh(atanh(r) + 1.96 / sqrt(n - 3)) END, 3) AS ci_high, CASE WHEN abs(r) >= 0.6 THEN 'strong' WHEN abs(r) >= 0.3 THEN 'moderate' ELSE 'weak' END AS strength, round(fm, 3) AS factor_mean, round(om, 3) AS outcome_mean, round(fs, 3) AS factor_std, round(os, 3) AS outcome_std, (row_number() OVER (PARTITION BY outcome ORDER BY abs(r) DESC, factor))::INTEGER AS rank FROM ({pairs}) WHERE n >= 10"
+    return shown.format(p=_p_of_r("r"), q=_p_of_r("rho"), pairs=pairs)
 
 
 def _facts(rows: list[tuple[str, str]]) -> str:
@@ -162,15 +186,18 @@ _BODIES = {
     "load_diagnostics": "SELECT (SELECT count(*) FROM master) AS rows, (SELECT round(avg(CASE WHEN n_orders IS NULL THEN 1 ELSE 0 END) * 100, 1) FROM master) AS missing_n_orders, (SELECT round(avg(CASE WHEN population IS NULL THEN 1 ELSE 0 END) * 100, 1) FROM master) AS missing_population, count(*) AS keys, count(m.fips) AS matched, round(count(m.fips) / count(*) * 100, 1) AS match_rate_pct FROM (SELECT DISTINCT fips FROM panel UNION SELECT '99999') k LEFT JOIN master m USING (fips)",
     "repeated_keys": "SELECT state, count(*) AS n, count(DISTINCT county_name) AS n_names FROM population GROUP BY state HAVING count(*) > 1",
     "fact_sheet": "SELECT section, metric, round(value, 4) AS value FROM (SELECT 'latest' AS section, x.* FROM lastday l, LATERAL (" + _facts([("cases", "l.cases"), ("deaths", "l.deaths"), ("population", "l.population"), ("cases_per_100k", "l.cases / l.population * 100000"), ("deaths_per_100k", "l.deaths / l.population * 100000"), ("cfr", "l.deaths / l.cases * 100")]) + ") x WHERE fips = '00005'" + "".join(f" UNION ALL SELECT '{sec}', '{f}', {v} FROM (SELECT max({f}) FILTER (fips = '00005') AS u, median({f}) AS m FROM master)" for f in ("population", "n_orders", "avg_price") for sec, v in (("value", "u"), ("difference", "(u - m) / abs(m) * 100"))) + ")",
-    "associations": "SELECT outcome, factor, n, round(r, 3) AS pearson_r, round(rho, 3) AS spearman_r, round(r * r, 3) AS r_squared, round(CASE WHEN outcome <> factor THEN tanh(atanh(r) - 1.96 / sqrt(n - 3)) END, 3) AS ci_low, round(CASE WHEN outcome <> factor THEN tanh(atanh(r) + 1.96 / sqrt(n - 3)) END, 3) AS ci_high, CASE WHEN abs(r) >= 0.6 THEN 'strong' WHEN abs(r) >= 0.3 THEN 'moderate' ELSE 'weak' END AS strength, round(fm, 3) AS factor_mean, round(om, 3) AS outcome_mean, round(fs, 3) AS factor_std, round(os, 3) AS outcome_std, (row_number() OVER (PARTITION BY outcome ORDER BY abs(r) DESC, factor))::INTEGER AS rank FROM (" + " UNION ALL ".join(_pair(o, f) for o in ("total_price", "n_orders") for f in ("population", "n_orders", "avg_price")) + ") WHERE n >= 10",
+    "associations": _associations(("total_price", "n_orders"), "master"),
+    "factor_explorer": _associations(("cases_per_100k", "deaths_per_100k"), "explored"),
+    "lag_pipeline": "SELECT u.unit, u.error, CASE WHEN u.error IS NULL THEN coalesce(c.n, 0) END AS case_peaks, CASE WHEN u.error IS NULL THEN coalesce(d.n, 0) END AS death_peaks, CASE WHEN u.error IS NULL THEN coalesce(m.n, 0) END AS matches, round(m.lag, 6) AS mean_lag FROM (SELECT DISTINCT fips AS unit, CASE WHEN NOT coalesce(population > 0, false) THEN 'no valid population' END AS error FROM panel WHERE fips <> '00000') u LEFT JOIN (SELECT unit, count(*) AS n FROM pc_peak GROUP BY unit) c USING (unit) LEFT JOIN (SELECT unit, count(*) AS n FROM pd_peak GROUP BY unit) d USING (unit) LEFT JOIN (SELECT unit, count(*) AS n, avg(lag_days) AS lag FROM pm_pair GROUP BY unit) m USING (unit)",
+    "morans_i_test": "SELECT n, n_edges, round(i, 6) AS i, round(e, 6) AS expected, round(z, 6) AS z, round(greatest(1 - 2 * " + _area("exp(-u * u / 2)", "least(abs(z), 40)") + " / sqrt(2 * pi()), 0), 6) AS p FROM (SELECT *, (i - e) / sqrt((n * n * 2 * s0 - n * 4 * dd + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - e * e) AS z FROM (SELECT n, s0 // 2 AS n_edges, s0::DOUBLE AS s0, n / s0 * num / den AS i, -1.0 / (n - 1) AS e, dd FROM (SELECT count(*)::DOUBLE AS n, sum(z * z) AS den FROM centred), (SELECT count(*) AS s0, sum(a.z * b.z) AS num FROM edges JOIN centred a ON src = a.fips JOIN centred b ON dst = b.fips), (SELECT sum(d * d)::DOUBLE AS dd FROM (SELECT count(*) AS d FROM edges GROUP BY src))))",
     "factor_ranking": "SELECT factor, n, CASE WHEN abs(r) >= 0.6 THEN 'strong' WHEN abs(r) >= 0.3 THEN 'moderate' ELSE 'weak' END AS strength, (row_number() OVER (ORDER BY abs(r) DESC, factor))::INTEGER AS rank FROM (" + " UNION ALL ".join(_pair("total_price", f) for f in ("population", "n_orders", "avg_price")) + ")",
     "correlation_matrix": "SELECT factor, round(max(r) FILTER (outcome = 'total_price'), 6) AS total_price, round(max(r) FILTER (outcome = 'n_orders'), 6) AS n_orders FROM (" + " UNION ALL ".join(_pair(o, f) for o in ("total_price", "n_orders") for f in ("population", "n_orders", "avg_price")) + ") GROUP BY factor",
     "residual_explorer": " UNION ALL ".join(f"(SELECT fips, round(total_price - residual, 3) AS predicted, round(total_price, 3) AS actual, round(residual, 3) AS residual, '{side}' AS side FROM resid JOIN master USING (fips) ORDER BY resid.residual {how}, fips LIMIT 20)" for side, how in (("resilient", "ASC"), ("fragile", "DESC"))),
     "regression_ready": "SELECT fips, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in ("total_price", "n_orders", "avg_price")) + " FROM master WHERE total_price IS NOT NULL AND n_orders IS NOT NULL AND avg_price IS NOT NULL",
     "clustering_ready": "SELECT fips, round((n_orders - avg(n_orders) OVER ()) / stddev_samp(n_orders) OVER (), 6) AS order_rate, round((avg_price - avg(avg_price) OVER ()) / stddev_samp(avg_price) OVER (), 6) AS pct_price FROM master WHERE n_orders IS NOT NULL AND avg_price IS NOT NULL",
     "insights": "SELECT side, label, round(value, 3) AS value, round(peer_median, 3) AS peer_median, round(z, 3) AS z, round(r, 3) AS r, place FROM (SELECT 'outcome' AS side, 'total_price' AS label, v AS value, median(total_price) AS peer_median, avg(CASE WHEN total_price < v THEN 1 ELSE 0 END) * 100 AS z, NULL::DOUBLE AS r, 0 AS place FROM master, (SELECT total_price AS v FROM master WHERE fips = '00005') WHERE rucc_code = 3 AND total_price IS NOT NULL GROUP BY v UNION ALL SELECT side, label, value, peer_median, z, r, (row_number() OVER (PARTITION BY side ORDER BY abs(z) DESC, label))::INTEGER FROM (SELECT *, CASE WHEN z * r > 0 THEN 'risk' ELSE 'protective' END AS side FROM (SELECT label, value, mid AS peer_median, (value - mid) / sd AS z, r FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS label, max({f}) FILTER (fips = '00005') AS value, median({f}) FILTER (rucc_code = 3) AS mid, stddev_samp({f}) AS sd, corr({f}, total_price) AS r FROM master" for f in ("population", "n_orders", "avg_price")) + ")) WHERE abs(z) >= 0.1 AND abs(r) >= 0.05))",
-    "severity_correlation": "SELECT unit, n, round(r, 6) AS r, CASE WHEN r < -0.2 THEN 'lower' WHEN r > 0.2 THEN 'higher' WHEN r IS NOT NULL THEN 'none' END AS label FROM (SELECT fips AS unit, count(*) AS n, covar_pop(vax, day(date)) / nullif(stddev_pop(vax) * stddev_pop(day(date)), 0) AS r FROM vax WHERE vax > 0 GROUP BY fips HAVING count(*) >= 3)",
-    "ols_simple": "WITH s AS (SELECT count(*) AS n, avg(n_orders) AS xm, regr_sxx(total_price, n_orders) AS sxx, regr_slope(total_price, n_orders) AS b, regr_intercept(total_price, n_orders) AS a, regr_r2(total_price, n_orders) AS r2 FROM master WHERE total_price IS NOT NULL AND n_orders IS NOT NULL), e AS (SELECT s.*, n_orders - xm AS d, total_price - a - b * n_orders AS e, 1.0 / n + (n_orders - xm) * (n_orders - xm) / sxx AS h FROM master, s WHERE total_price IS NOT NULL AND n_orders IS NOT NULL), v AS (SELECT n, xm, sxx, a, b, r2, sum(e * e) / (n - 2) AS s2, sqrt(sum(pow(1.0 / n - xm * d / sxx, 2) * pow(e / (1 - h), 2))) AS h0, sqrt(sum(pow(d / sxx, 2) * pow(e / (1 - h), 2))) AS h1 FROM e GROUP BY n, xm, sxx, a, b, r2), t AS (SELECT 'intercept' AS term, a AS beta, sqrt(s2 * (1.0 / n + xm * xm / sxx)) AS se, h0 AS hc3, r2, n FROM v UNION ALL SELECT 'n_orders', b, sqrt(s2 / sxx), h1, r2, n FROM v) SELECT term, round(beta, 3) AS beta, round(se, 3) AS se, round(hc3, 3) AS se_hc3, round(beta / se, 3) AS t, round(beta - 1.96 * se, 3) AS ci_low, round(beta + 1.96 * se, 3) AS ci_high, round(r2, 3) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 3) AS adj_r2, n FROM t",
+    "severity_correlation": "SELECT unit, n, round(r, 6) AS r, CASE WHEN r < -0.2 THEN 'lower' WHEN r > 0.2 THEN 'higher' WHEN r IS NOT NULL THEN 'none' END AS label FROM (SELECT p.unit, count(*) AS n, covar_pop(vax, p.v) / nullif(stddev_pop(vax) * stddev_pop(p.v), 0) AS r FROM ps_peak p JOIN plc c ON c.unit = p.unit AND c.k = p.k JOIN vax x ON x.fips = p.unit AND x.date = c.date WHERE vax > 0 GROUP BY p.unit HAVING count(*) >= 3)",
+    "ols_simple": "WITH s AS (SELECT count(*) AS n, avg(n_orders) AS xm, regr_sxx(total_price, n_orders) AS sxx, regr_slope(total_price, n_orders) AS b, regr_intercept(total_price, n_orders) AS a, regr_r2(total_price, n_orders) AS r2 FROM master WHERE total_price IS NOT NULL AND n_orders IS NOT NULL), e AS (SELECT s.*, n_orders - xm AS d, total_price - a - b * n_orders AS e, 1.0 / n + (n_orders - xm) * (n_orders - xm) / sxx AS h FROM master, s WHERE total_price IS NOT NULL AND n_orders IS NOT NULL), v AS (SELECT n, xm, sxx, a, b, r2, sum(e * e) / (n - 2) AS s2, sqrt(sum(pow(1.0 / n - xm * d / sxx, 2) * pow(e / (1 - h), 2))) AS h0, sqrt(sum(pow(d / sxx, 2) * pow(e / (1 - h), 2))) AS h1 FROM e GROUP BY n, xm, sxx, a, b, r2), t AS (SELECT 'intercept' AS term, a AS beta, sqrt(s2 * (1.0 / n + xm * xm / sxx)) AS se, h0 AS hc3, r2, n FROM v UNION ALL SELECT 'n_orders', b, sqrt(s2 / sxx), h1, r2, n FROM v) SELECT term, round(beta, 3) AS beta, round(se, 3) AS se, round(hc3, 3) AS se_hc3, round(beta / se, 3) AS t, round(" + _p_of_t("(beta / se)", "(n - 2)") + ", 3) AS p, round(r2 / (1 - r2) * (n - 2), 3) AS f, round(" + _p_of_t("sqrt(r2 / (1 - r2) * (n - 2))", "(n - 2)") + ", 3) AS p_f, round(beta - 1.96 * se, 3) AS ci_low, round(beta + 1.96 * se, 3) AS ci_high, round(r2, 3) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 3) AS adj_r2, n FROM t",
     "greedy_matches": "SELECT unit, case_peak_date, death_peak_date, lag_days, round(case_peak_value, 6) AS case_peak_value, round(death_peak_value, 6) AS death_peak_value, round(death_peak_value / nullif(case_peak_value, 0), 6) AS severity_ratio FROM paired",
     "greedy_summary": "SELECT count(*) AS n, round(avg(lag_days), 6) AS mean_lag, median(lag_days) AS median_lag, min(lag_days) AS min_lag, max(lag_days) AS max_lag, round(avg(death_peak_value / nullif(case_peak_value, 0)), 6) AS mean_severity, round(max(case_peak_value), 6) AS largest_case_peak, round(max(death_peak_value), 6) AS largest_death_peak FROM paired",
     "greedy_compared": " UNION ALL ".join(f"SELECT '{m}' AS metric, round(({x} FILTER (unit = '3'))::DOUBLE, 6) AS a, round(({x} FILTER (unit = '7'))::DOUBLE, 6) AS b FROM paired" for m, x in (("n", "count(*)"), ("mean_lag", "avg(lag_days)"), ("median_lag", "median(lag_days)"), ("min_lag", "min(lag_days)"), ("max_lag", "max(lag_days)"), ("mean_severity", "avg(death_peak_value / nullif(case_peak_value, 0))"), ("largest_case_peak", "max(case_peak_value)"), ("largest_death_peak", "max(death_peak_value)"))),

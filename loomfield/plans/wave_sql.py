@@ -85,7 +85,17 @@ VIEWS = {
     "pw_one": "SELECT p.unit, p.k, x.value AS v, coalesce(max(u.k) FILTER (u.k < p.k), p.k) AS f, coalesce(min(u.k) FILTER (u.k > p.k), p.k) AS l, row_number() OVER (PARTITION BY p.unit ORDER BY p.k) AS i FROM pw_peak p JOIN ws_c x ON x.unit = p.unit AND x.k = p.k LEFT JOIN ws_c u ON u.unit = p.unit AND u.value < 0.1 * x.value GROUP BY p.unit, p.k, x.value",
     "pw_walk": "SELECT unit, i, 1::BIGINT AS g, f, k, l, v FROM pw_one WHERE i = 1 UNION ALL SELECT o.unit, o.i, CASE WHEN o.k - w.k <= 30 THEN w.g ELSE w.g + 1 END, CASE WHEN o.k - w.k <= 30 THEN w.f ELSE o.f END, CASE WHEN o.k - w.k <= 30 AND o.v <= w.v THEN w.k ELSE o.k END, CASE WHEN o.k - w.k <= 30 AND o.v <= w.v THEN greatest(w.l, o.l) ELSE o.l END, CASE WHEN o.k - w.k <= 30 AND o.v <= w.v THEN w.v ELSE o.v END FROM pw_walk w JOIN pw_one o ON o.unit = w.unit AND o.i = w.i + 1",
     "pw_wave": "SELECT unit, g, arg_max(f, i) AS f, arg_max(k, i) AS k, arg_max(l, i) AS l, arg_max(v, i) AS v FROM pw_walk GROUP BY unit, g",
+    # Daily cases and average rates of the panel's units, their peaks and matches.
+    "plc": "SELECT fips AS unit, date, row_number() OVER (PARTITION BY fips ORDER BY date) - 1 AS k, cases_daily AS daily, CASE WHEN population > 0 THEN avg(cases_daily) OVER (PARTITION BY fips ORDER BY date ROWS 6 PRECEDING) / population * 100000 END AS value FROM daily WHERE fips <> '00000'",
+    "pld": "SELECT fips AS unit, row_number() OVER (PARTITION BY fips ORDER BY date) - 1 AS k, avg(deaths_daily) OVER (PARTITION BY fips ORDER BY date ROWS 6 PRECEDING) / population * 100000 AS value FROM daily WHERE fips <> '00000' AND population > 0",
+    "plp": "SELECT unit, k, value FROM plc WHERE value IS NOT NULL",
+    **peak_views("plp", "pc", "value", 1.0, 14), **peak_views("pld", "pd", "value", 0.05, 14), **match_views("pm", "pc_peak", "pd_peak", 90), **peak_views("plc", "ps", "daily", 1.0, 1),
     "ws_var": "SELECT unit, n, count(*) FILTER (value > 0) AS up, " + ", ".join(f"var_pop(c{w}) AS v{w}" for w in (3, 5, 7, 14)) + " FROM (SELECT unit, n, value, " + ", ".join(f"sum(cents) OVER (PARTITION BY unit ORDER BY k ROWS BETWEEN {w - 1 - (w - 1) // 2} PRECEDING AND {(w - 1) // 2} FOLLOWING)::DOUBLE / {w} AS c{w}" for w in (3, 5, 7, 14)) + " FROM ws_c) GROUP BY unit, n",
+    "ws_auto": "SELECT unit, (CASE WHEN up < 28 THEN 3 WHEN v3 > 0 AND (v3 - v5) / v3 < 0.15 THEN 3 WHEN v5 > 0 AND (v5 - v7) / v5 < 0.15 THEN 5 WHEN v7 > 0 AND (v7 - v14) / v7 < 0.15 THEN 7 ELSE 14 END)::BIGINT AS \"window\" FROM ws_var",
+    # Averages over each series' own window.
+    "wa_s": "SELECT unit, date, value, k, n, CASE WHEN k >= d // 2 AND k < n - d // 2 THEN w ELSE 0 END AS w, CASE WHEN k >= d // 2 AND k < n - d // 2 THEN w::DOUBLE / 100000 / d ELSE 0 END AS s FROM (SELECT c.*, a.\"window\" AS d, CASE a.\"window\" " + " ".join(f"WHEN {w} THEN sum(cents) OVER (PARTITION BY unit ORDER BY k ROWS BETWEEN {w - 1 - (w - 1) // 2} PRECEDING AND {(w - 1) // 2} FOLLOWING)" for w in (3, 5, 7, 14)) + " END AS w FROM ws_c c JOIN ws_auto a USING (unit))",
+    "wa_fall": "SELECT unit, k FROM (SELECT unit, k, w, lead(w) OVER (PARTITION BY unit ORDER BY k) AS next FROM wa_s) WHERE next <= w",
+    **wave_views("wa", "wauto", PRESETS["standard"]),
 }
 
 _WAVE = "unit, wave_number, start_date, peak_date, end_date, round(peak_value, 6) AS peak_value, duration_days, round(wave_burden, 6) AS wave_burden"
@@ -104,5 +114,6 @@ BODIES = {
     "lag_matches": "SELECT unit, case_peak_date, death_peak_date, lag_days, round(case_peak_value, 6) AS case_peak_value, round(death_peak_value, 6) AS death_peak_value, round(severity_ratio, 6) AS severity_ratio FROM lm_pair",
     "lag_summary": "SELECT count(*) AS n, round(avg(lag_days), 6) AS mean_lag, median(lag_days) AS median_lag, min(lag_days) AS min_lag, max(lag_days) AS max_lag, round(avg(severity_ratio), 6) AS mean_severity, round(max(case_peak_value), 6) AS largest_case_peak, round(max(death_peak_value), 6) AS largest_death_peak FROM lm_pair",
     "prominent_waves": "SELECT w.unit, w.g AS wave_number, min(x.date) AS start_date, DATE '1995-01-01' + w.k::INTEGER AS peak_date, max(x.date) AS end_date, round(w.v, 6) AS peak_value, greatest(max(x.date) - min(x.date), 1)::BIGINT AS duration_days, round(sum(x.value), 6) AS wave_burden FROM pw_wave w JOIN ws_c x ON x.unit = w.unit AND x.k BETWEEN w.f AND w.l GROUP BY w.unit, w.g, w.k, w.v",
-    "smoothing_windows": "SELECT unit, (CASE WHEN up < 28 THEN 3 WHEN v3 > 0 AND (v3 - v5) / v3 < 0.15 THEN 3 WHEN v5 > 0 AND (v5 - v7) / v5 < 0.15 THEN 5 WHEN v7 > 0 AND (v7 - v14) / v7 < 0.15 THEN 7 ELSE 14 END)::BIGINT AS \"window\" FROM ws_var",
+    "smoothing_windows": 'SELECT unit, "window" FROM ws_auto',
+    "wave_report_auto": f"SELECT {_WAVE} FROM wauto_wave",
 }

@@ -102,3 +102,29 @@ def test_metrics_of_both_series_share_one_shuffle(df):
 def test_longest_run(spark):
     row = spark.range(1).select(ar.longest_run(F.array(*[F.lit(i) for i in (1, 2, 3, 7, 8, 12)])).alias("a"), ar.longest_run(F.array().cast("array<int>")).alias("b")).first()
     assert tuple(row) == (3, 0)
+
+
+def test_lag_pipeline(spark):
+    hump = lambda n, mid, top: top * np.exp(-0.5 * ((np.arange(n) - mid) / 6) ** 2)
+    cases, deaths = hump(200, 60, 500) + hump(200, 140, 300), hump(200, 75, 20) + hump(200, 160, 15)
+    rows = []
+    for fips, people in (("01001", 100_000.0), ("01003", 0.0), ("01005", None)):
+        for i, (c, d) in enumerate(zip(np.cumsum(np.round(cases)), np.cumsum(np.round(deaths)), strict=True)):
+            rows.append((fips, "AL", plain.D + timedelta(i), float(c), float(d), people))
+    rows += [("01007", "AL", plain.D + timedelta(i), 5.0, 1.0, 1000.0) for i in range(40)] + [("00000", "AL", plain.D, 1.0, 1.0, 1.0)]
+    panel = spark.createDataFrame(rows, "fips string, state string, date date, cases double, deaths double, population double")
+    got = {r.unit: r for r in lg.pipeline(panel).collect()}
+    assert set(got) == {"01001", "01003", "01005", "01007"}
+    assert (got["01001"].case_peaks, got["01001"].death_peaks, got["01001"].matches) == (2, 2, 2) and got["01001"].mean_lag == pytest.approx(17.5, abs=2)
+    assert all(got[u].error == "no valid population" and got[u].matches is None and got[u].mean_lag is None for u in ("01003", "01005"))
+    assert (got["01007"].case_peaks, got["01007"].matches, got["01007"].mean_lag, got["01007"].error) == (0, 0, None, None)
+    pairs = lg.peak_pairs(panel, panel.select("fips", "date", F.lit(40.0).alias("vax")), 5.0, 14).collect()
+    assert len(pairs) >= 4 and {r.vax for r in pairs} == {40.0}
+
+
+def test_first_within_at_the_edges_of_bins(spark):
+    rng = np.random.default_rng(4)
+    sides = [sorted({(str(rng.integers(3)), int(d)) for d in rng.integers(0, 900, 60)}) for _ in range(2)]
+    frames = [spark.createDataFrame([(u, i, plain.D + timedelta(d)) for i, (u, d) in enumerate(rows)], "unit string, wave_number long, peak_date date") for rows in sides]
+    got = {r.wave_number: r.death_wave for r in wv.first_within(*frames, 90).collect()}
+    assert got == {i: min((k for k, (v, e) in enumerate(sides[1]) if v == u and abs(e - d) < 90), default=None) for i, (u, d) in enumerate(sides[0])}
