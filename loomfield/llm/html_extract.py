@@ -51,6 +51,8 @@ from loomfield.llm.url_filter import url_parts
 #: Elements whose content is no markup, with what ends them (as does the end of the page).
 RAW = {name: re.compile(rf"</{name}\s*>|$", re.I) for name in "script style noscript template textarea title svg iframe".split()}
 RAW_NAME, COMMENT_END, QUOTED = re.compile(rf"<({'|'.join(RAW)})\b", re.I), re.compile(r"-->|$"), re.compile(r"['\">]")
+#: Texts, and tags without a < in them; a match looks no further than the next <.
+USUAL = re.compile(rf"[^<]++|<(?!(?:{'|'.join(RAW)})\b)/?[a-zA-Z][^<>'\"]*+(?:(?:\"[^\"<]*+\"|'[^'<]*+')[^<>'\"]*+)*+>", re.I)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 MARK = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\shidden(?:[\s=>/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -82,6 +84,12 @@ def _digest(text: str) -> int:
 _short = lru_cache(1 << 16)(_digest)
 
 
+@lru_cache(1 << 16)
+def _inside(path: int, name: str) -> int:
+    """The path of an element inside another one."""
+    return _digest(f"{path}/{name}")
+
+
 def _hash(text: str) -> int:
     return (_short if len(text) <= REMEMBERED else _digest)(text)
 
@@ -119,13 +127,14 @@ class Scanner:
 
     def tokens(self) -> Iterator[tuple[str, bool]]:
         """Each token, and whether it is a raw element."""
-        page, p = self.page, 0
+        page, p, usual = self.page, 0, USUAL.match
         while p < len(page):
+            if m := usual(page, p):
+                yield m.group(), False
+                p = m.end()
+                continue
             end, raw = None, False
-            if page[p] != "<":
-                end = page.find("<", p)
-                end = len(page) if end < 0 else end
-            elif page.startswith("<!--", p):
+            if page.startswith("<!--", p):
                 end = COMMENT_END.search(page, p + 4).end()
             elif (m := RAW_NAME.match(page, p)) and p < self.last[">"]:
                 end, raw = RAW[m.group(1).lower()].search(page, page.find(">", p) + 1).end(), True
@@ -175,7 +184,7 @@ def walk(page: str) -> Iterator[tuple[tuple[int, bool], str, bool, bool, bool]]:
         if name in VOID or token.endswith("/>"):
             continue
         bad = name in ASIDE or (name == "header" and not inside) or (bool(marks) and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", marks)) and name not in ("html", "body", "article", "main")) or bool(HIDDEN.search(token))
-        path, inside, off = (_hash(f"{path[0]}/{name}"), path[1] or name == "a"), inside or name in MAIN, off or bad
+        path, inside, off = ((_inside if len(name) <= REMEMBERED else _inside.__wrapped__)(path[0], name), path[1] or name == "a"), inside or name in MAIN, off or bad
         stack.append((name, (path, inside, off)))
         opened[name] += 1
 
