@@ -15,6 +15,26 @@ from loomfield.operators.features import quantiles
 UNIT = ("fips", "state")
 
 
+def recent_dates(df: DataFrame, date, n: int) -> DataFrame:
+    """The panel's last n dates up to date."""
+    return df.where(F.col("date") <= F.lit(date)).select("date").distinct().orderBy(F.desc("date")).limit(n)
+
+
+def on_spine(df: DataFrame, dates: DataFrame | None = None, attributes=("county_name", "population")) -> DataFrame:
+    """df with one row for each unit and each of dates (by default all that the panel has), so that frames of rows are frames of dates.
+
+    What a unit lacks on a date is null, its attributes are filled. Dates are few, as time is; rows
+    of a unit and a date that repeat become one.
+    """
+    dates = df.select("date").distinct() if dates is None else dates
+    own = [c for c in attributes if c in df.columns]
+    rest = [c for c in df.columns if c not in (*UNIT, "date")]
+    units = df.groupBy(*UNIT).agg(*[F.first(c, ignorenulls=True).alias(c) for c in own])
+    spine = units.crossJoin(F.broadcast(dates)).select(*UNIT, "date", *[F.col(c) if c in own else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rest])
+    known = df.join(F.broadcast(dates), "date", "left_semi").select(*UNIT, "date", *rest)
+    return spine.unionByName(known).groupBy(*UNIT, "date").agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest])
+
+
 def _by_unit(keys=UNIT):
     return Window.partitionBy(*keys).orderBy("date")
 
@@ -54,13 +74,18 @@ def corrections(df: DataFrame, c: str = "cases") -> DataFrame:
     return df.withColumn("change", change).where("change < 0").select("fips", "state", "date", "change")
 
 
-def map_slice(df: DataFrame, date, window: int = 7, threshold: float = 5_000, state: str | None = None, kind: str | None = None) -> DataFrame:
+def map_slice(df: DataFrame, date, window: int = 7, threshold: float = 5_000, state: str | None = None, kind: str | None = None, sparse: bool = False) -> DataFrame:
     """Smoothed daily cases per 100k of each unit on one date, classified.
 
-    Only the days that the average and its first difference read come to the windows; the panel is dense.
+    Only the days that the average and its first difference read come to the windows. The panel
+    is dense, or else sparse: then the last dates that it has count, and units are put on them.
     """
-    near = df.where(F.col("date").between(F.date_sub(F.lit(date), window), F.lit(date)))
-    out = real_units(with_daily(near, ("cases",))).where(F.col("date") > F.date_sub(F.lit(date), window)).withColumn("ma", moving_average("cases_daily", window))
+    if sparse:
+        out = real_units(with_daily(on_spine(df, recent_dates(df, date, window + 1)), ("cases",)))
+    else:
+        near = df.where(F.col("date").between(F.date_sub(F.lit(date), window), F.lit(date)))
+        out = real_units(with_daily(near, ("cases",))).where(F.col("date") > F.date_sub(F.lit(date), window))
+    out = out.withColumn("ma", moving_average("cases_daily", window))
     out = out.where(F.col("date") == date).withColumns({"value": rate(F.col("ma"), F.col("population")), "cases_pc": rate(F.col("cases"), F.col("population")), "deaths_pc": rate(F.col("deaths"), F.col("population")), "county_type": county_type(F.col("population"), threshold)})
     out = out.where("value is not null").select("fips", "state", "county_name", "population", "cases", "deaths", "value", "cases_pc", "deaths_pc", "county_type")
     if state and state != "United States":
@@ -102,8 +127,9 @@ def window_outcomes(df: DataFrame, start, end) -> DataFrame:
     return out.select("fips", "state", "cases", "deaths", rate(F.col("cases"), F.col("population")).alias("cases_per_100k"), rate(F.col("deaths"), F.col("population")).alias("deaths_per_100k"), cfr(F.col("deaths"), F.col("cases")).alias("case_fatality_rate"))
 
 
-def rolling_cfr(df: DataFrame, days: int = 56, lag: int = 14, min_cases: float = 20) -> DataFrame:
-    """Deaths of a window over the cases of the window lag days before; only full windows with cases enough."""
+def rolling_cfr(df: DataFrame, days: int = 56, lag: int = 14, min_cases: float = 20, sparse: bool = False) -> DataFrame:
+    """Deaths of a window over the cases of the window lag days before; only full windows with cases enough. sparse: see on_spine()."""
+    df = on_spine(df) if sparse else df
     w = _by_unit().rowsBetween(-(days - 1), 0)
     full = F.count(F.lit(1)).over(w) == days
     out = with_daily(df).withColumns({"c": F.when(full, F.sum("cases_daily").over(w)), "d": F.when(full, F.sum("deaths_daily").over(w))})

@@ -13,24 +13,28 @@ from pyspark.sql import functions as F
 
 from loomfield.functions.exprs import SENTINEL, county_type, rate
 from loomfield.operators.features import column_quantiles, quantiles
-from loomfield.operators.panel import UNIT, moving_average, national, real_units, with_daily
+from loomfield.operators.panel import UNIT, moving_average, national, on_spine, real_units, recent_dates, with_daily
 
 #: Map metrics: base count and what is shown of it (fixed values).
 METRICS = {f"{kind}{c}{tail}": (c, how) for c in ("cases", "deaths") for kind, tail, how in (("cumulative_", "", 0), ("daily_", "", 1), ("daily_", "_ma3", 3), ("daily_", "_ma5", 5), ("daily_", "_ma7", 7), ("", "_per_100k", "pc"))}
 
 
-def map_metric(df: DataFrame, date, metric: str = "daily_cases_ma7", threshold: float = 100_000, state: str | None = None, kind: str | None = None) -> DataFrame:
+def map_metric(df: DataFrame, date, metric: str = "daily_cases_ma7", threshold: float = 100_000, state: str | None = None, kind: str | None = None, sparse: bool = False) -> DataFrame:
     """One of the 12 map metrics of each unit on one date, with the counts and rates of that date.
 
-    Only the days that the metric reads are kept before the windows; the panel is dense.
+    Only the days that the metric reads are kept before the windows. The panel is dense, or
+    else sparse: then the last dates that it has count, and units are put on them.
     """
     c, how = METRICS[metric]
     days = how if isinstance(how, int) else 0
-    near = df.where(F.col("date").between(F.date_sub(F.lit(date), days), F.lit(date)))
+    if sparse:
+        near = on_spine(df, recent_dates(df, date, days + 1))
+    else:
+        near = df.where(F.col("date").between(F.date_sub(F.lit(date), days), F.lit(date)))
     if days:
         near = near.withColumn("_d", F.coalesce(F.greatest(F.col(c) - F.lag(c).over(Window.partitionBy(*UNIT).orderBy("date")), F.lit(0.0)), F.lit(0.0)))
         # The first of the days kept is only there for its difference.
-        near = near.where(F.col("date") > F.date_sub(F.lit(date), days)).withColumn("_v", moving_average("_d", days))
+        near = (near if sparse else near.where(F.col("date") > F.date_sub(F.lit(date), days))).withColumn("_v", moving_average("_d", days))
     value = F.col("_v") if days else rate(F.col(c), F.col("population")) if how == "pc" else F.col(c)
     out = real_units(near.where(F.col("date") == F.lit(date))).select(*UNIT, "county_name", F.when(F.col("population") > 0, F.col("population")).alias("population"), value.alias("value"), "cases", "deaths")
     out = out.where("value is not null").withColumns({"cases_pc": rate(F.col("cases"), F.col("population")), "deaths_pc": rate(F.col("deaths"), F.col("population")), "county_type": county_type(F.col("population"), threshold)})

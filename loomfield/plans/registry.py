@@ -42,6 +42,12 @@ def map_slice(spark: SparkSession, sf: str, **kw) -> DataFrame:
     return r6(p.map_slice(s.panel(spark, sf), LAST, **kw))
 
 
+def _sparse(spark, sf):
+    """The panel without the days on which a unit had no event."""
+    seen = load(spark, sf, "events").select(x.pad_fips(F.col("user_id")).alias("fips"), F.col("ts").cast("date").alias("date")).distinct()
+    return s.panel(spark, sf).join(seen, ["fips", "date"], "left_semi")
+
+
 def _daily(spark, sf):
     return p.with_daily(s.panel(spark, sf))
 
@@ -255,6 +261,9 @@ QUERIES = {
     "lag_pipeline": lambda spark, sf: r6(lg.pipeline(s.panel(spark, sf)).drop("pairs")),
     "factor_explorer": lambda spark, sf: r6(st.factor_explorer(s.panel(spark, sf), s.master(spark, sf), date(2024, 1, 5), LAST, FACTORS, where=F.col("population") > 1000), 3),
     "morans_i_test": lambda spark, sf: r6(sp.morans_i(_values(spark, sf), sp.adjacency(_rings(spark, sf)), with_p=True)),
+    "map_slice_sparse": lambda spark, sf: r6(p.map_slice(_sparse(spark, sf), LAST, sparse=True)),
+    "map_metric_sparse": lambda spark, sf: r6(rp.map_metric(_sparse(spark, sf), LAST, "daily_deaths_ma3", 5000, sparse=True).select("fips", "value", "cases", "deaths_pc", "county_type")),
+    "rolling_cfr_sparse": lambda spark, sf: r6(p.rolling_cfr(_sparse(spark, sf), days=7, lag=3, min_cases=2, sparse=True)),
     "duplicate_keys": lambda spark, sf: load(spark, sf, "orders").groupBy(x.pad_fips(F.col("o_custkey")).alias("fips")).agg(F.count("*").alias("n")).where("n > 1"),
     "population_validity": lambda spark, sf: s.population(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("population") == 0).alias("zero"), F.count_if(F.col("population") < 0).alias("negative"), F.count_if(F.col("population").isNull()).alias("missing"), F.count_if(F.col("fips") == "00000").alias("unallocated")),
 }

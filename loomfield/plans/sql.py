@@ -53,6 +53,9 @@ _VIEWS = {
     "map": "SELECT fips, state, county_name, round(population, 6) AS population, round(cases, 6) AS cases, round(deaths, 6) AS deaths, round(ma / population * 100000, 6) AS value, round(cases / population * 100000, 6) AS cases_pc, round(deaths / population * 100000, 6) AS deaths_pc, CASE WHEN population >= 5000 THEN 'Urban' ELSE 'Rural' END AS county_type FROM slice WHERE date = DATE '2024-01-30' AND population > 0",
     "windowed": "SELECT fips, population, greatest(max(cases) FILTER (date = DATE '2024-01-30') - max(cases) FILTER (date = DATE '2024-01-05'), 0)::DOUBLE AS cases, greatest(max(deaths) FILTER (date = DATE '2024-01-30') - max(deaths) FILTER (date = DATE '2024-01-05'), 0)::DOUBLE AS deaths FROM panel WHERE fips <> '00000' GROUP BY ALL",
     "explored": "SELECT fips, m.population, n_orders, avg_price, CASE WHEN w.population > 0 THEN cases / w.population * 100000 END AS cases_per_100k, CASE WHEN w.population > 0 THEN deaths / w.population * 100000 END AS deaths_per_100k FROM windowed w JOIN master m USING (fips) WHERE m.population > 1000",
+    "thin": "SELECT p.fips, p.state, p.county_name, p.population, p.date, CASE WHEN d.fips IS NOT NULL THEN cases END AS cases, CASE WHEN d.fips IS NOT NULL THEN deaths END AS deaths FROM panel p LEFT JOIN days d ON d.fips = p.fips AND d.date = p.date",
+    "thindaily": "SELECT *, coalesce(greatest(cases - lag(cases) OVER w, 0), 0)::DOUBLE AS cases_daily, coalesce(greatest(deaths - lag(deaths) OVER w, 0), 0)::DOUBLE AS deaths_daily FROM thin WINDOW w AS (PARTITION BY fips, state ORDER BY date)",
+    "thinmap": "SELECT *, avg(cases_daily) OVER (PARTITION BY fips, state ORDER BY date ROWS 6 PRECEDING) AS ma, avg(deaths_daily) OVER (PARTITION BY fips, state ORDER BY date ROWS 2 PRECEDING) AS da FROM thindaily WHERE fips <> '00000'",
     **wave_sql.VIEWS,
 }
 
@@ -125,6 +128,9 @@ _BODIES = {
     "kpi_totals": "SELECT sum(cases) AS cases, sum(deaths) AS deaths, count(DISTINCT fips) AS units, CASE WHEN sum(cases) > 0 THEN round(sum(deaths) / sum(cases) * 100, 2) END AS cfr FROM panel WHERE fips <> '00000' AND date = (SELECT max(date) FROM panel)",
     "monthly_snapshot": "SELECT fips, state, strftime(date, '%Y-%m') AS month, cases AS value FROM panel WHERE fips <> '00000' AND date IN (SELECT min(date) FROM panel GROUP BY date_trunc('month', date))",
     "window_outcomes": "SELECT fips, state, cases, deaths, CASE WHEN population > 0 THEN round(cases / population * 100000, 6) END AS cases_per_100k, CASE WHEN population > 0 THEN round(deaths / population * 100000, 6) END AS deaths_per_100k, CASE WHEN cases > 0 THEN round(deaths / cases * 100, 6) END AS case_fatality_rate FROM (SELECT fips, state, population, greatest(max(cases) FILTER (date = DATE '2024-01-30') - max(cases) FILTER (date = DATE '2024-01-05'), 0)::DOUBLE AS cases, greatest(max(deaths) FILTER (date = DATE '2024-01-30') - max(deaths) FILTER (date = DATE '2024-01-05'), 0)::DOUBLE AS deaths FROM panel WHERE fips <> '00000' GROUP BY ALL)",
+    "map_slice_sparse": "SELECT fips, state, county_name, round(population, 6) AS population, round(cases, 6) AS cases, round(deaths, 6) AS deaths, round(ma / population * 100000, 6) AS value, round(cases / population * 100000, 6) AS cases_pc, round(deaths / population * 100000, 6) AS deaths_pc, CASE WHEN population >= 5000 THEN 'Urban' ELSE 'Rural' END AS county_type FROM thinmap WHERE date = DATE '2024-01-30' AND population > 0",
+    "map_metric_sparse": "SELECT fips, round(da, 6) AS value, round(cases, 6) AS cases, CASE WHEN population > 0 THEN round(deaths / population * 100000, 6) END AS deaths_pc, CASE WHEN population > 0 AND population >= 5000 THEN 'Urban' ELSE 'Rural' END AS county_type FROM thinmap WHERE date = DATE '2024-01-30'",
+    "rolling_cfr_sparse": f"SELECT fips, state, date, CASE WHEN b >= 2 THEN round(d / b * 100, 6) END AS cfr FROM (SELECT *, lag(c, 3) OVER {_OVER}) AS b FROM (SELECT *, CASE WHEN count(*) OVER w = 7 THEN sum(cases_daily) OVER w END AS c, CASE WHEN count(*) OVER w = 7 THEN sum(deaths_daily) OVER w END AS d FROM thindaily WINDOW w AS {_OVER} ROWS 6 PRECEDING)))",
     "rolling_cfr": f"SELECT fips, state, date, CASE WHEN b >= 2 THEN round(d / b * 100, 6) END AS cfr FROM (SELECT *, lag(c, 3) OVER {_OVER}) AS b FROM (SELECT *, CASE WHEN count(*) OVER w = 7 THEN sum(cases_daily) OVER w END AS c, CASE WHEN count(*) OVER w = 7 THEN sum(deaths_daily) OVER w END AS d FROM daily WINDOW w AS {_OVER} ROWS 6 PRECEDING)))",
     "index100": "SELECT fips, state, date, round(cases / f * 100, 6) + 0.0 AS index100 FROM panel LEFT JOIN (SELECT fips AS k, arg_min(cases, date) AS f FROM panel WHERE cases <> 0 GROUP BY 1) ON k = fips",
     "first_latest_change": "SELECT fips, state, a AS first, b AS latest, CASE WHEN a <> 0 THEN round((b - a) / abs(a) * 100, 6) END AS change_pct FROM (SELECT fips, state, arg_min(cases, date) AS a, arg_max(cases, date) AS b FROM panel GROUP BY ALL)",

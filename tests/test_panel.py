@@ -102,3 +102,15 @@ def test_features(spark):
     assert ft.correlations(df, ["y"], ["x", "k"]).where("factor = 'k'").first().r is None
     assert ft.similar(df, "00010", ["x"], 2).count() == 2
     assert {r.k_norm for r in ft.scaled(df, ["k"]).collect()} == {0.5}
+
+
+def test_a_sparse_panel_is_put_on_its_dates(spark):
+    rows = [("01001", "AL", "A", date(2024, 1, d), float(c), 0.0, 1000.0) for d, c in ((1, 10), (2, 12), (3, 15), (5, 20), (8, 29))]
+    rows += [("01003", "AL", "B", date(2024, 1, d), float(c), 0.0, 1000.0) for d, c in ((1, 1), (2, 4), (8, 9))] + [("01005", None, "C", date(2024, 1, 2), 5.0, 0.0, 500.0)]
+    df = spark.createDataFrame(rows, "fips string, state string, county_name string, date date, cases double, deaths double, population double")
+    spine = p.on_spine(df)
+    assert spine.count() == 3 * 5 and spine.where("population is null or county_name is null").isEmpty()
+    assert spine.where("fips = '01005' and cases is not null").count() == 1
+    # Of the last three dates (3, 5 and 8) the first unit rises on each; the second has no value before the last one.
+    got = {r.fips: r.value for r in p.map_slice(df, date(2024, 1, 8), window=3, sparse=True).collect()}
+    assert got == pytest.approx({"01001": (3 + 5 + 9) / 3 * 100, "01003": 0.0, "01005": 0.0})
