@@ -6,8 +6,10 @@ Each table is one aggregation over the rows and arithmetic over its few results.
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -17,7 +19,7 @@ from pyspark.sql.types import DoubleType
 
 from loomfield.functions.exprs import fisher_ci
 from loomfield.functions.special import p_of_t
-from loomfield.operators.features import average_ranks, ols_trend, percentile_of, scaled
+from loomfield.operators.features import average_ranks, column_quantiles, ols_trend, percentile_of, scaled
 from loomfield.operators.models import imputed
 from loomfield.operators.panel import window_outcomes
 
@@ -33,18 +35,42 @@ def _p_of_r(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
 
 
+def _same_rows(df: DataFrame, cols: list[str]) -> dict[str, str]:
+    """For each column the first one that is null in the same rows, told by counts and two sums of row hashes."""
+    at = F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)
+    marks = [F.struct(F.count_if(F.col(c).isNull()), *[F.bit_xor(F.when(F.col(c).isNull(), h)) for h in at], F.sum(F.when(F.col(c).isNull(), at[0] % (1 << 31)))).alias(c) for c in cols]
+    row, first = df.agg(*marks).first(), {}
+    return {c: first.setdefault(tuple(row[c]), c) for c in cols}
+
+
 def _rank_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """outcome, factor and Spearman's rank correlation of each pair.
 
-    Values are counted by pair first; ranks come from these counts, and counts are summed
-    by ranges of values, so that no task ranks the whole column.
+    A pair ranks a column among the rows in which the other one is present, so partners
+    that are missing in the same rows share its ranks: a row is taken once for each column
+    and such a set of rows, not for each pair. Equal rows are one with a count. Ranks come
+    from counts by value, summed by ranges, so that no task ranks a whole column.
     """
-    each = F.array(*[F.struct(F.lit(o).alias("outcome"), F.lit(f).alias("factor"), F.col(o).cast("double").alias("y"), F.col(f).cast("double").alias("x")) for o, f in pairs])
-    rows = df.select(F.explode(each).alias("p")).select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    for c in ("x", "y"):
-        counts = rows.groupBy("outcome", "factor", c).agg(F.count("*").alias("n"))
-        rows = rows.join(average_ranks(counts, c, ["outcome", "factor"]).drop("n"), ["outcome", "factor", c])
-    return rows.groupBy("outcome", "factor").agg(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("spearman_r"))
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    df = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    alike = _same_rows(df, df.columns)
+    own = {c: f"c{i}" for i, c in enumerate(cols)}
+    needed = list(dict.fromkeys((own[a], alike[own[b]]) for o, f in pairs for a, b in ((o, f), (f, o))))
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias("n"))
+    each = [F.when(F.col(c).isNotNull() & F.col(g).isNotNull(), F.struct(F.lit(i).alias("at"), F.col(c).alias("v"))) for i, (c, g) in enumerate(needed)]
+    parts = rows.select(F.struct(F.xxhash64(*df.columns), F.xxhash64(F.lit(1), *df.columns)).alias("row"), "n", F.explode(F.array_compact(F.array(*each))).alias("p")).select("row", "n", "p.*")
+    ranks = average_ranks(parts.groupBy("at", "v").agg(F.sum("n").alias("n")), "v", ["at"]).drop("n")
+    ranked = parts.join(ranks, ["at", "v"]).groupBy("row", "n").agg(*[F.max(F.when(F.col("at") == i, F.col("rv"))).alias(f"r{i}") for i in range(len(needed))])
+
+    def one(o, f):
+        x, y = (F.col(f"r{needed.index((own[a], alike[own[b]]))}") for a, b in ((f, o), (o, f)))
+        # Ranks are halves of whole numbers: sums lose nothing before they are divided.
+        total = lambda v: F.sum(F.when(x.isNotNull() & y.isNotNull(), F.col("n") * v))
+        m = total(F.lit(1.0))
+        spread = lambda a, b: total(a * b) - total(a) * total(b) / m
+        return F.struct(F.lit(o).alias("outcome"), F.lit(f).alias("factor"), F.try_divide(spread(x, y), F.sqrt(spread(x, x)) * F.sqrt(spread(y, y))).alias("spearman_r"))
+
+    return ranked.agg(F.array(*[one(o, f) for o, f in pairs]).alias("a")).select(F.explode("a").alias("a")).select("a.*")
 
 
 def strength(r: Column, strong: float = 0.6, moderate: float = 0.3) -> Column:
@@ -168,21 +194,78 @@ def outcome_position(df: DataFrame, fips: str, outcome: str) -> DataFrame:
     return percentile_of(df, fips, outcome)
 
 
+#: Lines of a forest's description: a split's left side, its right side, or a leaf.
+BRANCH = re.compile(r"(If|Else) \(feature (\d+) (?:<=|>) ([^)]+)\)|Predict: (\S+)")
+
+
+def _trees(model) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each tree and node in order from the root: its split's feature (-1: a leaf), threshold or prediction, parent, and whether it lies to the left."""
+    trees = []
+    for text in re.split(r"Tree \d+ \(weight [^)]*\):", model.toDebugString)[1:]:
+        nodes, under = [], [(-1, False)]  # under: the sides that still wait for their node
+        for kind, feature, cut, leaf in BRANCH.findall(text):
+            if kind != "Else":
+                nodes.append((int(feature), float(cut), *under.pop()) if kind else (-1, float(leaf), *under.pop()))
+            if kind == "If":
+                under += [(len(nodes) - 1, False), (len(nodes) - 1, True)]
+        trees.append(tuple(np.array(x) for x in zip(*nodes, strict=True)))
+    return trees
+
+
+def _reached(x: np.ndarray, trees, free: list[int]) -> np.ndarray:
+    """For each free feature and node, the rows of x that get there if a split on that feature lets them take both sides."""
+    counts = []
+    for j in free:
+        for feature, cut, parent, left in trees:
+            inside = [np.ones(len(x), bool)]
+            for i in range(1, len(feature)):
+                f = feature[parent[i]]
+                inside.append(inside[parent[i]] if f == j else inside[parent[i]] & ((x[:, f] <= cut[parent[i]]) == left[i]))
+            counts += [m.sum() for m in inside]
+    return np.array(counts, "int64")
+
+
 def partial_dependence(df: DataFrame, outcome: str, predictors: list[str], top: int = 3, points: int = 20, trees: int = 200, seed: int = 42, min_n: int = 50) -> DataFrame:
     """feature, value and the forest's mean prediction with the feature set to value, over a grid between its 5th and 95th percentile.
 
-    The grid is a broadcast of top * points rows; a mean is one aggregation over all.
+    No row is copied for a value of the grid: one pass counts the rows that reach each leaf
+    while splits on the feature let them through on both sides. A leaf then weighs in at the
+    values that such splits on its path admit. What is fetched is as large as the forest.
     """
     spark = df.sparkSession
-    rows = imputed(df.where(F.col(outcome).isNotNull()), predictors)
-    if rows.count() < min_n:
+    rows = imputed(df.where(F.col(outcome).isNotNull()), predictors).select(F.col(outcome).cast("double").alias(outcome), *[F.col(c).cast("double").alias(c) for c in predictors])
+    n = rows.count()
+    if n < min_n:
         return spark.createDataFrame([], "feature string, value double, predicted double")
     model = RandomForestRegressor(featuresCol="_x", labelCol=outcome, numTrees=trees, seed=seed).fit(VectorAssembler(inputCols=predictors, outputCol="_x").transform(rows))
     best = [c for _, c in sorted(zip(-model.featureImportances.toArray(), predictors, strict=True), key=lambda x: x[0])[:top]]
-    ends = rows.agg(*[F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(c) for c in best]).first()
-    grid = spark.createDataFrame([(c, float(ends[c][0] + (ends[c][1] - ends[c][0]) * i / (points - 1))) for c in best for i in range(points)], "feature string, value double")
-    set_to = rows.select(*predictors).crossJoin(F.broadcast(grid)).withColumns({c: F.when(F.col("feature") == c, F.col("value")).otherwise(F.col(c).cast("double")) for c in predictors})
-    return model.transform(VectorAssembler(inputCols=predictors, outputCol="_x").transform(set_to)).groupBy("feature", "value").agg(F.avg("prediction").alias("predicted"))
+    free, grown = [predictors.index(c) for c in best], _trees(model)
+
+    def count(batches):
+        total = 0
+        for batch in batches:
+            total = total + _reached(batch[predictors].to_numpy("float64"), grown, free)
+        if np.ndim(total):
+            yield pd.DataFrame({"node": np.arange(len(total)), "n": total})
+
+    counted = rows.select(*predictors).mapInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()  # a row for each node
+    weight = np.zeros(len(counted))
+    for r in counted:
+        weight[r["node"]] = r["n"] / n / len(grown)
+    ends = {r["c"]: r["q"] for r in column_quantiles(rows, {c: F.col(c) for c in best}, [0.05, 0.95]).collect()}
+    out, start = [], 0
+    for c, j in zip(best, free, strict=True):
+        grid = np.array([ends[c][0] + (ends[c][1] - ends[c][0]) * i / (points - 1) for i in range(points)])
+        mean = np.zeros(points)
+        for feature, cut, parent, left in grown:
+            admits = [np.ones(points, bool)]
+            for i in range(1, len(feature)):
+                admits.append(admits[parent[i]] & ((grid <= cut[parent[i]]) == left[i]) if feature[parent[i]] == j else admits[parent[i]])
+            for i in np.flatnonzero(feature < 0):
+                mean += admits[i] * (weight[start + i] * cut[i])
+            start += len(feature)
+        out += [(c, float(v), float(m)) for v, m in zip(grid, mean, strict=True)]
+    return spark.createDataFrame(out, "feature string, value double, predicted double")
 
 
 def resilience_summary(scores: DataFrame, k: int = 25) -> DataFrame:

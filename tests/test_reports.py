@@ -5,6 +5,8 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from loomfield.functions.special import p_of_f, p_of_t
@@ -107,6 +109,31 @@ def test_associations(master):
     assert st.associations(master.limit(5), ["deaths_per_100k"], ["vax_complete_pct"]).isEmpty()
 
 
+def test_rank_correlations_with_nulls_ties_and_repeats(spark):
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 9, (300, 4)).astype(float)
+    values[:, 3] = values[:, 0] + rng.normal(0, 2, 300)
+    absent = rng.random((300, 4)) < (0.0, 0.2, 0.3, 0.0)
+    absent[:, 2] = absent[:, 1]  # two columns lack the same rows, two none
+    absent[7:60, 3] = True
+    rows = [tuple(None if m else float(v) for v, m in zip(*r, strict=True)) for r in zip(values, absent, strict=True)]
+    df = spark.createDataFrame(rows + rows[:50], "a double, b double, c double, d double").repartition(5)
+    got = {(r.outcome, r.factor): r for r in st.associations(df, ["a", "b"], ["b", "c", "d", "a"]).collect()}
+    everything, present = np.vstack([values, values[:50]]), ~np.vstack([absent, absent[:50]])
+
+    def ranks(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    assert len(got) == 8
+    for (o, f), r in got.items():
+        i, j = "abcd".index(o), "abcd".index(f)
+        both = present[:, i] & present[:, j]
+        assert r.n == both.sum()
+        assert r.spearman_r == pytest.approx(np.corrcoef(ranks(everything[both, i]), ranks(everything[both, j]))[0, 1], abs=1e-12)
+    constant = spark.createDataFrame([(float(i), 1.0, None) for i in range(20)], "a double, b double, c double")
+    assert [(r.factor, r.spearman_r) for r in st.associations(constant, ["a"], ["b", "c"]).collect()] == [("b", None)]
+
+
 def test_insights_flag_low_vaccination(master):
     peers = ft.similar(master, "00000", ["population", "pop_density_per_sqmi", "median_family_income", "rucc_code"])
     assert peers.count() == 10 and all(int(r.fips) < 100 for r in peers.collect())
@@ -154,12 +181,33 @@ def test_resilience_folds_follow_the_keys(spark, master):
 def test_partial_dependence_and_sentences(master):
     pd = st.partial_dependence(master, "deaths_per_100k", ["vax_complete_pct", "median_family_income"], top=1, points=5, trees=10).orderBy("value").collect()
     assert len(pd) == 5 and {r.feature for r in pd} == {"vax_complete_pct"} and pd[0].predicted > pd[-1].predicted
+    assert st.partial_dependence(master.limit(20), "deaths_per_100k", ["vax_complete_pct"]).isEmpty()
     said = st.interpretation(md.ols_table(master, "deaths_per_100k", ["vax_complete_pct"]), "deaths")
     assert said[0].startswith("Strong fit") and "lower deaths" in said[1]
     row = {r.term: r for r in md.ols_table(master, "deaths_per_100k", ["vax_complete_pct"]).collect()}["vax_complete_pct"]
     assert row.f == pytest.approx(row.t**2) and row.p_f == pytest.approx(row.p, abs=1e-12) and row.adj_r2 < row.r2
 
 
+def test_partial_dependence_equals_predictions_of_changed_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (150, 3))
+    x[5:20, 1] = np.nan
+    rows = [(*(None if np.isnan(v) else float(v) for v in r), float(r[0] ** 2 + 2 * r[2] + rng.normal(0, 0.1))) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double").repartition(3).persist()
+    preds, got = ["a", "b", "c"], {}
+    for r in st.partial_dependence(df, "y", preds, top=3, points=7, trees=9).collect():
+        got.setdefault(r.feature, []).append((r.value, r.predicted))
+    whole = md.imputed(df, preds).select("y", *preds)
+    vectors = lambda d: VectorAssembler(inputCols=preds, outputCol="_x").transform(d)
+    model = RandomForestRegressor(featuresCol="_x", labelCol="y", numTrees=9, seed=42).fit(vectors(whole))
+    assert set(got) == set(preds)
+    for c, points in got.items():
+        values = np.array([r[c] for r in whole.collect()])
+        assert [v for v, _ in points] == pytest.approx(np.linspace(*np.quantile(values, [0.05, 0.95]), 7).tolist())
+        for v, mean in points:
+            assert mean == pytest.approx(model.transform(vectors(whole.withColumn(c, F.lit(v)))).agg(F.avg("prediction")).first()[0], abs=1e-9)
+
+
 def series(spark, **units):
     return spark.createDataFrame([(u, D + timedelta(i), float(v)) for u, x in units.items() for i, v in enumerate(x)], "unit string, date date, value double")
 
