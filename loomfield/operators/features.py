@@ -27,6 +27,13 @@ def correlations(df: DataFrame, outcomes: list[str], factors: list[str], min_n:
     return rows.withColumns({"r2": F.col("r") * F.col("r"), "ci_low": low, "ci_high": high})
 
 
+def _placed(df: DataFrame, c: str, step: int = 15) -> DataFrame:
+    """df with _r, how many of the rising bounds _b are not above c: first among every step-th bound, then among the few behind it."""
+    below = lambda b: F.coalesce(F.size(F.filter(b, lambda b: b <= F.col(c))), F.lit(0))
+    df = df.withColumn("_k", below(F.filter("_b", lambda b, i: (i + 1) % step == 0)) * step)
+    return df.withColumn("_r", F.col("_k") + below(F.slice("_b", F.col("_k") + 1, F.lit(step)))).drop("_b", "_k")
+
+
 def average_ranks(counts: DataFrame, c: str, keys: list[str], ranges: int = 200) -> DataFrame:
     """counts (keys, c, n) with r<c>, the average rank of each value within its keys.
 
@@ -36,8 +43,9 @@ def average_ranks(counts: DataFrame, c: str, keys: list[str], ranges: int = 200)
     counts = counts.select(*keys, c, "n")
     one = [*keys, "_one"]
     counts = counts.withColumn("_one", F.lit(1))
-    bounds = counts.groupBy(*one).agg(F.percentile_approx(c, [i / ranges for i in range(1, ranges)], 10_000).alias("_b"))
-    placed = counts.join(F.broadcast(bounds), one).withColumn("_r", F.size(F.filter("_b", lambda b: b <= F.col(c)))).drop("_b")
+    # Reading n here, too, lets this branch and the ranges share the shuffle that counted the values.
+    bounds = counts.groupBy(*one).agg(F.percentile_approx(c, [i / ranges for i in range(1, ranges)], 10_000).alias("_b"), F.sum("n").alias("_all")).where("_all > 0").drop("_all")
+    placed = _placed(counts.join(F.broadcast(bounds), one), c)
     totals = placed.groupBy(*one, "_r").agg(F.sum("n").alias("m"))
     before = Window.partitionBy(*one).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # over ranges
     totals = totals.select(*one, "_r", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_start"))
@@ -93,8 +101,8 @@ def quantiles(df: DataFrame, c: str, shares: list[float], keys: list[str]) -> Da
     """
     by = [*keys, "_one"]
     counts = df.where(F.col(c).isNotNull()).groupBy(*keys, F.lit(1).alias("_one"), F.col(c).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    bounds = counts.groupBy(*by).agg(F.percentile_approx("v", [i / 200 for i in range(1, 200)], 2_000).alias("_b"))
-    placed = counts.join(bounds, by).withColumn("_r", F.size(F.filter("_b", lambda b: b <= F.col("v")))).drop("_b")
+    bounds = counts.groupBy(*by).agg(F.percentile_approx("v", [i / 200 for i in range(1, 200)], 2_000).alias("_b"), F.sum("n").alias("_m")).where("_m > 0").drop("_m")  # n: as in average_ranks
+    placed = _placed(counts.join(bounds, by), "v")
     order = Window.partitionBy(*by).orderBy("_r")  # over the ranges of a group
     totals = placed.groupBy(*by, "_r").agg(F.sum("n").alias("m"))
     totals = totals.select(*by, "_r", "m", (F.sum("m").over(order) - F.col("m")).alias("_start"), F.sum("m").over(Window.partitionBy(*by)).alias("_all"))
