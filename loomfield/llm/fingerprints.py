@@ -78,12 +78,13 @@ def search(spark: SparkSession, prints: DataFrame, queries: DataFrame, least: fl
     sets = stored(spark, prints.where("size(s) > 0").select("doc_id", "s", F.xxhash64("s").alias("k")), "sets")
     asked = stored(spark, queries.where("size(s) > 0").select("doc_id", "s", F.xxhash64("s").alias("k")), "asked")
     classes = stored(spark, sets.select("k", "s").union(asked.select("k", "s")).distinct(), "classes")
-    held = classes.select("k", "s", F.explode("s").alias("g"))
+    # Of a set only its key travels with a signature, never the set itself.
+    held = classes.select("k", F.explode("s").alias("g"))
     counts = held.groupBy("g").agg(F.count("*").alias("n"))
     # A signature of one set alone only meets itself.
-    ranked = held.select("k", "s", "g").join(counts.where("n > 1"), "g", "left").groupBy("k", "s").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "g"))).alias("r"))
-    need = F.size("s") - F.ceil(F.size("s") * F.lit(least) - 1e-9).cast("int") + 1
-    front = ranked.select("k", "s", F.size("s").alias("n"), part(F.size("s")).alias("part"), F.explode(F.slice("r", F.lit(1), need)).alias("r")).where("r.n > 1")
+    ranked = held.join(counts.where("n > 1"), "g", "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "g"))).alias("r"))
+    need = F.size("r") - F.ceil(F.size("r") * F.lit(least) - 1e-9).cast("int") + 1
+    front = ranked.select("k", F.size("r").alias("n"), part(F.size("r")).alias("part"), F.explode(F.slice("r", F.lit(1), need)).alias("r")).where("r.n > 1")
     front = stored(spark, front.select("k", "n", "part", F.col("r.g").alias("g")), "index")
     own = front.join(asked.select("k").distinct(), "k", "left_semi")
     own = own.select(F.col("k").alias("qk"), F.col("n").alias("qn"), "g", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
