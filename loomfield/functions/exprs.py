@@ -67,3 +67,15 @@ def fisher_ci(r: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     ok = (n > 3) & (F.abs(r) < 1)
     half = z / F.sqrt(F.when(n > 3, n - 3))
     return F.when(ok, F.tanh(F.atanh(F.when(ok, r)) - half)), F.when(ok, F.tanh(F.atanh(F.when(ok, r)) + half))
+
+
+#: Where each scale begins to call a value strong and moderate (fixed values).
+SCALES = {"association": (0.6, 0.3), "vaccination": (0.5, 0.3), "clustering": (0.4, 0.15), "fit": (0.5, 0.25)}
+
+
+def strength(value: Column, scale: str = "association") -> Column:
+    """strong, moderate or weak; null for null. Correlations count by size; the bounds of the vaccination scale must be exceeded, all others reached."""
+    strong, moderate = SCALES[scale]
+    size = F.abs(value) if scale in ("association", "vaccination") else value
+    reaches = (lambda bound: size > bound) if scale == "vaccination" else (lambda bound: size >= bound)
+    return F.when(reaches(strong), "strong").when(reaches(moderate), "moderate").when(value.isNotNull(), "weak")

@@ -70,12 +70,16 @@ def full_audit(panel: DataFrame, population: DataFrame, slice_: DataFrame | None
     return reduce(DataFrame.unionByName, parts)
 
 
-def master_table(panel: DataFrame, features: DataFrame, vaccination: DataFrame | None = None) -> DataFrame:
-    """One row for each real unit: latest totals and rates with its features; unmatched features are null."""
+def with_columns_of(left: DataFrame, right: DataFrame | None, key: str = "fips") -> DataFrame:
+    """left with the columns that it lacks of right, one row of which each key has; left itself without a right."""
+    return left if right is None else left.join(right.select(key, *[c for c in right.columns if c not in left.columns]), key, "left")
+
+
+def master_table(panel: DataFrame, features: DataFrame, vaccination: DataFrame | None = None, waves: DataFrame | None = None) -> DataFrame:
+    """One row for each real unit: latest totals and rates, and what further tables by fips (wave metrics, features, vaccination) add in columns of their own; null where unmatched."""
     last = panel.where((F.col("fips") != SENTINEL) & F.col("fips").isNotNull()).groupBy("fips", "state").agg(F.max_by("cases", "date").alias("cases"), F.max_by("deaths", "date").alias("deaths"), F.max("population").alias("population"))
     last = last.withColumns({"cases_per_100k": rate(F.col("cases"), F.col("population")), "deaths_per_100k": rate(F.col("deaths"), F.col("population")), "cfr": cfr(F.col("deaths"), F.col("cases"))})
-    out = last.join(features.drop("population"), "fips", "left")
-    return out if vaccination is None else out.join(vaccination, "fips", "left")
+    return reduce(with_columns_of, (waves, features, vaccination), last)
 
 
 def join_diagnostics(master: DataFrame, column: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomfield.functions.exprs import SENTINEL, county_type, rate
 from loomfield.operators.features import column_quantiles, quantiles
 from loomfield.operators.panel import UNIT, moving_average, national, on_spine, real_units, recent_dates, with_daily
+from loomfield.sources.files import feature_table
 
 #: Map metrics: base count and what is shown of it (fixed values).
 METRICS = {f"{kind}{c}{tail}": (c, how) for c in ("cases", "deaths") for kind, tail, how in (("cumulative_", "", 0), ("daily_", "", 1), ("daily_", "_ma3", 3), ("daily_", "_ma5", 5), ("daily_", "_ma7", 7), ("", "_per_100k", "pc"))}
@@ -240,6 +241,25 @@ def diagnostics(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
     return out.withColumn("match_rate_pct", F.when(F.col("keys") > 0, F.round(F.col("matched") / F.col("keys") * 100, 1)).otherwise(F.lit(0.0)))
 
 
+def built_features(base: DataFrame, *more: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
+    """feature_table() of tables by fips with derived() columns, and of units outside keys, if given, nothing."""
+    out = derived(feature_table(base, *more))
+    return out if keys is None else out.join(keys.select("fips").distinct(), "fips", "left_semi")
+
+
+def source_health(sources: dict[str, tuple[DataFrame | None, list[str]]]) -> DataFrame:
+    """source, present, rows and usable: whether any value is there of the columns asked for; a source that is None is absent."""
+    parts = []
+    for name, (df, cols) in sources.items():
+        if df is None:
+            spark = next(d for d, _ in sources.values() if d is not None).sparkSession
+            parts.append(spark.createDataFrame([(name, False, 0, False)], "source string, present boolean, rows long, usable boolean"))
+            continue
+        found = [F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)) for c in cols if c in df.columns]
+        parts.append(df.agg(F.lit(name).alias("source"), F.lit(True).alias("present"), F.count("*").alias("rows"), reduce(lambda a, b: a | b, found, F.lit(False)).alias("usable")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys of several rows, how many, and the distinct names among them."""
     return df.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("county_name")).alias("names")).where("n > 1")

@@ -7,6 +7,8 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from loomfield.functions.exprs import strength
 from pyspark.sql.types import DoubleType
 
 
@@ -38,7 +40,7 @@ def morans_i(values: DataFrame, edges: DataFrame, min_n: int = 30, with_p: bool
     n, s0 = F.col("n"), F.col("s0")
     var = (n * n * 2 * s0 - n * 4 * F.col("dd") + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - F.col("expected") * F.col("expected")
     out = out.crossJoin(degree).withColumn("z", F.try_divide(F.col("i") - F.col("expected"), F.sqrt(F.when(var > 0, var))))
-    return out.select("n", "n_edges", "i", "expected", "z", _two_sided("z").alias("p"))
+    return out.select("n", "n_edges", "i", "expected", "z", _two_sided("z").alias("p"), strength(F.col("i"), "clustering").alias("strength"))
 
 
 def getis_ord(values: DataFrame, edges: DataFrame, threshold: float = 1.96, min_n: int = 30) -> DataFrame:

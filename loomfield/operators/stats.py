@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from loomfield.functions.exprs import fisher_ci
+from loomfield.functions.exprs import SCALES, fisher_ci, safe_corr, strength
 from loomfield.functions.special import p_of_t
 from loomfield.operators.features import average_ranks, column_quantiles, ols_trend, percentile_of, scaled
 from loomfield.operators.models import imputed
@@ -73,10 +73,6 @@ def _rank_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return ranked.agg(F.array(*[one(o, f) for o, f in pairs]).alias("a")).select(F.explode("a").alias("a")).select("a.*")
 
 
-def strength(r: Column, strong: float = 0.6, moderate: float = 0.3) -> Column:
-    return F.when(F.abs(r) >= strong, "strong").when(F.abs(r) >= moderate, "moderate").when(r.isNotNull(), "weak")
-
-
 def associations(df: DataFrame, outcomes: list[str], factors: list[str], min_n: int = 10, where: Column | None = None) -> DataFrame:
     """Every outcome x factor pair of min_n rows or more: n, Pearson's and Spearman's r with p, r squared, interval, means and spreads.
 
@@ -282,13 +278,21 @@ def severity_correlation(pairs: DataFrame, least: int = 3) -> DataFrame:
     return out.withColumn("label", F.when(F.col("r") < -0.2, "lower").when(F.col("r") > 0.2, "higher").when(F.col("r").isNotNull(), "none"))
 
 
+def vaccination_effect(latest: DataFrame, outcomes: DataFrame, vax: str, outcome: str, min_n: int = 10) -> DataFrame:
+    """One row: n units with coverage above 0 and an outcome, r, slope and intercept of the outcome on it, direction and strength; none for fewer than min_n."""
+    both = latest.where(F.col(vax) > 0).select("fips", vax).join(outcomes.where(F.col(outcome).isNotNull()).select("fips", outcome), "fips")
+    out = both.agg(F.count("*").alias("n"), safe_corr(vax, outcome).alias("r"), F.regr_slope(outcome, vax).alias("slope"), F.regr_intercept(outcome, vax).alias("intercept")).where(F.col("n") >= min_n)
+    return out.withColumns({"direction": F.when(F.col("slope") < 0, "negative").when(F.col("slope").isNotNull(), "positive"), "strength": strength(F.col("r"), "vaccination")})
+
+
 def interpretation(table: DataFrame, label: str, alpha: float = 0.05) -> list[str]:
     """Sentences on a table of ols_table(): fit, and each significant predictor's direction."""
     rows = table.collect()  # a row for each predictor
     if not rows:
         return ["Too few complete rows for a regression."]
     fit = rows[0]
-    level = "strong" if fit.r2 >= 0.5 else "moderate" if fit.r2 >= 0.25 else "weak"
+    strong, moderate = SCALES["fit"]
+    level = "strong" if fit.r2 >= strong else "moderate" if fit.r2 >= moderate else "weak"
     said = [f"{level.capitalize()} fit: R2 {fit.r2:.3f} (adjusted {fit.adj_r2:.3f}) over {fit.n} units."]
     for r in sorted(rows, key=lambda r: r.p_hc3):
         if r.term != "intercept" and r.p_hc3 < alpha:

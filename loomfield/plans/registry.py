@@ -122,6 +122,30 @@ def _features(spark, sf):
     return s.master(spark, sf).select("fips", F.col("population").alias("population_2020"), F.col("n_orders").alias("hospital_beds"), F.col("avg_price").alias("pop_65plus"), F.when(F.col("rucc_code") > 0, F.col("rucc_code").cast("double")).alias("rucc_code"))
 
 
+def _feature_sources(spark, sf):
+    """Features in two tables that share the population column, of which the first one's counts."""
+    m = s.master(spark, sf)
+    base = m.select("fips", F.col("population").alias("population_2020"), F.col("n_orders").alias("hospital_beds"))
+    return base, m.select("fips", (F.col("population") * 2).alias("population_2020"), F.col("avg_price").alias("pop_65plus"), F.col("rucc_code").cast("double").alias("rucc_code"))
+
+
+def _nation_panel(spark, sf):
+    """Order and shipment value by nation so far, as counts of a panel, over a thousand people for each customer of the nation."""
+    last = lambda df: df.groupBy("unit").agg(F.sum("value").alias("v"), F.max("date").alias("date"))
+    people = load(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("string").alias("unit")).agg((F.count("*") * 1000.0).alias("population"))
+    a, b = last(_long(spark, sf)), last(_shipped(spark, sf)).withColumnRenamed("v", "d").drop("date")
+    return a.join(b, "unit", "left").join(people, "unit").select(x.pad_fips(F.col("unit")).alias("fips"), F.col("unit").alias("state"), "date", F.col("v").alias("cases"), F.col("d").alias("deaths"), "population")
+
+
+def _nation_features(spark, sf):
+    """The nation's region, beside a population that the panel's outranks."""
+    return load(spark, sf, "nation").select(x.pad_fips(F.col("n_nationkey")).alias("fips"), "n_regionkey", F.lit(0.0).alias("population"))
+
+
+def _nation_waves(spark, sf):
+    return wv.both_metrics(wv.all_metrics(_both(spark, sf))).withColumn("fips", x.pad_fips(F.col("unit"))).drop("unit")
+
+
 def _peers(spark, sf):
     return s.master(spark, sf).where("rucc_code = 3").select("fips")
 
@@ -225,7 +249,7 @@ QUERIES = {
     "first_rows": lambda spark, sf: rp.first_rows(s.population(spark, sf), "state", "fips"),
     "derived_features": lambda spark, sf: r6(rp.derived(_features(spark, sf))),
     "rucc_groups": lambda spark, sf: rp.rucc_groups(_features(spark, sf)),
-    "load_diagnostics": lambda spark, sf: r6(rp.diagnostics(s.master(spark, sf), s.panel(spark, sf).select("fips").distinct().unionByName(spark.createDataFrame([("99999",)], "fips string")), ["n_orders", "population"]).drop("unmatched", "repeated")),
+    "load_diagnostics": lambda spark, sf: r6(rp.diagnostics(s.master(spark, sf), s.panel(spark, sf).select("fips").distinct().unionByName(spark.createDataFrame([("99999",)], "fips string")), ["n_orders", "population"]).withColumns({c: F.array_join(c, ",") for c in ("unmatched", "repeated")})),
     "repeated_keys": lambda spark, sf: rp.repeated_keys(s.population(spark, sf).select("state", "county_name"), "state").select("state", "n", F.size("names").cast("long").alias("n_names")),
     "fact_sheet": lambda spark, sf: r6(rp.fact_sheet(s.panel(spark, sf), s.master(spark, sf), "00005", FACTORS), 4),
     "associations": lambda spark, sf: r6(st.associations(s.master(spark, sf), ["total_price", "n_orders"], FACTORS), 3),
@@ -261,6 +285,10 @@ QUERIES = {
     "lag_pipeline": lambda spark, sf: r6(lg.pipeline(s.panel(spark, sf)).drop("pairs")),
     "factor_explorer": lambda spark, sf: r6(st.factor_explorer(s.panel(spark, sf), s.master(spark, sf), date(2024, 1, 5), LAST, FACTORS, where=F.col("population") > 1000), 3),
     "morans_i_test": lambda spark, sf: r6(sp.morans_i(_values(spark, sf), sp.adjacency(_rings(spark, sf)), with_p=True)),
+    "vaccination_effect": lambda spark, sf: r6(st.vaccination_effect(_latest_vax(spark, sf), p.window_outcomes(s.panel(spark, sf), date(2024, 1, 5), LAST), "vax", "cases_per_100k")),
+    "feature_build": lambda spark, sf: r6(rp.built_features(*_feature_sources(spark, sf), keys=s.panel(spark, sf))),
+    "source_health": lambda spark, sf: rp.source_health({"counts": (s.panel(spark, sf), ["cases", "deaths"]), "features": (s.master(spark, sf), ["n_orders", "avg_price"]), "vaccination": (_latest_vax(spark, sf), ["vax"]), "codes only": (s.master(spark, sf), ["rate"]), "boundaries": (None, [])}),
+    "master_waves": lambda spark, sf: r6(plain(au.master_table(_nation_panel(spark, sf), _nation_features(spark, sf), waves=_nation_waves(spark, sf)))),
     "map_slice_sparse": lambda spark, sf: r6(p.map_slice(_sparse(spark, sf), LAST, sparse=True)),
     "map_metric_sparse": lambda spark, sf: r6(rp.map_metric(_sparse(spark, sf), LAST, "daily_deaths_ma3", 5000, sparse=True).select("fips", "value", "cases", "deaths_pc", "county_type")),
     "rolling_cfr_sparse": lambda spark, sf: r6(p.rolling_cfr(_sparse(spark, sf), days=7, lag=3, min_cases=2, sparse=True)),

@@ -189,13 +189,13 @@ _BODIES = {
     "first_rows": "SELECT state, fips, county_name, population FROM population WHERE (state, fips) IN (SELECT state, min(fips) FROM population GROUP BY state)",
     "derived_features": "SELECT fips, round(population_2020, 6) AS population_2020, round(hospital_beds, 6) AS hospital_beds, round(pop_65plus, 6) AS pop_65plus, rucc_code, CASE WHEN population_2020 > 0 THEN round(hospital_beds / population_2020 * 100000, 6) END AS hospital_beds_per_100k, CASE WHEN population_2020 > 0 THEN round(pop_65plus / population_2020 * 100, 6) END AS pct_pop_65plus, coalesce(rucc_code BETWEEN 1 AND 3, false) AS is_metro, CASE WHEN rucc_code BETWEEN 1 AND 3 THEN 'Metro' WHEN rucc_code IS NOT NULL THEN 'Nonmetro' END AS rucc_group FROM feat",
     "rucc_groups": "SELECT fips, rucc_code, CASE WHEN rucc_code BETWEEN 1 AND 3 THEN 'Metro' WHEN rucc_code BETWEEN 4 AND 9 THEN 'Nonmetro' END AS rucc_group FROM feat",
-    "load_diagnostics": "SELECT (SELECT count(*) FROM master) AS rows, (SELECT round(avg(CASE WHEN n_orders IS NULL THEN 1 ELSE 0 END) * 100, 1) FROM master) AS missing_n_orders, (SELECT round(avg(CASE WHEN population IS NULL THEN 1 ELSE 0 END) * 100, 1) FROM master) AS missing_population, count(*) AS keys, count(m.fips) AS matched, round(count(m.fips) / count(*) * 100, 1) AS match_rate_pct FROM (SELECT DISTINCT fips FROM panel UNION SELECT '99999') k LEFT JOIN master m USING (fips)",
+    "load_diagnostics": "SELECT (SELECT count(*) FROM master) AS rows, (SELECT round(avg(CASE WHEN n_orders IS NULL THEN 1 ELSE 0 END) * 100, 1) FROM master) AS missing_n_orders, (SELECT round(avg(CASE WHEN population IS NULL THEN 1 ELSE 0 END) * 100, 1) FROM master) AS missing_population, count(*) AS keys, count(m.fips) AS matched, round(count(m.fips) / count(*) * 100, 1) AS match_rate_pct, (SELECT coalesce(string_agg(fips, ',' ORDER BY fips), '') FROM (SELECT fips FROM (SELECT fips FROM panel UNION SELECT '99999') WHERE fips NOT IN (SELECT fips FROM master) ORDER BY fips LIMIT 10)) AS unmatched, (SELECT coalesce(string_agg(fips, ',' ORDER BY fips), '') FROM (SELECT fips FROM master GROUP BY fips HAVING count(*) > 1 ORDER BY fips LIMIT 10)) AS repeated FROM (SELECT DISTINCT fips FROM panel UNION SELECT '99999') k LEFT JOIN master m USING (fips)",
     "repeated_keys": "SELECT state, count(*) AS n, count(DISTINCT county_name) AS n_names FROM population GROUP BY state HAVING count(*) > 1",
     "fact_sheet": "SELECT section, metric, round(value, 4) AS value FROM (SELECT 'latest' AS section, x.* FROM lastday l, LATERAL (" + _facts([("cases", "l.cases"), ("deaths", "l.deaths"), ("population", "l.population"), ("cases_per_100k", "l.cases / l.population * 100000"), ("deaths_per_100k", "l.deaths / l.population * 100000"), ("cfr", "l.deaths / l.cases * 100")]) + ") x WHERE fips = '00005'" + "".join(f" UNION ALL SELECT '{sec}', '{f}', {v} FROM (SELECT max({f}) FILTER (fips = '00005') AS u, median({f}) AS m FROM master)" for f in ("population", "n_orders", "avg_price") for sec, v in (("value", "u"), ("difference", "(u - m) / abs(m) * 100"))) + ")",
     "associations": _associations(("total_price", "n_orders"), "master"),
     "factor_explorer": _associations(("cases_per_100k", "deaths_per_100k"), "explored"),
     "lag_pipeline": "SELECT u.unit, u.error, CASE WHEN u.error IS NULL THEN coalesce(c.n, 0) END AS case_peaks, CASE WHEN u.error IS NULL THEN coalesce(d.n, 0) END AS death_peaks, CASE WHEN u.error IS NULL THEN coalesce(m.n, 0) END AS matches, round(m.lag, 6) AS mean_lag FROM (SELECT DISTINCT fips AS unit, CASE WHEN NOT coalesce(population > 0, false) THEN 'no valid population' END AS error FROM panel WHERE fips <> '00000') u LEFT JOIN (SELECT unit, count(*) AS n FROM pc_peak GROUP BY unit) c USING (unit) LEFT JOIN (SELECT unit, count(*) AS n FROM pd_peak GROUP BY unit) d USING (unit) LEFT JOIN (SELECT unit, count(*) AS n, avg(lag_days) AS lag FROM pm_pair GROUP BY unit) m USING (unit)",
-    "morans_i_test": "SELECT n, n_edges, round(i, 6) AS i, round(e, 6) AS expected, round(z, 6) AS z, round(greatest(1 - 2 * " + _area("exp(-u * u / 2)", "least(abs(z), 40)") + " / sqrt(2 * pi()), 0), 6) AS p FROM (SELECT *, (i - e) / sqrt((n * n * 2 * s0 - n * 4 * dd + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - e * e) AS z FROM (SELECT n, s0 // 2 AS n_edges, s0::DOUBLE AS s0, n / s0 * num / den AS i, -1.0 / (n - 1) AS e, dd FROM (SELECT count(*)::DOUBLE AS n, sum(z * z) AS den FROM centred), (SELECT count(*) AS s0, sum(a.z * b.z) AS num FROM edges JOIN centred a ON src = a.fips JOIN centred b ON dst = b.fips), (SELECT sum(d * d)::DOUBLE AS dd FROM (SELECT count(*) AS d FROM edges GROUP BY src))))",
+    "morans_i_test": "SELECT n, n_edges, round(i, 6) AS i, round(e, 6) AS expected, round(z, 6) AS z, round(greatest(1 - 2 * " + _area("exp(-u * u / 2)", "least(abs(z), 40)") + " / sqrt(2 * pi()), 0), 6) AS p, CASE WHEN i >= 0.4 THEN 'strong' WHEN i >= 0.15 THEN 'moderate' ELSE 'weak' END AS strength FROM (SELECT *, (i - e) / sqrt((n * n * 2 * s0 - n * 4 * dd + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - e * e) AS z FROM (SELECT n, s0 // 2 AS n_edges, s0::DOUBLE AS s0, n / s0 * num / den AS i, -1.0 / (n - 1) AS e, dd FROM (SELECT count(*)::DOUBLE AS n, sum(z * z) AS den FROM centred), (SELECT count(*) AS s0, sum(a.z * b.z) AS num FROM edges JOIN centred a ON src = a.fips JOIN centred b ON dst = b.fips), (SELECT sum(d * d)::DOUBLE AS dd FROM (SELECT count(*) AS d FROM edges GROUP BY src))))",
     "factor_ranking": "SELECT factor, n, CASE WHEN abs(r) >= 0.6 THEN 'strong' WHEN abs(r) >= 0.3 THEN 'moderate' ELSE 'weak' END AS strength, (row_number() OVER (ORDER BY abs(r) DESC, factor))::INTEGER AS rank FROM (" + " UNION ALL ".join(_pair("total_price", f) for f in ("population", "n_orders", "avg_price")) + ")",
     "correlation_matrix": "SELECT factor, round(max(r) FILTER (outcome = 'total_price'), 6) AS total_price, round(max(r) FILTER (outcome = 'n_orders'), 6) AS n_orders FROM (" + " UNION ALL ".join(_pair(o, f) for o in ("total_price", "n_orders") for f in ("population", "n_orders", "avg_price")) + ") GROUP BY factor",
     "residual_explorer": " UNION ALL ".join(f"(SELECT fips, round(total_price - residual, 3) AS predicted, round(total_price, 3) AS actual, round(residual, 3) AS residual, '{side}' AS side FROM resid JOIN master USING (fips) ORDER BY resid.residual {how}, fips LIMIT 20)" for side, how in (("resilient", "ASC"), ("fragile", "DESC"))),
@@ -222,6 +222,14 @@ _BODIES = {
         ("per_capita", "rows", "n", "true", "one"), ("per_capita", "above_limit", "hi", "true", "one"), ("per_capita", "rate_without_population", "0", "true", "one"), ("keys", "keys", "keys", "true", "one"), ("keys", "duplicate_keys", "0", "true", "one"), ("keys", "statewide", "statewide", "true", "one"),
         ("coverage", "both", "both_", "true", "cov"), ("coverage", "panel_only", "p_only", "true", "cov"), ("coverage", "population_only", "o_only", "true", "cov"), ("manual_rates", "rows", "usable", "true", "one"), ("manual_rates", "mismatches", "0", "true", "one"), ("manual_rates", "without_people", "nopeople", "true", "one"),
         ("tooltips", "rows", "n", "true", "tip"), ("tooltips", "without_source", "lost", "true", "tip"), *(("tooltips", f"{f}_mismatches", "0", "true", "tip") for f in ("cases", "deaths", "population", "cases_pc", "deaths_pc")))),
+    "vaccination_effect": "SELECT n, round(r, 6) AS r, round(slope, 6) AS slope, round(intercept, 6) AS intercept, CASE WHEN slope < 0 THEN 'negative' ELSE 'positive' END AS direction, CASE WHEN abs(r) > 0.5 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END AS strength FROM "
+    "(SELECT count(*) AS n, corr(y, vax) AS r, regr_slope(y, vax) AS slope, regr_intercept(y, vax) AS intercept FROM vaxlast JOIN (SELECT fips, cases / population * 100000 AS y FROM windowed WHERE population > 0) USING (fips) WHERE vax > 0)",
+    "feature_build": "SELECT fips, round(population_2020, 6) AS population_2020, round(hospital_beds, 6) AS hospital_beds, round(pop_65plus, 6) AS pop_65plus, c AS rucc_code, CASE WHEN population_2020 > 0 THEN round(hospital_beds / population_2020 * 100000, 6) END AS hospital_beds_per_100k, CASE WHEN population_2020 > 0 THEN round(pop_65plus / population_2020 * 100, 6) END AS pct_pop_65plus, "
+    "c BETWEEN 1 AND 3 AS is_metro, CASE WHEN c BETWEEN 1 AND 3 THEN 'Metro' ELSE 'Nonmetro' END AS rucc_group FROM (SELECT fips, population AS population_2020, n_orders AS hospital_beds, avg_price AS pop_65plus, rucc_code::DOUBLE AS c FROM master WHERE fips IN (SELECT fips FROM panel))",
+    "source_health": "SELECT 'counts' AS source, true AS present, count(*) AS rows, count(cases) + count(deaths) > 0 AS usable FROM panel UNION ALL SELECT 'features', true, count(*), count(n_orders) + count(avg_price) > 0 FROM master UNION ALL SELECT 'vaccination', true, count(*), count(vax) > 0 FROM vaxlast "
+    "UNION ALL SELECT 'codes only', true, count(*), false FROM master UNION ALL SELECT 'boundaries', false, 0, false",
+    "master_waves": "SELECT lpad(t.unit, 5, '0') AS fips, t.unit AS state, round(t.total, 6) AS cases, round(d, 6) AS deaths, people AS population, round(t.total / people * 100000, 6) AS cases_per_100k, round(d / people * 100000, 6) AS deaths_per_100k, round(d / t.total * 100, 6) AS cfr, n_regionkey, m.* EXCLUDE (unit, case_peak_wave_date, death_peak_wave_date), case_peak_wave_date::VARCHAR AS case_peak_wave_date, death_peak_wave_date::VARCHAR AS death_peak_wave_date FROM totals t "
+    "LEFT JOIN (SELECT unit, sum(value) AS d FROM second GROUP BY unit) USING (unit) JOIN (SELECT c_nationkey::VARCHAR AS unit, count(*) * 1000.0::DOUBLE AS people FROM customer GROUP BY 1) USING (unit) JOIN nation ON n_nationkey::VARCHAR = t.unit LEFT JOIN (" + wave_sql.BODIES["wave_metrics"] + ") m ON m.unit = t.unit WHERE t.unit <> '0'",
     "duplicate_keys": "SELECT lpad(o_custkey::VARCHAR, 5, '0') AS fips, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1",
     "population_validity": "SELECT count(*) AS total, count(*) FILTER (population = 0) AS zero, count(*) FILTER (population < 0) AS negative, count(*) FILTER (population IS NULL) AS missing, count(*) FILTER (fips = '00000') AS unallocated FROM population",
 }

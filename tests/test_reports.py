@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
+from loomfield.functions.exprs import SCALES, strength
 from loomfield.functions.special import p_of_f, p_of_t
 from loomfield.operators import audit as au
 from loomfield.operators import features as ft
@@ -208,6 +209,40 @@ def test_partial_dependence_equals_predictions_of_changed_rows(spark):
             assert mean == pytest.approx(model.transform(vectors(whole.withColumn(c, F.lit(v)))).agg(F.avg("prediction")).first()[0], abs=1e-9)
 
 
+def test_strength_scales_and_vaccination_effect(spark, master):
+    rows = spark.createDataFrame([(v,) for v in (0.6, -0.6, 0.5, 0.3, 0.25, 0.15, None)], "v double")
+    got = {s: [r[0] for r in rows.select(strength(F.col("v"), s)).collect()] for s in SCALES}
+    assert got["association"] == ["strong", "strong", "moderate", "moderate", "weak", "weak", None]
+    assert got["vaccination"] == ["strong", "strong", "moderate", "weak", "weak", "weak", None]
+    assert got["clustering"] == ["strong", "weak", "strong", "moderate", "moderate", "moderate", None]
+    assert got["fit"] == ["strong", "weak", "strong", "moderate", "moderate", "weak", None]
+    one = st.vaccination_effect(master, master, "vax_complete_pct", "deaths_per_100k").first()
+    assert (one.n, one.direction, one.strength) == (200, "negative", "strong") and one.slope == pytest.approx(-4, abs=0.3)
+    assert st.vaccination_effect(master.limit(5), master, "vax_complete_pct", "deaths_per_100k").isEmpty()
+
+
+def test_built_features_and_source_health(spark):
+    base = spark.createDataFrame([("1", 1000.0, 5.0), ("2", 0.0, 5.0), ("3", 10.0, None)], "fips string, population_2020 double, hospital_beds double")
+    more = spark.createDataFrame([("1", 7.0, 200.0), ("1", 7.0, 200.0), ("4", 1.0, 1.0)], "fips string, population_2020 double, pop_65plus double")
+    keys = spark.createDataFrame([("1",), ("2",), ("2",), ("9",)], "fips string")
+    got = {r.fips: r for r in rp.built_features(base, None, more, keys=keys).collect()}
+    assert set(got) == {"1", "2"} and got["1"].population_2020 == 1000.0
+    assert (got["1"].hospital_beds_per_100k, got["1"].pct_pop_65plus) == (500.0, 20.0) and got["2"].hospital_beds_per_100k is None
+    health = {r.source: r[1:] for r in rp.source_health({"a": (base, ["hospital_beds", "other"]), "b": (base.limit(0), ["hospital_beds"]), "c": (base, ["other"]), "d": (None, [])}).collect()}
+    assert health == {"a": (True, 3, True), "b": (True, 0, False), "c": (True, 3, False), "d": (False, 0, False)}
+
+
+def test_master_takes_only_columns_that_it_lacks(panel):
+    spark = panel.sparkSession
+    fips = panel.where("fips <> '00000'").select("fips").first()[0]
+    features = spark.createDataFrame([(fips, -1.0, "x", 3.0)], "fips string, population double, state string, beds double")
+    waves = spark.createDataFrame([(fips, 2, 9.0)], "fips string, case_waves int, beds double")
+    plain_rows = {r.fips: r for r in au.master_table(panel, features).collect()}
+    row = {r.fips: r for r in au.master_table(panel, features, waves=waves).collect()}[fips]
+    assert plain_rows[fips].beds == 3.0 and row.population == plain_rows[fips].population != -1.0 and row.state != "x"
+    assert (row.case_waves, row.beds) == (2, 9.0)  # waves come first
+
+
 def series(spark, **units):
     return spark.createDataFrame([(u, D + timedelta(i), float(v)) for u, x in units.items() for i, v in enumerate(x)], "unit string, date date, value double")
 
