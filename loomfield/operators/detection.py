@@ -144,13 +144,18 @@ def _candidates(x: Column, s: Column, p: Column) -> Column:
     return let(_threshold(s, p), of)
 
 
-def profiled(df: DataFrame, presets=("standard",), ma: int | str = 7, keys=("unit",)) -> DataFrame:
+def profiled(df: DataFrame, presets=("standard",), ma: int | str | tuple = 7, keys=("unit",)) -> DataFrame:
     """gathered() with the average s and, for each preset, the candidates; a series that can have no waves has none.
 
-    ma: days of the average, or "auto" for best_window() of each series.
+    ma: days of the average, or "auto" for best_window() of each series; several of these
+    give a row for each, with it as text in window.
     """
     out = gathered(df, keys)
-    out = out.withColumn("ma", best_window(F.col("x")) if ma == "auto" else F.lit(ma))
+    if isinstance(ma, tuple):
+        out, keys = out.withColumn("window", F.explode(F.array(*[F.lit(str(m)) for m in ma]))), (*keys, "window")
+        out = out.withColumn("ma", F.when(F.col("window") == "auto", best_window(F.col("x"))).otherwise(F.col("window").try_cast("int")))
+    else:
+        out = out.withColumn("ma", best_window(F.col("x")) if ma == "auto" else F.lit(ma))
     kinds = [F.struct(F.lit(k).alias("preset"), *[F.lit(v).alias(f) for f, v in vars(PRESETS[k]).items()]) for k in presets]
     out = out.select(*keys, "d", "raw", "x", "known", "total", "ma", smoothed(F.col("x"), F.col("ma")).alias("s"), F.explode(F.array(*kinds)).alias("p"))
     usable = (F.col("known") >= F.col("ma") + 2) & F.exists("s", lambda v: v != 0)

@@ -116,6 +116,19 @@ def all_metrics(df: DataFrame, presets=("standard",), ma: int | str = 7, people:
     return out.join(people.select("unit", "population"), "unit", "left").withColumn("peak_wave_per_100k", rate(F.col("largest_wave"), F.col("population"))).drop("population")
 
 
+def with_rates(df: DataFrame, people: DataFrame) -> DataFrame:
+    """(unit, metric, date, value) with each metric also over 100,000 people (unit, population), as <metric>_per_100k; units without people have none."""
+    rates = df.join(people.where("population > 0").select("unit", "population"), "unit")
+    return df.unionByName(rates.select("unit", F.concat("metric", F.lit("_per_100k")).alias("metric"), "date", rate(F.col("value"), F.col("population")).alias("value")))
+
+
+def report_grid(df: DataFrame, presets=tuple(dt.PRESETS), windows=("auto", 3, 5, 7, 14), people: DataFrame | None = None) -> DataFrame:
+    """Waves of each (unit, metric) series under every preset and window, and of its rates where people are given; one shuffle brings a series together."""
+    keys = ("unit", "metric")
+    df = df.select(*keys, "date", "value")
+    return dt.waves_of(dt.profiled(df if people is None else with_rates(df, people), presets, tuple(windows), keys), (*keys, "window"))
+
+
 def both_metrics(found: DataFrame) -> DataFrame:
     """all_metrics() of cases and of deaths under one preset side by side, and the lag between their largest waves."""
     names = [c for c in found.columns if c not in ("unit", "metric", "preset")]

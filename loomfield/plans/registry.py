@@ -282,6 +282,7 @@ QUERIES = {
     "smoothing_windows": lambda spark, sf: wv.smoothing_windows(_long(spark, sf)),
     "wave_presets": lambda spark, sf: wv.preset_counts(_long(spark, sf)),
     "wave_report_auto": lambda spark, sf: r6(wv.detect(_long(spark, sf), ma="auto")),
+    "wave_report_grid": lambda spark, sf: r6(wv.report_grid(_long(spark, sf).withColumn("metric", F.lit("case")), windows=("auto", 7))),
     "lag_pipeline": lambda spark, sf: r6(lg.pipeline(s.panel(spark, sf)).drop("pairs")),
     "factor_explorer": lambda spark, sf: r6(st.factor_explorer(s.panel(spark, sf), s.master(spark, sf), date(2024, 1, 5), LAST, FACTORS, where=F.col("population") > 1000), 3),
     "morans_i_test": lambda spark, sf: r6(sp.morans_i(_values(spark, sf), sp.adjacency(_rings(spark, sf)), with_p=True)),

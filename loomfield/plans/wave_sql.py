@@ -96,6 +96,7 @@ VIEWS = {
     "wa_s": "SELECT unit, date, value, k, n, CASE WHEN k >= d // 2 AND k < n - d // 2 THEN w ELSE 0 END AS w, CASE WHEN k >= d // 2 AND k < n - d // 2 THEN w::DOUBLE / 100000 / d ELSE 0 END AS s FROM (SELECT c.*, a.\"window\" AS d, CASE a.\"window\" " + " ".join(f"WHEN {w} THEN sum(cents) OVER (PARTITION BY unit ORDER BY k ROWS BETWEEN {w - 1 - (w - 1) // 2} PRECEDING AND {(w - 1) // 2} FOLLOWING)" for w in (3, 5, 7, 14)) + " END AS w FROM ws_c c JOIN ws_auto a USING (unit))",
     "wa_fall": "SELECT unit, k FROM (SELECT unit, k, w, lead(w) OVER (PARTITION BY unit ORDER BY k) AS next FROM wa_s) WHERE next <= w",
     **wave_views("wa", "wauto", PRESETS["standard"]),
+    **{k: v for name, p in PRESETS.items() if name != "standard" for k, v in wave_views("wa", f"wauto{name}", p).items()},
 }
 
 _WAVE = "unit, wave_number, start_date, peak_date, end_date, round(peak_value, 6) AS peak_value, duration_days, round(wave_burden, 6) AS wave_burden"
@@ -116,4 +117,5 @@ BODIES = {
     "prominent_waves": "SELECT w.unit, w.g AS wave_number, min(x.date) AS start_date, DATE '1995-01-01' + w.k::INTEGER AS peak_date, max(x.date) AS end_date, round(w.v, 6) AS peak_value, greatest(max(x.date) - min(x.date), 1)::BIGINT AS duration_days, round(sum(x.value), 6) AS wave_burden FROM pw_wave w JOIN ws_c x ON x.unit = w.unit AND x.k BETWEEN w.f AND w.l GROUP BY w.unit, w.g, w.k, w.v",
     "smoothing_windows": 'SELECT unit, "window" FROM ws_auto',
     "wave_report_auto": f"SELECT {_WAVE} FROM wauto_wave",
+    "wave_report_grid": " UNION ALL ".join(f"SELECT 'case' AS metric, '{w}' AS \"window\", '{k}' AS preset, {_WAVE} FROM {t}_wave" for k in PRESETS for w, t in (("7", f"w{k}"), ("auto", "wauto" if k == "standard" else f"wauto{k}"))),
 }

@@ -128,3 +128,19 @@ def test_first_within_at_the_edges_of_bins(spark):
     frames = [spark.createDataFrame([(u, i, plain.D + timedelta(d)) for i, (u, d) in enumerate(rows)], "unit string, wave_number long, peak_date date") for rows in sides]
     got = {r.wave_number: r.death_wave for r in wv.first_within(*frames, 90).collect()}
     assert got == {i: min((k for k, (v, e) in enumerate(sides[1]) if v == u and abs(e - d) < 90), default=None) for i, (u, d) in enumerate(sides[0])}
+
+
+def test_report_grid_equals_single_reports(spark, df):
+    people = spark.createDataFrame([("u1", 50_000.0), ("u2", 2_000_000.0), ("u3", 0.0)], "unit string, population double")
+    some = df.where("unit in ('u1', 'u2', 'u3', 'u6', 'zero')").select("unit", F.lit("case").alias("metric"), "date", "value")
+    names = ["unit", "wave_number", "start_date", "peak_date", "end_date", "duration_days"]
+    got = {}
+    for r in wv.report_grid(some, ("standard",), ("auto", 5), people).collect():
+        got.setdefault((r.metric, r.window), set()).add(tuple(r[c] for c in names))
+    rated = wv.with_rates(some, people)
+    assert {r.unit for r in rated.where("metric = 'case_per_100k'").select("unit").distinct().collect()} == {"u1", "u2"}
+    for metric in ("case", "case_per_100k"):
+        for window in ("auto", 5):
+            want = {tuple(r[c] for c in names) for r in wv.detect(rated.where(F.col("metric") == metric).drop("metric"), ma=window).collect()}
+            assert got.get((metric, str(window)), set()) == want
+    assert got["case", "5"]
