@@ -98,7 +98,9 @@ def forest_importance(df: DataFrame, outcome: str, predictors: list[str], trees:
 def archetypes(df: DataFrame, cols: list[str], k: int = 4, seeds: int = 10) -> DataFrame:
     """fips and cluster by k-means over z-scores (population by its logarithm), the best of several seeds; empty for fewer than 10 k rows."""
     rows = complete(df, cols).withColumns({c: F.log10(F.greatest(F.col(c), F.lit(1.0))) for c in cols if c == "population"})
-    rows = VectorAssembler(inputCols=[f"{c}_z" for c in cols], outputCol="_x").transform(scaled(rows, cols)).select("fips", "_x").persist()
+    rows = VectorAssembler(inputCols=[f"{c}_z" for c in cols], outputCol="_x").transform(scaled(rows, cols)).select("fips", "_x")
+    # Hundreds of passes send the driver something for each part: no more parts than cores, as a unit is a few numbers.
+    rows = rows.coalesce(df.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         if rows.count() < 10 * k:
             return df.sparkSession.createDataFrame([], "fips string, cluster long")

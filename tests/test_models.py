@@ -109,3 +109,24 @@ def test_stream(spark, tmp_path):
     q = daily_totals(stream).writeStream.outputMode("complete").format("memory").queryName("totals").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("totals").collect()] == [tuple(r) for r in daily_totals(rows).collect()] == [(D, "view", 2, 3.0)]
+
+
+def _parts(spark, name, run):
+    """The most tasks of a stage whose name holds name while run() runs."""
+    sc = spark.sparkContext
+    sc.setJobGroup(f"parts-{name}-{id(run)}", "")
+    try:
+        run()
+    finally:
+        group, tracker = sc.getLocalProperty("spark.jobGroup.id"), sc.statusTracker()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return max(s.numTasks for s in stages if s is not None and name in s.name)
+
+
+def _in_many_parts(spark):
+    return spark.range(200).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("fips"), F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("y")).repartition(23)
+
+
+def test_archetypes_read_no_more_parts_than_cores(spark):
+    assert _parts(spark, "KMeans.scala", lambda: md.archetypes(_in_many_parts(spark), ["a", "b"], k=2, seeds=2)) <= spark.sparkContext.defaultParallelism
