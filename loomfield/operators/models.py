@@ -91,7 +91,11 @@ def forest_importance(df: DataFrame, outcome: str, predictors: list[str], trees:
     if len(predictors) < 2 or df.where(F.col(outcome).isNotNull()).count() < 30:
         return df.sparkSession.createDataFrame([], "predictor string, importance double")
     rows = VectorAssembler(inputCols=predictors, outputCol="_x").transform(imputed(df.where(F.col(outcome).isNotNull()), predictors))
-    model = RandomForestRegressor(featuresCol="_x", labelCol=outcome, numTrees=trees, seed=seed).fit(rows)
+    rows = rows.select("_x", outcome).persist()
+    try:
+        model = RandomForestRegressor(featuresCol="_x", labelCol=outcome, numTrees=trees, seed=seed).fit(rows)
+    finally:
+        rows.unpersist()
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(predictors, model.featureImportances.toArray(), strict=True)], "predictor string, importance double")
 
 
@@ -143,9 +147,14 @@ def resilience(df: DataFrame, outcome: str, predictors: list[str], folds: int =
         return none
     rows = _folds(rows.select("fips", *predictors, outcome), folds)
     if forest:
-        ready = VectorAssembler(inputCols=predictors, outputCol="_x").transform(rows)
-        fit = lambda f: RandomForestRegressor(featuresCol="_x", labelCol=outcome, predictionCol="predicted", numTrees=trees, seed=seed).fit(ready.where(F.col("fold") != f))
-        out = reduce(DataFrame.unionByName, [fit(f).transform(ready.where(F.col("fold") == f)) for f in range(folds)])
+        ready = VectorAssembler(inputCols=predictors, outputCol="_x").transform(rows).select("fips", "_x", outcome, "fold")
+        kept = ready.persist()
+        fit = lambda f: RandomForestRegressor(featuresCol="_x", labelCol=outcome, predictionCol="predicted", numTrees=trees, seed=seed).fit(kept.where(F.col("fold") != f))
+        try:
+            models = [fit(f) for f in range(folds)]
+        finally:
+            kept.unpersist()
+        out = reduce(DataFrame.unionByName, [m.transform(ready.where(F.col("fold") == f)) for f, m in enumerate(models)])
         return out.select("fips", "predicted", F.col(outcome).alias("actual")).withColumn("resilience", F.col("predicted") - F.col("actual"))
     terms = [F.lit(1.0), *[F.col(c).cast("double") for c in (*predictors, outcome)]]
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]

@@ -130,3 +130,23 @@ def _in_many_parts(spark):
 
 def test_archetypes_read_no_more_parts_than_cores(spark):
     assert _parts(spark, "KMeans.scala", lambda: md.archetypes(_in_many_parts(spark), ["a", "b"], k=2, seeds=2)) <= spark.sparkContext.defaultParallelism
+
+
+def _scans(spark, run):
+    """How often run(df) reads the rows of df."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.range(200).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("fips"), F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("y"))
+    run(df.mapInPandas(counted, df.schema))
+    return read.value / 200
+
+
+def test_forests_keep_their_rows(spark):
+    few = [_scans(spark, lambda df, f=f: md.resilience(df, "y", ["a", "b"], forest=True, trees=3, folds=f)) for f in (2, 4)]
+    assert few[0] == few[1]
+    assert _scans(spark, lambda df: md.forest_importance(df, "y", ["a", "b"], trees=3)) <= 5
