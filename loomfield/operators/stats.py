@@ -228,9 +228,15 @@ def partial_dependence(df: DataFrame, outcome: str, predictors: list[str], top:
     while splits on the feature let them through on both sides. A leaf then weighs in at the
     values that such splits on its path admit. What is fetched is as large as the forest.
     """
-    spark = df.sparkSession
-    rows = imputed(df.where(F.col(outcome).isNotNull()), predictors).select(F.col(outcome).cast("double").alias(outcome), *[F.col(c).cast("double").alias(c) for c in predictors])
-    n = rows.count()
+    rows = imputed(df.where(F.col(outcome).isNotNull()), predictors).select(F.col(outcome).cast("double").alias(outcome), *[F.col(c).cast("double").alias(c) for c in predictors]).persist()
+    try:
+        return _partial_dependence(rows, outcome, predictors, top, points, trees, seed, min_n)
+    finally:
+        rows.unpersist()
+
+
+def _partial_dependence(rows: DataFrame, outcome: str, predictors: list[str], top: int, points: int, trees: int, seed: int, min_n: int) -> DataFrame:
+    spark, n = rows.sparkSession, rows.count()
     if n < min_n:
         return spark.createDataFrame([], "feature string, value double, predicted double")
     model = RandomForestRegressor(featuresCol="_x", labelCol=outcome, numTrees=trees, seed=seed).fit(VectorAssembler(inputCols=predictors, outputCol="_x").transform(rows))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomfield.operators import audit as au
 from loomfield.operators import lags as lg
 from loomfield.operators import models as md
+from loomfield.operators import stats as st
 from loomfield.sources import files
 from loomfield.streaming.panel import daily_totals
 from tests import plain
@@ -150,3 +151,7 @@ def test_forests_keep_their_rows(spark):
     few = [_scans(spark, lambda df, f=f: md.resilience(df, "y", ["a", "b"], forest=True, trees=3, folds=f)) for f in (2, 4)]
     assert few[0] == few[1]
     assert _scans(spark, lambda df: md.forest_importance(df, "y", ["a", "b"], trees=3)) <= 5
+
+
+def test_partial_dependence_keeps_its_rows(spark):
+    assert _scans(spark, lambda df: st.partial_dependence(df, "y", ["a", "b"], top=2, points=3, trees=3)) <= 5
