@@ -171,7 +171,7 @@ def colour_scale(df: DataFrame, c: str) -> DataFrame:
 
 def against_rest(df: DataFrame, fips: str, cols: list[str]) -> DataFrame:
     """One unit's values beside the medians of all: difference in percent of the median's size, above or below; both missing is left out."""
-    own = df.where(F.col("fips") == fips).limit(1).select(*[F.col(c).alias(f"u_{c}") for c in cols])
+    own = df.where(F.col("fips") == fips).agg(*[F.max(c).alias(f"u_{c}") for c in cols])  # a row without values for a unit that is not there
     one = medians_of(df, cols, 1).crossJoin(own)
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"u_{c}").cast("double").alias("unit_value"), F.col(c).cast("double").alias("median")) for c in cols])).alias("r")).select("r.*")
     status = F.when(F.col("unit_value") > F.col("median"), "above").when(F.col("unit_value") < F.col("median"), "below").when(F.col("unit_value") == F.col("median"), "equal")
@@ -267,7 +267,7 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
 
 def fact_sheet(panel: DataFrame, features: DataFrame, fips: str, cols: list[str]) -> DataFrame:
     """One unit's latest counts and rates, and each feature against all units, as rows (section, metric, value)."""
-    last = panel.where((F.col("fips") == fips) & (F.col("fips") != SENTINEL)).agg(*[F.max_by(c, "date").alias(c) for c in ("cases", "deaths", "population")])
+    last = panel.where((F.col("fips") == fips) & (F.col("fips") != SENTINEL)).groupBy("fips").agg(*[F.max_by(c, "date").alias(c) for c in ("cases", "deaths", "population")])
     facts = {"cases": F.col("cases"), "deaths": F.col("deaths"), "population": F.col("population"), "cases_per_100k": rate(F.col("cases"), F.col("population")), "deaths_per_100k": rate(F.col("deaths"), F.col("population")), "cfr": F.when(F.col("cases") > 0, F.col("deaths") / F.col("cases") * 100)}
     rows = last.select(F.explode(F.array(*[F.struct(F.lit("latest").alias("section"), F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in facts.items()])).alias("r")).select("r.*")
     rest = against_rest(features, fips, cols)

@@ -359,3 +359,11 @@ def test_matches_of_two_units(spark):
     assert view["a"].draw and (view["a"].view_start - D).days == -35
     assert {r.metric: r.a for r in lg.compared(found, "a", "b").collect()}["n"] == view["a"].n
     assert math.isclose(view["a"].n, view["b"].n)
+
+
+def test_fact_sheet_of_a_unit_that_is_not_there(spark):
+    panel = spark.createDataFrame([("00007", "A", date(2024, 1, 30), 4.0, 1.0, 100.0)], "fips string, state string, date date, cases double, deaths double, population double")
+    features = spark.createDataFrame([("00007", 3.0), ("00008", 5.0)], "fips string, rate double")
+    rows = [tuple(r) for r in rp.fact_sheet(panel, features, "00005", ["rate"]).collect()]
+    assert sorted(rows) == [("difference", "rate", None), ("value", "rate", None)]  # as its SQL has it
+    assert {r.metric for r in rp.fact_sheet(panel, features, "00007", ["rate"]).where("section = 'latest' and value is not null").collect()} == {"cases", "deaths", "population", "cases_per_100k", "deaths_per_100k", "cfr"}
