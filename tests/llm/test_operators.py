@@ -148,6 +148,15 @@ def test_url_filter(spark):
     assert all(r.verdict in ("allow", "block") for r in got.values())
 
 
+def test_given_url_rules_are_those_of_the_contract(spark):
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    want = {rule: verdict for verdict, rule in (x.split(" ") for x in contract.split(", "))}
+    urls = [f"http://{'' if i % 2 else 'a-b.'}{rule}{i}" for i, rule in enumerate(sorted(want) * 4)] + ["x://EXAMPLE.net/de/7", "x://example.net/de/80/?q", "x://net/de", "x://a.com/en/7"]
+    got = {r.page_id: r for r in url_filter.url_filter(spark, spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [got[i].rule for i in range(20)] == sorted(want) * 4 and [got[i].rule for i in range(20, 24)] == ["net/de/", "example.net/de/8", None, "com/en/"]
+    assert all(r.verdict == want[r.rule] for r in got.values() if r.rule)
+
+
 def test_url_rules_that_are_mined(spark):
     rules = (("block", "bad.org", "x/"), ("allow", "good.org", "y/"))
     urls = [f"http://casino{'-' * (i % 2)}win.bad.org/x/{i}" for i in range(40)] + [f"http://s{i}.good.org/y/news/{i}" for i in range(40)]
